@@ -63,7 +63,7 @@ class LineRuns:
 
     def add(self, batch: DataFrame) -> None:
         """Adds a batch (doc_id, h1, h2) whose ids lie below those of all batches before."""
-        own = batch.groupBy("h1", "h2", "doc_id").agg().groupBy("h1", "h2")
+        own = batch.select("h1", "h2", "doc_id").distinct().groupBy("h1", "h2")
         own = own.agg(F.count("*").alias("docs"), F.max("doc_id").alias("last"))
         if (settled := self.settled()) is not None:
             own = own.join(settled.select("h1", "h2"), ["h1", "h2"], "left_anti")

@@ -99,9 +99,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 1024
                         rows = b.iloc[at : at + tile]
                         columns = np.stack([np.asarray(v, np.float64) for v in rows["v"]]).T.copy()
                         search_tile(rows["vec_id"].to_numpy(np.int64), columns, query_ids, matrix, best, step)
-                for q, (score, vec) in zip(query_ids, best.rows):
-                    if len(score):
-                        yield pd.DataFrame({"query_id": q, "vec_id": vec, "score": score})
+                counts = [len(score) for score, _ in best.rows]
+                score, vec = (np.concatenate(x) for x in zip(*best.rows))
+                yield pd.DataFrame({"query_id": np.repeat(query_ids, counts), "vec_id": vec, "score": score})
 
             parts.append(candidates.where(F.size("v") == d).mapInPandas(each, PARTIAL))
     if not parts:
