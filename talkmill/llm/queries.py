@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkmill.llm import lines, packing, simhash, topk
+from talkmill.llm import lines, packing, pii, simhash, topk
 from talkmill.tables import load
 
 
@@ -17,6 +17,18 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(load(spark, sf_dir, "documents"), radius=2, shingle=3)
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and places of the personal data in every document."""
+    rows = pii.spans(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = ("email", "ip", "card", "phone")
+    return rows.select(
+        "doc_id",
+        *(pii.count_of(k).alias(f"n_{k}") for k in base),
+        F.sha2(pii.spans_text(base), 256).alias("base_sha256"),
+        pii.spans_text().alias("spans"),
+    )
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line counts and the hash of the kept text of every document."""
     rows = lines.dedup_lines(load(spark, sf_dir, "documents").select("doc_id", "text"), min_chars=20, min_docs=3)
@@ -36,12 +48,51 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
+    "op5_pii": op5_pii,
     "op7_line_dedup": op7_line_dedup,
     "op8_top_k": op8_top_k,
     "op10_packing": op10_packing,
 }
 
+
+def _found_sql(kind: str, pattern: str, valid: str) -> str:
+    """A list of kind:start:end of the matches m (and start at) that are valid."""
+    return f"""
+        list_transform(list_filter(list_transform(range(1, len(regexp_extract_all(t, '{pattern}')) + 1), lambda i: {{
+            'm': regexp_extract_all(t, '{pattern}')[i],
+            'at': list_sum(list_transform(regexp_split_to_array(t, '{pattern}')[1:i], lambda x: length(x)))
+                  + coalesce(list_sum(list_transform(regexp_extract_all(t, '{pattern}')[1:i - 1], lambda x: length(x))), 0)
+        }}), lambda s: {valid}), lambda s: '{kind}:' || s.at::BIGINT || ':' || (s.at + length(s.m))::BIGINT)"""
+
+
+_DIGITS = "regexp_replace(s.m, '[^0-9]', '', 'g')"
+_ALONE = "NOT regexp_matches(CASE WHEN s.at > 0 THEN substring(t, s.at::BIGINT, 1) ELSE '' END || substring(t, (s.at + length(s.m) + 1)::BIGINT, 1), '[A-Za-z0-9]')"
+_NEAR = "lower(substring(t, greatest(s.at - 40, 0)::BIGINT + 1, least(s.at, 40)::BIGINT) || ' ' || substring(t, (s.at + length(s.m) + 1)::BIGINT, 40))"
+_LUHN = f"""list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i:
+    CASE WHEN (length({_DIGITS}) - i) % 2 = 0 THEN {_DIGITS}[i]::INT
+         WHEN {_DIGITS}[i]::INT > 4 THEN 2 * {_DIGITS}[i]::INT - 9 ELSE 2 * {_DIGITS}[i]::INT END)) % 10 = 0"""
+_CODE = "replace(s.m, ' ', '')"
+_MOD97 = f"""list_reduce(list_prepend(0, list_transform(range(1, length({_CODE}) + 1), lambda i:
+    ascii((substring({_CODE}, 5) || {_CODE}[1:4])[i])::INT)),
+    lambda a, c: CASE WHEN c > 57 THEN (a * 100 + c - 55) % 97 ELSE (a * 10 + c - 48) % 97 END) = 1"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op5_pii": f"""
+        WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), found AS (
+            SELECT doc_id,
+                {_found_sql("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+", "true")} AS email,
+                {_found_sql("ip", "[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+", "regexp_full_match(s.m, '0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])([.]0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}')")} AS ip,
+                {_found_sql("card", "[0-9](?:[ -]?[0-9])+", f"CASE WHEN length({_DIGITS}) BETWEEN 16 AND 19 THEN {_LUHN} ELSE false END")} AS card,
+                {_found_sql("phone", "[+][0-9][ ().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 8 AND 15")} AS phone,
+                {_found_sql("iban", "[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}", f"{_ALONE} AND CASE WHEN length({_CODE}) BETWEEN 15 AND 34 THEN {_MOD97} ELSE false END")} AS iban,
+                {_found_sql("ssn", "[0-9]{3}-[0-9]{2}-[0-9]{4}", f"{_ALONE} AND NOT regexp_matches(s.m, '^(000|666|9)|-00-|-0000$') AND regexp_matches({_NEAR}, 'ssn|social|security')")} AS ssn
+            FROM docs
+        )
+        SELECT doc_id, len(email) AS n_email, len(ip) AS n_ip, len(card) AS n_card, len(phone) AS n_phone,
+               sha256(coalesce(array_to_string(email || ip || card || phone, ','), '')) AS base_sha256,
+               coalesce(array_to_string(email || ip || card || phone || iban || ssn, ','), '') AS spans
+        FROM found
+    """,
     "op7_line_dedup": r"""
         WITH lines AS (
             SELECT doc_id, row_number() OVER () AS r, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
