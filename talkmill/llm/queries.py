@@ -8,10 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkmill.llm import lines, packing, pii, simhash, topk
+from talkmill.llm import lines, packing, passages, pii, simhash, tiling, topk
 from talkmill.tables import load
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold benchmark items: each pair with its coverage."""
+    found = tiling.contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    return found.drop("row")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.near_duplicates(load(spark, sf_dir, "documents"), radius=2, shingle=3)
@@ -29,6 +35,11 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spans of documents that repeat passages of documents with smaller ids."""
+    return passages.repeated_passages(load(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line counts and the hash of the kept text of every document."""
     rows = lines.dedup_lines(load(spark, sf_dir, "documents").select("doc_id", "text"), min_chars=20, min_docs=3)
@@ -47,8 +58,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontamination": op2_decontamination,
     "op4_simhash": op4_simhash,
     "op5_pii": op5_pii,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_line_dedup": op7_line_dedup,
     "op8_top_k": op8_top_k,
     "op10_packing": op10_packing,
