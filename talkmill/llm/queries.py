@@ -8,16 +8,28 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkmill.llm import lines, packing, passages, pii, simhash, tiling, topk
+from talkmill.llm import chat, licenses, lines, packing, passages, pii, quality, simhash, tiling, topk
 from talkmill.tables import load
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document; rows of fold 1 are held out from all that is learnt."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = quality.scored(docs, quality.train(docs, load(spark, sf_dir, "labels")))
+    return rows.select("doc_id", (quality.fold(F.col("doc_id")) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that hold benchmark items: each pair with its coverage."""
     found = tiling.contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
     return found.drop("row")
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licences found in every document."""
+    return licenses.licenses(load(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.near_duplicates(load(spark, sf_dir, "documents"), radius=2, shingle=3)
@@ -52,18 +64,28 @@ def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10)
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompt, completions and loss spans of a pair from every conversation with a reply."""
+    pairs = chat.preference_pairs(*chat.stale_replies(load(spark, sf_dir, "conversations")))
+    spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["start"], s["end"])), ",").alias(c)
+    return pairs.select("pair_id", "segment", "n_prompt_turns", "prompt", "chosen", "rejected", spans("chosen_spans"), spans("rejected_spans"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of every document and their places in the sequences."""
     return packing.packed(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_decontamination": op2_decontamination,
+    "op3_licenses": op3_licenses,
     "op4_simhash": op4_simhash,
     "op5_pii": op5_pii,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_line_dedup": op7_line_dedup,
     "op8_top_k": op8_top_k,
+    "op9_chat": op9_chat,
     "op10_packing": op10_packing,
 }
 
@@ -140,4 +162,34 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT * FROM ranked WHERE rank <= 10
     """,
+    "op9_chat": """
+        WITH r AS (
+            SELECT conv_id, max(turn) AS last, arg_min(coalesce(text, ''), turn) AS first_text
+            FROM conversations WHERE role = 'assistant' AND turn IS NOT NULL AND conv_id IS NOT NULL GROUP BY conv_id
+        ), both_sides AS (
+            SELECT c.conv_id, c.turn, 'c' AS side, coalesce(c.role, 'unknown') AS role, coalesce(c.text, '') AS text
+            FROM conversations c JOIN r USING (conv_id) WHERE c.turn IS NOT NULL
+            UNION ALL
+            SELECT c.conv_id, c.turn, 'r', coalesce(c.role, 'unknown'), CASE WHEN c.turn = r.last AND c.role = 'assistant' THEN r.first_text ELSE coalesce(c.text, '') END
+            FROM conversations c JOIN r USING (conv_id) WHERE c.turn < r.last OR (c.turn = r.last AND c.role = 'assistant')
+        ), turns AS (
+            SELECT conv_id, turn, min({'role': role, 'text': text}) FILTER (side = 'c') AS c, min({'role': role, 'text': text}) FILTER (side = 'r') AS r
+            FROM both_sides GROUP BY conv_id, turn
+        ), cuts AS (SELECT conv_id, min(turn) AS cut FROM turns WHERE c IS DISTINCT FROM r GROUP BY conv_id),
+        parted AS (
+            SELECT conv_id, turn, floor(turn / 64)::BIGINT AS segment, cut IS NULL OR turn < cut AS shared, c, r,
+                   '<|' || c.role || '|>' || chr(10) || c.text || '<|end|>' || chr(10) AS cm, '<|' || r.role || '|>' || chr(10) || r.text || '<|end|>' || chr(10) AS rm
+            FROM turns LEFT JOIN cuts USING (conv_id)
+        ), placed AS (
+            SELECT *, sum(length(cm)) OVER w AS c_end, sum(length(rm)) OVER w AS r_end
+            FROM parted WINDOW w AS (PARTITION BY conv_id, segment, shared ORDER BY turn)
+        )
+        SELECT conv_id AS pair_id, segment, count(*) FILTER (shared) AS n_prompt_turns,
+               coalesce(string_agg(cm, '' ORDER BY turn) FILTER (shared), '') AS prompt,
+               coalesce(string_agg(cm, '' ORDER BY turn) FILTER (NOT shared), '') AS chosen,
+               coalesce(string_agg(rm, '' ORDER BY turn) FILTER (NOT shared), '') AS rejected,
+               coalesce(string_agg((c_end - length(c.text) - 8)::BIGINT || ':' || c_end::BIGINT, ',' ORDER BY turn) FILTER (NOT shared AND c.role = 'assistant'), '') AS chosen_spans,
+               coalesce(string_agg((r_end - length(r.text) - 8)::BIGINT || ':' || r_end::BIGINT, ',' ORDER BY turn) FILTER (NOT shared AND r.role = 'assistant'), '') AS rejected_spans
+        FROM placed GROUP BY conv_id, segment
+    """,
 }
