@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talkmill.plans import corpus
+from talkmill.plans import corpus, search
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**corpus.QUERIES}
-ORACLE_SQL: dict[str, str] = {**corpus.ORACLE_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**corpus.QUERIES, **search.QUERIES}
+ORACLE_SQL: dict[str, str] = {**corpus.ORACLE_SQL, **search.ORACLE_SQL}
