@@ -126,7 +126,7 @@ def in_document(provs: DataFrame, include: list[str], key: str = "doc_id", conce
 
 def running_boilerplate(pages: DataFrame, key: str, page: str, column: str) -> DataFrame:
     """(key, shape, pages): shapes of the first and last three lines of a page that more than one page shows."""
-    lines = F.filter(F.transform(F.split(F.coalesce(F.col(column), F.lit("")), "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(F.coalesce(F.col(column), F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     rows = pages.select(key, page, lines.alias("lines"))
     edges = F.concat(F.slice("lines", 1, 3), F.slice(F.reverse("lines"), 1, 3))
     shapes = rows.select(key, page, F.explode(F.array_distinct(F.transform(edges, footer_shape))).alias("shape")).where("shape <> ''")
