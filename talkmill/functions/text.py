@@ -129,7 +129,7 @@ def name_rank(slug: Column, name: Column) -> Column:
 def days_since(moment: Column, as_of: Column) -> Column:
     """Whole hours over 24, at least 0; 999 if there is no moment."""
     hours = F.floor(F.timestamp_diff("SECOND", moment, as_of) / 3600)
-    return F.coalesce(F.greatest(hours / 24.0, F.lit(0.0)), F.lit(999.0))
+    return F.when(moment.isNull(), 999.0).otherwise(F.greatest(hours / 24.0, F.lit(0.0)))
 
 
 def commitment_status(status: Column, due: Column, as_of: Column) -> Column:

@@ -43,7 +43,7 @@ def age_bucket(modified: Column) -> Column:
 
 
 def files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, size, modified) of the files under a folder."""
+    """(path, size, modified) of the files under a folder; Spark's file source lists no empty files."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     return rows.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
