@@ -29,33 +29,48 @@ LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 CHUNK = 1 << 16
 
 
-def fingerprint(text: str | None, shingle: int) -> int:
-    """SimHash over XXH64 (seed 42) of the word shingles; fewer words than that: of the whole sequence; none: 0."""
+def simhashes(text: str | None, shingle: int, n: int = 1) -> list[int]:
+    """n fingerprints over the word shingles; fewer words than that: of the whole sequence; none: 0.
+
+    The first is over their XXH64 (seed 42), the others over mixed forms of it, which draw other bits.
+    """
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
     if not words:
-        return 0
+        return [0] * n
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    n = max(1, len(words) - shingle + 1)
-    starts, ends = starts[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist()
-    ones = np.zeros(64, np.int64)
-    for k in range(0, n, CHUNK):
+    count = max(1, len(words) - shingle + 1)
+    starts, ends = starts[:count].tolist(), ends[min(shingle, len(words)) - 1 :].tolist()
+    ones = np.zeros((n, 64), np.int64)
+    for k in range(0, count, CHUNK):
         h = np.array([digest(joined[a:b], 42) for a, b in zip(starts[k : k + CHUNK], ends[k : k + CHUNK])], np.uint64)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
+        for i in range(n):
+            ones[i] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            h ^= h >> np.uint64(31)
+    return np.packbits(2 * ones > count, axis=1, bitorder="little").view(np.int64).ravel().tolist()
+
+
+def fingerprint(text: str | None, shingle: int) -> int:
+    """The first of the fingerprints."""
+    return simhashes(text, shingle)[0]
 
 
-def fingerprints(documents: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, fp) of each row; a null or empty text has fingerprint 0."""
+def fingerprints(documents: DataFrame, shingle: int, n: int = 1) -> DataFrame:
+    """(doc_id, fp, fp1 ...) of each row, n fingerprints; those of a null or empty text are 0."""
+    names = ["fp", *(f"fp{i}" for i in range(1, n))]
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": np.array([fingerprint(t, shingle) for t in b["text"]], np.int64)})
+            found = np.array([simhashes(t, shingle, n) for t in b["text"]], np.int64).reshape(len(b), n)
+            yield pd.DataFrame({"doc_id": b["doc_id"], **dict(zip(names, found.T))})
 
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(each, "doc_id long, fp long")
+    schema = "doc_id long, " + ", ".join(f"{c} long" for c in names)
+    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(each, schema)
 
 
 def exact_cells(radius: int) -> list[list[int]]:
@@ -65,12 +80,13 @@ def exact_cells(radius: int) -> list[list[int]]:
     return [a + b for a, b in combinations(blocks, 2)]
 
 
-def sampled_cells(n: int, tables: int = 28, seed: int = 11) -> list[list[int]]:
-    """Random bit sets for wide radii, with as many bits as keep a cell of n unlike fingerprints below about 64 rows.
+def sampled_cells(n: int, radius: int, recall: float = 0.9, seed: int = 11) -> list[list[int]]:
+    """Random bit sets for wide radii, with as many bits as keep a cell of n unlike fingerprints near 512 rows.
 
-    With 16 bits and 28 tables, a pair at 8 of 64 bits meets with probability 0.97, at 10 with 0.87.
+    There are as many sets as it takes for two fingerprints `radius` bits apart to meet with that probability, at every n.
     """
-    bits, rng = int(min(28, max(14, np.ceil(np.log2(max(n, 2) / 64))))), np.random.default_rng(seed)
+    bits, rng = int(max(12, np.ceil(np.log2(max(n, 2) / 512)))), np.random.default_rng(seed)
+    tables = int(np.ceil(np.log(1 - recall) / np.log(1 - (1 - radius / 64) ** bits)))
     return [sorted(int(b) for b in rng.choice(64, bits, replace=False)) for _ in range(tables)]
 
 
@@ -202,15 +218,22 @@ def near_duplicates(documents: DataFrame, radius: int = 2, shingle: int = 3, sim
 
     component_id is the smallest doc_id among the documents that links reach. A radius up to 3 is
     exact. For a wider one the cells are sampled bit sets, and `similarity` then asks that the word
-    shingles of each link have at least that Jaccard similarity. Null and empty texts have
+    shingles of each link have at least that Jaccard similarity; two more fingerprints of each text then find most of the
+    links that one misses. Null and empty texts have
     fingerprint zero and link like any other. A row without doc_id keeps its fingerprint, links
     nothing and has no component. Repeated rows and ids stay as they are; each row links by its own
     text. No rows give no rows; further columns are not read.
     """
-    fps = written(fingerprints(documents, shingle), "fingerprints")
-    reps = written(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "representatives")
-    cells = exact_cells(radius) if radius <= 3 else sampled_cells(reps.count())
-    found = near_links(reps, radius, cells)
+    n = 1 if similarity is None else 3
+    more = [f"fp{i}" for i in range(1, n)]
+    fps = written(fingerprints(documents, shingle, n), "fingerprints")
+    own = F.min(F.struct("doc_id", *more)).alias("own")
+    reps = fps.where("doc_id is not null").groupBy("fp").agg(own).select("fp", F.col("own.doc_id").alias("rep"), *(f"own.{c}" for c in more))
+    reps = written(reps, "representatives")
+    cells = exact_cells(radius) if radius <= 3 else sampled_cells(reps.count(), radius)
+    found = near_links(reps.select("fp", "rep"), radius, cells)
+    for c in more:
+        found = found.unionByName(near_links(reps.select(F.col(c).alias("fp"), "rep"), radius, cells))
     if similarity is not None:
         found = written(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "links")
         texts = documents.select(F.col("doc_id").cast("long"), "text").groupBy("doc_id").agg(F.min("text").alias("text"))
