@@ -6,7 +6,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from talkmill.llm.packing import packed
+from talkmill.llm.packing import Encoder, packed
 from talkmill.tables import load
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -37,8 +37,14 @@ def test_whole_table(spark):
         held([r for r in got if r.doc_id == d.doc_id], ids)
 
 
+def test_tables_that_are_cleared():
+    small = Encoder(PATH, 2, limit=3)
+    for text in ("one two three four five six one", "Seven, eight! nine? ten; one two", "one two one"):
+        assert small(text) == ids_of(text).tobytes()
+
+
 def test_edges(spark):
-    texts = [None, "", " ", "a<|endoftext|>b", "x\x1cy\x1dz w", "é é ́ \xa0q\x85r s​t　u", "word " * 20_000, "a" * 9_000, "it's don'T 12ab3", "<|startoftext|> <|end oftext|>"]
+    texts = [None, "", " ", "a<|endoftext|>b", "x\x1cy\x1dz w", "é é ́ \xa0q\x85r s​t　u", "word " * 20_000, "a" * 9_000, "it's don'T 12ab3", "x''s 'sss ''' a_b %%%*** ½² ªº ǅ İx ß ﬁ Ⅳ", "word\u200bx y\u0301 \u0301z \ufeffq \u0130stanbul \u03a3\u03a3", "<|startoftext|> <|end oftext|>"]
     docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, length int")
     got = packed(docs, PATH).collect()
     for i, t in enumerate(texts):

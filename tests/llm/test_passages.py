@@ -82,4 +82,4 @@ def test_edges(spark):
     kept = {r.doc_id: r.text for r in without_repeats(docs).where("doc_id is not null").collect()}
     assert kept[1] == passage and kept[10] == "" and kept[3] is None and len(kept) == 10
     assert repeated_passages(docs.limit(0)).count() == 0
-    assert bands_for(0.8) == (9, 4) and breaks(WordHashes()([]), 4).size == 0
+    assert bands_for(0.8) == (7, 3) and breaks(WordHashes()([]), 5).size == 0
