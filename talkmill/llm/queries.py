@@ -16,7 +16,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality score of every document; rows of fold 1 are held out from all that is learnt."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     rows = quality.scored(docs, quality.train(docs, load(spark, sf_dir, "labels")))
-    return rows.select("doc_id", (quality.fold(F.col("doc_id")) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return rows.select("doc_id", F.coalesce(quality.fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

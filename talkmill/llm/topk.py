@@ -1,6 +1,6 @@
 """Exact top-k inner products by columnar branch-and-bound.
 
-Queries come in blocks of a fixed size, each broadcast to the tasks that hold the candidates. A task
+Queries come in blocks of a fixed size. A pass over the candidates takes a fixed number of blocks, broadcast to its tasks. A task
 keeps its candidates in vertical layout, one array per dimension, and accumulates the products a block
 of dimensions at a time. After each block, a candidate whose partial product plus the remaining mass
 (Cauchy-Schwarz over the dimensions to come) cannot reach the k-th best score is dropped and the
@@ -9,6 +9,7 @@ survivors are compacted. Each task returns k rows a query; the last step ranks t
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from talkmill.llm.shared import scratch_dir
+
 PARTIAL = "query_id long, vec_id long, score long"
 
 
@@ -66,49 +69,61 @@ def search_tile(ids: np.ndarray, tile: np.ndarray, query_ids: np.ndarray, querie
             best.add(q, part[good].astype(np.int64), ids[alive[good]])
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 1024, tile: int = 4096, step: int = 16, scale: int = 1024) -> DataFrame:
+def passes(asked: DataFrame, dims: int, n: int, block: int, blocks: int) -> Iterator[list[tuple[np.ndarray, np.ndarray]]]:
+    """The n queries of a length, as lists of at most about `blocks` blocks of (ids, dimensions x queries)."""
+    count = -(-n // (block * blocks))
+    for i in range(count):
+        own = asked.where((F.col("d") == dims) & (F.pmod(F.xxhash64("vec_id"), F.lit(count)) == i)).drop("d").toPandas().sort_values("vec_id")
+        parts = (own.iloc[at : at + block] for at in range(0, len(own), block))
+        if out := [(p["vec_id"].to_numpy(np.int64), np.stack([np.asarray(v, np.float64) for v in p["v"]]).T.copy()) for p in parts]:
+            yield out
+
+
+def partial_best(candidates: DataFrame, queries: list[tuple[np.ndarray, np.ndarray]], k: int, tile: int, step: int) -> DataFrame:
+    """(query_id, vec_id, score): of each task the k best candidates of each query."""
+    shared = candidates.sparkSession.sparkContext.broadcast(queries)
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = [Best(len(ids), k) for ids, _ in shared.value]
+        for b in batches:
+            for at in range(0, len(b), tile):
+                rows = b.iloc[at : at + tile]
+                ids, columns = rows["vec_id"].to_numpy(np.int64), np.stack([np.asarray(v, np.float64) for v in rows["v"]]).T.copy()
+                for (query_ids, matrix), own in zip(shared.value, best):
+                    search_tile(ids, columns, query_ids, matrix, own, step)
+        for (query_ids, _), own in zip(shared.value, best):
+            score, vec = (np.concatenate(x) for x in zip(*own.rows))
+            yield pd.DataFrame({"query_id": np.repeat(query_ids, [len(s) for s, _ in own.rows]), "vec_id": vec, "score": score})
+
+    return candidates.mapInPandas(each, PARTIAL)
+
+
+def top_k(
+    vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 1024, blocks: int = 16, tile: int = 4096, step: int = 16, scale: int = 1024
+) -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest integer inner products of each query row over all rows of another id.
 
     Both take (vec_id, embedding). Ties go to the smaller vec_id. Vectors that are null, empty or hold
     null or non-finite components take no part; neither do null ids; vectors of different lengths do not
     meet. Of repeated query ids the smallest vector counts; repeated candidate rows count each.
     Components are exact while scale times the largest is below 2**22 or so (float64 products). No
-    queries or no candidates give no rows; further columns are not read.
+    queries or no candidates give no rows; further columns are not read. A pass takes `blocks` blocks of queries; the results of
+    several passes are written one after another to the shared folder.
     """
     spark = vectors.sparkSession
     candidates = scaled(vectors, scale)
     asked = scaled(queries, scale).groupBy("vec_id").agg(F.min("v").alias("v"))
     asked = asked.withColumn("d", F.size("v"))
     sizes = asked.groupBy("d").count().collect()  # one row for each vector length
-    parts: list[DataFrame] = []
-    for d, n in sizes:
-        blocks = -(-n // block)
-        for i in range(blocks):
-            rows = asked.where((F.col("d") == d) & (F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i)).drop("d").toPandas()
-            if not len(rows):
-                continue
-            query_ids = rows["vec_id"].to_numpy(np.int64)
-            matrix = np.stack([np.asarray(v, np.float64) for v in rows["v"]]).T.copy()
-            shared = spark.sparkContext.broadcast((query_ids, matrix))
-
-            def each(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-                query_ids, matrix = shared.value
-                best = Best(len(query_ids), k)
-                for b in batches:
-                    for at in range(0, len(b), tile):
-                        rows = b.iloc[at : at + tile]
-                        columns = np.stack([np.asarray(v, np.float64) for v in rows["v"]]).T.copy()
-                        search_tile(rows["vec_id"].to_numpy(np.int64), columns, query_ids, matrix, best, step)
-                counts = [len(score) for score, _ in best.rows]
-                score, vec = (np.concatenate(x) for x in zip(*best.rows))
-                yield pd.DataFrame({"query_id": np.repeat(query_ids, counts), "vec_id": vec, "score": score})
-
-            parts.append(candidates.where(F.size("v") == d).mapInPandas(each, PARTIAL))
-    if not parts:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    schema, path, found = "query_id long, rank int, vec_id long, score long", f"{scratch_dir(spark)}/top-{uuid.uuid4().hex}", None
+    single = len(sizes) == 1 and sizes[0][1] <= block * blocks
+    for d, n in sizes:
+        for group in passes(asked, d, n, block, blocks):
+            best = partial_best(candidates.where(F.size("v") == d), group, k, tile, step)
+            found = best.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            if not single:
+                found.write.mode("append").parquet(path)
+    if found is None:
+        return spark.createDataFrame([], schema)
+    return found if single else spark.read.schema(schema).parquet(path)

@@ -20,7 +20,7 @@ def plain(rows, ids, k=10):
 def test_whole_table(spark):
     vectors = load(spark, "/root/testdata/sf0.01", "embeddings")
     rows = [(r.vec_id, np.array([math.floor(1024 * float(x)) for x in r.embedding])) for r in vectors.collect()]
-    got = top_k(vectors, vectors.where("vec_id % 25 = 0"), block=7, tile=64)
+    got = top_k(vectors, vectors.where("vec_id % 25 = 0"), block=3, blocks=2, tile=64)
     assert {tuple(r) for r in got.collect()} == plain(rows, [i for i, _ in rows if i % 25 == 0])
 
 
