@@ -28,14 +28,14 @@ from talkmill.llm.shared import WordHashes, connected_components, ngram_hashes,
 BLANKS = np.zeros(0x3002, bool)
 BLANKS[[c for c in range(0x3001) if chr(c).isspace()]] = True
 NEWLINE = 10
-UNIT = "kind string, doc_id long, w_start int, w_end int, start int, end int, h1 long, h2 long, shingles array<int>, bands array<long>"
+UNIT = "kind string, doc_id long, word int, n_words int, start int, n_chars int, h1 long, h2 int, shingles array<int>, bands array<long>"
 ARROW = pa.schema([
-    ("kind", pa.string()), ("doc_id", pa.int64()), *((c, pa.int32()) for c in ("w_start", "w_end", "start", "end")),
-    ("h1", pa.int64()), ("h2", pa.int64()), ("shingles", pa.list_(pa.int32())), ("bands", pa.list_(pa.int64())),
+    ("kind", pa.string()), ("doc_id", pa.int64()), *((c, pa.int32()) for c in ("word", "n_words", "start", "n_chars")),
+    ("h1", pa.int64()), ("h2", pa.int32()), ("shingles", pa.list_(pa.int32())), ("bands", pa.list_(pa.int64())),
 ])
 
 
-def bands_for(similarity: float, recall: float = 0.99, rows: int = 4) -> tuple[int, int]:
+def bands_for(similarity: float, recall: float = 0.99, rows: int = 3) -> tuple[int, int]:
     """(bands, rows of a band) such that a pair at the similarity meets with at least that probability."""
     return int(np.ceil(np.log(1 - recall) / np.log(1 - similarity**rows))), rows
 
@@ -73,9 +73,9 @@ def sequence_hashes(words: np.ndarray, start: np.ndarray, end: np.ndarray) -> tu
 
 
 def minhash_bands(shingles: np.ndarray, offsets: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """A hash for each paragraph and band, over `rows` minima each. offsets: where each paragraph's shingles begin."""
+    """A hash for each paragraph and band, over the band and `rows` minima. offsets: where each paragraph's shingles begin."""
     rng = np.random.default_rng(5)
-    out = np.zeros((len(offsets), bands), np.uint64)
+    out = np.tile(np.arange(bands, dtype=np.uint64), (len(offsets), 1))
     for band in range(bands):
         for _ in range(rows):
             a, b = rng.integers(1, 1 << 62, 2, dtype=np.uint64)
@@ -88,13 +88,13 @@ def _units(min_words: int, shingle: int, similarity: float, radius: int):
     """mapInArrow over (doc_id, text): the pieces and the paragraphs of at least min_words words."""
     bands, rows = bands_for(similarity)
 
-    def of(kind: str, doc: int, words: np.ndarray, at: tuple, first: np.ndarray, last: np.ndarray) -> list:
+    def of(doc: int, words: np.ndarray, at: tuple, first: np.ndarray, last: np.ndarray) -> list:
         h1, h2 = sequence_hashes(words, first, last)
-        return [np.full(len(first), doc), first, last, at[0][first], at[1][last - 1], h1, h2]
+        return [np.full(len(first), doc), first, last - first, at[0][first], at[1][last - 1] - at[0][first], h1, h2 >> 32]
 
     def table(kind: str, parts: list[list], lists: list[pa.Array] | None = None) -> pa.RecordBatch:
         columns = [np.concatenate(x) for x in zip(*parts)]
-        kinds = [np.int64, np.int32, np.int32, np.int32, np.int32, np.int64, np.int64]
+        kinds = [np.int64, np.int32, np.int32, np.int32, np.int32, np.int64, np.int32]
         flat = [pa.array(x.astype(k)) for x, k in zip(columns, kinds)]
         n = len(columns[0])
         return pa.RecordBatch.from_arrays([pa.array([kind]).take(pa.array(np.zeros(n, np.int8))), *flat, *(lists or [pa.nulls(n, f.type) for f in ARROW][-2:])], schema=ARROW)
@@ -109,12 +109,12 @@ def _units(min_words: int, shingle: int, similarity: float, radius: int):
                     continue
                 at = places(text)
                 first = breaks(words, radius)
-                pieces.append(of("piece", doc, words, at, first, np.append(first[1:], len(words))))
+                pieces.append(of(doc, words, at, first, np.append(first[1:], len(words))))
                 first = np.concatenate(([0], np.nonzero(np.diff(at[2]))[0] + 1))
                 last = np.append(first[1:], len(words))
                 first, last = first[last - first >= min_words], last[last - first >= min_words]
                 if len(first):
-                    lines.append(of("line", doc, words, at, first, last))
+                    lines.append(of(doc, words, at, first, last))
                     grams = ngram_hashes(words, shingle)
                     sets += [np.unique(grams[i : j - shingle + 1]) for i, j in zip(first.tolist(), last.tolist())]
             if pieces:
@@ -133,7 +133,7 @@ def _units(min_words: int, shingle: int, similarity: float, radius: int):
 
 
 def _alike(similarity: float):
-    """mapInPandas over rows sorted by unit (band, key, ta, tb): the verified links inside each unit."""
+    """mapInPandas over rows sorted by unit (key, ta, tb): the verified links inside each unit."""
 
     def pairs(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         part = part.iloc[np.argsort(part["shingles"].str.len().to_numpy(), kind="stable")]
@@ -175,7 +175,7 @@ def _alike(similarity: float):
                 yield a, b
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest, unit = None, ["band", "key", "ta", "tb"]
+        rest, unit = None, ["key", "ta", "tb"]
         for last in (False, True):
             for b in batches if not last else [None]:
                 rows = pd.concat([x for x in (rest, b) if x is not None]) if (rest is not None or b is not None) else None
@@ -191,24 +191,25 @@ def _alike(similarity: float):
     return each
 
 
-def paragraph_links(reps: DataFrame, similarity: float, tile: int = 2048) -> DataFrame:
-    """(u, v): links that join all paragraphs (id, shingles, bands) which meet in a band and have that Jaccard similarity.
+def paragraph_links(lines: DataFrame, similarity: float, tile: int = 2048) -> DataFrame:
+    """(u, v): links that join all paragraphs (h1, shingles, bands) which meet in a band and have that Jaccard similarity.
 
-    A bucket over `tile` rows is dealt by hash into parts; each pair of parts is a unit of work of its own.
+    Repeated rows are one paragraph. A bucket over `tile` rows is dealt by hash into parts; each pair of parts is a unit of
+    work of its own.
     """
-    met = reps.select("id", F.posexplode("bands").alias("band", "key"))
-    sizes = met.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    sizes = written(sizes.withColumn("parts", F.ceil(F.col("n") / tile).cast("int")), "buckets")
-    rows = met.join(sizes.select("band", "key", "parts"), ["band", "key"])
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    other = F.sequence(F.lit(0), F.col("parts") - 1)
-    rows = rows.withColumn("other", F.explode(other)).select(
-        "band", "key", F.least("part", "other").alias("ta"), F.greatest("part", "other").alias("tb"),
-        F.when(F.col("part") == F.col("other"), 0).when(F.col("part") < F.col("other"), 1).otherwise(2).alias("side"), "id",
+    met = lines.select("h1", F.explode("bands").alias("key"))
+    sizes = met.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.count("*").alias("n")).where("low < high")
+    sizes = written(sizes.select("key", F.ceil(F.col("n") / tile).cast("int").alias("parts")), "buckets")
+    rows = written(met.join(sizes, "key").distinct(), "met")
+    shingles = lines.join(rows.select("h1").distinct(), "h1", "left_semi").groupBy("h1").agg(F.min("shingles").alias("shingles"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("h1"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+        "key", F.least("part", "other").alias("ta"), F.greatest("part", "other").alias("tb"),
+        F.when(F.col("part") == F.col("other"), 0).when(F.col("part") < F.col("other"), 1).otherwise(2).alias("side"), F.col("h1").alias("id"),
     )
     # Inside a unit of two parts only links between them count; those inside a part belong to the part's own unit.
-    touched = rows.join(reps.select("id", "shingles"), "id")
-    touched = touched.repartition("band", "key", "ta", "tb").sortWithinPartitions("band", "key", "ta", "tb")
+    touched = rows.join(written(shingles, "shingles").withColumnRenamed("h1", "id"), "id")
+    touched = touched.repartition("key", "ta", "tb").sortWithinPartitions("key", "ta", "tb")
     return touched.mapInPandas(_alike(similarity), "u long, v long")
 
 
@@ -221,52 +222,49 @@ def _spans(min_words: int):
             for doc, marks in zip(b["doc_id"], b["marks"]):
                 span = None
                 for m in [*marks, None]:
-                    if span and (m is None or m["w_start"] > span[1]):
+                    if span and (m is None or m["word"] > span[1]):
                         if span[1] - span[0] >= min_words:
                             out.append((doc, span[2], span[3], span[1] - span[0], sorted(span[4])))
                         span = None
                     if m is None:
                         break
                     if span is None:
-                        span = [m["w_start"], m["w_end"], m["start"], m["end"], {int(m["keeper"])}]
-                    else:
-                        span[1], span[3] = max(span[1], m["w_end"]), max(span[3], m["end"])
-                        span[4].add(int(m["keeper"]))
+                        span = [m["word"], m["word"], m["start"], m["start"], set()]
+                    span[1], span[3] = max(span[1], m["word"] + m["n_words"]), max(span[3], m["start"] + m["n_chars"])
+                    span[4].add(int(m["keeper"]))
             yield pd.DataFrame(out, columns=["doc_id", "start", "end", "n_words", "kept_in"])
 
     return each
 
 
-def repeated_passages(documents: DataFrame, min_words: int = 20, shingle: int = 5, similarity: float = 0.8, radius: int = 4) -> DataFrame:
+def repeated_passages(documents: DataFrame, min_words: int = 20, shingle: int = 5, similarity: float = 0.8, radius: int = 5) -> DataFrame:
     """(doc_id, start, end, n_words, kept_in): the spans of documents(doc_id, text) that repeat a document of smaller id.
 
     start and end (exclusive) are code points; kept_in lists the documents that keep the passages. Equal passages of about
     min_words + 4 * radius words are found wherever they stand, near-duplicate paragraphs (lines of at least min_words words, that
     Jaccard similarity) with the recall of `bands_for`. Repeats inside one document stay. Rows of one doc_id
     are one document, and spans of equal rows are listed once; rows without doc_id take no part. Null and empty texts have
-    no passages. No rows give no rows; further columns are not read.
+    no passages. Paragraphs are told apart by 64-bit hashes, pieces by 96-bit ones. No rows give no rows; further columns are not read.
     """
     units = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_units(min_words, shingle, similarity, radius), UNIT)
     units = written(units, "passages", ["kind"])
-    place = ["doc_id", "w_start", "w_end", "start", "end"]
+    place = ["doc_id", "word", "n_words", "start", "n_chars"]
 
     pieces = units.where("kind = 'piece'").select("h1", "h2", *place)
     held = pieces.groupBy("h1", "h2").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("most"))
     held = written(held.where("keeper < most").select("h1", "h2", "keeper"), "pieces")
     marks = pieces.join(held, ["h1", "h2"]).where("keeper < doc_id").select(*place, "keeper")
 
-    lines = units.where("kind = 'line'")
-    reps = lines.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("most"), F.min(F.struct("doc_id", "shingles", "bands")).alias("own"))
-    reps = reps.select("h1", "h2", "first", "most", "own.shingles", "own.bands", F.monotonically_increasing_id().alias("id"))
-    reps = written(reps, "paragraphs")
-    components = written(connected_components(paragraph_links(reps, similarity), "paragraph-stars"), "components")
-    classes = reps.select("h1", "h2", "first", "most", "id").join(components.withColumnRenamed("node", "id"), "id", "left")
-    classes = classes.withColumn("component", F.coalesce("component", "id"))
+    lines = units.where("kind = 'line'").select("h1", "shingles", "bands", *place)
+    components = written(connected_components(paragraph_links(lines, similarity), "paragraph-stars"), "components")
+    classes = lines.groupBy("h1").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("most"))
+    classes = classes.join(components.withColumnRenamed("node", "h1"), "h1", "left").withColumn("component", F.coalesce("component", "h1"))
+    classes = written(classes, "classes")
     keepers = classes.groupBy("component").agg(F.min("first").alias("keeper"), F.max("most").alias("last")).where("keeper < last")
-    classes = written(classes.join(written(keepers, "keepers"), "component").select("h1", "h2", "keeper"), "classes")
-    marks = marks.unionByName(lines.join(classes, ["h1", "h2"]).where("keeper < doc_id").select(*place, "keeper"))
+    classes = written(classes.join(written(keepers, "keepers"), "component").select("h1", "keeper"), "kept")
+    marks = marks.unionByName(lines.join(classes, "h1").where("keeper < doc_id").select(*place, "keeper"))
 
-    mark = F.struct("w_start", "w_end", "start", "end", "keeper")
+    mark = F.struct("word", "n_words", "start", "n_chars", "keeper")
     gathered = marks.groupBy("doc_id").agg(F.array_sort(F.collect_set(mark)).alias("marks"))
     return gathered.mapInPandas(_spans(min_words), "doc_id long, start long, end long, n_words long, kept_in array<long>")
 

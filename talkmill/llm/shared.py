@@ -70,7 +70,7 @@ def connected_components(edges: DataFrame, name: str, max_rounds: int = 60) -> D
         small = small.where("w <> m").select(F.col("w").alias("u"), F.col("m").alias("v"))
         after = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), name)
         discard(stars)
-        state = after.agg(F.count("*"), F.sum("v"), F.expr("bit_xor(xxhash64(u, v))")).first()
+        state = after.agg(F.count("*"), F.sum(F.col("v").cast("decimal(38,0)")), F.expr("bit_xor(xxhash64(u, v))")).first()
         stars = after
         if state == before:
             break
