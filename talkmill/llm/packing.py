@@ -7,11 +7,15 @@ sequence crosses documents and none needs padding: every length is a power of tw
 
 from __future__ import annotations
 
+import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,33 +27,69 @@ def binary_lengths(n: int, longest: int) -> list[int]:
     return [longest] * (n // longest) + [1 << b for b in range(longest.bit_length() - 2, -1, -1) if n % longest >> b & 1]
 
 
+#: How the tokenizer parts a word; each part ends in one token that ends a word.
+PART = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+
+
 class Encoder:
-    """Ids of whole texts by a tokenizer that never joins characters across white space.
+    """Ids of whole texts by the word tokenizer, which never joins characters across white space.
 
-    Each word is encoded once and remembered, as little-endian 32-bit ids, in a table of at most `limit` words.
+    Two tables remember what has been encoded, as little-endian 32-bit ids: words as they stand in texts, and the lower-case
+    parts of words. New parts are encoded together, as one text, and told apart by the tokens that end words.
     """
 
     #: Separators that str.split() knows and the tokenizer does not.
     ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 
-    def __init__(self, path: str, end_id: int, limit: int = 300_000):
+    def __init__(self, path: str, end_id: int, limit: int = 700_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a worker for each core; idle threads would spin
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-        self.end, self.known = np.array([end_id], "<u4").tobytes(), {}
+        self.end, self.known, self.parts = np.array([end_id], "<u4").tobytes(), {}, {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.special = tuple(x.content for x in self.tokenizer.get_added_tokens_decoder().values())
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, words: set[str]) -> None:
+        """Adds words to the tables."""
+        if len(self.parts) > self.limit:
+            self.parts.clear()
+        cut = {w: PART.findall(unicodedata.normalize("NFC", w).replace("Σ", "σ").lower()) for w in words}
+        if new := list({p for parts in cut.values() for p in parts}.difference(self.parts)):
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
+            stops = ((np.nonzero(self.ends[ids])[0] + 1) * 4).tolist()
+            if len(stops) == len(new):
+                raw = ids.tobytes()
+                self.parts.update(zip(new, map(raw.__getitem__, map(slice, [0, *stops], stops))))
+            else:
+                self.parts.update((p, self._whole(p)) for p in new)
+        parts = self.parts
+        self.known.update((w, b"".join([parts[p] for p in own])) for w, own in cut.items())
 
     def __call__(self, text: str | None) -> bytes:
-        text, known = text or "", self.known
-        if any(c in text for c in self.ODD):
-            words = text.replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ")
-        else:
-            words = text.split()
-        if len(known) > self.limit:
-            known.clear()
-        if new := list(set(words).difference(known)):
-            for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(known.__getitem__, words)) + self.end
+        text = text or ""
+        if any(c in text for c in self.ODD) or any(x in text for x in self.special):
+            return self._whole(text) + self.end
+        if len(self.known) > self.limit:
+            self.known.clear()
+        words = text.split()
+        out = list(map(self.known.get, words))
+        if None in out:
+            self._learn({w for w, ids in zip(words, out) if ids is None})
+            known = self.known
+            out = [known[w] if ids is None else ids for w, ids in zip(words, out)]
+        return b"".join(out) + self.end
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str, end_id: int) -> Encoder:
+    """One encoder for all tasks of a Python worker."""
+    return Encoder(path, end_id)
 
 
 def pieces(documents: DataFrame, tokenizer_path: str, end_id: int = 2, longest: int = 4096) -> DataFrame:
@@ -60,7 +100,7 @@ def pieces(documents: DataFrame, tokenizer_path: str, end_id: int = 2, longest:
     """
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = Encoder(tokenizer_path, end_id)
+        encode = encoder(tokenizer_path, end_id)
         for b in batches:
             out: list[tuple[int | None, int, int, int, int]] = []
             for doc, text in zip(b["doc_id"], b["text"]):
