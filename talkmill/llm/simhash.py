@@ -11,6 +11,10 @@ and the comparison inside the cells finds every link (`exact_cells`). A cell ove
 by population count and hash into tiles, whose pairs are separate units of work. Inside a unit only a
 spanning forest of the links is emitted, closest links first: components lose nothing, and a group of
 n copies gives n - 1 rows.
+
+Where links are verified by Jaccard similarity, a forest of unverified ones could lose pairs. So trees of
+few links are emitted whole. The others are named: if all links of such a tree pass, it loses nothing, and
+if one fails, all pairs of its documents are compared in one unit of work, and the forest is of links that passed.
 """
 
 from __future__ import annotations
@@ -94,15 +98,9 @@ def _mask(bits: list[int]) -> int:
     return int(np.array([sum(1 << b for b in bits)], np.uint64).view(np.int64)[0])
 
 
-def links(a: np.ndarray, b: np.ndarray, radius: int, same: bool, tile: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A spanning forest, closest first in each block, of the links between two tiles sorted by population count.
-
-    Returns indices into a and b, and the distances.
-    """
+def near(a: np.ndarray, b: np.ndarray, radius: int, same: bool, tile: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The links between two tiles sorted by population count, block by block: indices into a and b, and the distances."""
     pa, pb = np.bitwise_count(a).astype(np.int16), np.bitwise_count(b).astype(np.int16)
-    shift = 0 if same else len(a)
-    label = np.arange(len(b) + shift)
-    kept: list[np.ndarray] = []
     for i in range(0, len(a), tile):
         for j in range(i if same else 0, len(b), tile):
             x, y = slice(i, i + tile), slice(j, j + tile)
@@ -112,23 +110,39 @@ def links(a: np.ndarray, b: np.ndarray, radius: int, same: bool, tile: int = 512
             r, c = np.nonzero(d <= radius)
             if same and i == j:
                 r, c = r[r < c], c[r < c]
-            near = d[r, c]
-            r, c = r + i, c + j
-            for step in np.unique(near):
-                at = np.nonzero(near == step)[0]
-                while len(at := at[label[r[at]] != label[c[at] + shift]]):
-                    # One link for each set of rows; whole blocks of links inside a set fall away at once.
-                    take = at[np.unique(label[r[at]], return_index=True)[1]]
-                    kept.append(np.stack([r[take], c[take], near[take].astype(np.int64)]))
-                    label = union_find(len(label), zip(label[r[take]].tolist(), label[c[take] + shift].tolist()))[label]
-    out = np.concatenate(kept, axis=1) if kept else np.empty((3, 0), np.int64)
-    return out[0], out[1], out[2]
+            yield r + i, c + j, d[r, c]
 
 
-def _units(radius: int):
-    """mapInPandas over rows sorted by unit: the links inside each unit, which is a tile or a pair of tiles."""
+def links(a: np.ndarray, b: np.ndarray, radius: int, same: bool, tile: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A spanning forest, closest first in each block, of the links between two tiles sorted by population count.
 
-    def of(fp: np.ndarray, rep: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, ...] | None:
+    Returns indices into a and b, the tree of each row (of a, then of b if that is another tile), and how many links each row of a has.
+    """
+    shift = 0 if same else len(a)
+    label = np.arange(len(b) + shift)
+    count = np.zeros(len(label), np.int64)
+    kept: list[np.ndarray] = []
+    for r, c, d in near(a, b, radius, same, tile):
+        count += np.bincount(r, minlength=len(count))
+        for step in np.unique(d):
+            at = np.nonzero(d == step)[0]
+            while len(at := at[label[r[at]] != label[c[at] + shift]]):
+                # One link for each set of rows; whole blocks of links inside a set fall away at once.
+                take = at[np.unique(label[r[at]], return_index=True)[1]]
+                kept.append(np.stack([r[take], c[take]]))
+                label = union_find(len(label), zip(label[r[take]].tolist(), label[c[take] + shift].tolist()))[label]
+    out = np.concatenate(kept, axis=1) if kept else np.empty((2, 0), np.int64)
+    return out[0], out[1], label, count
+
+
+def _units(radius: int, salt: str | None):
+    """mapInPandas over rows sorted by unit: the links inside each unit, which is a tile or a pair of tiles.
+
+    With a salt, trees of at most two links a row come with all their links, the links of others with the tree's name.
+    """
+    import xxhash
+
+    def of(unit: tuple[int, ...], fp: np.ndarray, rep: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, ...] | None:
         if len(fp) <= 512 and np.count_nonzero(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= radius) == len(fp):
             return None
         order = np.argsort(np.bitwise_count(fp), kind="stable")
@@ -136,8 +150,24 @@ def _units(radius: int):
         a, b = (side == 0, side == 0) if not side[0] else (side == 1, side == 2)
         if not a.any() or not b.any():
             return None
-        x, y, d = links(fp[a], fp[b], radius, not side[0])
-        return rep[a][x], rep[b][y], d
+        same = not side[0]
+        x, y, label, count = links(fp[a], fp[b], radius, same)
+        tree = np.zeros(len(x), np.int64)
+        if salt is not None and count.sum() > len(x):
+            shift = 0 if same else int(a.sum())
+            rows, total = np.bincount(label, minlength=len(label)), np.bincount(label, count, len(label))
+            dense, thinned = total > 2 * rows, total > rows - 1
+            named = {k: xxhash.xxh64_intdigest(f"{salt}:{unit}:{k}") >> 1 for k in np.nonzero(dense)[0].tolist()}
+            tree = np.array([named.get(k, 0) for k in label[x].tolist()], np.int64)
+            at = np.nonzero((thinned & ~dense)[label])[0]
+            if len(at):
+                in_a, in_b = at[at < int(a.sum())], at[at >= shift] - shift
+                more = [(in_a[r], in_b[c]) for r, c, _ in near(fp[a][in_a], fp[b][in_b], radius, same)]
+                # What the forest has of these trees gives way to all their links.
+                keep = ~(thinned & ~dense)[label[x]]
+                x, y = (np.concatenate([z[keep], *w]) for z, w in zip((x, y), zip(*more)))
+                tree = np.concatenate([tree[keep], np.zeros(len(x) - int(keep.sum()), np.int64)])
+        return rep[a][x], rep[b][y], tree, np.full(len(x), not same)
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -151,16 +181,21 @@ def _units(radius: int):
                 cell, key, ta, tb, side, fp, rep = rows = [np.concatenate(x) for x in zip(*now)]
                 new = (cell[1:] != cell[:-1]) | (key[1:] != key[:-1]) | (ta[1:] != ta[:-1]) | (tb[1:] != tb[:-1])
                 starts = np.concatenate(([0], np.nonzero(new)[0] + 1, [len(cell)] if last else [])).astype(int)
-                found = [of(fp[s:e].view(np.uint64), rep[s:e], side[s:e]) for s, e in zip(starts[:-1], starts[1:]) if e - s > 1]
+                units = [(s, e) for s, e in zip(starts[:-1], starts[1:]) if e - s > 1]
+                found = [of((int(cell[s]), int(key[s]), int(ta[s]), int(tb[s])), fp[s:e].view(np.uint64), rep[s:e], side[s:e]) for s, e in units]
                 rest = [x[starts[-1] :] for x in rows]
                 if found := [x for x in found if x is not None]:
-                    yield pd.DataFrame(dict(zip("uvd", map(np.concatenate, zip(*found)))))
+                    yield pd.DataFrame(dict(zip(("u", "v", "tree", "crossing"), map(np.concatenate, zip(*found)))))
 
     return each
 
 
-def near_links(reps: DataFrame, radius: int, cells: list[list[int]], tile: int = 4096) -> DataFrame:
-    """(u, v, d): a spanning forest in each cell of the links between distinct fingerprints; reps has (fp, rep)."""
+def near_links(reps: DataFrame, radius: int, cells: list[list[int]], tile: int = 4096, salt: str | None = None) -> DataFrame:
+    """(u, v, tree, crossing): a spanning forest in each cell of the links between distinct fingerprints; reps has (fp, rep).
+
+    With a salt, trees of few links are whole; of the others, tree has a name (else 0), and crossing tells whether u and v are of
+    two tiles, so that links inside the tiles belong to other units.
+    """
     spread = reps.select(
         "fp", "rep", F.bit_count("fp").alias("pop"),
         F.explode(F.array(*[F.struct(F.lit(i).alias("cell"), F.col("fp").bitwiseAND(F.lit(_mask(c))).alias("key")) for i, c in enumerate(cells)])).alias("c"),
@@ -186,7 +221,13 @@ def near_links(reps: DataFrame, radius: int, cells: list[list[int]], tile: int =
         b = inside.join(pairs.where("ta < tb").withColumn("t", F.col("tb")), ["cell", "key", "t"]).withColumn("side", F.lit(2))
         rows = rows.unionByName(a.select(unit)).unionByName(b.select(unit))
     rows = rows.repartition("cell", "key", "ta", "tb").sortWithinPartitions("cell", "key", "ta", "tb")
-    return rows.mapInPandas(_units(radius), "u long, v long, d long")
+    return rows.mapInPandas(_units(radius, salt), "u long, v long, tree long, crossing boolean")
+
+
+def shingle_set(hashes: WordHashes, text: str | None, shingle: int) -> np.ndarray:
+    """The sorted hashes of the word shingles of a text; fewer words than that are one shingle."""
+    words = hashes((text or "").lower().split())
+    return np.unique(ngram_hashes(words, min(shingle, max(1, len(words)))))
 
 
 def _alike(similarity: float, shingle: int):
@@ -194,11 +235,7 @@ def _alike(similarity: float, shingle: int):
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
-
-        def shingles(text: str | None) -> np.ndarray:
-            words = hashes((text or "").lower().split())
-            return np.unique(ngram_hashes(words, min(shingle, max(1, len(words)))))
-
+        shingles = lambda text: shingle_set(hashes, text, shingle)
         for b in batches:
             last, sets, keep = None, None, []
             for u, tu, tv in zip(b["u"], b["tu"], b["tv"]):
@@ -213,6 +250,108 @@ def _alike(similarity: float, shingle: int):
     return each
 
 
+def _sets(shingle: int):
+    """mapInPandas over (node, text): the shingle set of each."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHashes()
+        for b in batches:
+            yield pd.DataFrame({"node": b["node"], "shingles": [shingle_set(hashes, t, shingle).view(np.int64) for t in b["text"]]})
+
+    return each
+
+
+def alike_among(ids: np.ndarray, group: np.ndarray, side: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links of that Jaccard similarity between documents of different groups.
+
+    All pairs are compared whose sides differ or are 0, in blocks that bound the memory.
+    """
+    order = np.argsort([len(s) for s in sets], kind="stable")
+    ids, side, sets = ids[order], side[order], [sets[k] for k in order]
+    label = np.unique(group[order], return_inverse=True)[1]
+    sizes, out, i = np.array([len(s) for s in sets]), ([], []), 0
+    while i < len(sets):
+        end = i + max(1, int(np.searchsorted(np.cumsum(sizes[i : i + 256]), 1 << 16, "right")))
+        columns = np.unique(np.concatenate(sets[i:end]))
+
+        def rows(start: int, stop: int) -> np.ndarray:
+            flat = np.concatenate(sets[start:stop])
+            at = np.minimum(np.searchsorted(columns, flat), len(columns) - 1)
+            own = np.repeat(np.arange(stop - start), sizes[start:stop])
+            hit = columns[at] == flat if len(columns) else np.zeros(len(flat), bool)
+            full = np.zeros((stop - start, len(columns)), np.float32)
+            full[own[hit], at[hit]] = 1
+            return full
+
+        head = rows(i, end)
+        # Later ones are larger; beyond size / similarity none can reach it.
+        last = int(np.searchsorted(sizes, sizes[end - 1] / similarity + 1e-6, "right"))
+        for j in range(i, last, 256):
+            stop = min(j + 256, last)
+            both = (head @ rows(j, stop).T).astype(np.int64)
+            r, c = np.nonzero(both >= similarity * (sizes[i:end, None] + sizes[None, j:stop] - both))
+            r, c = r + i, c + j
+            keep = (r < c) & ((side[r] != side[c]) | (side[r] == 0))
+            r, c = r[keep], c[keep]
+            while len(at := np.nonzero(label[r] != label[c])[0]):
+                take = at[np.unique(label[r[at]], return_index=True)[1]]
+                out[0].append(ids[r[take]])
+                out[1].append(ids[c[take]])
+                label = union_find(int(label.max()) + 1, zip(label[r[take]].tolist(), label[c[take]].tolist()))[label]
+        i = end
+    return tuple(np.concatenate(x) if x else np.empty(0, np.int64) for x in out)
+
+
+def _among(similarity: float):
+    """mapInPandas over rows sorted by tree: the verified links inside each tree."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for last in (False, True):
+            for b in batches if not last else [None]:
+                rows = pd.concat([x for x in (rest, b) if x is not None]) if (rest is not None or b is not None) else None
+                if rows is None or not len(rows):
+                    continue
+                tree = rows["tree"].to_numpy()
+                starts = np.concatenate(([0], np.nonzero(tree[1:] != tree[:-1])[0] + 1, [len(rows)] if last else [])).astype(int)
+                for s, e in zip(starts[:-1], starts[1:]):
+                    part = rows.iloc[s:e]
+                    u, v = alike_among(*(part[c].to_numpy() for c in ("node", "component", "side")), part["shingles"].to_list(), similarity)
+                    if len(u):
+                        yield pd.DataFrame({"u": u, "v": v})
+                rest = rows.iloc[starts[-1] :]
+
+    return each
+
+
+def verified(documents: DataFrame, found: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(u, v): links of that Jaccard similarity that join all candidate pairs which reach it; found is of `near_links` with a salt."""
+    found = written(found.distinct(), "candidates")
+    ends = [F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")]
+    texts = documents.select(F.col("doc_id").cast("long"), "text").groupBy("doc_id").agg(F.min("text").alias("text"))
+    touched = found.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+    texts = written(texts.join(touched, "doc_id"), "texts")
+    pairs = found.select(*ends).distinct().join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("tu")), "u")
+    pairs = pairs.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("tv")), "v")
+    alike = written(pairs.select("u", "v", "tu", "tv").mapInPandas(_alike(similarity, shingle), "u long, v long"), "links")
+    named = found.where("tree <> 0")
+    failed = written(named.select("tree", *ends).join(alike, ["u", "v"], "left_anti").select("tree").distinct(), "failed")
+    if failed.isEmpty():
+        return alike
+    side = lambda n: F.when(F.col("crossing"), n).otherwise(0).alias("side")
+    both = F.array(F.struct(F.col("u").alias("node"), side(1)), F.struct(F.col("v").alias("node"), side(2)))
+    members = named.join(failed, "tree", "left_semi").select("tree", F.explode(both).alias("m")).select("tree", "m.node", "m.side").distinct()
+    components = connected_components(alike, "verified-stars")
+    members = members.join(components, "node", "left").select("tree", "node", "side", F.coalesce("component", "node").alias("component"))
+    members = written(members, "members")
+    open_trees = members.groupBy("tree").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("tree")
+    members = members.join(open_trees, "tree", "left_semi")
+    texts = texts.withColumnRenamed("doc_id", "node").join(members.select("node").distinct(), "node", "left_semi")
+    sets = written(texts.select("node", "text").mapInPandas(_sets(shingle), "node long, shingles array<long>"), "sets")
+    rows = members.join(sets, "node").repartition("tree").sortWithinPartitions("tree")
+    return alike.unionByName(rows.mapInPandas(_among(similarity), "u long, v long"))
+
+
 def near_duplicates(documents: DataFrame, radius: int = 2, shingle: int = 3, similarity: float | None = None) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of documents(doc_id, text).
 
@@ -231,17 +370,12 @@ def near_duplicates(documents: DataFrame, radius: int = 2, shingle: int = 3, sim
     reps = fps.where("doc_id is not null").groupBy("fp").agg(own).select("fp", F.col("own.doc_id").alias("rep"), *(f"own.{c}" for c in more))
     reps = written(reps, "representatives")
     cells = exact_cells(radius) if radius <= 3 else sampled_cells(reps.count(), radius)
-    found = near_links(reps.select("fp", "rep"), radius, cells)
+    salted = similarity is not None
+    found = near_links(reps.select("fp", "rep"), radius, cells, salt="fp" if salted else None)
     for c in more:
-        found = found.unionByName(near_links(reps.select(F.col(c).alias("fp"), "rep"), radius, cells))
-    if similarity is not None:
-        found = written(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "links")
-        texts = documents.select(F.col("doc_id").cast("long"), "text").groupBy("doc_id").agg(F.min("text").alias("text"))
-        touched = found.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-        texts = written(texts.join(touched, "doc_id"), "texts")
-        pairs = found.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("tu")), "u")
-        pairs = pairs.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("tv")), "v")
-        found = pairs.select("u", "v", "tu", "tv").mapInPandas(_alike(similarity, shingle), "u long, v long")
+        found = found.unionByName(near_links(reps.select(F.col(c).alias("fp"), "rep"), radius, cells, salt=c if salted else None))
+    if salted:
+        found = verified(documents, found, shingle, similarity)
     components = connected_components(found.select("u", "v"), "stars")
     classes = reps.join(components, reps["rep"] == components["node"], "left")
     classes = classes.select("fp", F.coalesce("component", "rep").alias("component_id"))

@@ -1,5 +1,6 @@
 """Fingerprints and components against plain Python."""
 
+import random
 import re
 
 import xxhash
@@ -77,3 +78,27 @@ def test_wide_radius_recall(spark):
     assert both <= 0.05 * len(alike)
     gone = set(texts) - kept
     assert gone <= {b for _, b in alike}, "only documents with an earlier near copy go"
+
+
+def test_family_of_templated_texts(spark):
+    """Most pairs of a large family fail the similarity; the true pairs among them are found all the same."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(200)]
+
+    def edited(words, n):
+        out = list(words)
+        for i in rng.sample(range(len(out)), n):
+            out[i] = word()
+        return out
+
+    texts = [edited(base, 4) for _ in range(1000)]
+    texts += [edited(t, 2 + k % 3) for k, t in enumerate(texts[:200])]
+    grams = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    pairs = [(a, b) for b in range(len(texts)) for a in range(b) if len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])]
+    assert 200 <= len(pairs) < 2000
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs, 13, 5, 0.8).collect()}
+    apart = sum(got[a] != got[b] for a, b in pairs)
+    print(f"{apart} of {len(pairs)} pairs apart")
+    assert apart <= 0.02 * len(pairs)
