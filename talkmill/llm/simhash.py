@@ -64,13 +64,17 @@ def fingerprint(text: str | None, shingle: int) -> int:
     return simhashes(text, shingle)[0]
 
 
-def fingerprints(documents: DataFrame, shingle: int, n: int = 1) -> DataFrame:
-    """(doc_id, fp, fp1 ...) of each row, n fingerprints; those of a null or empty text are 0."""
-    names = ["fp", *(f"fp{i}" for i in range(1, n))]
+def fingerprints(documents: DataFrame, shingle: int, n: int = 1, sets: bool = False) -> DataFrame:
+    """(doc_id, fp, fp1 ...) of each row, n fingerprints; those of a null or empty text are 0. With sets, `same` is a hash of the shingle set."""
+    names = ["fp", *(f"fp{i}" for i in range(1, n)), *(["same"] if sets else [])]
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
+        hashes = WordHashes()
         for b in batches:
-            found = np.array([simhashes(t, shingle, n) for t in b["text"]], np.int64).reshape(len(b), n)
+            own = [[np.uint64(xxhash.xxh64_intdigest(shingle_set(hashes, t, shingle))).view(np.int64)] if sets else [] for t in b["text"]]
+            found = np.array([simhashes(t, shingle, n) + x for t, x in zip(b["text"], own)], np.int64).reshape(len(b), len(names))
             yield pd.DataFrame({"doc_id": b["doc_id"], **dict(zip(names, found.T))})
 
     schema = "doc_id long, " + ", ".join(f"{c} long" for c in names)
@@ -216,7 +220,7 @@ def near_links(reps: DataFrame, radius: int, cells: list[list[int]], tile: int =
         pairs = pairs.where((F.col("ta") <= F.col("tb")) & (F.col("pop_b") - F.col("pop") <= radius)).select("cell", "key", "ta", "tb")
         size = parts.select("cell", "key", "pop", "parts").distinct()
         inside = inside.join(size, ["cell", "key", "pop"])
-        inside = inside.withColumn("t", F.col("pop") * 1_000_000 + F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+        inside = inside.withColumn("t", F.col("pop") * 1_000_000 + F.pmod(F.xxhash64("fp", "rep"), F.col("parts")).cast("int"))
         a = inside.join(pairs.withColumn("t", F.col("ta")), ["cell", "key", "t"]).withColumn("side", F.when(F.col("ta") == F.col("tb"), 0).otherwise(1))
         b = inside.join(pairs.where("ta < tb").withColumn("t", F.col("tb")), ["cell", "key", "t"]).withColumn("side", F.lit(2))
         rows = rows.unionByName(a.select(unit)).unionByName(b.select(unit))
@@ -365,12 +369,14 @@ def near_duplicates(documents: DataFrame, radius: int = 2, shingle: int = 3, sim
     """
     n = 1 if similarity is None else 3
     more = [f"fp{i}" for i in range(1, n)]
-    fps = written(fingerprints(documents, shingle, n), "fingerprints")
+    salted = similarity is not None
+    fps = written(fingerprints(documents, shingle, n, salted), "fingerprints")
+    # Equal fingerprints are one class; where links are verified, only equal shingle sets are.
+    equal = ["fp", "same"] if salted else ["fp"]
     own = F.min(F.struct("doc_id", *more)).alias("own")
-    reps = fps.where("doc_id is not null").groupBy("fp").agg(own).select("fp", F.col("own.doc_id").alias("rep"), *(f"own.{c}" for c in more))
+    reps = fps.where("doc_id is not null").groupBy(*equal).agg(own).select(*equal, F.col("own.doc_id").alias("rep"), *(f"own.{c}" for c in more))
     reps = written(reps, "representatives")
     cells = exact_cells(radius) if radius <= 3 else sampled_cells(reps.count(), radius)
-    salted = similarity is not None
     found = near_links(reps.select("fp", "rep"), radius, cells, salt="fp" if salted else None)
     for c in more:
         found = found.unionByName(near_links(reps.select(F.col(c).alias("fp"), "rep"), radius, cells, salt=c if salted else None))
@@ -378,8 +384,8 @@ def near_duplicates(documents: DataFrame, radius: int = 2, shingle: int = 3, sim
         found = verified(documents, found, shingle, similarity)
     components = connected_components(found.select("u", "v"), "stars")
     classes = reps.join(components, reps["rep"] == components["node"], "left")
-    classes = classes.select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(classes, "fp", "left").select(
+    classes = classes.select(*equal, F.coalesce("component", "rep").alias("component_id"))
+    return fps.join(classes, equal, "left").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"),
     )

@@ -5,7 +5,7 @@ import re
 
 import xxhash
 
-from talkmill.llm.simhash import keep_one, near_duplicates
+from talkmill.llm.simhash import fingerprint, keep_one, near_duplicates
 from talkmill.tables import load
 
 SF = "/root/testdata/sf0.01"
@@ -102,3 +102,16 @@ def test_family_of_templated_texts(spark):
     apart = sum(got[a] != got[b] for a, b in pairs)
     print(f"{apart} of {len(pairs)} pairs apart")
     assert apart <= 0.02 * len(pairs)
+    root = list(range(len(texts)))
+    for a, b in sorted(pairs, key=lambda p: p[1]):
+        low, high = sorted((root[a], root[b]))
+        root = [low if x == high else x for x in root]
+    assert all(root[d] == root[c] for d, c in got.items()), "only true pairs link"
+
+
+def test_equal_fingerprints_of_unlike_texts(spark):
+    """A repeated shingle sets the whole fingerprint; the rest of the texts has nothing in common."""
+    texts = [" ".join(["row"] * 100 + [f"{k}{i}" for i in range(60)]) for k in "abc"] + [" ".join(["row"] * 100 + [f"a{i}" for i in range(60)])]
+    assert len({fingerprint(t, 5) for t in texts}) == 1
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_duplicates(docs, 13, 5, 0.8).collect()} == {0: 0, 1: 1, 2: 2, 3: 0}
