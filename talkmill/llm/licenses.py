@@ -1,7 +1,9 @@
 """Licence scan: units of a text against licence templates by the Dice coefficient over word bigrams.
 
-Units are the whole text, its blocks (between blank lines), lines and sentences. A unit of n bigrams can reach a Dice
-coefficient t only with templates of t / (2 - t) * n to (2 - t) / t * n bigrams; others are not compared.
+Units are the whole text, its blocks (between blank lines), lines and sentences, and runs of consecutive sentences or lines
+across line ends and blank lines, as notices of several paragraphs and hard-wrapped ones are. A unit of n bigrams can reach a Dice
+coefficient t only with templates of t / (2 - t) * n to (2 - t) / t * n bigrams; others are not compared. Runs are tried only from places after which so many bigrams
+of the template stand within that length; a run's shared bigrams follow from running sums, so that the work stays linear.
 """
 
 from __future__ import annotations
@@ -38,13 +40,16 @@ class Scanner:
         self.sizes = [sum(b.values()) for b in self.bags]
         self.vocabulary = {w: i for i, w in enumerate(sorted({w for own in words for w in own}))}
         n = len(self.vocabulary)
-        #: Whether a pair of vocabulary words is a bigram of a template.
-        self.known = np.zeros((n + 1, n + 1), bool)
-        for bag in self.bags:
-            for a, b in bag:
-                self.known[self.vocabulary[a], self.vocabulary[b]] = True
+        pairs = sorted({p for bag in self.bags for p in bag})
+        #: The number, from 1, of a pair of vocabulary words that is a bigram of a template; and how often each template has it.
+        self.pair = np.zeros((n + 1, n + 1), np.int32)
+        self.counts = np.zeros((len(words), len(pairs) + 1), np.int32)
+        for i, (a, b) in enumerate(pairs, 1):
+            self.pair[self.vocabulary[a], self.vocabulary[b]] = i
+            self.counts[:, i] = [bag[a, b] for bag in self.bags]
         # A unit that reaches the threshold with a template of s bigrams shares at least t / (2 - t) * s of them.
-        self.shared = min((int(np.ceil(threshold / (2 - threshold) * s - 1e-9)) for s in self.sizes if s), default=1)
+        self.least = [int(np.ceil(threshold / (2 - threshold) * s - 1e-9)) for s in self.sizes]
+        self.shared = min((n for n in self.least if n), default=1)
 
     def dice(self, words: list[str]) -> tuple[float, int] | None:
         """(coefficient, template) of the best template, the first of equals."""
@@ -67,11 +72,47 @@ class Scanner:
                 at = m.end()
             yield name, at, len(text)
 
+    def bigrams(self, words: list[str]) -> np.ndarray:
+        """The number of each bigram, 0 for those of no template."""
+        ids = np.fromiter(map(self.vocabulary.get, words, [len(self.vocabulary)] * len(words)), np.int64, len(words))
+        return self.pair[ids[:-1], ids[1:]]
+
+    def runs(self, text: str, templates: list[int]) -> Iterator[tuple[float, int, int, int]]:
+        """(coefficient, template, start, end) of the runs that reach the threshold with one of the templates, the best of each first."""
+        parts = [(s, e, w) for unit, s, e in self.units(text) if unit == "sentence" and (w := normalised(text[s:e]))]
+        last = np.cumsum([len(w) for _, _, w in parts])
+        first = np.concatenate(([0], last[:-1]))
+        pairs = self.bigrams([x for _, _, w in parts for x in w])
+        for k in templates:
+            size, least = self.sizes[k], self.least[k]
+            most = int((2 - self.threshold) / self.threshold * size + 1e-9)
+            times = self.counts[k][pairs]
+            at = np.nonzero(times)[0]
+            if len(at) < least:
+                continue
+            # A bigram counts in a run unless the run already has it as often as the template: `back` is where that occurrence is.
+            order = np.argsort(pairs[at], kind="stable")
+            kind = pairs[at][order]
+            rank = np.arange(len(at)) - np.searchsorted(kind, kind)
+            back = np.full(len(at), -1)
+            full = np.nonzero(rank >= times[at][order])[0]
+            back[order[full]] = at[order[full - times[at][order][full]]]
+            low, high = np.searchsorted(at, first), np.searchsorted(at, first + most)
+            found = []
+            for i in np.nonzero((high - low >= least) & (np.searchsorted(at, last) > low))[0].tolist():
+                own = slice(low[i], high[i])
+                shared = np.concatenate(([0], np.cumsum(back[own] < first[i])))
+                j = np.arange(*np.searchsorted(last, (first[i] + least + 1, first[i] + most + 2)))
+                d = 2 * shared[np.searchsorted(at[own], last[j] - 1)] / (last[j] - first[i] - 1 + size)
+                found += [(float(x), k, parts[i][0], parts[m][1]) for x, m in zip(d[d >= self.threshold], j[d >= self.threshold])]
+            yield from sorted(found, key=lambda f: (-f[0], f[2], f[3]))
+
     def scan(self, text: str | None) -> list[tuple[str, float, str, int, int]]:
         """(licence, dice, unit, start, end) of each licence found: its best unit, the largest and first of equals."""
         words = normalised(text or "")
-        ids = np.fromiter(map(self.vocabulary.get, words, [len(self.vocabulary)] * len(words)), np.int64, len(words))
-        if int(self.known[ids[:-1], ids[1:]].sum()) < self.shared:
+        pairs = self.bigrams(words)
+        pairs = pairs[pairs > 0]
+        if len(pairs) < self.shared:
             return []
         best: dict[str, tuple[float, str, int, int]] = {}
         most = max(self.sizes) * (2 - self.threshold) / self.threshold
@@ -82,6 +123,11 @@ class Scanner:
                 d, k = found
                 if self.names[k] not in best or d > best[self.names[k]][0]:
                     best[self.names[k]] = (d, unit, start, end)
+        enough = np.count_nonzero(self.counts[:, pairs], axis=1)
+        for d, k, start, end in self.runs(text, [k for k, n in enumerate(self.least) if n and enough[k] >= n]):
+            # Of a run, too, only the best template counts.
+            if (self.names[k] not in best or d > best[self.names[k]][0]) and self.dice(normalised(text[start:end])) == (d, k):
+                best[self.names[k]] = (d, "run", start, end)
         return sorted((name, *found) for name, found in best.items())
 
 

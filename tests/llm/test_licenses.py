@@ -52,3 +52,23 @@ def test_edges(spark):
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.license, r.unit) for r in got) == [(-1, "CC-BY-NC-4.0", "sentence"), (3, "MIT", "text"), (4, "MIT", "block"), (5, "CC-BY-NC-4.0", "sentence"), (6, "MIT", "line")]
     assert all(texts[r.doc_id][r.start : r.end].startswith(("P", "L", "R")) for r in got if r.doc_id is not None)
     assert licenses(docs.limit(0)).count() == 0
+
+
+def test_notices_of_several_parts(spark):
+    """Paragraphs between blank lines, and hard-wrapped lines inside a block, of every long template."""
+    words = "alpha beta gamma delta epsilon zeta eta theta".split()
+    prose = " ".join(words[i * i % 8] for i in range(700))
+    want, rows = [], []
+    for name, full in ((n, t) for n, t in TEMPLATES if len(t) > 300):
+        w = full.split()
+        third = len(w) // 3
+        paragraphs = "\n\n".join(" ".join(p) for p in (w[:third], w[third : 2 * third], w[2 * third :]))
+        wrapped = "\n".join(" ".join(w[i : i + 9]) for i in range(0, len(w), 9))
+        for notice, before, after in ((paragraphs, "\n\n", "\n\n"), (wrapped, "\n", "\n")):
+            want.append((len(rows), name, notice))
+            rows.append((len(rows), prose + before + notice + after + prose))
+    got = {(r.doc_id, r.license): r for r in licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(want) >= 8
+    for d, name, notice in want:
+        r = got[d, name]
+        assert r.dice > 0.99 and rows[d][1][r.start : r.end] == notice
