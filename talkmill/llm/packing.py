@@ -8,18 +8,18 @@ sequence crosses documents and none needs padding: every length is a power of tw
 from __future__ import annotations
 
 import os
-import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+#: Texts that are encoded together.
+GROUP = 100
 
 
 def binary_lengths(n: int, longest: int) -> list[int]:
@@ -27,15 +27,11 @@ def binary_lengths(n: int, longest: int) -> list[int]:
     return [longest] * (n // longest) + [1 << b for b in range(longest.bit_length() - 2, -1, -1) if n % longest >> b & 1]
 
 
-#: How the tokenizer parts a word; each part ends in one token that ends a word.
-PART = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-
-
 class Encoder:
-    """Ids of whole texts by the word tokenizer, which never joins characters across white space.
+    """Ids of whole texts by a tokenizer that never joins characters across white space.
 
-    Two tables remember what has been encoded, as little-endian 32-bit ids: words as they stand in texts, and the lower-case
-    parts of words. New parts are encoded together, as one text, and told apart by the tokens that end words.
+    All ids come from the tokenizer. It is asked once for each word, and a bounded table remembers the word's ids, as
+    little-endian 32-bit numbers. New words are encoded together, as one text; the offsets of the tokens tell the words apart.
     """
 
     #: Separators that str.split() knows and the tokenizer does not.
@@ -46,44 +42,37 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-        self.end, self.known, self.parts = np.array([end_id], "<u4").tobytes(), {}, {}
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.end, self.known = np.array([end_id], "<u4").tobytes(), {}
         self.special = tuple(x.content for x in self.tokenizer.get_added_tokens_decoder().values())
+        if self._whole("to be") != self._whole("to") + self._whole("be"):
+            raise ValueError(f"{path}: this tokenizer's ids depend on the blanks around a word")
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, words: set[str]) -> None:
-        """Adds words to the tables."""
-        if len(self.parts) > self.limit:
-            self.parts.clear()
-        cut = {w: PART.findall(unicodedata.normalize("NFC", w).replace("Σ", "σ").lower()) for w in words}
-        if new := list({p for parts in cut.values() for p in parts}.difference(self.parts)):
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
-            stops = ((np.nonzero(self.ends[ids])[0] + 1) * 4).tolist()
-            if len(stops) == len(new):
-                raw = ids.tobytes()
-                self.parts.update(zip(new, map(raw.__getitem__, map(slice, [0, *stops], stops))))
-            else:
-                self.parts.update((p, self._whole(p)) for p in new)
-        parts = self.parts
-        self.known.update((w, b"".join([parts[p] for p in own])) for w, own in cut.items())
-
-    def __call__(self, text: str | None) -> bytes:
-        text = text or ""
-        if any(c in text for c in self.ODD) or any(x in text for x in self.special):
-            return self._whole(text) + self.end
+    def _learn(self, words: list[str]) -> None:
+        """Adds new words to the table."""
+        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        start = np.cumsum([0, *map(len, words)]) + np.arange(len(words) + 1)
+        first = np.fromiter((o[0] for o in found.offsets), np.int64, len(found.ids))
+        cut = np.searchsorted(first, start)
+        if (cut[1:] > cut[:-1]).all() and (first[cut[:-1]] == start[:-1]).all():
+            raw, cut = np.array(found.ids, "<u4").tobytes(), (cut * 4).tolist()
+            self.known.update(zip(words, map(raw.__getitem__, map(slice, cut[:-1], cut[1:]))))
+        else:
+            self.known.update((w, self._whole(w)) for w in words)
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text, with the end id."""
+        texts = [t or "" for t in texts]
+        plain = [not any(c in t for c in self.ODD) and not any(x in t for x in self.special) for t in texts]
+        words = [t.split() if p else None for t, p in zip(texts, plain)]
         if len(self.known) > self.limit:
             self.known.clear()
-        words = text.split()
-        out = list(map(self.known.get, words))
-        if None in out:
-            self._learn({w for w, ids in zip(words, out) if ids is None})
-            known = self.known
-            out = [known[w] if ids is None else ids for w, ids in zip(words, out)]
-        return b"".join(out) + self.end
+        if new := list({w for own in words if own for w in own}.difference(self.known)):
+            self._learn(new)
+        known = self.known
+        return [(self._whole(t) if own is None else b"".join(map(known.__getitem__, own))) + self.end for t, own in zip(texts, words)]
 
 
 @lru_cache(maxsize=2)
@@ -103,13 +92,14 @@ def pieces(documents: DataFrame, tokenizer_path: str, end_id: int = 2, longest:
         encode = encoder(tokenizer_path, end_id)
         for b in batches:
             out: list[tuple[int | None, int, int, int, int]] = []
-            for doc, text in zip(b["doc_id"], b["text"]):
-                ids = encode(text)
-                n, start = len(ids) // 4, 0
-                doc = None if pd.isna(doc) else int(doc)
-                for length in binary_lengths(n, longest):
-                    out.append((doc, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), n))
-                    start += length
+            texts = b["text"].tolist()
+            for at in range(0, len(texts), GROUP):
+                for doc, ids in zip(b["doc_id"].iloc[at : at + GROUP], encode(texts[at : at + GROUP])):
+                    n, start = len(ids) // 4, 0
+                    doc = None if pd.isna(doc) else int(doc)
+                    for length in binary_lengths(n, longest):
+                        out.append((doc, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), n))
+                        start += length
             yield pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"]).astype({"doc_id": "Int64"})
 
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(each, SCHEMA)

@@ -1,5 +1,6 @@
 """Pieces against the tokenizer run on whole texts."""
 
+import random
 import zlib
 
 import numpy as np
@@ -28,19 +29,47 @@ def held(rows, ids):
 
 
 def test_whole_table(spark):
-    docs = load(spark, "/root/testdata/sf0.001", "documents")
+    docs = load(spark, "/root/testdata/sf0.01", "documents")
     got = packed(docs, PATH).collect()
     assert len({r.sequence_id for r in got}) == len(got)
     tokenizer = Tokenizer.from_file(PATH)
+    own = {}
+    for r in got:
+        own.setdefault(r.doc_id, []).append(r)
     for d in docs.collect():
-        ids = np.array(tokenizer.encode(d.text, add_special_tokens=False).ids + [2], "<u4")
-        held([r for r in got if r.doc_id == d.doc_id], ids)
+        held(own[d.doc_id], np.array(tokenizer.encode(d.text or "", add_special_tokens=False).ids + [2], "<u4"))
 
 
-def test_tables_that_are_cleared():
+def test_table_that_is_cleared():
     small = Encoder(PATH, 2, limit=3)
     for text in ("one two three four five six one", "Seven, eight! nine? ten; one two", "one two one"):
-        assert small(text) == ids_of(text).tobytes()
+        assert small([text]) == [ids_of(text).tobytes()]
+
+
+def test_random_unicode_texts():
+    """Words of any code points, marks in any order, all kinds of blanks: the same ids as the tokenizer's on the whole text."""
+    rng, encode, tokenizer = random.Random(5), Encoder(PATH, 2), Tokenizer.from_file(PATH)
+    blanks = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+    marks = [chr(c) for c in (*range(0x300, 0x370), *range(0x1DC0, 0x1E00), 0x3099, 0x1161, 0x11A8)]
+    usual = "aAbBzZ09'.,-_%stSreİıßΣσς\u0130Ωﬁǅ"
+    point = lambda: chr(rng.choice((rng.randrange(0x20, 0x3000), rng.randrange(0x3000, 0xD800), rng.randrange(0xE000, 0x110000))))
+    texts = []
+    for _ in range(100_000):
+        texts.append("".join(rng.choice((rng.choice(usual), rng.choice(usual), rng.choice(blanks), rng.choice(marks), point())) for _ in range(rng.randrange(1, 12))))
+    whole = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    for at in range(0, len(texts), 100):
+        for t, got, want in zip(texts[at : at + 100], encode(texts[at : at + 100]), whole[at : at + 100]):
+            assert got == np.array([*want.ids, 2], "<u4").tobytes(), ascii(t)
+
+
+def test_every_code_point():
+    """Each code point alone, inside a word and beside a blank."""
+    encode, tokenizer = Encoder(PATH, 2), Tokenizer.from_file(PATH)
+    texts = [f"a{c} {c}b {c}" for c in map(chr, (*range(1, 0xD800), *range(0xE000, 0x20000)))]
+    for at in range(0, len(texts), 500):
+        own = texts[at : at + 500]
+        for t, got, want in zip(own, encode(own), tokenizer.encode_batch_fast(own, add_special_tokens=False)):
+            assert got == np.array([*want.ids, 2], "<u4").tobytes(), ascii(t)
 
 
 def test_edges(spark):
