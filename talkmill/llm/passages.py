@@ -6,7 +6,8 @@ Two kinds of passage are banded, joined and verified:
   for; paragraphs that meet in a band are compared by exact Jaccard, in tiles where many meet, and links form components.
 * Pieces between content-defined breaks, for passages inside other paragraphs or across line ends. A break is a word
   whose hash is the least in its surroundings, so a passage breaks alike wherever it stands. Pieces have one band, the hash
-  of all their words, as only equal ones are wanted.
+  of all their words, as only equal ones are wanted. Where marked pieces end, the words beside them are compared with the
+  keeper's, so that a passage is marked from its first word to its last.
 
 The smallest doc_id of each component keeps its passage. In other documents the marked words are joined to spans, and
 spans of at least `min_words` words are removals.
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talkmill.llm.shared import WordHashes, connected_components, ngram_hashes, written
+from talkmill.llm.shared import WordHashes, connected_components, ngram_hashes, similar_forest, written
 
 #: Code points that str.split() parts words at.
 BLANKS = np.zeros(0x3002, bool)
@@ -133,46 +134,7 @@ def _units(min_words: int, shingle: int, similarity: float, radius: int):
 
 
 def _alike(similarity: float):
-    """mapInPandas over rows sorted by unit (key, ta, tb): the verified links inside each unit."""
-
-    def pairs(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        part = part.iloc[np.argsort(part["shingles"].str.len().to_numpy(), kind="stable")]
-        sizes, ids, side = part["shingles"].str.len().to_numpy(), part["id"].to_numpy(), part["side"].to_numpy()
-        _, column = np.unique(np.concatenate(part["shingles"].to_list()), return_inverse=True)
-        ends = np.cumsum(sizes)
-        out = [], []
-        for i in range(0, len(part), 256):
-            # Later ones are larger; beyond size / similarity none can reach it.
-            stop = int(np.searchsorted(sizes, sizes[min(i + 255, len(sizes) - 1)] / similarity, "right"))
-            lo = ends[i - 1] if i else 0
-            head = np.zeros((min(256, len(part) - i), column.max() + 1), np.float32)
-            head[np.repeat(np.arange(len(head)), sizes[i : i + 256]), column[lo : ends[i + len(head) - 1]]] = 1
-            for j in range(i, stop, 256):
-                n = min(256, stop - j)
-                tail = np.zeros((n, head.shape[1]), np.float32)
-                tail[np.repeat(np.arange(n), sizes[j : j + n]), column[ends[j - 1] if j else 0 : ends[j + n - 1]]] = 1
-                both = head @ tail.T
-                union = sizes[i : i + len(head), None] + sizes[None, j : j + n] - both
-                r, c = np.nonzero(both >= similarity * union)
-                r, c = r + i, c + j
-                keep = (r < c) & ((side[r] != side[c]) | (side[r] == 0))
-                out[0].append(ids[r[keep]])
-                out[1].append(ids[c[keep]])
-        return np.concatenate(out[0]), np.concatenate(out[1])
-
-    def forest(u: np.ndarray, v: np.ndarray) -> Iterator[tuple[int, int]]:
-        """Of the links, only those that join what earlier ones have not."""
-        root: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while (y := root.setdefault(x, x)) != x:
-                root[x] = x = root[y]
-            return x
-
-        for a, b in zip(u.tolist(), v.tolist()):
-            if (x := find(a)) != (y := find(b)):
-                root[max(x, y)] = min(x, y)
-                yield a, b
+    """mapInPandas over rows sorted by unit (key, ta, tb): a spanning forest of the verified links inside each unit."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest, unit = None, ["key", "ta", "tb"]
@@ -183,15 +145,25 @@ def _alike(similarity: float):
                     continue
                 key = rows[unit].to_numpy()
                 starts = np.concatenate(([0], np.nonzero((key[1:] != key[:-1]).any(axis=1))[0] + 1, [len(rows)] if last else [])).astype(int)
-                found = [e for s, t in zip(starts[:-1], starts[1:]) if t - s > 1 for e in forest(*pairs(rows.iloc[s:t]))]
+                ids, side, shingles = rows["id"].to_numpy(), rows["side"].to_numpy(), rows["shingles"].to_list()
+                found = []
+                for s, t in zip(starts[:-1], starts[1:]):
+                    if t - s == 2:  # most units
+                        a, b = shingles[s:t]
+                        both = len(np.intersect1d(a, b, assume_unique=True))
+                        if (side[s] != side[s + 1] or not side[s]) and both >= similarity * (len(a) + len(b) - both):
+                            found.append((ids[s : s + 1], ids[s + 1 : t]))
+                    elif t - s > 2:
+                        meets = lambda r, c: (side[s:t][r] != side[s:t][c]) | (side[s:t][r] == 0)  # noqa: B023, E731
+                        found.append(similar_forest(ids[s:t], np.arange(t - s), shingles[s:t], similarity, meets))
                 rest = rows.iloc[starts[-1] :]
                 if found:
-                    yield pd.DataFrame(found, columns=["u", "v"])
+                    yield pd.DataFrame(dict(zip("uv", map(np.concatenate, zip(*found)))))
 
     return each
 
 
-def paragraph_links(lines: DataFrame, similarity: float, tile: int = 2048) -> DataFrame:
+def paragraph_links(lines: DataFrame, similarity: float, tile: int = 1024) -> DataFrame:
     """(u, v): links that join all paragraphs (h1, shingles, bands) which meet in a band and have that Jaccard similarity.
 
     Repeated rows are one paragraph. A bucket over `tile` rows is dealt by hash into parts; each pair of parts is a unit of
@@ -213,25 +185,103 @@ def paragraph_links(lines: DataFrame, similarity: float, tile: int = 2048) -> Da
     return touched.mapInPandas(_alike(similarity), "u long, v long")
 
 
+def merged_runs(marks: list[tuple]) -> Iterator[tuple]:
+    """(first, last, start, end, kept_in, left, right) of marks (first, last, start, end, kept_in, left, right) in order, where those that touch are one."""
+    run = None
+    for m in marks:
+        if run is not None and m[0] <= run[1]:
+            if m[1] > run[1]:
+                run[1], run[6] = m[1], m[6]
+            run[3] = max(run[3], m[3])
+            run[4] |= set(m[4])
+        else:
+            if run is not None:
+                yield tuple(run)
+            run = [*m[:4], set(m[4]), *m[5:]]
+    if run is not None:
+        yield tuple(run)
+
+
+RUN = "doc_id long, first int, last int, start int, end int, kept_in array<long>, left_doc long, left_at int, right_doc long, right_at int"
+
+
+def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """mapInPandas over (doc_id, marks): marks that touch become runs; left and right say where the keeper has its edges, if it has equal words there."""
+    for b in batches:
+        out = []
+        for doc, marks in zip(b["doc_id"], b["marks"]):
+            own = []
+            for m in marks:
+                first, last, start = m["word"], m["word"] + m["n_words"], m["start"]
+                piece = m["at"] is not None
+                own.append((first, last, start, start + m["n_chars"], [int(m["keeper"])], (m["keeper"], m["at"]) if piece else (None, None), (m["keeper"], m["at"] + m["n_words"]) if piece else (None, None)))
+            out += [(doc, *run[:4], sorted(run[4]), *run[5], *run[6]) for run in merged_runs(own)]
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in RUN.split(", ")]).astype({c: "Int64" for c in ("left_doc", "left_at", "right_doc", "right_at")})
+
+
+def _contexts(radius: int):
+    """mapInPandas over (doc_id, text, asked): the words before (way -1, the nearest first) or after each place, up to a little beyond the next break, and their outer edges."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHashes()
+        for b in batches:
+            out = []
+            for doc, text, asked in zip(b["doc_id"], b["text"], b["asked"]):
+                words = hashes((text or "").lower().split())
+                at, cuts = places(text or ""), np.append(breaks(words, radius), len(words))
+                for x in asked:
+                    place, way = int(x["at"]), int(x["way"])
+                    if place > len(words):
+                        continue  # of another text with that doc_id
+                    if way > 0:
+                        end = min(int(cuts[min(np.searchsorted(cuts, place, "right"), len(cuts) - 1)]) + 2 * radius, len(words))
+                        own, edge = words[place:end], at[1][place:end]
+                    else:
+                        begin = max(int(cuts[max(np.searchsorted(cuts, place, "left") - 1, 0)]) - 2 * radius, 0)
+                        own, edge = words[begin:place][::-1], at[0][begin:place][::-1]
+                    out.append((doc, place, way, own.view(np.int64), edge.astype(np.int32)))
+            yield pd.DataFrame(out, columns=["doc_id", "at", "way", "words", "edges"])
+
+    return each
+
+
+def extended(documents: DataFrame, runs: DataFrame, radius: int) -> DataFrame:
+    """runs (of `_runs`), each as far to the left and right as the document's words equal the keeper's there.
+
+    Runs of a doc_id with several texts stay as they are.
+    """
+    here = [("left", -1, "first"), ("right", 1, "last")]
+    asks = None
+    for side, way, own in here:
+        for doc, at in (("doc_id", own), (f"{side}_doc", f"{side}_at")):
+            rows = runs.where(F.col(f"{side}_doc").isNotNull()).select(F.col(doc).alias("doc_id"), F.col(at).alias("at"), F.lit(way).alias("way"))
+            asks = rows if asks is None else asks.unionByName(rows)
+    asks = asks.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("at", "way")).alias("asked"))  # two for each word of the document at most
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = texts.join(written(asks, "asks"), "doc_id").mapInPandas(_contexts(radius), "doc_id long, at int, way int, words array<long>, edges array<int>")
+    once = found.groupBy("doc_id", "at", "way").agg(F.min("words").alias("words"), F.min("edges").alias("edges"), F.count("*").alias("n"))
+    contexts = written(once.where("n = 1").drop("n"), "contexts")
+    for side, way, own in here:
+        mine = contexts.where(F.col("way") == way).select("doc_id", F.col("at").alias(own), F.col("words").alias("w"), F.col("edges").alias("e"))
+        theirs = contexts.where(F.col("way") == way).select(F.col("doc_id").alias(f"{side}_doc"), F.col("at").alias(f"{side}_at"), F.col("words").alias("k"))
+        runs = runs.join(mine, ["doc_id", own], "left").join(theirs, [f"{side}_doc", f"{side}_at"], "left")
+        unlike = F.array_position(F.zip_with("w", "k", lambda x, y: x.eqNullSafe(y)), False)
+        more = F.coalesce(F.when(unlike == 0, F.size("w")).otherwise(unlike - 1), F.lit(0)).cast("int")
+        runs = runs.withColumn("more", more)
+        edge = F.when(F.col("more") > 0, F.element_at("e", F.greatest("more", F.lit(1))))
+        runs = runs.withColumns({own: (F.col(own) + way * F.col("more")).cast("int"), ("start" if way < 0 else "end"): F.coalesce(edge, F.col("start" if way < 0 else "end"))}).drop("w", "k", "e", "more")
+    return runs
+
+
 def _spans(min_words: int):
-    """mapInPandas over (doc_id, marks): marks that touch become spans; those of fewer words go."""
+    """mapInPandas over (doc_id, runs): runs that touch become spans; those of fewer words go."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for doc, marks in zip(b["doc_id"], b["marks"]):
-                span = None
-                for m in [*marks, None]:
-                    if span and (m is None or m["word"] > span[1]):
-                        if span[1] - span[0] >= min_words:
-                            out.append((doc, span[2], span[3], span[1] - span[0], sorted(span[4])))
-                        span = None
-                    if m is None:
-                        break
-                    if span is None:
-                        span = [m["word"], m["word"], m["start"], m["start"], set()]
-                    span[1], span[3] = max(span[1], m["word"] + m["n_words"]), max(span[3], m["start"] + m["n_chars"])
-                    span[4].add(int(m["keeper"]))
+            for doc, runs in zip(b["doc_id"], b["runs"]):
+                own = [(r["first"], r["last"], r["start"], r["end"], [int(k) for k in r["kept_in"]], None, None) for r in runs]
+                out += [(doc, s[2], s[3], s[1] - s[0], sorted(s[4])) for s in merged_runs(own) if s[1] - s[0] >= min_words]
             yield pd.DataFrame(out, columns=["doc_id", "start", "end", "n_words", "kept_in"])
 
     return each
@@ -240,10 +290,11 @@ def _spans(min_words: int):
 def repeated_passages(documents: DataFrame, min_words: int = 20, shingle: int = 5, similarity: float = 0.8, radius: int = 5) -> DataFrame:
     """(doc_id, start, end, n_words, kept_in): the spans of documents(doc_id, text) that repeat a document of smaller id.
 
-    start and end (exclusive) are code points; kept_in lists the documents that keep the passages. Equal passages of about
-    min_words + 4 * radius words are found wherever they stand, near-duplicate paragraphs (lines of at least min_words words, that
+    start and end (exclusive) are code points; kept_in lists the documents that keep the passages. Equal passages of at least
+    min_words words that hold a whole piece are found wherever they stand, from their first word to their last (of a passage of
+    50 words one in some thousands holds none); near-duplicate paragraphs (lines of at least min_words words, that
     Jaccard similarity) with the recall of `bands_for`. Repeats inside one document stay. Rows of one doc_id
-    are one document, and spans of equal rows are listed once; rows without doc_id take no part. Null and empty texts have
+    are one document, and spans of equal rows are listed once; where its texts differ, spans end with whole pieces. Rows without doc_id take no part. Null and empty texts have
     no passages. Paragraphs are told apart by 64-bit hashes, pieces by 96-bit ones. No rows give no rows; further columns are not read.
     """
     units = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_units(min_words, shingle, similarity, radius), UNIT)
@@ -251,9 +302,9 @@ def repeated_passages(documents: DataFrame, min_words: int = 20, shingle: int =
     place = ["doc_id", "word", "n_words", "start", "n_chars"]
 
     pieces = units.where("kind = 'piece'").select("h1", "h2", *place)
-    held = pieces.groupBy("h1", "h2").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("most"))
-    held = written(held.where("keeper < most").select("h1", "h2", "keeper"), "pieces")
-    marks = pieces.join(held, ["h1", "h2"]).where("keeper < doc_id").select(*place, "keeper")
+    held = pieces.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "word")).alias("k"), F.max("doc_id").alias("most"))
+    held = written(held.where("k.doc_id < most").select("h1", "h2", F.col("k.doc_id").alias("keeper"), F.col("k.word").alias("at")), "pieces")
+    marks = pieces.join(held, ["h1", "h2"]).where("keeper < doc_id").select(*place, "keeper", "at")
 
     lines = units.where("kind = 'line'").select("h1", "shingles", "bands", *place)
     components = written(connected_components(paragraph_links(lines, similarity), "paragraph-stars"), "components")
@@ -262,10 +313,12 @@ def repeated_passages(documents: DataFrame, min_words: int = 20, shingle: int =
     classes = written(classes, "classes")
     keepers = classes.groupBy("component").agg(F.min("first").alias("keeper"), F.max("most").alias("last")).where("keeper < last")
     classes = written(classes.join(written(keepers, "keepers"), "component").select("h1", "keeper"), "kept")
-    marks = marks.unionByName(lines.join(classes, "h1").where("keeper < doc_id").select(*place, "keeper"))
+    marks = marks.unionByName(lines.join(classes, "h1").where("keeper < doc_id").select(*place, "keeper", F.lit(None).cast("int").alias("at")))
 
-    mark = F.struct("word", "n_words", "start", "n_chars", "keeper")
+    mark = F.struct("word", "n_words", "start", "n_chars", "keeper", "at")
     gathered = marks.groupBy("doc_id").agg(F.array_sort(F.collect_set(mark)).alias("marks"))
+    runs = extended(documents, written(gathered.mapInPandas(_runs, RUN), "runs"), radius)
+    gathered = runs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("first", "last", "start", "end", "kept_in"))).alias("runs"))
     return gathered.mapInPandas(_spans(min_words), "doc_id long, start long, end long, n_words long, kept_in array<long>")
 
 

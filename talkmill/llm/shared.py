@@ -115,6 +115,52 @@ def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
+def similar_forest(ids: np.ndarray, group: np.ndarray, sets: list[np.ndarray], similarity: float, meets=None, block: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs of different groups whose sets (sorted arrays) have that Jaccard similarity.
+
+    Rows of the largest group are not compared with each other; meets(r, c), of places in the arrays, tells which pairs count. A block
+    of rows has 256 rows and about `block` members at most (one row at least), so the memory is bounded by the sets themselves.
+    """
+    order = np.argsort([len(s) for s in sets], kind="stable")
+    own = [sets[k] for k in order]
+    sizes, label = np.array([len(s) for s in own]), np.unique(group[order], return_inverse=True)[1]
+    free = label != np.bincount(label).argmax()
+    loose, fixed, at, out = np.nonzero(free)[0], np.nonzero(~free)[0], 0, ([], [])
+
+    def dense(rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+        flat = np.concatenate([own[k] for k in rows])
+        place = np.minimum(np.searchsorted(columns, flat), max(len(columns) - 1, 0))
+        hit = columns[place] == flat if len(columns) else np.zeros(len(flat), bool)
+        full = np.zeros((len(rows), len(columns)), np.float32)
+        full[np.repeat(np.arange(len(rows)), sizes[rows])[hit], place[hit]] = 1
+        return full
+
+    while at < len(loose):
+        head = loose[at : at + max(1, int(np.searchsorted(np.cumsum(sizes[loose[at : at + 256]]), block, "right")))]
+        at += len(head)
+        columns = np.unique(np.concatenate([own[k] for k in head]))
+        full = dense(head, columns)
+        # Sets much smaller or larger cannot reach the similarity. Free rows before the head have met it already.
+        low = int(np.searchsorted(sizes, sizes[head[0]] * similarity - 1e-6, "left"))
+        high = int(np.searchsorted(sizes, sizes[head[-1]] / similarity + 1e-6, "right"))
+        others = np.concatenate([fixed[np.searchsorted(fixed, low) : np.searchsorted(fixed, head[0])], np.arange(head[0], high)])
+        for j in range(0, len(others), 256):
+            tail = others[j : j + 256]
+            if (label[tail] == label[head[0]]).all() and (label[head] == label[head[0]]).all():
+                continue
+            both = (full @ dense(tail, columns).T).astype(np.int64)
+            r, c = np.nonzero(both >= similarity * (sizes[head, None] + sizes[None, tail] - both))
+            r, c = head[r], tail[c]
+            keep = (r != c) if meets is None else (r != c) & meets(order[r], order[c])
+            r, c = r[keep], c[keep]
+            while len(new := np.nonzero(label[r] != label[c])[0]):
+                take = new[np.unique(label[r[new]], return_index=True)[1]]
+                out[0].append(ids[order[r[take]]])
+                out[1].append(ids[order[c[take]]])
+                label = union_find(int(label.max()) + 1, zip(label[r[take]].tolist(), label[c[take]].tolist()))[label]
+    return tuple(np.concatenate(x) if x else np.empty(0, np.int64) for x in out)
+
+
 def union_find(n: int, pairs) -> np.ndarray:
     """Roots of 0..n-1 under the index pairs; a root is the smallest index of its set."""
     root = np.arange(n)

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talkmill.llm.shared import WordHashes, connected_components, ngram_hashes, union_find, written
+from talkmill.llm.shared import WordHashes, connected_components, ngram_hashes, similar_forest, union_find, written
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 CHUNK = 1 << 16
@@ -330,50 +330,6 @@ def _texts(shingle: int, sets: bool):
     return each
 
 
-def alike_among(ids: np.ndarray, group: np.ndarray, side: np.ndarray, part: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links of that Jaccard similarity between documents of different groups.
-
-    Pairs count whose sides differ or are 0, and whose parts differ if there are two. Rows of the largest group are not compared
-    with each other. Blocks bound the memory.
-    """
-    order = np.argsort([len(s) for s in sets], kind="stable")
-    ids, side, part, sets = ids[order], side[order], part[order], [sets[k] for k in order]
-    label = np.unique(group[order], return_inverse=True)[1]
-    sizes, out, apart = np.array([len(s) for s in sets]), ([], []), bool((part != part[0]).any())
-    main = np.bincount(label).argmax()
-    loose, at = np.nonzero(label != main)[0], 0
-
-    def dense(own: np.ndarray, columns: np.ndarray) -> np.ndarray:
-        flat = np.concatenate([sets[k] for k in own])
-        place = np.minimum(np.searchsorted(columns, flat), max(len(columns) - 1, 0))
-        hit = columns[place] == flat if len(columns) else np.zeros(len(flat), bool)
-        full = np.zeros((len(own), len(columns)), np.float32)
-        full[np.repeat(np.arange(len(own)), sizes[own])[hit], place[hit]] = 1
-        return full
-
-    while at < len(loose):
-        head = loose[at : at + max(1, int(np.searchsorted(np.cumsum(sizes[loose[at : at + 256]]), 1 << 16, "right")))]
-        at += len(head)
-        columns = np.unique(np.concatenate([sets[k] for k in head]))
-        full = dense(head, columns)
-        # Rows much smaller or larger cannot reach the similarity.
-        low = int(np.searchsorted(sizes, sizes[head[0]] * similarity - 1e-6, "left"))
-        high = int(np.searchsorted(sizes, sizes[head[-1]] / similarity + 1e-6, "right"))
-        for j in range(low, high, 256):
-            tail = np.arange(j, min(j + 256, high))
-            both = (full @ dense(tail, columns).T).astype(np.int64)
-            r, c = np.nonzero(both >= similarity * (sizes[head, None] + sizes[None, tail] - both))
-            r, c = head[r], tail[c]
-            keep = (r != c) & ((side[r] != side[c]) | (side[r] == 0)) & ((part[r] != part[c]) | (not apart))
-            r, c = r[keep], c[keep]
-            while len(new := np.nonzero(label[r] != label[c])[0]):
-                take = new[np.unique(label[r[new]], return_index=True)[1]]
-                out[0].append(ids[r[take]])
-                out[1].append(ids[c[take]])
-                label = union_find(int(label.max()) + 1, zip(label[r[take]].tolist(), label[c[take]].tolist()))[label]
-    return tuple(np.concatenate(x) if x else np.empty(0, np.int64) for x in out)
-
-
 def _among(similarity: float):
     """mapInPandas over rows sorted by (tree, pa, pb): the verified links inside each tree."""
 
@@ -387,8 +343,10 @@ def _among(similarity: float):
                 key = rows[unit].to_numpy()
                 starts = np.concatenate(([0], np.nonzero((key[1:] != key[:-1]).any(axis=1))[0] + 1, [len(rows)] if last else [])).astype(int)
                 for s, e in zip(starts[:-1], starts[1:]):
-                    own = rows.iloc[s:e]
-                    u, v = alike_among(*(own[c].to_numpy() for c in ("node", "component", "side", "part")), own["shingles"].to_list(), similarity)
+                    node, component, side, part = (rows[c].to_numpy()[s:e] for c in ("node", "component", "side", "part"))
+                    apart = bool((part != part[0]).any())  # pairs inside a part belong to the part's own unit
+                    meets = lambda r, c: ((side[r] != side[c]) | (side[r] == 0)) & ((part[r] != part[c]) | (not apart))  # noqa: B023, E731
+                    u, v = similar_forest(node, component, rows["shingles"].iloc[s:e].to_list(), similarity, meets)
                     if len(u):
                         yield pd.DataFrame({"u": u, "v": v})
                 rest = rows.iloc[starts[-1] :]
