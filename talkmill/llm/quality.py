@@ -1,8 +1,8 @@
 """Quality by compression.
 
 Two zstandard dictionaries are built from samples of good and of bad labelled text. A text is compressed in blocks with
-each; the difference of the two sizes, normalised by their sum and by the text's length, and the compression itself go
-through a logistic calibration, fitted on labelled rows that the dictionaries have not seen.
+each; the difference of the two sizes, normalised by their sum and by the text's length, goes through a logistic
+calibration, fitted on labelled rows that the dictionaries have not seen.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FEATURES = ("by_sum", "by_length", "density")
+FEATURES = ("by_sum", "by_length")
 
 
 def fold(doc_id: Column) -> Column:
@@ -45,7 +45,7 @@ class Compressors:
             data = (text or "").encode("utf-8", "surrogatepass")
             parts = [data[i : i + self.block] for i in range(0, len(data), self.block)]
             g, b = sum(len(good(p)) for p in parts), sum(len(bad(p)) for p in parts)
-            rows.append(((b - g) / (b + g), (b - g) / len(data), (b + g) / 2 / len(data)) if data else (0.0, 0.0, 0.0))
+            rows.append(((b - g) / (b + g), (b - g) / len(data)) if data else (0.0, 0.0))
         return np.array(rows, np.float64).reshape(len(rows), len(FEATURES))
 
 
@@ -94,41 +94,44 @@ def agreed(labels: DataFrame, remainder: int) -> DataFrame:
     return one.where("quality = other").drop("other")
 
 
-def sampled(documents: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """(doc_id, quality, text): of each class at most `most` documents, those whose hashed ids are least."""
+def sampled(documents: DataFrame, labels: DataFrame, most: int, most_bytes: int) -> DataFrame:
+    """(doc_id, quality, text): of each class the documents whose hashed ids are least, at most `most`, and no more than have most_bytes of text (one at least)."""
     order = F.xxhash64(F.lit(3), "doc_id")
     good, bad = (labels.where(F.col("quality") == q).orderBy(order, "doc_id").limit(most) for q in (1, 0))
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"))
-    return texts.join(F.broadcast(good.unionByName(bad)), "doc_id")  # at most 2 * most rows of two numbers
+    rows = texts.join(F.broadcast(good.unionByName(bad)), "doc_id")  # at most 2 * most rows of two numbers
+    sizes = rows.groupBy("doc_id", "quality").agg(F.sum(F.octet_length(F.coalesce("text", F.lit("")))).alias("n"), F.first(order).alias("o")).toPandas()
+    sizes = sizes.sort_values(["quality", "o", "doc_id"])
+    before = sizes.groupby("quality")["n"].cumsum() - sizes["n"]
+    fit = sizes.loc[(before == 0) | (before + sizes["n"] <= most_bytes), "doc_id"]
+    return rows.join(F.broadcast(documents.sparkSession.createDataFrame([(int(d),) for d in fit], "doc_id long")), "doc_id")  # at most 2 * most ids
 
 
-def _blocks(block: int, each_text: int):
-    """mapInPandas: at most each_text blocks of bytes, evenly spaced over the whole text."""
+def _blocks(block: int):
+    """mapInPandas: the texts in blocks of bytes."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for doc, q, text in zip(b["doc_id"], b["quality"], b["text"]):
                 data = (text or "").encode("utf-8", "surrogatepass")
-                n = -(-len(data) // block)
-                at = range(n) if n <= each_text else [i * n // each_text for i in range(each_text)]
-                out += [(doc, q, i, data[i * block : (i + 1) * block]) for i in at]
+                out += [(doc, q, i, data[i * block : (i + 1) * block]) for i in range(-(-len(data) // block))]
             yield pd.DataFrame(out, columns=["doc_id", "quality", "at", "data"])
 
     return each
 
 
-def train(documents: DataFrame, labels: DataFrame, most: int = 2000, each_text: int = 8, size: int = 112 << 10) -> Model:
+def train(documents: DataFrame, labels: DataFrame, most: int = 2000, most_bytes: int = 16 << 20, size: int = 112 << 10) -> Model:
     """Dictionaries from the labelled rows of fold 0, calibration on those of fold 2; fold 1 is held out.
 
-    Each takes at most `most` documents of a class, the dictionaries at most `each_text` blocks of 1 KiB of each.
+    Each takes whole texts of at most `most` documents and most_bytes bytes of a class; the dictionaries are built from their blocks of 1 KiB.
     Without enough of both classes to build dictionaries (zstandard asks for a few samples) or to calibrate,
-    the model scores every text with the prior, 0.5.
+    the model scores every text with the prior, 0.5. Labels that are null, neither 0 nor 1, or contradict each other, are left out.
     """
     import zstandard
 
-    samples = sampled(documents, agreed(labels, 0), most)
-    samples = samples.mapInPandas(_blocks(1024, each_text), "doc_id long, quality int, at int, data binary").toPandas()
+    samples = sampled(documents, agreed(labels, 0), most, most_bytes)
+    samples = samples.mapInPandas(_blocks(1024), "doc_id long, quality int, at int, data binary").toPandas()
     samples = samples.sort_values(["doc_id", "at", "data"])
     built = {}
     for q in (0, 1):
@@ -145,7 +148,7 @@ def train(documents: DataFrame, labels: DataFrame, most: int = 2000, each_text:
 
     held = agreed(labels, 2)
     counts = {q: n for q, n in held.groupBy("quality").count().collect()}
-    rows = sampled(documents, held, most).select("doc_id", "quality", "text")
+    rows = sampled(documents, held, most, most_bytes).select("doc_id", "quality", "text")
     rows = rows.mapInPandas(measured, ", ".join(f"{f} double" for f in FEATURES) + ", doc_id long, quality int").toPandas()
     rows = rows.sort_values(["doc_id", *FEATURES])
     if rows["quality"].nunique() < 2:
@@ -157,15 +160,21 @@ def train(documents: DataFrame, labels: DataFrame, most: int = 2000, each_text:
     return Model(compressors, Calibration.fit(rows[list(FEATURES)].to_numpy(), good, weight * len(good) / weight.sum()))
 
 
-def scored(documents: DataFrame, model: Model) -> DataFrame:
-    """documents with `score` (0 to 1, higher is better).
-
-    Whole texts are read; null and empty ones have the score of zero features. A `score` column is replaced; other
-    columns, null ids and repeated rows stay. No rows give no rows.
-    """
+def score(model: Model, text: Column) -> Column:
+    """The score of a text, 0 to 1, higher is better. Whole texts are read; null and empty ones have the score of zero features."""
 
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
+    def of(texts: pd.Series) -> pd.Series:
         return pd.Series(model.scores(texts.tolist()), dtype="float64")
 
-    return documents.withColumn("score", score(F.col("text").cast("string")))
+    return of(text.cast("string"))
+
+
+def scored(documents: DataFrame, model: Model) -> DataFrame:
+    """documents with `score`. A `score` column is replaced; other columns, null ids and repeated rows stay. No rows give no rows."""
+    return documents.withColumn("score", score(model, F.col("text")))
+
+
+def good_only(documents: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows of documents whose score is at least that, all columns as they are, clashing names included."""
+    return documents.where(score(model, F.col("text")) >= least)
