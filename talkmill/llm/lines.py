@@ -1,9 +1,10 @@
 """Line dedup over levelled sorted runs of line hashes.
 
 A run holds one row for each line key of a batch of documents: the key's hash, the number of documents
-that hold it (in that batch), and the largest of their ids. Runs are sorted by hash. When `fan_in` runs
+that hold it, and the largest of their ids. Runs are bucketed and sorted by hash, all alike, so that they are merged with each
+other and with a batch bucket by bucket, without a new exchange. When two runs
 stand on a level they are compacted into one of the next level. Batches come in falling order of doc_id.
-Each new batch anti-joins the runs: keys that `min_docs` documents of higher ids hold are known to go
+Each new batch merge-anti-joins the runs: keys that a run knows in `min_docs` documents of higher ids are known to go
 and to stay in a document already seen, so only the other keys are added, as the batch's own run.
 
 All steps are DataFrame functions.
@@ -11,10 +12,12 @@ All steps are DataFrame functions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkmill.llm.shared import discard, written
+from talkmill.llm.shared import discard, scratch_dir, written
 
 BLANK = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -43,61 +46,79 @@ def postings(documents: DataFrame, min_chars: int) -> DataFrame:
 
 
 class LineRuns:
-    """Levelled sorted runs of (h1, h2, docs, last) in the shared folder."""
-
-    def __init__(self, min_docs: int, fan_in: int = 4):
-        self.min_docs, self.fan_in, self.levels = min_docs, fan_in, []
+    """Levelled sorted runs of (h1, h2, docs, last), as bucketed tables in the shared folder; a level holds one run at most."""
 
-    def _merged(self, runs: list[DataFrame]) -> DataFrame:
-        rows = runs[0]
-        for r in runs[1:]:
-            rows = rows.unionByName(r)
-        return rows.groupBy("h1", "h2").agg(F.sum("docs").alias("docs"), F.max("last").alias("last"))
+    def __init__(self, spark: SparkSession, min_docs: int):
+        self.spark, self.min_docs, self.levels = spark, min_docs, []
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def _all(self) -> list[DataFrame]:
-        return [r for level in self.levels for r in level]
+    def runs(self) -> list[str]:
+        return [r for r in self.levels if r]
 
-    def settled(self) -> DataFrame | None:
-        """The keys that min_docs documents hold so far."""
-        return self._merged(self._all()).where(F.col("docs") >= self.min_docs) if self._all() else None
+    def merged(self, one: str, other: str) -> DataFrame:
+        """Two runs as one: a merge join, bucket by bucket. (A union of bucketed tables does not keep buckets together in all releases.)"""
+        a, b = (self.spark.table(r).withColumnsRenamed({"docs": f"docs_{i}", "last": f"last_{i}"}) for i, r in enumerate((one, other)))
+        docs = F.coalesce("docs_0", F.lit(0)) + F.coalesce("docs_1", F.lit(0))
+        return a.join(b, ["h1", "h2"], "full").select("h1", "h2", docs.alias("docs"), F.greatest("last_0", "last_1").alias("last"))
 
     def add(self, batch: DataFrame) -> None:
         """Adds a batch (doc_id, h1, h2) whose ids lie below those of all batches before."""
         own = batch.select("h1", "h2", "doc_id").distinct().groupBy("h1", "h2")
         own = own.agg(F.count("*").alias("docs"), F.max("doc_id").alias("last"))
-        if (settled := self.settled()) is not None:
-            own = own.join(settled.select("h1", "h2"), ["h1", "h2"], "left_anti")
-        self._put(own, 0)
-
-    def _put(self, rows: DataFrame, level: int) -> None:
-        run = written(rows.sortWithinPartitions("h1", "h2"), f"run-{level}")
-        while len(self.levels) <= level:
-            self.levels.append([])
-        self.levels[level].append(run)
-        if len(self.levels[level]) >= self.fan_in:
-            full, self.levels[level] = self.levels[level], []
-            self._put(self._merged(full), level + 1)
-            for r in full:
-                discard(r)
-
-
-def dropped_lines(documents: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4) -> DataFrame:
-    """(doc_id, row, h1, h2, at) of the lines to drop; row is the hash of the text they stand in."""
+        for run in self.runs():
+            own = own.join(self.spark.table(run).where(F.col("docs") >= self.min_docs).select("h1", "h2"), ["h1", "h2"], "left_anti")
+        run, level = self._put(own), 0
+        while level < len(self.levels) and self.levels[level]:
+            # Two runs of a level are compacted into one of the next.
+            full = (self.levels[level], run)
+            self.levels[level], run = None, self._put(self.merged(*full))
+            self._drop(*full)
+            level += 1
+        self.levels += [None] * (level + 1 - len(self.levels))
+        self.levels[level] = run
+
+    def settled(self) -> DataFrame:
+        """(h1, h2, docs, last) of the keys that min_docs documents hold; ends the runs."""
+        rest = self.runs()
+        while len(rest) > 1:
+            full = rest[:2]
+            rest = [self._put(self.merged(*full)), *rest[2:]]
+            self._drop(*full)
+        found = written(self.spark.table(rest[0]).where(F.col("docs") >= self.min_docs), "settled")
+        self._drop(*rest)
+        self.levels = []
+        return found
+
+    def _put(self, rows: DataFrame) -> str:
+        name = f"line_run_{uuid.uuid4().hex}"
+        writer = rows.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("compression", "zstd")
+        writer.option("path", f"{scratch_dir(self.spark)}/{name}").saveAsTable(name)
+        return name
+
+    def _drop(self, *runs: str) -> None:
+        for r in runs:
+            discard(self.spark.table(r))
+            self.spark.sql(f"DROP TABLE IF EXISTS {r}")
+
+
+def dropped_lines(documents: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 6) -> DataFrame:
+    """(doc_id, row, at) of the lines to drop; row is the hash of the text they stand in."""
     found = postings(documents, min_chars)
     ids = documents.select(F.col("doc_id").cast("double").alias("d")).where("d is not null")
-    cuts = sorted({int(x) for x in ids.approxQuantile("d", [i / batches for i in range(1, batches)], 0.01)}, reverse=True)
+    cuts = sorted({int(x) for x in ids.approxQuantile("d", [i / batches for i in range(1, batches)], 0.01)}, reverse=True) if batches > 1 else []
     batch = F.lit(len(cuts))
     for i, cut in reversed(list(enumerate(cuts))):
         batch = F.when(F.col("doc_id") > cut, i).otherwise(batch)
     kept = written(found.withColumn("batch", batch.cast("int")), "postings", ["batch"])
-    runs = LineRuns(min_docs)
+    runs = LineRuns(documents.sparkSession, min_docs)
     for i in range(len(cuts) + 1):
         runs.add(kept.where(F.col("batch") == i))
-    settled = runs.settled().select("h1", "h2", "last")
+    found = runs.settled()
+    settled = found.select("h1", "h2", "last")
     # Keys in a hundred-thousandth of all places or more are at most 100,000; they are broadcast, so that
     # no task gets a hot key's places.
     total = kept.count()
-    often = runs.settled().where(F.col("docs") >= max(1, total // 100_000) + runs.min_docs)
+    often = found.where(F.col("docs") >= max(1, total // 100_000) + min_docs)
     heavy = F.broadcast(often.select("h1", "h2", F.col("last").alias("heavy_last")))
     rest = kept.join(heavy, ["h1", "h2"], "left")
     hot = rest.where("heavy_last <> doc_id")
@@ -106,7 +127,22 @@ def dropped_lines(documents: DataFrame, min_chars: int = 20, min_docs: int = 3,
     return hot.select(columns).unionByName(cold.select(columns))
 
 
-def dedup_lines(documents: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4) -> DataFrame:
+def _parted(documents: DataFrame, min_chars: int, min_docs: int, batches: int) -> DataFrame:
+    """(row, lines, drop): each row of documents as a struct, its lines, and the sorted places of those to drop (null for none)."""
+    drops = dropped_lines(documents, min_chars, min_docs, batches)
+    drops = drops.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("at")).alias("drop"))
+    drops = drops.select(F.col("doc_id").alias("d"), F.col("row").alias("r"), "drop")
+    rows = documents.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h"), lines_of(F.col("text")).alias("lines"))
+    return rows.join(drops, (F.col("id") == F.col("d")) & (F.col("h") == F.col("r")), "left").select("row", "lines", "drop")
+
+
+def _kept() -> Column:
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("drop"))
+    joined = F.array_join(F.transform(stay, lambda i: F.element_at("lines", i + 1)), "\n")
+    return F.when(F.col("drop").isNull(), F.coalesce("row.text", F.lit(""))).otherwise(joined)
+
+
+def dedup_lines(documents: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 6) -> DataFrame:
     """documents with n_lines (before), n_dropped and kept_text.
 
     A line's key is the line without blanks at its ends, A-Z in lower case. Keys of at least min_chars code points in at least
@@ -115,20 +151,18 @@ def dedup_lines(documents: DataFrame, min_chars: int = 20, min_docs: int = 3, ba
     repeated doc_id are parts of one document; each keeps its own row. Columns with clashing
     names (n_lines, n_dropped, kept_text) are replaced. No rows give no rows.
     """
-    drops = dropped_lines(documents, min_chars, min_docs, batches)
-    drops = drops.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("at")).alias("_drop"))
-    drops = drops.select(F.col("doc_id").alias("_d"), F.col("row").alias("_row"), "_drop")
-    own = [c for c in documents.columns if c not in ("n_lines", "n_dropped", "kept_text")]
-    rows = documents.select(own).withColumns({"_id": F.col("doc_id").cast("long"), "_h": F.xxhash64("text")})
-    rows = rows.join(drops, (F.col("_id") == F.col("_d")) & (F.col("_h") == F.col("_row")), "left")
-    rows = rows.withColumn("_lines", lines_of(F.col("text")))
-    stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_drop"))
-    joined = F.when(F.col("_drop").isNull(), F.coalesce("text", F.lit(""))).otherwise(
-        F.array_join(F.transform(stay, lambda i: F.element_at("_lines", i + 1)), "\n")
-    )
-    return rows.select(
-        *own,
-        F.size("_lines").cast("long").alias("n_lines"),
-        F.when(F.col("_drop").isNull(), F.lit(0)).otherwise(F.size("_drop")).cast("long").alias("n_dropped"),
-        joined.alias("kept_text"),
-    )
+    own = [F.col("row")[c].alias(c) for c in documents.columns if c not in ("n_lines", "n_dropped", "kept_text")]
+    dropped = F.when(F.col("drop").isNull(), F.lit(0)).otherwise(F.size("drop")).cast("long")
+    rows = _parted(documents, min_chars, min_docs, batches)
+    return rows.select(*own, F.size("lines").cast("long").alias("n_lines"), dropped.alias("n_dropped"), _kept().alias("kept_text"))
+
+
+def without_lines(documents: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 6) -> DataFrame:
+    """documents without the lines that `dedup_lines` drops: `text` holds the kept ones (null stays null), `n_chars`, if there is one, its code points.
+
+    All other columns stay as they are, those of any name included.
+    """
+    text = F.when(F.col("row.text").isNotNull(), _kept())
+    new = {"text": text, "n_chars": F.char_length(text).cast("long")}
+    rows = _parted(documents, min_chars, min_docs, batches)
+    return rows.select(*(new.get(c, F.col("row")[c]).alias(c) for c in documents.columns))

@@ -37,7 +37,7 @@ class Encoder:
     #: Separators that str.split() knows and the tokenizer does not.
     ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 
-    def __init__(self, path: str, end_id: int, limit: int = 700_000):
+    def __init__(self, path: str, end_id: int, limit: int = 250_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a worker for each core; idle threads would spin
         from tokenizers import Tokenizer
 

@@ -38,14 +38,14 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(conf).delete(where, True)
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, spread: str, salts: int = 8) -> DataFrame:
-    """Inner join on `key`, whose hot values in `left` are dealt to `salts` tasks by `spread`.
+def hot_join(left: DataFrame, right: DataFrame, key: str, total: int, share: int = 1024) -> DataFrame:
+    """Inner join on `key`. right has one row a key and `n`, how many rows of left have it; left has `total` rows.
 
-    `right` has one row a key; its rows are repeated for each salt.
+    Keys of over a `share`-th of the rows are `share` at most; they are broadcast, so that no task gets all rows of a hot key.
     """
-    left = left.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    right = right.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    return left.join(right, [key, "salt"]).drop("salt")
+    hot = F.col("n") > max(share, total // share)
+    heavy, rest = right.where(hot).drop("n"), right.where(~hot).drop("n")
+    return left.join(F.broadcast(heavy), key).unionByName(left.join(F.broadcast(heavy.select(key)), key, "left_anti").join(rest, key))
 
 
 def connected_components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
@@ -58,20 +58,22 @@ def connected_components(edges: DataFrame, name: str, max_rounds: int = 60) -> D
     pair = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"))
     pair = pair.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     stars, before = written(pair.distinct(), name), None
+    total = stars.count()
     for _ in range(max_rounds):
         # Large star: each upper neighbour w of a node u moves to the least node around u.
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
         upper = stars.select(F.col("v").alias("u"), F.col("u").alias("w"))
-        large = salted_join(upper, least, "u", "w").select(F.col("w").alias("u"), F.col("m").alias("v")).distinct()
+        large = written(hot_join(upper, least, "u", total).select(F.col("w").alias("u"), F.col("m").alias("v")).distinct(), name)
         # Small star: the lower neighbours of a node, and the node itself, move to the least of them.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = salted_join(large.withColumnRenamed("v", "w"), low, "u", "w")
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = hot_join(large.withColumnRenamed("v", "w"), low, "u", total)
         small = small.where("w <> m").select(F.col("w").alias("u"), F.col("m").alias("v"))
         after = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), name)
         discard(stars)
+        discard(large)
         state = after.agg(F.count("*"), F.sum(F.col("v").cast("decimal(38,0)")), F.expr("bit_xor(xxhash64(u, v))")).first()
-        stars = after
+        stars, total = after, state[0]
         if state == before:
             break
         before = state
@@ -115,7 +117,7 @@ def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
-def similar_forest(ids: np.ndarray, group: np.ndarray, sets: list[np.ndarray], similarity: float, meets=None, block: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+def similar_forest(ids: np.ndarray, group: np.ndarray, sets: list[np.ndarray], similarity: float, meets=None, block: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the pairs of different groups whose sets (sorted arrays) have that Jaccard similarity.
 
     Rows of the largest group are not compared with each other; meets(r, c), of places in the arrays, tells which pairs count. A block

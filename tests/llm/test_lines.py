@@ -2,7 +2,9 @@
 
 from collections import defaultdict
 
-from talkmill.llm.lines import dedup_lines
+from pyspark.sql import functions as F
+
+from talkmill.llm.lines import LineRuns, dedup_lines, without_lines
 from talkmill.tables import load
 
 BLANK = " \t\n\x0b\f\r"
@@ -41,3 +43,27 @@ def test_edges(spark):
     assert dedup_lines(docs.limit(0)).count() == 0
     odd = spark.createDataFrame([(None, line), (None, line), (1, line), (1, line), (2, line)], "doc_id long, text string")
     assert sorted(r.n_dropped for r in dedup_lines(odd).collect()) == [0, 0, 0, 0, 0]
+
+
+def test_runs_merge_without_exchange(spark):
+    """Levels compact more than once, runs are merged bucket by bucket, and no table is left behind."""
+    runs, before = LineRuns(spark, 2), len(spark.catalog.listTables())
+    for i in range(7):
+        runs.add(spark.createDataFrame([(100 - i, k, k) for k in range(i, i + 5)], "doc_id long, h1 long, h2 long"))
+    assert len(runs.levels) == 3 and all(runs.levels)
+    plan = runs.merged(*runs.levels[:2])._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and "Exchange" not in plan
+    want = {k: 100 - max(0, k - 4) for k in range(1, 10)}
+    assert {r.h1: r.last for r in runs.settled().collect()} == want
+    assert len(spark.catalog.listTables()) == before
+
+
+def test_any_batches_and_clashing_columns(spark):
+    docs = load(spark, "/root/testdata/sf0.001", "documents").withColumns({c: F.lit(c) for c in ("id", "h", "d", "r", "row", "lines", "drop", "at", "h1", "batch", "n_dropped")})
+    want = plain([(r.doc_id, r.text) for r in docs.collect()])
+    for batches in (1, 2, 9):
+        got = without_lines(docs, batches=batches)
+        assert got.columns == docs.columns
+        assert {r.doc_id: r.text for r in got.collect()} == {d: t for d, (_, _, t) in want.items()}
+    first = without_lines(docs).first()
+    assert first.row == "row" and first.n_dropped == "n_dropped" and first.n_chars == len(first.text)
