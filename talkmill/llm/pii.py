@@ -15,6 +15,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Countries by the length of their account numbers. Fixed values.
+ACCOUNT_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+ACCOUNT = "(?:" + "|".join(f"(?:{own.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, own in ACCOUNT_LENGTHS.items()) + ")"
 SPAN = "array<struct<kind:string,start:bigint,end:bigint,score:double,match:string>>"
 BLOCK = 128
 
@@ -60,15 +67,14 @@ def card(match: Column) -> Column:
 
 
 def account(match: Column) -> Column:
-    code = F.regexp_replace(match, " ", "")
-    return F.length(code).between(15, 34) & mod97(code)
+    return mod97(F.regexp_replace(match, " ", ""))
 
 
 @dataclass(frozen=True)
 class Kind:
     """A kind of personal data. `maybe` is a cheap test that a text with a match passes.
 
-    The score is `prior`, plus `boost` if one of the `near` words stands in the `reach` characters before or after
+    The score is `prior`, plus `boost` if one of the `near` words stands whole in the `reach` characters before or after
     the span; spans below `least` are not reported. `alone` asks that no ASCII letter or digit touch the span.
     """
 
@@ -89,7 +95,7 @@ KINDS = (
     # [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+
     Kind(
         "email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-        lambda t: t.contains("@"), prior=0.9, near=("mail", "contact", "write to"), boost=0.1,
+        lambda t: t.contains("@"), prior=0.9, near=("mail", "email", "contact", "write to"), boost=0.1,
     ),
     # [0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)
     Kind(
@@ -99,15 +105,15 @@ KINDS = (
     # [0-9]([\x20-]?[0-9])+
     Kind(
         "card", r"[0-9](?:[\x20-]?[0-9])++", lambda t: t.rlike(r"[0-9](?:[\x20-]?[0-9]){15}"),
-        card, prior=0.8, near=("card", "visa", "credit", "pay"),
+        card, prior=0.8, near=("card", "cards", "visa", "credit", "pay", "payment"),
     ),
     # \+[0-9][\x20().0-9-]+[0-9]
     Kind(
         "phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda t: t.contains("+"),
-        lambda m: digits_between(m, 8, 15), prior=0.7, near=("phone", "call", "tel", "mobile", "fax"),
+        lambda m: digits_between(m, 8, 15), prior=0.7, near=("phone", "telephone", "call", "tel", "mobile", "fax"),
     ),
     Kind(
-        "iban", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}", lambda t: t.rlike("[A-Z]{2}[0-9]{2}"),
+        "iban", ACCOUNT, lambda t: t.rlike("[A-Z]{2}[0-9]{2}"),
         account, prior=0.9, near=("iban", "account", "bank"), boost=0.1, alone=True,
     ),
     # Three groups of digits may be anything, so a word nearby must confirm them.
@@ -129,9 +135,9 @@ def spans(documents: DataFrame, kinds: tuple[Kind, ...] = KINDS, column: str = "
     their check are dropped, and the text inside them is not tried again. Null and empty texts have no
     spans. A `spans` column is replaced; other columns, repeated rows and null ids stay. No rows give no rows.
     """
-    own = [c for c in documents.columns if c != "spans"]
+    own = [F.col("_row")[c].alias(c) for c in documents.columns if c != "spans"]
     text = F.coalesce(F.col(column).cast("string"), F.lit(""))
-    rows = documents.select(*own, text.alias("_text"))
+    rows = documents.select(F.struct("*").alias("_row"), text.alias("_text"))
     rows = rows.withColumns(
         {f"_cut_{k.name}": F.when(k.maybe(F.col("_text")), F.split("_text", k.pattern, -1)) for k in kinds}
         | {f"_hit_{k.name}": F.when(k.maybe(F.col("_text")), F.regexp_extract_all("_text", F.lit(k.pattern), F.lit(0))) for k in kinds}
@@ -155,7 +161,7 @@ def spans(documents: DataFrame, kinds: tuple[Kind, ...] = KINDS, column: str = "
 
         return F.flatten(F.transform(F.sequence(F.lit(0), F.floor(F.size(ways) / BLOCK).cast("int")), block))
 
-    rows = rows.select(*own, "_text", *(f"_hit_{k.name}" for k in kinds), *(way(k).alias(f"_way_{k.name}") for k in kinds))
+    rows = rows.select("_row", "_text", *(f"_hit_{k.name}" for k in kinds), *(way(k).alias(f"_way_{k.name}") for k in kinds))
     rows = rows.withColumns({f"_at_{k.name}": at(k) for k in kinds})
 
     def found(k: Kind) -> Column:
@@ -165,7 +171,7 @@ def spans(documents: DataFrame, kinds: tuple[Kind, ...] = KINDS, column: str = "
             first = F.greatest(s["at"] - k.reach, F.lit(0)).cast("int")
             size = F.char_length(s["hit"])
             around = F.concat_ws(" ", F.substring("_text", first + 1, (s["at"] - first).cast("int")), F.substring("_text", (s["at"] + size + 1).cast("int"), F.lit(k.reach)))
-            hint = F.lower(around).rlike("|".join(k.near))
+            hint = F.lower(around).rlike(rf"(?:^|[^a-z0-9])(?:{'|'.join(k.near)})(?:[^a-z0-9]|$)")
             return F.struct(
                 F.lit(k.name).alias("kind"), s["at"].alias("start"), (s["at"] + size).alias("end"),
                 F.when(hint, k.prior + k.boost).otherwise(k.prior).alias("score"), s["hit"].alias("match"),
@@ -194,6 +200,12 @@ def spans_text(kinds: tuple[str, ...] | None = None) -> Column:
     return F.array_join(F.transform(chosen, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def scores_text(kinds: tuple[str, ...] | None = None) -> Column:
+    """The scores of the same spans in hundredths, comma-joined."""
+    chosen = F.col("spans") if kinds is None else F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    return F.array_join(F.transform(chosen, lambda s: F.round(s["score"] * 100).cast("int").cast("string")), ",")
+
+
 def redacted(documents: DataFrame, column: str = "text", least: float = 0.5) -> DataFrame:
     """documents of `spans`, each span of at least that score replaced by its kind in brackets.
 

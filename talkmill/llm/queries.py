@@ -44,6 +44,7 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *(pii.count_of(k).alias(f"n_{k}") for k in base),
         F.sha2(pii.spans_text(base), 256).alias("base_sha256"),
         pii.spans_text().alias("spans"),
+        pii.scores_text().alias("scores"),
     )
 
 
@@ -90,19 +91,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
+_SCORE = {k.name: (round(100 * k.prior), round(100 * k.boost), k.near) for k in pii.KINDS}
+_NEAR = "lower(substring(t, greatest(s.at - 40, 0)::BIGINT + 1, least(s.at, 40)::BIGINT) || ' ' || substring(t, (s.at + length(s.m) + 1)::BIGINT, 40))"
+
+
 def _found_sql(kind: str, pattern: str, valid: str) -> str:
-    """A list of kind:start:end of the matches m (and start at) that are valid."""
+    """A list of structs of text (kind:start:end) and score (in hundredths) of the matches m (and start at) that are valid."""
     return f"""
         list_transform(list_filter(list_transform(range(1, len(regexp_extract_all(t, '{pattern}')) + 1), lambda i: {{
             'm': regexp_extract_all(t, '{pattern}')[i],
             'at': list_sum(list_transform(regexp_split_to_array(t, '{pattern}')[1:i], lambda x: length(x)))
                   + coalesce(list_sum(list_transform(regexp_extract_all(t, '{pattern}')[1:i - 1], lambda x: length(x))), 0)
-        }}), lambda s: {valid}), lambda s: '{kind}:' || s.at::BIGINT || ':' || (s.at + length(s.m))::BIGINT)"""
+        }}), lambda s: {valid}), lambda s: {{'text': '{kind}:' || s.at::BIGINT || ':' || (s.at + length(s.m))::BIGINT,
+            'score': {_SCORE[kind][0]} + CASE WHEN regexp_matches({_NEAR}, '(?:^|[^a-z0-9])(?:{"|".join(_SCORE[kind][2])})(?:[^a-z0-9]|$)') THEN {_SCORE[kind][1]} ELSE 0 END}})"""
 
 
 _DIGITS = "regexp_replace(s.m, '[^0-9]', '', 'g')"
 _ALONE = "NOT regexp_matches(CASE WHEN s.at > 0 THEN substring(t, s.at::BIGINT, 1) ELSE '' END || substring(t, (s.at + length(s.m) + 1)::BIGINT, 1), '[A-Za-z0-9]')"
-_NEAR = "lower(substring(t, greatest(s.at - 40, 0)::BIGINT + 1, least(s.at, 40)::BIGINT) || ' ' || substring(t, (s.at + length(s.m) + 1)::BIGINT, 40))"
 _LUHN = f"""list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i:
     CASE WHEN (length({_DIGITS}) - i) % 2 = 0 THEN {_DIGITS}[i]::INT
          WHEN {_DIGITS}[i]::INT > 4 THEN 2 * {_DIGITS}[i]::INT - 9 ELSE 2 * {_DIGITS}[i]::INT END)) % 10 = 0"""
@@ -119,13 +124,14 @@ ORACLE_SQL: dict[str, str] = {
                 {_found_sql("ip", "[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+", "regexp_full_match(s.m, '0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])([.]0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}')")} AS ip,
                 {_found_sql("card", "[0-9](?:[ -]?[0-9])+", f"CASE WHEN length({_DIGITS}) BETWEEN 16 AND 19 THEN {_LUHN} ELSE false END")} AS card,
                 {_found_sql("phone", "[+][0-9][ ().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 8 AND 15")} AS phone,
-                {_found_sql("iban", "[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}", f"{_ALONE} AND CASE WHEN length({_CODE}) BETWEEN 15 AND 34 THEN {_MOD97} ELSE false END")} AS iban,
-                {_found_sql("ssn", "[0-9]{3}-[0-9]{2}-[0-9]{4}", f"{_ALONE} AND NOT regexp_matches(s.m, '^(000|666|9)|-00-|-0000$') AND regexp_matches({_NEAR}, 'ssn|social|security')")} AS ssn
+                {_found_sql("iban", pii.ACCOUNT, f"{_ALONE} AND {_MOD97}")} AS iban,
+                {_found_sql("ssn", "[0-9]{3}-[0-9]{2}-[0-9]{4}", f"{_ALONE} AND NOT regexp_matches(s.m, '^(000|666|9)|-00-|-0000$') AND regexp_matches({_NEAR}, '(?:^|[^a-z0-9])(?:ssn|social|security)(?:[^a-z0-9]|$)')")} AS ssn
             FROM docs
         )
         SELECT doc_id, len(email) AS n_email, len(ip) AS n_ip, len(card) AS n_card, len(phone) AS n_phone,
-               sha256(coalesce(array_to_string(email || ip || card || phone, ','), '')) AS base_sha256,
-               coalesce(array_to_string(email || ip || card || phone || iban || ssn, ','), '') AS spans
+               sha256(coalesce(array_to_string(list_transform(email || ip || card || phone, lambda s: s.text), ','), '')) AS base_sha256,
+               coalesce(array_to_string(list_transform(email || ip || card || phone || iban || ssn, lambda s: s.text), ','), '') AS spans,
+               coalesce(array_to_string(list_transform(email || ip || card || phone || iban || ssn, lambda s: s.score::VARCHAR), ','), '') AS scores
         FROM found
     """,
     "op7_line_dedup": r"""
@@ -166,30 +172,28 @@ ORACLE_SQL: dict[str, str] = {
         WITH r AS (
             SELECT conv_id, max(turn) AS last, arg_min(coalesce(text, ''), turn) AS first_text
             FROM conversations WHERE role = 'assistant' AND turn IS NOT NULL AND conv_id IS NOT NULL GROUP BY conv_id
-        ), both_sides AS (
-            SELECT c.conv_id, c.turn, 'c' AS side, coalesce(c.role, 'unknown') AS role, coalesce(c.text, '') AS text
-            FROM conversations c JOIN r USING (conv_id) WHERE c.turn IS NOT NULL
-            UNION ALL
-            SELECT c.conv_id, c.turn, 'r', coalesce(c.role, 'unknown'), CASE WHEN c.turn = r.last AND c.role = 'assistant' THEN r.first_text ELSE coalesce(c.text, '') END
+        ), own AS (
+            SELECT c.conv_id, c.turn, coalesce(c.role, 'unknown') AS role, coalesce(c.text, '') AS text, c.turn = r.last AS is_last, r.first_text
             FROM conversations c JOIN r USING (conv_id) WHERE c.turn < r.last OR (c.turn = r.last AND c.role = 'assistant')
-        ), turns AS (
-            SELECT conv_id, turn, min({'role': role, 'text': text}) FILTER (side = 'c') AS c, min({'role': role, 'text': text}) FILTER (side = 'r') AS r
-            FROM both_sides GROUP BY conv_id, turn
-        ), cuts AS (SELECT conv_id, min(turn) AS cut FROM turns WHERE c IS DISTINCT FROM r GROUP BY conv_id),
+        ), sides AS (
+            SELECT conv_id, turn, role, text, 1 AS c, 0 AS r FROM own
+            UNION ALL SELECT conv_id, turn, role, CASE WHEN is_last THEN first_text ELSE text END, 0, 1 FROM own
+        ), turns AS (SELECT conv_id, turn, role, text, max(c) = 1 AS c, max(r) = 1 AS r FROM sides GROUP BY conv_id, turn, role, text),
+        cuts AS (SELECT conv_id, min(turn) AS cut FROM turns WHERE c <> r GROUP BY conv_id),
         parted AS (
-            SELECT conv_id, turn, floor(turn / 64)::BIGINT AS segment, cut IS NULL OR turn < cut AS shared, c, r,
-                   '<|' || c.role || '|>' || chr(10) || c.text || '<|end|>' || chr(10) AS cm, '<|' || r.role || '|>' || chr(10) || r.text || '<|end|>' || chr(10) AS rm
-            FROM turns LEFT JOIN cuts USING (conv_id)
+            SELECT conv_id, turn, role, text, floor(turn / 1024)::BIGINT AS segment, turn < cut AS shared, c, r,
+                   '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS m
+            FROM turns JOIN cuts USING (conv_id)
         ), placed AS (
-            SELECT *, sum(length(cm)) OVER w AS c_end, sum(length(rm)) OVER w AS r_end
-            FROM parted WINDOW w AS (PARTITION BY conv_id, segment, shared ORDER BY turn)
+            SELECT *, sum(length(m)) FILTER (c) OVER w AS c_end, sum(length(m)) FILTER (r) OVER w AS r_end
+            FROM parted WINDOW w AS (PARTITION BY conv_id, segment, shared ORDER BY turn, role, text)
         )
         SELECT conv_id AS pair_id, segment, count(*) FILTER (shared) AS n_prompt_turns,
-               coalesce(string_agg(cm, '' ORDER BY turn) FILTER (shared), '') AS prompt,
-               coalesce(string_agg(cm, '' ORDER BY turn) FILTER (NOT shared), '') AS chosen,
-               coalesce(string_agg(rm, '' ORDER BY turn) FILTER (NOT shared), '') AS rejected,
-               coalesce(string_agg((c_end - length(c.text) - 8)::BIGINT || ':' || c_end::BIGINT, ',' ORDER BY turn) FILTER (NOT shared AND c.role = 'assistant'), '') AS chosen_spans,
-               coalesce(string_agg((r_end - length(r.text) - 8)::BIGINT || ':' || r_end::BIGINT, ',' ORDER BY turn) FILTER (NOT shared AND r.role = 'assistant'), '') AS rejected_spans
+               coalesce(string_agg(m, '' ORDER BY turn, role, text) FILTER (shared AND c), '') AS prompt,
+               coalesce(string_agg(m, '' ORDER BY turn, role, text) FILTER (NOT shared AND c), '') AS chosen,
+               coalesce(string_agg(m, '' ORDER BY turn, role, text) FILTER (NOT shared AND r), '') AS rejected,
+               coalesce(string_agg((c_end - length(text) - 8)::BIGINT || ':' || c_end::BIGINT, ',' ORDER BY turn, role, text) FILTER (NOT shared AND c AND role = 'assistant'), '') AS chosen_spans,
+               coalesce(string_agg((r_end - length(text) - 8)::BIGINT || ':' || r_end::BIGINT, ',' ORDER BY turn, role, text) FILTER (NOT shared AND r AND role = 'assistant'), '') AS rejected_spans
         FROM placed GROUP BY conv_id, segment
     """,
 }

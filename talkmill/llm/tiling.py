@@ -10,6 +10,7 @@ reordered passages are caught.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talkmill.llm.shared import WordHashes, ngram_hashes
+from talkmill.llm.shared import WordHashes, ngram_hashes, scratch_dir, written
 
 WORD = re.compile(r"\w+")
 RADIX = 0x9E3779B97F4A7C15
@@ -67,6 +68,7 @@ def tiles(item: np.ndarray, doc: np.ndarray, least: int) -> list[tuple[int, int,
         while low < high:
             middle = (low + high + 1) // 2
             low, high = (middle, high) if common(middle) else (low, middle - 1)
+        before = len(out)
         at, hashes = b.grams(low)
         places: dict[int, list[int]] = {}
         for p, h in zip(at[::-1].tolist(), hashes[::-1].tolist()):
@@ -77,7 +79,8 @@ def tiles(item: np.ndarray, doc: np.ndarray, least: int) -> list[tuple[int, int,
                 if not b.marked[j : j + low].any() and (a.words[i : i + low] == b.words[j : j + low]).all():
                     a.marked[i : i + low] = b.marked[j : j + low] = True
                     out.append((i, j, low))
-        longest = low
+        # Without a tile, all that met at this length were collisions of hashes.
+        longest = low if len(out) > before else low - 1
     return out
 
 
@@ -146,11 +149,18 @@ def compare(seeds: Seeds, words: np.ndarray, threshold: float) -> Iterator[tuple
             yield name, len(item), covered, len(found), max(t for *_, t in found), min(int(place[j]) for _, j, _ in found), max(int(place[j + t - 1]) for _, j, t in found)
 
 
+def _hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    hashes = WordHashes()
+    for b in batches:
+        yield pd.DataFrame({"item_id": b["item_id"], "words": [hashes(words_of(t)).view(np.int64) for t in b["text"]]})
+
+
 def blocks_of(benchmark: DataFrame, max_words: int) -> Iterator[list[tuple[int, np.ndarray]]]:
-    """The items, with their word hashes, in blocks of at most about max_words words (one item at least)."""
-    hashes, block, size = WordHashes(), [], 0
-    for r in benchmark.where("item_id is not null").select(F.col("item_id").cast("long"), "text").distinct().toLocalIterator():
-        words = hashes(words_of(r[1]))
+    """The items, with their word hashes, in blocks of at most about max_words words (one item at least). The driver holds one block."""
+    items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
+    block, size = [], 0
+    for r in items.mapInPandas(_hashed, "item_id long, words array<long>").toLocalIterator():
+        words = np.array(r[1], np.int64).view(np.uint64)
         if block and size + len(words) > max_words:
             yield block
             block, size = [], 0
@@ -170,29 +180,37 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, least: int = 5, thr
     item id count each. Repeated rows are listed each; a null doc_id stays null. `row` is the hash of the text, which
     tells rows of one doc_id apart. No documents or no items give no rows; further columns are not read.
     """
-    spark = documents.sparkSession
-    out = spark.createDataFrame([], SCHEMA)
+    spark, path, found = documents.sparkSession, None, None
+    rows = documents.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row"), F.col("text").cast("string"))
     for block in blocks_of(benchmark, max_words):
+        if found is not None:  # several blocks follow one another; each leaves its rows in the shared folder
+            path = path or f"{scratch_dir(spark)}/contaminated-{uuid.uuid4().hex}"
+            found.write.mode("append").parquet(path)
         shared = spark.sparkContext.broadcast(Seeds(block, least))
 
         def each(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             seeds, hashes = shared.value, WordHashes()
             for b in batches:
-                found = []
+                out = []
                 for doc, row, text in zip(b["doc_id"], b["row"], b["text"]):
                     for i, n, covered, count, longest, start, end in compare(seeds, hashes(words_of(text)), threshold):
-                        found.append((None if pd.isna(doc) else int(doc), row, i, n, covered, covered / n, count, longest, start, end + 1))
-                yield pd.DataFrame(found, columns=[c.split()[0] for c in SCHEMA.split(", ")]).astype({"doc_id": "Int64"})
+                        out.append((None if pd.isna(doc) else int(doc), row, i, n, covered, covered / n, count, longest, start, end + 1))
+                yield pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")]).astype({"doc_id": "Int64"})
 
-        rows = documents.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row"), F.col("text").cast("string"))
-        out = out.unionByName(rows.mapInPandas(each, SCHEMA))
-    return out
+        found = rows.mapInPandas(each, SCHEMA)
+    if found is None:
+        return spark.createDataFrame([], SCHEMA)
+    if path is None:
+        return found
+    found.write.mode("append").parquet(path)
+    return spark.read.schema(SCHEMA).parquet(path)
 
 
 def decontaminated(documents: DataFrame, benchmark: DataFrame, least: int = 5, threshold: float = 0.5, max_words: int = 2_000_000) -> DataFrame:
     """documents without the rows that `contaminated` would list, all columns as they are; one pass for each block of items."""
     spark, column = documents.sparkSession, documents.columns.index("text")
-    for block in blocks_of(benchmark, max_words):
+    for i, block in enumerate(blocks_of(benchmark, max_words)):
+        documents = written(documents, "decontaminated") if i else documents
         shared = spark.sparkContext.broadcast(Seeds(block, least))
 
         def each(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -43,13 +43,15 @@ class Best:
         order = np.lexsort((vec, -score))[: self.k]
         self.rows[q] = (score[order], vec[order])
         if len(order) == self.k:
-            self.floor[q] = self.rows[q][0][-1]
+            # As a float, a little low, so that a large score that rounds up does not shut out its equals.
+            least = float(self.rows[q][0][-1])
+            self.floor[q] = least - abs(least) * 1e-15
 
 
 def search_tile(ids: np.ndarray, tile: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, best: Best, step: int) -> None:
     """Adds a tile of candidates (dimensions x rows) to the best of the queries (dimensions x queries)."""
     dims = len(tile)
-    mass = lambda m: np.sqrt(np.cumsum((m * m)[::-1], axis=0)[::-1])
+    mass = lambda m: np.sqrt(np.cumsum((m.astype(np.float64) ** 2)[::-1], axis=0)[::-1])
     left, left_q = mass(tile), mass(queries)
     first = tile[:step].T @ queries[:step]
     for q, query in enumerate(query_ids):
@@ -58,8 +60,9 @@ def search_tile(ids: np.ndarray, tile: np.ndarray, query_ids: np.ndarray, querie
         for at in range(step, dims + step, step):
             if at >= dims:
                 break
-            # Sums of squares are exact below 2**53; a unit of slack covers the roots.
-            keep = part + left[at, alive] * left_q[at, q] + 1 >= best.floor[q]
+            # The slack covers the rounding of the roots and, of large components, of the products.
+            bound = left[at, alive] * left_q[at, q]
+            keep = part + bound + 1 + 1e-12 * (np.abs(part) + bound) >= best.floor[q]
             alive, part = alive[keep], part[keep]
             if not len(alive):
                 break
@@ -69,17 +72,17 @@ def search_tile(ids: np.ndarray, tile: np.ndarray, query_ids: np.ndarray, querie
             best.add(q, part[good].astype(np.int64), ids[alive[good]])
 
 
-def passes(asked: DataFrame, dims: int, n: int, block: int, blocks: int) -> Iterator[list[tuple[np.ndarray, np.ndarray]]]:
+def passes(asked: DataFrame, dims: int, n: int, block: int, blocks: int, kind: type) -> Iterator[list[tuple[np.ndarray, np.ndarray]]]:
     """The n queries of a length, as lists of at most about `blocks` blocks of (ids, dimensions x queries)."""
     count = -(-n // (block * blocks))
     for i in range(count):
         own = asked.where((F.col("d") == dims) & (F.pmod(F.xxhash64("vec_id"), F.lit(count)) == i)).drop("d").toPandas().sort_values("vec_id")
         parts = (own.iloc[at : at + block] for at in range(0, len(own), block))
-        if out := [(p["vec_id"].to_numpy(np.int64), np.stack([np.asarray(v, np.float64) for v in p["v"]]).T.copy()) for p in parts]:
+        if out := [(p["vec_id"].to_numpy(np.int64), np.ascontiguousarray(np.stack([np.asarray(v, np.int64) for v in p["v"]]).T, kind)) for p in parts]:
             yield out
 
 
-def partial_best(candidates: DataFrame, queries: list[tuple[np.ndarray, np.ndarray]], k: int, tile: int, step: int) -> DataFrame:
+def partial_best(candidates: DataFrame, queries: list[tuple[np.ndarray, np.ndarray]], k: int, tile: int, step: int, kind: type) -> DataFrame:
     """(query_id, vec_id, score): of each task the k best candidates of each query."""
     shared = candidates.sparkSession.sparkContext.broadcast(queries)
 
@@ -88,7 +91,7 @@ def partial_best(candidates: DataFrame, queries: list[tuple[np.ndarray, np.ndarr
         for b in batches:
             for at in range(0, len(b), tile):
                 rows = b.iloc[at : at + tile]
-                ids, columns = rows["vec_id"].to_numpy(np.int64), np.stack([np.asarray(v, np.float64) for v in rows["v"]]).T.copy()
+                ids, columns = rows["vec_id"].to_numpy(np.int64), np.ascontiguousarray(np.stack([np.asarray(v, np.int64) for v in rows["v"]]).T, kind)
                 for (query_ids, matrix), own in zip(shared.value, best):
                     search_tile(ids, columns, query_ids, matrix, own, step)
         for (query_ids, _), own in zip(shared.value, best):
@@ -106,7 +109,8 @@ def top_k(
     Both take (vec_id, embedding). Ties go to the smaller vec_id. Vectors that are null, empty or hold
     null or non-finite components take no part; neither do null ids; vectors of different lengths do not
     meet. Of repeated query ids the smallest vector counts; repeated candidate rows count each.
-    Components are exact while scale times the largest is below 2**22 or so (float64 products). No
+    Products are of floats while all sums stay below 2**53, else of whole numbers; both are exact, and a ValueError says that
+    sums may leave 64 bits. No
     queries or no candidates give no rows; further columns are not read. A pass takes `blocks` blocks of queries; the results of
     several passes are written one after another to the shared folder.
     """
@@ -118,9 +122,13 @@ def top_k(
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     schema, path, found = "query_id long, rank int, vec_id long, score long", f"{scratch_dir(spark)}/top-{uuid.uuid4().hex}", None
     single = len(sizes) == 1 and sizes[0][1] <= block * blocks
+    largest = candidates.agg(F.max(F.array_max(F.transform("v", lambda e: F.abs(e.cast("double")))))).first()[0] or 0.0
     for d, n in sizes:
-        for group in passes(asked, d, n, block, blocks):
-            best = partial_best(candidates.where(F.size("v") == d), group, k, tile, step)
+        if largest * largest * d >= 2.0**63:
+            raise ValueError("inner products of these vectors may leave 64 bits")
+        kind = np.float64 if largest * largest * d < 2.0**53 else np.int64
+        for group in passes(asked, d, n, block, blocks, kind):
+            best = partial_best(candidates.where(F.size("v") == d), group, k, tile, step, kind)
             found = best.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
             if not single:
                 found.write.mode("append").parquet(path)

@@ -38,17 +38,21 @@ def test_whole_table(spark):
     for c, turns in talks.items():
         replies = [t for t in sorted(turns) if turns[t][0] == "assistant"]
         if replies:
-            rejected = {t: x for t, x in turns.items() if t < replies[-1]} | {replies[-1]: ("assistant", turns[replies[0]][1])}
-            want[c] = plain(turns, rejected)
+            chosen = {t: x for t, x in turns.items() if t <= replies[-1]}
+            rejected = chosen | {replies[-1]: ("assistant", turns[replies[0]][1])}
+            if chosen != rejected:
+                want[c] = plain(chosen, rejected)
     got = preference_pairs(*stale_replies(table)).collect()
-    assert {r.pair_id: result(r) for r in got} == want and len(got) == len(want)
+    assert {r.pair_id: result(r) for r in got} == want and len(got) == len(want) > 50
+    assert all(r.chosen and r.rejected and r.chosen != r.rejected for r in got)
 
 
 def test_segments_join_to_the_whole(spark):
     chosen = {t: ("assistant" if t % 2 else "user", f"message {t} é😀") for t in range(500)}
     rejected = {**{t: x for t, x in chosen.items() if t < 300}, 300: ("user", "other"), 301: ("assistant", "")}
     frame = lambda talk: spark.createDataFrame([(7, t, r, x) for t, (r, x) in talk.items()], "pair_id long, turn long, role string, text string")
-    got = preference_pairs(frame(chosen), frame(rejected)).orderBy("segment").collect()
+    assert [result(r) for r in preference_pairs(frame(chosen), frame(rejected)).collect()] == [plain(chosen, rejected)]
+    got = preference_pairs(frame(chosen), frame(rejected), segment_turns=64).orderBy("segment").collect()
     want = plain(chosen, rejected)
     assert len(got) == 8 and sum(r.n_prompt_turns for r in got) == want[0] == 300
     assert ["".join(r[c] for r in got) for c in ("prompt", "chosen", "rejected")] == list(want[1:4])
@@ -65,8 +69,7 @@ def test_edges(spark):
     rejected = [(1, 0, "user", "q", 0, "s"), (2, 0, None, None, 0, "s"), (5, 0, "user", "a", 0, "s"), (6, -1, "assistant", "x" * 200_000, 0, "s")]
     a, b = spark.createDataFrame(chosen, schema), spark.createDataFrame(rejected, schema)
     got = {r.pair_id: result(r) for r in preference_pairs(a, b).collect()}
-    assert set(got) == {1, 2, 3, 5, 6}
+    assert set(got) == {1, 3, 5, 6}, "2 has equal sides"
     assert got[1] == (1, "<|user|>\nq<|end|>\n", "<|assistant|>\n<|end|>\n", "", [(14, 22)], [])
-    assert got[2] == (1, "<|unknown|>\n<|end|>\n", "", "", [], [])
-    assert got[3][:2] == (0, "") and got[5][2:4] == ("", "") and got[6][5] == [(14, 200_022)]
+    assert got[3][:2] == (0, "") and got[5][2:4] == ("<|user|>\na<|end|>\n<|user|>\nb<|end|>\n", "<|user|>\na<|end|>\n") and got[6][5] == [(14, 200_022)]
     assert preference_pairs(a.limit(0), b.limit(0)).count() == 0

@@ -55,5 +55,11 @@ def test_edges(spark):
     assert [s.start for s in got[9].spans if s.kind == "ssn"] == [4, 17]
     assert {s.score for s in got[3].spans} == {1.0}
     assert spans(docs.limit(0)).count() == 0
+    more = ["pay GB82 WEST 1234 5698 7654 32 PLEASE PAY", "NO93 8601 1117 947 OK", "DE89370400440532013001", "ship to 1.2.3.4 in a hotel", "the IP is 1.2.3.4", "social 123-45-6789", "antisocial 123-45-6789"]
+    found = {r.doc_id: r.spans for r in spans(spark.createDataFrame(list(enumerate(more)), "doc_id long, text string")).collect()}
+    assert [s.match for i in range(3) for s in found[i] if s.kind == "iban"] == ["GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947"]
+    assert [round(s.score, 2) for i in (3, 4) for s in found[i]] == [0.6, 0.8] and [len(found[i]) for i in (5, 6)] == [1, 0]
+    clash = docs.withColumnsRenamed({"_x": "_hit_email"}).withColumn("_text", docs["doc_id"]).withColumn("_row", docs["doc_id"])
+    assert spans(clash).select("_hit_email", "_text", "_row", "doc_id").first() == (1, 0, 0, 0)
     clean = redacted(spans(docs.where("doc_id in (3, 9)"))).orderBy("doc_id").collect()
     assert clean[0].text == "é😀 write to [email]." and clean[1].text.startswith("ssn [ssn]; [ssn] ")

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pytest
 
 from talkmill.llm.topk import top_k
 from talkmill.tables import load
@@ -31,3 +32,20 @@ def test_edges(spark):
     got = [tuple(r) for r in top_k(vectors, vectors.where("vec_id in (0, 3, 4, 7)"), k=2).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 1, 1024 * 1024 + 512 * 512), (0, 2, 2, 1024 * 1024 + 512 * 512)]
     assert top_k(vectors.limit(0), vectors).count() == 0 and top_k(vectors, vectors.limit(0)).count() == 0
+
+
+def test_large_components_are_exact(spark):
+    """Scores beyond 2**53, near ties among them; what would leave 64 bits is refused."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(-(1 << 18), 1 << 18, 8)
+    rows = [(i, (base + rng.integers(-1, 2, 8)).astype(float).tolist()) for i in range(300)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = [(i, np.array([int(1024 * x) for x in v], object)) for i, v in rows]
+    got = top_k(vectors, vectors.where("vec_id % 100 = 0"), tile=64, step=4)
+    want = set()
+    for q in (0, 100, 200):
+        scores = sorted((-int(np.dot(whole[q][1], v)), i) for i, v in whole if i != q)[:10]
+        want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(scores)}
+    assert {tuple(r) for r in got.collect()} == want and max(w[3] for w in want) > 1 << 53
+    with pytest.raises(ValueError):
+        top_k(spark.createDataFrame([(0, [1e9]), (1, [1e9])], "vec_id long, embedding array<double>"), vectors.where("vec_id = 0").selectExpr("vec_id", "slice(embedding, 1, 1) embedding"))
