@@ -63,3 +63,37 @@ def test_stages(spark):
 
 def test_run_is_the_stages(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_stages_on_edges(spark, tmp_path):
+    """Nulls in every column, empty and very long texts, repeated rows, empty tables, and extra columns with the names that stages use."""
+    for name in ("labels", "benchmark"):
+        load(spark, SF, name).write.parquet(f"{tmp_path}/full/{name}.parquet")
+        load(spark, SF, name).limit(0).write.parquet(f"{tmp_path}/none/{name}.parquet")
+    item = load(spark, SF, "benchmark").where("text is not null").orderBy("item_id").first().text
+    clean = load(spark, SF, "documents").join(load(spark, SF, "labels").where("quality = 1"), "doc_id").orderBy("doc_id").first().text
+    texts = [None, "", clean, clean, clean + "\n" + clean + " end", " ".join(f"w{i}" for i in range(60_000)), item, "one two", "\n\n"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string, n_dropped string, row string, lines string, node string, fp0 string, _text string"
+    extra = tuple("abcdefg")
+    rows = [(i, t, "en", "s", None if t is None else len(t), *extra) for i, t in enumerate(texts)]
+    rows += [rows[2], rows[5], (None, clean, None, None, None, *extra), (None, None, None, None, None, *[None] * 7)]
+    docs = spark.createDataFrame(rows, schema)
+    for tables in ("full", "none"):
+        for name, stage in corpus_pipeline.STAGES:
+            got = stage(spark, docs, f"{tmp_path}/{tables}")
+            if name == "packing":
+                assert got.agg({"length": "sum"}).first()[0] > 120_000
+                continue
+            assert got.schema == docs.schema, name
+            kept = got.collect()
+            if name == "quality" and tables == "none":
+                assert len(kept) == len(rows)
+            if name == "lines":
+                assert len(kept) == len(rows) and all(r.score == "a" and r.row == "c" for r in kept if r.doc_id is not None)
+            if name == "near_duplicates":
+                ids = sorted((-1 if r.doc_id is None else r.doc_id) for r in kept)
+                assert ids == [-1, -1, 0, 2, 2, 5, 5, 6, 7], "empty texts are one group; 3 and 4 are like 2; equal rows of one id stay"
+            if name == "decontamination":
+                ids = [r.doc_id for r in kept]
+                assert (6 in ids) == (tables == "none") and len(ids) == len(rows) - (tables == "full")
+            assert stage(spark, docs.limit(0), f"{tmp_path}/{tables}").count() == 0
