@@ -21,8 +21,8 @@ PHRASES = (
 )
 PHRASE_PREFIXES = ("transcripted by", "transcribed by", "captions by", "captioned by", "subtitles by", "translated by")
 COMMANDS = (
-    "stop recording", "stop the recording", "end recording", "end the recording", "stop transcription", "end transcription", "stop transcribing", "hey minutes stop",
-    "minutes stop", "okay stop", "ok stop",
+    "stop recording", "stop the recording", "end recording", "end the recording", "stop transcription", "end transcription", "stop transcribing",
+    "okay stop", "ok stop",
 )
 CLOSING_FILLERS = ("you", "okay.", "yeah.")
 FILLERS = ("okay", "ok", "yeah", "yes", "right", "so", "and", "but", "well", "uh", "um", "hmm", "mhm")
@@ -65,10 +65,10 @@ def script(text: Column) -> Column:
     return F.when(letters == 0, None).when(latin * 2 >= letters, "latin").when(cjk * 2 >= letters, "cjk").otherwise("other")
 
 
-def command(text: Column) -> Column:
-    """Ends with a voice command to stop."""
+def command(text: Column, wake: str | None = None) -> Column:
+    """Ends with a voice command to stop; with a wake word, also with that word and `stop`."""
     t = F.regexp_replace(F.trim(F.lower(text)), r"\.+$", "")
     found = F.lit(False)
-    for c in COMMANDS:
+    for c in (*COMMANDS, *([f"{wake.lower()} stop"] if wake else [])):
         found = found | t.endswith(c)
     return found

@@ -202,9 +202,9 @@ def all_noise(lines: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(((F.count_if(F.col("text") != "") > 0) & (F.count_if((F.col("text") != "") & ~noise.noise_marker(F.col("text"))) == 0)).alias("all_noise"))
 
 
-def transcript_text(lines: DataFrame) -> DataFrame:
+def transcript_text(lines: DataFrame, between: str = "\n") -> DataFrame:
     """(doc_id, text): the lines of a transcript joined in order."""
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), between)
     return lines.groupBy("doc_id").agg(joined.alias("text"))
 
 

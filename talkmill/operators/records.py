@@ -8,14 +8,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from talkmill.functions import noise
 from talkmill.functions import text as T
+from talkmill.operators import cleaning
 
 #: Phrases that announce a commitment. Fixed values.
-COMMITMENT_PHRASES = ("i'll", "i will", "we'll", "we will", "let me", "i'm going to", "action item", "follow up")
+COMMITMENT_PHRASES = ("i'll send", "i will send", "let me follow up", "i'll follow up", "action item:", "todo:", "i'll get", "i will get", "let me check", "i'll look into")
+#: What a provider's privacy class adds to its score. Fixed values.
+PRIVACY_PENALTY = {"on_device": 0, "local_service": 25, "cloud": 250}
 
 
 def boost_phrases(meetings: DataFrame, limit: int) -> DataFrame:
-    """(place, phrase): people by meetings and last meeting, then title words by newest meeting; each phrase once, case aside."""
+    """(place, phrase): people by meetings and last meeting, then title words by newest meeting; each phrase once, case aside; the first `limit`."""
     people = meetings.groupBy("person").agg(F.count("*").alias("n"), F.max("date").alias("last"))
     first = people.select(F.col("person").alias("phrase"), F.lit(0).alias("tier"), (-F.col("n")).alias("a"), F.col("last").alias("b"))
     words = meetings.select(F.explode(T.title_keywords(F.col("title"))).alias("phrase"), "date").groupBy("phrase").agg(F.max("date").alias("b"))
@@ -97,15 +101,23 @@ def chunks(documents: DataFrame, tokens: int, key: str = "doc_id", column: str =
     return documents.where(F.col(key).isNotNull()).select(F.col(key).cast("long"), F.col(column).cast("string")).mapInPandas(each, f"{key} long, chunk int, start long, chars long")
 
 
-def live_text(text: Column) -> Column:
-    """Transcript text with single blanks, none before marks, and no marker at its start."""
-    t = F.regexp_replace(F.trim(F.regexp_replace(text, r"\s+", " ")), r" ([,.!?;:])", "$1")
-    return F.regexp_replace(t, r"^(?:>>|-)\s*", "")
+def live_texts(lines: DataFrame) -> DataFrame:
+    """(doc_id, text): live transcript lines (doc_id, pos, line) without labels, foreign script and noise markers, joined by blanks; texts without a line left go."""
+    bare = lines.withColumn("line", F.trim(noise.text_part(F.col("line")))).where("line <> ''")
+    kept = cleaning.collapse_noise(cleaning.drop_foreign_script(bare))
+    body = F.trim(noise.text_part(F.col("line")))
+    short = F.regexp_replace(body, r"\.$", "")
+    inner = F.substring(short, F.lit(2), F.length(short) - 2)
+    marker = short.startswith("[") & short.endswith("]") & ~inner.rlike("^[0-9:]*$") & F.size(T.words(inner)).between(1, 4) & (F.octet_length(inner) <= 40)
+    kept = kept.withColumn("line", body).where((F.col("line") != "") & ~marker)
+    return cleaning.transcript_text(kept, " ")
 
 
-def commitment_lines(lines: DataFrame, column: str = "line") -> DataFrame:
-    """Lines that announce a commitment."""
-    return lines.where(T.contains_any(F.col(column), COMMITMENT_PHRASES))
+def commitment_lines(lines: DataFrame) -> DataFrame:
+    """lines (doc_id, pos, line) that announce a commitment, as `text` without labels, if that has over ten bytes; and the first phrase found."""
+    low, text = F.lower(F.trim("line")), F.trim(F.regexp_extract(F.trim("line"), r"([^\]]*)$", 1))
+    phrase = F.coalesce(*(F.when(low.contains(p), F.lit(p)) for p in COMMITMENT_PHRASES))
+    return lines.withColumns({"text": text, "phrase": phrase}).where(F.col("phrase").isNotNull() & (F.octet_length("text") > 10)).select("doc_id", "pos", "text", "phrase")
 
 
 def sync_counters(indexed: DataFrame, current: DataFrame, key: str) -> DataFrame:
@@ -153,10 +165,15 @@ def scorecard(rows: DataFrame, truth: str, said: str) -> DataFrame:
     return rows.agg(hit.alias("right"), wrong.alias("wrong"), missed.alias("missed"), spurious.alias("spurious"), ratio(hit, hit + wrong + spurious).alias("precision"), ratio(hit, hit + wrong + missed).alias("recall"))
 
 
-def routed(candidates: DataFrame, key: str) -> DataFrame:
-    """(key, provider): the provider of the least latency plus a penalty for failures, ties to the name. candidates: (provider, ms, failures)."""
-    score = F.col("ms") + 1_000 * F.col("failures")
-    return candidates.groupBy(key).agg(F.min(F.struct(score.alias("score"), "provider"))["provider"].alias("provider"))
+def routed(candidates: DataFrame, key: str, target_ms: int) -> DataFrame:
+    """(key, provider, score): of the usable providers the one of the least score, ties to the least place. candidates: (provider, place, ms, privacy, usable).
+
+    Score is the measured latency, a penalty for the privacy class, and once more what the latency has over the target.
+    """
+    penalty = F.create_map(*(F.lit(x) for kv in PRIVACY_PENALTY.items() for x in kv))[F.col("privacy")]
+    score = F.col("ms") + penalty + F.greatest(F.col("ms") - target_ms, F.lit(0))
+    best = candidates.where("usable").groupBy(key).agg(F.min(F.struct(score.cast("long").alias("score"), "place", "provider")).alias("b"))
+    return best.select(key, F.col("b.provider").alias("provider"), F.col("b.score").alias("score"))
 
 
 def latest_links(sessions: DataFrame, links: DataFrame) -> DataFrame:

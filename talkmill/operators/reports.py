@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from talkmill.functions.text import commitment_status, days_since, normalize_decision, normalize_topic
+from talkmill.functions.text import commitment_status, days_since, name_rank, normalize_decision, normalize_topic, slugify
 
 
 def top(rows: DataFrame, keys: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:
@@ -67,25 +67,72 @@ def decision_conflicts(decisions: DataFrame) -> DataFrame:
     )
 
 
-def relationship_map(meetings: DataFrame, topics: DataFrame, items: DataFrame, as_of: str, limit: int) -> DataFrame:
-    """People by score: (person, meeting_count, last_seen, days_since, topic_count, open_commitments, top_topics, losing_touch, score).
+def relationship_map(meetings: DataFrame, items: DataFrame, as_of: str, limit: int) -> DataFrame:
+    """People by score: (person, meeting_count, first_seen, last_seen, days_since, topic_count, open_commitments, top_topics, losing_touch, score).
 
     Score is meetings / (1 + days / 30) * min(topics / 3, 1); contact is being lost with three meetings or more and over 21 days.
+    Items are summed by meeting and topic, then by person and topic, then by person.
     """
-    contacts = meetings.select("meeting_id", "person_id")
-    people = meetings.groupBy("person_id", "person").agg(F.count("*").alias("meeting_count"), F.max("date").alias("last_seen"))
-    counts = contacts.join(topics, "meeting_id").groupBy("person_id", "topic").agg(F.count("*").alias("n"))
-    ranked = top(counts, ["person_id"], [F.desc("n"), F.col("topic")], 3)
-    best = ranked.groupBy("person_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "topic"))), lambda x: x["topic"]), ", ").alias("top_topics"))
-    breadth = counts.groupBy("person_id").agg(F.count("*").alias("topic_count"))
-    open_ = items.where((F.col("status") == "open") & (F.col("kind") != "decision")).join(contacts, "meeting_id").groupBy("person_id").agg(F.count("*").alias("open_commitments"))
-    rows = people.join(breadth, "person_id", "left").join(best, "person_id", "left").join(open_, "person_id", "left")
+    people = meetings.groupBy("person_id", "person").agg(F.count("*").alias("meeting_count"), F.min("date").alias("first_seen"), F.max("date").alias("last_seen"))
+    is_open = ((F.col("status") == "open") & (F.col("kind") != "decision")).cast("long")
+    own = items.join(meetings.select("meeting_id", "person_id"), "meeting_id").groupBy("meeting_id", "person_id", "topic").agg(F.sum(is_open).alias("open"))
+    counts = own.groupBy("person_id", "topic").agg(F.count("*").alias("n"), F.sum("open").alias("open"))
+    place = F.row_number().over(Window.partitionBy("person_id").orderBy(F.desc("n"), "topic"))
+    first = F.array_sort(F.collect_list(F.when(F.col("place") <= 3, F.struct("place", "topic"))))
+    topics = counts.withColumn("place", place).groupBy("person_id").agg(
+        F.count("*").alias("topic_count"), F.sum("open").alias("open_commitments"), F.array_join(F.transform(first, lambda x: x["topic"]), ", ").alias("top_topics")
+    )
+    rows = people.join(topics, "person_id", "left")
     rows = rows.na.fill(0, ["topic_count", "open_commitments"]).withColumn("days_since", F.round(days_since(F.col("last_seen"), F.lit(as_of).cast("timestamp_ntz")), 6))
     score = F.col("meeting_count") / (1 + F.col("days_since") / 30) * F.least(F.col("topic_count") / 3, F.lit(1.0))
     rows = rows.withColumns({"losing_touch": (F.col("meeting_count") >= 3) & (F.col("days_since") > 21.0), "score": F.round(score, 6)})
     return rows.drop("person_id").orderBy(F.desc("score"), F.desc("meeting_count"), "person").limit(limit)
 
 
+def top_commitments(meetings: DataFrame, items: DataFrame, limit: int) -> DataFrame:
+    """Open commitments by date (the newest first), text, person and kind: (path, date, what, person, kind)."""
+    rows = items.where((F.col("status") == "open") & F.col("kind").isin("commitment", "action-item"))
+    rows = rows.join(meetings.select("meeting_id", "path", "date", "person"), "meeting_id")
+    return rows.orderBy(F.desc("date"), "what", "person", "kind", "path").limit(limit).select("path", "date", "what", "person", "kind")
+
+
+def commitment_rows(items: DataFrame) -> DataFrame:
+    """(meeting_id, what, person, status, due): the commitments and action items among intents, done ones included; without an owner: `unassigned`."""
+    rows = items.where(F.col("kind").isin("commitment", "action-item"))
+    return rows.select("meeting_id", "what", F.coalesce(F.nullif(F.trim("who"), F.lit("")), F.lit("unassigned")).alias("person"), "status", "due")
+
+
+#: How much a role says about a person's part in a meeting. Fixed values.
+ROLES = ("mentioned", "speaker", "attendee")
+
+
+def attendance(people: DataFrame) -> DataFrame:
+    """(meeting_id, slug, person, role, aliases): each person of a meeting once, by slug, with the strongest role and all spellings.
+
+    people: (meeting_id, person, role), the union of all sources of names. Names without a slug go.
+    """
+    rank = F.array_position(F.array(*map(F.lit, ROLES)), F.col("role"))
+    rows = people.withColumns({"slug": slugify(F.col("person")), "rank": rank}).where("slug <> ''")
+    best = F.max(F.struct("rank", "role"))["role"]
+    return rows.groupBy("meeting_id", "slug").agg(F.min(name_rank(F.col("slug"), F.col("person")))["name"].alias("person"), best.alias("role"), F.array_sort(F.collect_set("person")).alias("aliases"))
+
+
+def decisions_of(people: DataFrame, meetings: DataFrame, items: DataFrame, role: str) -> DataFrame:
+    """(person, topic, n, last): the decisions of meetings that a person attended in a role. people: of `attendance`."""
+    rows = people.where(F.col("role") == role).select("meeting_id", "person")
+    found = items.where("kind = 'decision'").select("meeting_id", "topic").join(meetings.select("meeting_id", "date"), "meeting_id").join(rows, "meeting_id")
+    return found.groupBy("person", "topic").agg(F.count("*").alias("n"), F.max("date").alias("last"))
+
+
+def graph_stats(meetings: DataFrame, people: DataFrame, items: DataFrame) -> DataFrame:
+    """One row: people, meetings, commitments, topics and people with other spellings. people: of `attendance`."""
+    spelt = people.groupBy("slug").agg(F.count_distinct("person").alias("n"))
+    a = spelt.agg(F.count("*").alias("people"), F.count_if(F.col("n") > 1).alias("with_aliases"))
+    b = meetings.agg(F.count("*").alias("meetings"))
+    c = items.agg(F.count_if(F.col("kind").isin("commitment", "action-item")).alias("commitments"), F.count_distinct("topic").alias("topics"))
+    return a.join(b).join(c)  # three rows of one
+
+
 def research(meetings: DataFrame, items: DataFrame, query: str, decisions: int = 10, intents: int = 10, topics: int = 5) -> DataFrame:
     """(section, rank, path, text, n): matched decisions, open intents and topics of a query, newest first.
 
@@ -106,10 +153,10 @@ def research(meetings: DataFrame, items: DataFrame, query: str, decisions: int =
     return section("decision", rows.where(is_decision), decisions).unionByName(section("intent", rows.where(~is_decision & (F.col("status") == "open")), intents)).unionByName(counted)
 
 
-def person_profile(meetings: DataFrame, items: DataFrame, name: str) -> DataFrame:
-    """One row for the people whose name contains the text: meetings, first and last seen, decisions, open intents, top topics."""
-    own = meetings.where(F.lower("person").contains(name.lower()))
-    seen = own.agg(F.count("*").alias("n_meetings"), F.min("date").alias("first_seen"), F.max("date").alias("last_seen"), F.sum("minutes").alias("minutes"))
+def person_profile(meetings: DataFrame, items: DataFrame, name: str, exact: bool = False) -> DataFrame:
+    """One row for the people whose name contains the text, or (exact) has its slug: meetings, first and last seen, decisions, open intents, top topics."""
+    own = meetings.where(slugify(F.col("person")) == slugify(F.lit(name)) if exact else F.lower("person").contains(name.lower()))
+    seen = own.agg(F.count("*").alias("n_meetings"), F.min("date").alias("first_seen"), F.max("date").alias("last_seen"), F.sum("duration_min").alias("duration_min"))
     rows = items.join(own.select("meeting_id"), "meeting_id", "left_semi")
     counts = rows.agg(
         F.count_if(F.col("kind") == "decision").alias("n_decisions"),
@@ -144,6 +191,6 @@ def shared_meetings(attendance: DataFrame) -> DataFrame:
 def dashboard(meetings: DataFrame) -> DataFrame:
     """Totals of a corpus in one row."""
     return meetings.agg(
-        F.count("*").alias("meetings"), F.round(F.sum("minutes") / 60, 2).alias("hours"), F.count_distinct("person_id").alias("people"),
-        F.count_if(F.col("minutes").isNull() | (F.col("minutes") == 0)).alias("duration_skipped"), F.count_if(F.col("sensitivity") == "restricted").alias("restricted"),
+        F.count("*").alias("meetings"), F.round(F.sum("duration_min") / 60, 2).alias("hours"), F.count_distinct("person_id").alias("people"),
+        F.count_if(F.col("duration_min").isNull() | (F.col("duration_min") == 0)).alias("duration_skipped"), F.count_if(F.col("sensitivity") == "restricted").alias("restricted"),
     )

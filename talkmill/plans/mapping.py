@@ -9,13 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from talkmill.operators.filters import unrestricted
 from talkmill.tables import load
 
 AS_OF = "2001-12-01 12:30:00"
 
 
 def meetings(spark: SparkSession, sf: str) -> DataFrame:
-    """(meeting_id, path, date, date_text, type, title, person_id, person, sensitivity, recorded_by, minutes)."""
+    """(meeting_id, path, date, date_text, type, title, person_id, person, sensitivity, recorded_by, duration_min)."""
     orders = load(spark, sf, "orders")
     people = load(spark, sf, "customer").select(F.col("c_custkey").alias("person_id"), F.col("c_name").alias("person"))
     return orders.join(people, orders["o_custkey"] == people["person_id"]).select(
@@ -24,10 +25,23 @@ def meetings(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("o_orderstatus") == "F", "meeting").when(F.col("o_orderstatus") == "O", "memo").otherwise("dictation").alias("type"),
         F.concat(F.lit("Review of "), "person", F.lit(" priority "), F.lower("o_orderpriority")).alias("title"), "person_id", "person",
         F.when(F.col("o_orderpriority") == "1-URGENT", "restricted").alias("sensitivity"), F.col("o_orderpriority").alias("recorded_by"),
-        F.floor(F.col("o_totalprice") / 5000).cast("long").alias("minutes"),
+        F.floor(F.col("o_totalprice") / 5000).cast("long").alias("duration_min"),
     )
 
 
+def released(spark: SparkSession, sf: str) -> DataFrame:
+    """The meetings that are not restricted; reports read these alone."""
+    return meetings(spark, sf).where(unrestricted())
+
+
+def attendees(spark: SparkSession, sf: str) -> DataFrame:
+    """(meeting_id, person, role): the customer as attendee, each supplier of a line item as speaker or as mentioned."""
+    lines = load(spark, sf, "lineitem")
+    role = F.when(F.col("l_linestatus") == "O", "speaker").otherwise("mentioned")
+    rows = lines.select(F.col("l_orderkey").alias("meeting_id"), F.concat(F.lit("Supplier "), "l_suppkey").alias("person"), role.alias("role"))
+    return rows.unionByName(meetings(spark, sf).select("meeting_id", "person", F.lit("attendee").alias("role")))
+
+
 def items(spark: SparkSession, sf: str) -> DataFrame:
     """(meeting_id, kind, what, topic, who, due, status, returned, quantity): line items as intents."""
     lines = load(spark, sf, "lineitem")
@@ -63,7 +77,7 @@ SQL = """
                CASE o_orderstatus WHEN 'F' THEN 'meeting' WHEN 'O' THEN 'memo' ELSE 'dictation' END AS type,
                'Review of ' || c_name || ' priority ' || lower(o_orderpriority) AS title, c_custkey AS person_id, c_name AS person,
                CASE WHEN o_orderpriority = '1-URGENT' THEN 'restricted' END AS sensitivity, o_orderpriority AS recorded_by,
-               floor(o_totalprice / 5000)::BIGINT AS minutes
+               floor(o_totalprice / 5000)::BIGINT AS duration_min
         FROM orders JOIN customer ON o_custkey = c_custkey
     ), items AS (
         SELECT l_orderkey AS meeting_id, CASE l_returnflag WHEN 'R' THEN 'decision' WHEN 'A' THEN 'action-item' ELSE 'commitment' END AS kind,
@@ -76,5 +90,9 @@ SQL = """
                CASE WHEN value < 10 THEN 'tentative' WHEN value < 40 THEN 'inferred' WHEN value < 120 THEN 'strong' ELSE 'explicit' END AS confidence,
                event_type || ' ' || (props::JSON ->> '$.k') AS content
         FROM events
+    ), released AS (SELECT * FROM meetings WHERE coalesce(sensitivity, 'normal') <> 'restricted'),
+    attendees AS (
+        SELECT l_orderkey AS meeting_id, 'Supplier ' || l_suppkey AS person, CASE l_linestatus WHEN 'O' THEN 'speaker' ELSE 'mentioned' END AS role FROM lineitem
+        UNION ALL SELECT meeting_id, person, 'attendee' FROM meetings
     )
 """

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: States that a job does not leave by itself. Fixed values.
+FINISHED = ("complete", "needs_review", "failed")
 EVENT = "v int, seq long, timestamp timestamp, event_type string"
 LINE = "line long, ts timestamp, offset_ms long, duration_ms long, text string, speaker string"
 
@@ -72,8 +74,9 @@ def stale_revisions(indexed: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def recovered_jobs(jobs: DataFrame, alive: DataFrame, most: int = 2) -> DataFrame:
-    """Running jobs of owners that are gone go back to the queue, or fail after `most` retries. jobs: (job, state, owner, retries)."""
+    """Unfinished jobs whose owners are gone lose them and go back to the queue, or fail after more than `most` retries. jobs: (job, state, owner, retries)."""
     rows = jobs.join(alive.select("owner", F.lit(True).alias("up")).distinct(), "owner", "left")
-    lost = (F.col("state") == "running") & F.col("up").isNull()
-    state = F.when(lost & (F.col("retries") >= most), "failed").when(lost, "queued").otherwise(F.col("state"))
-    return rows.select("job", state.alias("state"), "owner", F.when(lost, F.col("retries") + 1).otherwise(F.col("retries")).alias("retries"))
+    lost = ~F.col("state").isin(*FINISHED) & F.col("owner").isNotNull() & F.col("up").isNull()
+    retries = F.when(lost, F.col("retries") + 1).otherwise(F.col("retries"))
+    state = F.when(lost & (retries > most), "failed").when(lost, "queued").otherwise(F.col("state"))
+    return rows.select("job", state.alias("state"), F.when(~lost, F.col("owner")).alias("owner"), retries.alias("retries"))

@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def tumbling(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+def tumbling(events: DataFrame, width: str = "1 hour", late: str = "600 seconds") -> DataFrame:
     """(start, event_type, n, value) of fixed windows over (ts, event_type, value); events later than the watermark are left out."""
     rows = events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value"))
     return rows.select(F.col("window.start").alias("start"), "event_type", "n", "value")
 
 
-def by_session(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+def by_session(events: DataFrame, gap: str = "1800 seconds", late: str = "600 seconds") -> DataFrame:
     """(user_id, start, end, n) of runs of a user's events without a longer gap."""
     rows = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
     return rows.select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
@@ -26,11 +26,11 @@ def debounced(partials: DataFrame, every: str = "250 milliseconds", late: str =
     return rows.agg(F.max_by("text", F.struct("sequence", "revision")).alias("text")).select("session", F.col("window.start").alias("start"), "text")
 
 
-def attributed(lines: DataFrame, segments: DataFrame, late: str = "10 minutes") -> DataFrame:
+def attributed(lines: DataFrame, segments: DataFrame, late: str = "600 seconds") -> DataFrame:
     """Stream-stream join of lines (line, session, l_start, l_end) with overlapping speaker segments (session, speaker, start, end); times are timestamps."""
     a = lines.withWatermark("l_start", late)
     b = segments.withWatermark("start", late)
-    held = (a["session"] == b["session"]) & (b["start"] < a["l_end"]) & (b["end"] > a["l_start"]) & (b["start"] >= a["l_start"] - F.expr("interval 10 minutes"))
+    held = (a["session"] == b["session"]) & (b["start"] < a["l_end"]) & (b["end"] > a["l_start"]) & (b["start"] >= a["l_start"] - F.expr("interval 600 seconds"))
     overlap = F.least(a["l_end"], b["end"]).cast("double") - F.greatest(a["l_start"], b["start"]).cast("double")
     return a.join(b, held).select(a["session"], "line", "speaker", overlap.alias("overlap"))
 

@@ -60,8 +60,8 @@ def test_stream_is_replay(spark, tmp_path):
 def test_windows_drop_late_rows(spark, tmp_path):
     at = datetime.datetime(2026, 1, 1)
     source = str(tmp_path / "in")
-    for minutes in ([0, 10, 70], [200], [5], [400]):
-        spark.createDataFrame([(at + datetime.timedelta(minutes=m), "click", 1.0) for m in minutes], "ts timestamp, event_type string, value double").coalesce(1).write.mode("append").parquet(source)
+    for offsets in ([0, 600, 4_200], [12_000], [300], [24_000]):
+        spark.createDataFrame([(at + datetime.timedelta(seconds=s), "click", 1.0) for s in offsets], "ts timestamp, event_type string, value double").coalesce(1).write.mode("append").parquet(source)
     stream = spark.readStream.schema("ts timestamp, event_type string, value double").option("maxFilesPerTrigger", 1).parquet(source)
     q = windows.tumbling(stream).writeStream.format("memory").queryName("hours").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     assert q.awaitTermination(120)
