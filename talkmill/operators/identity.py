@@ -2,52 +2,64 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talkmill.functions.text import compact_key, folded, names_likely_same, plausibly_same, words
+from talkmill.session import checkpointed
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
-    """The rows, cut from their lineage, in the shared checkpoint folder (one of our own where none is set)."""
-    spark: SparkSession = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="talkmill-"))
-    return df.checkpoint()
+def likely_pairs(people: DataFrame) -> DataFrame:
+    """(a, b): names of which one shortens the other.
 
+    Names of two words or more meet those with the same first two words, and names of one word those with that first word.
+    """
+    w = words(F.lower(F.col("name")))
+    rows = people.select("name", F.get(w, F.lit(0)).alias("first"), F.get(w, F.lit(1)).alias("second")).where("first is not null").distinct()
+    long, short = rows.where("second is not null"), rows.where("second is null").select(F.col("name").alias("other"), "first")
+    pairs = long.join(long.select(F.col("name").alias("other"), "first", "second"), ["first", "second"]).select("name", "other")
+    pairs = pairs.unionByName(long.join(short, "first").select("name", "other"))
+    pairs = pairs.select(F.least("name", "other").alias("a"), F.greatest("name", "other").alias("b")).where("a < b").distinct()
+    return pairs.where(names_likely_same(F.col("a"), F.col("b")))
 
-def likely_pairs(people: DataFrame) -> DataFrame:
-    """(a, b): names of which one shortens the other; only names with one first word are compared."""
-    rows = people.select("name", F.get(words(F.lower(F.col("name"))), F.lit(0)).alias("first")).where("first is not null").distinct()
-    pairs = rows.withColumnRenamed("name", "a").join(rows.withColumnRenamed("name", "b"), "first")
-    return pairs.where((F.col("a") < F.col("b")) & names_likely_same(F.col("a"), F.col("b"))).select("a", "b")
+
+def deletions(key: Column, most: Column) -> Column:
+    """A key and what is left of it when up to `most` (0 to 2) characters go, the first one aside."""
+    places = lambda k: F.sequence(F.lit(2), F.length(k))
+    cut = lambda k: F.when(F.length(k) >= 2, F.transform(places(k), lambda i: F.concat(F.substring(k, F.lit(1), i - 1), F.substring(k, i + 1, F.length(k))))).otherwise(F.array().cast("array<string>"))
+    once = F.when(most >= 1, cut(key)).otherwise(F.array().cast("array<string>"))
+    twice = F.when(most >= 2, F.flatten(F.transform(once, cut))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(F.array(key), once, twice))
+
+
+def near_keys(rows: DataFrame, name: str, key: str) -> DataFrame:
+    """(name, block): the blocks in which keys with one initial and one edit (two, if the shorter has six letters) meet.
+
+    Keys that are at most n edits apart have a form in common after at most n deletions on each side, so blocks stay small however many names there are.
+    """
+    most = F.when(F.length(key) >= 6, 2).otherwise(1)
+    return rows.select(name, F.explode(deletions(F.col(key), most)).alias("block"))
 
 
 def plausible_pairs(people: DataFrame) -> DataFrame:
-    """(a, b, reason): names with one key, or single words an edit or two apart. Blocks: the key, or initial and length."""
-    rows = people.select("name", compact_key(F.col("name")).alias("key")).where("key <> ''").distinct()
-    single = F.size(words(folded(F.col("name")))) == 1
-    span = F.explode(F.sequence(F.length("key") - 2, F.length("key") + 2))
+    """(a, b, reason): names with one key, or single words an edit or two apart."""
+    rows = people.select("name", compact_key(F.col("name")).alias("key"), F.trim(folded(F.col("name"))).alias("plain")).where("key <> ''").distinct()
     same = rows.select("name", F.concat(F.lit("="), "key").alias("block"))
-    near = rows.where(single).select("name", F.concat(F.substring("key", 1, 1), F.length("key")).alias("block"))
-    wide = rows.where(single).select("name", "key", span.alias("n")).select("name", F.concat(F.substring("key", 1, 1), "n").alias("block"))
-    pairs = same.withColumnRenamed("name", "a").join(same.withColumnRenamed("name", "b"), "block")
-    pairs = pairs.unionByName(near.withColumnRenamed("name", "a").join(wide.withColumnRenamed("name", "b"), "block"))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+    near = near_keys(rows.where(F.size(words(F.col("plain"))) == 1), "name", "plain")
+    blocks = same.unionByName(near)
+    pairs = blocks.withColumnRenamed("name", "a").join(blocks.withColumnRenamed("name", "b"), "block").where("a < b").select("a", "b").distinct()
     return pairs.withColumn("reason", plausibly_same(F.col("a"), F.col("b"))).where("reason is not null")
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, component): the least node that each node of edges (a, b) reaches; labels halve their way each round."""
-    both = _checkpointed(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    both = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label"))
     for _ in range(rounds):
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
         step = labels.join(near, labels["node"] == near["a"]).select("node", F.least("label", "near").alias("new"), F.col("label").alias("old"))
         jump = step.select(F.col("node").alias("n"), F.col("new").alias("far"))
-        after = _checkpointed(step.join(jump, step["new"] == jump["n"]).select("node", F.least("new", "far").alias("label"), "old"))
+        after = checkpointed(step.join(jump, step["new"] == jump["n"]).select("node", F.least("new", "far").alias("label"), "old"))
         labels = after.select("node", "label")
         if after.where("label <> old").isEmpty():
             return labels.withColumnRenamed("label", "component")

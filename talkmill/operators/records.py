@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from talkmill.functions import noise
 from talkmill.functions import text as T
 from talkmill.operators import cleaning
+from talkmill.operators.identity import near_keys
 
 #: Phrases that announce a commitment. Fixed values.
 COMMITMENT_PHRASES = ("i'll send", "i will send", "let me follow up", "i'll follow up", "action item:", "todo:", "i'll get", "i will get", "let me check", "i'll look into")
@@ -143,13 +144,14 @@ def why_matched(text: Column, aliases: dict[str, tuple[str, ...]]) -> Column:
 def name_corrections(tokens: DataFrame, names: DataFrame) -> DataFrame:
     """(token, name): tokens that are no name but have one candidate of one key, or else one candidate an edit away (two from six letters on).
 
-    names: (name). Candidates meet by key, or by initial and length.
+    names: (name). Candidates meet by key, or by what is left after deletions.
     """
     own = names.select("name", T.compact_key(F.col("name")).alias("key")).distinct()
     asked = tokens.select("token", T.compact_key(F.col("token")).alias("t_key")).distinct().join(names.select(F.col("name").alias("token")), "token", "left_anti")
     same = asked.join(own, asked["t_key"] == own["key"]).select("token", "name", F.lit(0).alias("tier"))
-    near = asked.withColumn("n", F.explode(F.sequence(F.length("t_key") - 2, F.length("t_key") + 2)))
-    pairs = near.join(own, (F.substring("t_key", 1, 1) == F.substring("key", 1, 1)) & (F.col("n") == F.length("key")))
+    met = near_keys(asked, "token", "t_key").join(near_keys(own, "name", "key"), "block").select("token", "name").distinct()
+    pairs = met.join(asked, "token").join(own, "name")
+    pairs = pairs.where(F.substring("t_key", 1, 1) == F.substring("key", 1, 1))
     budget = F.when(F.least(F.length("t_key"), F.length("key")) >= 6, 2).otherwise(1)
     edits = pairs.where((F.col("t_key") != F.col("key")) & (F.length("t_key") >= 4) & (F.levenshtein("t_key", "key") <= budget)).select("token", "name", F.levenshtein("t_key", "key").alias("tier"))
     rows = same.unionByName(edits)

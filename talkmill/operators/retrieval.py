@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkmill.functions.text import footer_shape
+from talkmill.session import checkpointed
 
 # Fixed values.
 CONCEPTS: dict[str, tuple[str, ...]] = {
@@ -60,12 +64,13 @@ def matching(documents: DataFrame, query: str, key: str = "doc_id", column: str
 def bm25(documents: DataFrame, query: list[str], key: str = "doc_id", column: str = "text", k: int = 25) -> DataFrame:
     """(key, score, matched): the k best documents for the query's terms by Robertson's BM25 (k1 1.2, b 0.75), ties to the smaller key.
 
-    Only the postings of the query's terms are built; corpus size and mean length come from one aggregate over all documents.
+    Only the postings of the query's terms are built; texts are read once.
     """
     terms = terms_of(F.col(column))
-    counts = documents.select(F.size(terms).alias("size")).agg(F.count("*").alias("docs"), F.avg("size").alias("mean"))
-    own = documents.select(F.col(key), F.size(terms).alias("size"), F.explode(F.filter(terms, lambda t: t.isin(*query))).alias("term"))
-    own = own.groupBy(key, "term", "size").agg(F.count("*").alias("tf"))
+    rows = documents.select(F.col(key), F.size(terms).alias("size"), F.filter(terms, lambda t: t.isin(*query)).alias("hits"))
+    rows = checkpointed(rows)  # keys, sizes and hits alone; texts are read once
+    counts = rows.agg(F.count("*").alias("docs"), F.avg("size").alias("mean"))
+    own = rows.select(key, "size", F.explode("hits").alias("term")).groupBy(key, "term", "size").agg(F.count("*").alias("tf"))
     held = own.groupBy("term").agg(F.count("*").alias("df"))
     rows = own.join(F.broadcast(held), "term").join(F.broadcast(counts))  # as many rows as the query has terms, and one
     idf = F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
@@ -157,9 +162,13 @@ def profiles(vectors: DataFrame, who: str, column: str = "embedding", least: flo
     modal = sizes.groupBy(who).agg(F.max(F.struct("c", (-F.col("first")).alias("first"), (-F.col("dim")).alias("dim"))).alias("m")).select(who, (-F.col("m.dim")).alias("dim"))
     rows = rows.join(modal, [who, "dim"])
 
+    width = rows.agg(F.max("dim")).first()[0] or 0
+
     def means(samples: DataFrame) -> DataFrame:
-        parts = samples.select(who, "dim", F.posexplode("v").alias("i", "x")).groupBy(who, "dim", "i").agg(F.avg("x").alias("x"), F.count("*").alias("n"))
-        return parts.groupBy(who, "dim").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("mean"), F.max("n").alias("n"))
+        """One aggregate: the mean of each place of the vectors."""
+        places = [F.avg(F.get("v", F.lit(i))) for i in range(width)]
+        found = samples.groupBy(who, "dim").agg(F.array(*places).alias("all"), F.count("*").alias("n"))
+        return found.select(who, "dim", F.slice("all", F.lit(1), F.col("dim")).alias("mean"), "n")
 
     first = means(rows).withColumnRenamed("mean", "centre").drop("n")
     near = rows.join(first, [who, "dim"]).withColumn("s", dot(F.col("v"), unit(F.col("centre"))))
@@ -168,13 +177,73 @@ def profiles(vectors: DataFrame, who: str, column: str = "embedding", least: flo
     return means(kept)
 
 
-def best_profile(vectors: DataFrame, people: DataFrame, who: str, least: float, margin: float) -> DataFrame:
+def best_profile(vectors: DataFrame, people: DataFrame, who: str, least: float, margin: float, block: int = 4096) -> DataFrame:
     """(vec_id, who, similarity, margin): the nearest profile, if similar enough and ahead of the next by the margin; else null.
 
-    people has one row a person and is broadcast only if Spark finds it small.
+    people has one row a person (who, mean). They come in blocks of about `block`, each broadcast as a matrix; a task keeps the best two of a
+    block for each of its vectors, and the blocks' best are compared at the end. Ties go to the smaller person.
     """
-    pairs = vectors.select("vec_id", unit(F.col("embedding")).alias("v")).join(people.select(F.col(who), unit(F.col("mean")).alias("p")))
-    near = pairs.select("vec_id", F.round(dot(F.col("v"), F.col("p")), 6).alias("similarity"), who)
-    top = near.groupBy("vec_id").agg(F.max_by(F.struct("similarity", who), F.struct("similarity", (-F.col(who)).alias("w"))).alias("b"), F.sort_array(F.collect_list("similarity"), asc=False).alias("all"))
-    rows = top.select("vec_id", F.col(f"b.{who}").alias(who), F.col("b.similarity").alias("similarity"), F.round(F.get("all", F.lit(0)) - F.coalesce(F.get("all", F.lit(1)), F.lit(-1.0)), 6).alias("margin"))
+    units = people.select(F.col(who).alias("who"), unit(F.col("mean")).alias("p")).where("p is not null")
+    asked = vectors.select("vec_id", unit(F.col("embedding")).alias("v")).where("v is not null")
+    schema = "vec_id long, who long, similarity double"
+    parts, count = None, max(1, -(-units.count() // block))
+    for i in range(count):
+        own = units.where(F.pmod(F.xxhash64("who"), F.lit(count)) == i).orderBy("who").toPandas()  # about `block` rows
+        shared = vectors.sparkSession.sparkContext.broadcast((own["who"].to_numpy(), [np.asarray(p) for p in own["p"]]))
+
+        def each(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            ids, rows = shared.value
+            dims = np.array([len(r) for r in rows])
+            for b in batches:
+                out = []
+                for vec, v in zip(b["vec_id"], b["v"]):
+                    at = np.nonzero(dims == len(v))[0]
+                    near = np.round(np.array([rows[k] for k in at]) @ v, 6) if len(at) else np.empty(0)
+                    out += [(vec, ids[at[k]], near[k]) for k in np.lexsort((at, -near))[:2]]
+                yield pd.DataFrame(out, columns=["vec_id", "who", "similarity"])
+
+        found = asked.mapInPandas(each, schema)
+        parts = found if parts is None else parts.unionByName(found)
+    best = parts.groupBy("vec_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("similarity")).alias("s"), "who"))).alias("b"))  # two rows of each block
+    similarity, second = -F.get("b", F.lit(0))["s"], -F.get("b", F.lit(1))["s"]
+    rows = best.select("vec_id", F.get("b", F.lit(0))["who"].alias(who), similarity.alias("similarity"), F.round(similarity - F.coalesce(second, F.lit(-1.0)), 6).alias("margin"))
     return rows.withColumn(who, F.when((F.col("similarity") >= least) & (F.col("margin") >= margin), F.col(who)))
+
+
+def blended(profiles_: DataFrame, samples: DataFrame, who: str) -> DataFrame:
+    """(who, mean, n): profiles (who, mean, n) with new samples (who, embedding) in their running means: (old * n + sum of new) / (n + new ones).
+
+    Samples of another length than the profile's are left out; people without a profile get one of their samples of the least length.
+    """
+    fresh = samples.where(F.col("embedding").isNotNull()).select(who, F.transform("embedding", lambda x: x.cast("double")).alias("v"), F.size("embedding").alias("dim"))
+    wanted = fresh.groupBy(who).agg(F.min("dim").alias("least")).join(profiles_.select(who, F.size("mean").alias("own")), who, "left").select(who, F.coalesce("own", "least").alias("dim"))
+    fresh = fresh.join(wanted, [who, "dim"])
+    width = fresh.agg(F.max("dim")).first()[0] or 0
+    sums = fresh.groupBy(who, "dim").agg(F.array(*(F.sum(F.get("v", F.lit(i))) for i in range(width))).alias("all"), F.count("*").alias("new"))
+    sums = sums.select(who, F.slice("all", F.lit(1), F.col("dim")).alias("sum"), "new")
+    rows = profiles_.select(who, "mean", "n").join(sums, who, "full")
+    total = (F.coalesce("n", F.lit(0)) + F.coalesce("new", F.lit(0))).alias("n")
+    old = F.transform("mean", lambda x: x.cast("double") * F.col("n"))
+    both = F.when(F.col("sum").isNull(), old).when(F.col("mean").isNull(), F.col("sum")).otherwise(F.zip_with(old, "sum", lambda x, y: x + y))
+    return rows.select(who, F.transform(both, lambda x: x / (F.coalesce("n", F.lit(0)) + F.coalesce("new", F.lit(0)))).alias("mean"), total)
+
+
+def nearest_ranks(rows: DataFrame, key: str, value: str, percents: tuple[int, ...], slices: int = 256) -> DataFrame:
+    """(key, p.., i..): percentiles by nearest rank, ceil(n p / 100), and by index, ceil((n - 1) p / 100) + 1; nulls do not count.
+
+    Each key's values are cut into about `slices` ranges, whose counts say in which range each rank lies; only those ranges are put in order.
+    """
+    rows = rows.where(F.col(key).isNotNull() & F.col(value).isNotNull()).select(key, F.col(value).alias("v"))
+    edges = rows.groupBy(key).agg(F.array_distinct(F.percentile_approx("v", [i / slices for i in range(1, slices)], 4 * slices)).alias("edges"))
+    sliced = rows.join(edges, key).select(key, "v", F.size(F.filter("edges", lambda e: e < F.col("v"))).alias("slice"))
+    counts = checkpointed(sliced.groupBy(key, "slice").agg(F.count("*").alias("c")))
+    before = F.coalesce(F.sum("c").over(Window.partitionBy(key).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    n = F.sum("c").over(Window.partitionBy(key))
+    ranks = [F.struct(F.lit(f"p{p}").alias("name"), F.ceil(F.col("n") * p / 100).alias("rank")) for p in percents]
+    ranks += [F.struct(F.lit(f"i{p}").alias("name"), (F.ceil((F.col("n") - 1) * p / 100) + 1).alias("rank")) for p in percents]
+    asked = counts.withColumns({"before": before, "n": n}).select(key, "slice", "before", "c", F.explode(F.array(*ranks)).alias("r"))
+    asked = asked.where((F.col("r.rank") > F.col("before")) & (F.col("r.rank") <= F.col("before") + F.col("c")))
+    asked = asked.groupBy(key, "slice").agg(F.collect_list(F.struct("r.name", (F.col("r.rank") - F.col("before")).alias("place"))).alias("places"))
+    own = sliced.join(asked, [key, "slice"]).withColumn("place", F.row_number().over(Window.partitionBy(key, "slice").orderBy("v")))
+    found = own.select(key, "v", F.explode(F.filter("places", lambda x: x["place"] == F.col("place"))).alias("x"))
+    return found.groupBy(key).agg(*(F.max(F.when(F.col("x.name") == f"{c}{p}", F.col("v"))).alias(f"{c}{p}") for c in "pi" for p in percents))

@@ -26,11 +26,12 @@ def nudge_policy(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def partial_gate(spark: SparkSession, sf: str) -> DataFrame:
-    """T4: what partial hypotheses of a turn may show; each is one word longer."""
+    """T4: what partial hypotheses of each turn may show; each is one word longer."""
     words = F.split(F.col("text"), r"\s+")
-    rows = load(spark, sf, "conversations").where("turn = 0").select("conv_id", F.posexplode(F.slice(words, 1, 12)).alias("at", "w"), words.alias("words"))
-    rows = rows.select("conv_id", (F.col("at") * 90).cast("long").alias("audio_ms"), F.array_join(F.slice("words", F.lit(1), F.col("at") + 1), " ").alias("text"))
-    return operators.stable_partials().replay(rows, "conv_id", ["audio_ms"])
+    rows = load(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("utterance"), F.posexplode(words).alias("at", "w"), words.alias("words"))
+    rows = rows.select("utterance", (F.col("at") * 90).cast("long").alias("audio_ms"), F.array_join(F.slice("words", F.lit(1), F.col("at") + 1), " ").alias("text"))
+    out = operators.stable_partials().replay(rows, "utterance", ["audio_ms"])
+    return out.select("utterance", "audio_ms", "revision", F.length("stable").cast("long").alias("stable_chars"), F.length("rest").cast("long").alias("rest_chars"))
 
 
 def speech_smoothing(spark: SparkSession, sf: str) -> DataFrame:
@@ -51,7 +52,7 @@ def session_states(spark: SparkSession, sf: str) -> DataFrame:
 def latency_ring(spark: SparkSession, sf: str) -> DataFrame:
     """Percentiles of each user's newest 64 values."""
     rows = load(spark, sf, "events").select("user_id", "event_id", F.floor(F.col("value") * 10).cast("long").alias("ms"))
-    return operators.latency().replay(rows, "user_id", ["event_id"]).groupBy("user_id").agg(F.max("n").alias("n"), F.max("p50").alias("p50"), F.max("p95").alias("p95"))
+    return windows.newest_percentiles(rows, "user_id", "event_id", "ms").groupBy("user_id").agg(F.max("n").alias("n"), F.max("p50").alias("p50"), F.max("p95").alias("p95"))
 
 
 def hourly_events(spark: SparkSession, sf: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkmill.operators import identity, intervals, reports, retrieval
+from talkmill.operators import identity, intervals, retrieval
 from talkmill.plans import mapping as M
 from talkmill.tables import load
 
@@ -56,14 +56,22 @@ def voice_profiles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def voice_match(spark: SparkSession, sf: str) -> DataFrame:
-    """The nearest of ten labels' plain means, with threshold and margin."""
-    vectors = load(spark, sf, "embeddings").where("label < 10")
-    means = vectors.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x"))
-    means = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("mean"))
-    rows = retrieval.best_profile(vectors.where("vec_id % 3 = 0"), means, "label", 0.2, 0.01)
+    """The nearest of the labels' plain means, with threshold and margin."""
+    vectors = load(spark, sf, "embeddings").select("vec_id", F.col("label").cast("long").alias("label"), "embedding")
+    nobody = vectors.select("label", "embedding", F.lit(0).cast("long").alias("n")).limit(0).withColumnRenamed("embedding", "mean")
+    rows = retrieval.best_profile(vectors, retrieval.blended(nobody, vectors, "label"), "label", 0.2, 0.01)
     return rows.select("vec_id", "label", F.round("similarity", 4).alias("similarity"))
 
 
+def blended_profiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Profiles of the first half of the vectors, with the others blended in; enrolments of each."""
+    v = load(spark, sf, "embeddings").select("vec_id", "label", "embedding")
+    nobody = v.select("label", F.col("embedding").alias("mean"), F.lit(0).cast("long").alias("n")).limit(0)
+    old = retrieval.blended(nobody, v.where("vec_id % 2 = 0"), "label")
+    rows = retrieval.blended(old, v.where("vec_id % 2 = 1"), "label")
+    return rows.select("label", "n", F.round(retrieval.dot(F.col("mean"), F.col("mean")), 6).alias("length2"))
+
+
 def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
     """Lexical hits, then the vector hits that the lexical ones lack."""
     lexical = retrieval.bm25(load(spark, sf, "documents"), ["license", "token"], k=30).select(F.col("doc_id").alias("id"), F.lit("lexical").alias("via"))
@@ -72,10 +80,10 @@ def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _names(spark: SparkSession, sf: str) -> DataFrame:
-    """Names made of two words of the documents' first lines."""
-    w = F.split(F.regexp_extract("text", r"^([\p{L}]+ [\p{L}]+)", 1), " ")
-    rows = load(spark, sf, "documents").where("doc_id % 2 = 0").select(F.get(w, F.lit(0)).alias("a"), F.get(w, F.lit(1)).alias("b"), "doc_id").where("b is not null")
-    return rows.select(F.when(F.col("doc_id") % 3 == 0, F.col("a")).otherwise(F.concat_ws(" ", "a", "b")).alias("name")).distinct()
+    """Names made of the words that documents begin with, up to the first mark; of every third document one word."""
+    name = F.regexp_extract("text", r"^([\p{L}]+(?: [\p{L}]+)*)", 1)
+    rows = load(spark, sf, "documents").select("doc_id", name.alias("name")).where("name <> ''")
+    return rows.select(F.when(F.col("doc_id") % 3 == 0, F.substring_index("name", " ", 1)).otherwise(F.col("name")).alias("name")).distinct()
 
 
 def alias_pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -85,8 +93,7 @@ def alias_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 def plausible_names(spark: SparkSession, sf: str) -> DataFrame:
     """Single names an edit or two apart, and spellings of one key."""
-    rows = load(spark, sf, "documents").select(F.regexp_extract("text", r"^([\p{L}]+)", 1).alias("name")).where("name <> ''")
-    return identity.plausible_pairs(rows)
+    return identity.plausible_pairs(_names(spark, sf).select(F.explode(F.split("name", " ")).alias("name")))
 
 
 def alias_clusters(spark: SparkSession, sf: str) -> DataFrame:
@@ -149,16 +156,11 @@ def turn_windows(spark: SparkSession, sf: str) -> DataFrame:
 
 def nearest_rank(spark: SparkSession, sf: str) -> DataFrame:
     """Percentiles by nearest rank and by index, of values by kind."""
-    rows = load(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("value").alias("d"))
-    place = reports.top(load(spark, sf, "events").withColumn("v", F.col("value")), ["event_type"], [F.col("v"), F.col("event_id")], 1 << 60, "r").select("event_type", "v", "r")
-    both = place.join(rows, "event_type")
-    by_rank = lambda p: F.max(F.when(F.col("r") == F.ceil(F.col("n") * p / 100), F.col("v"))).alias(f"p{p}")
-    by_index = lambda p: F.max(F.when(F.col("r") == F.ceil((F.col("n") - 1) * p / 100) + 1, F.col("v"))).alias(f"i{p}")
-    return both.groupBy("event_type").agg(*(by_rank(p) for p in (50, 95)), *(by_index(p) for p in (50, 95)))
+    return retrieval.nearest_ranks(load(spark, sf, "events"), "event_type", "value", (50, 95))
 
 
 QUERIES = {f.__name__: f for f in (
-    full_text_match, bm25_rank, document_provisions, concept_provisions, concept_documents, boilerplate, semantic_top_k, voice_profiles, voice_match, hybrid_search,
+    full_text_match, bm25_rank, document_provisions, concept_provisions, concept_documents, boilerplate, semantic_top_k, voice_profiles, voice_match, blended_profiles, hybrid_search,
     alias_pairs, plausible_names, alias_clusters, cluster_score, session_at, speaker_by_overlap, speaker_at_time, merged_turns, dominant_speakers, turn_windows, nearest_rank,
 )}
 
@@ -178,7 +180,7 @@ _PROVISIONS = rf"""
     provisions AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS ordinal, CASE WHEN text <> '' THEN heading END AS heading, CASE WHEN text = '' THEN heading ELSE text END AS text
         FROM grouped WHERE text <> '' OR heading IS NOT NULL)"""
 _NAMES = """names AS (SELECT DISTINCT CASE WHEN doc_id % 3 = 0 THEN split_part(p, ' ', 1) ELSE p END AS name
-    FROM (SELECT doc_id, regexp_extract(text, '^([\\pL]+ [\\pL]+)', 1) AS p FROM documents WHERE doc_id % 2 = 0) WHERE p <> ''),
+    FROM (SELECT doc_id, regexp_extract(text, '^([\\pL]+(?: [\\pL]+)*)', 1) AS p FROM documents) WHERE p <> ''),
     parts AS (SELECT name, lower(name) AS low, string_split(lower(name), ' ') AS w FROM names),
     pairs AS (SELECT x.name AS a, y.name AS b FROM parts x JOIN parts y ON x.w[1] = y.w[1] AND x.name < y.name AND x.low <> y.low
         AND CASE WHEN len(x.w) >= 2 AND len(y.w) >= 2 THEN x.w[2] = y.w[2] ELSE len(x.w) <> len(y.w) END)"""
@@ -207,16 +209,17 @@ ORACLE_SQL = {
         k AS (SELECT * FROM (SELECT *, max(s) OVER (PARTITION BY label) AS best FROM s) WHERE s >= 0.05 OR (best < 0.05 AND s = best)),
         f AS (SELECT label, i, avg(v[i]) AS x, count(*) AS n FROM k, range(1, 65) r(i) GROUP BY ALL)
         SELECT label, 64::BIGINT AS dim, max(n) AS n, round(sum(x * x), 5) AS length2, round(max(x) FILTER (i = 1), 5) AS first FROM f GROUP BY 1""",
-    "voice_match": f"""WITH e AS (SELECT * FROM embeddings WHERE label < 10), m AS (SELECT label, i, avg(embedding[i]) AS x FROM e, range(1, 65) r(i) GROUP BY ALL), c AS (SELECT label, list(x ORDER BY i) AS c FROM m GROUP BY 1),
-        p AS (SELECT label, {_UNIT.format('c')} AS p FROM c), u AS (SELECT vec_id, {_UNIT.format('embedding')} AS v FROM e WHERE vec_id % 3 = 0),
+    "voice_match": f"""WITH e AS (SELECT * FROM embeddings), m AS (SELECT label, i, avg(embedding[i]) AS x FROM e, range(1, 65) r(i) GROUP BY ALL), c AS (SELECT label, list(x ORDER BY i) AS c FROM m GROUP BY 1),
+        p AS (SELECT label, {_UNIT.format('c')} AS p FROM c), u AS (SELECT vec_id, {_UNIT.format('embedding')} AS v FROM e),
         s AS (SELECT vec_id, label, round(list_sum(list_transform(range(1, 65), lambda i: v[i] * p[i])), 6) AS s FROM u, p),
         b AS (SELECT vec_id, label, s, s - coalesce(lead(s) OVER w, -1) AS margin, row_number() OVER w AS r FROM s WINDOW w AS (PARTITION BY vec_id ORDER BY s DESC, label))
         SELECT vec_id, CASE WHEN s >= 0.2 AND round(margin, 6) >= 0.01 THEN label END AS label, round(s, 4) AS similarity FROM b WHERE r = 1""",
+    "blended_profiles": """WITH m AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS x, count(*) AS n FROM embeddings, range(1, 65) r(i) GROUP BY ALL) SELECT label, max(n) AS n, round(sum(x * x), 6) AS length2 FROM m GROUP BY 1""",
     "hybrid_search": f"WITH t AS (SELECT doc_id, {_TERMS.format('text')} AS terms FROM documents)" + _BM25.format("'license', 'token'") + f""", lex AS (SELECT doc_id AS id FROM ranked ORDER BY score DESC, doc_id LIMIT 30),
         u AS (SELECT vec_id, {_UNIT.format('embedding')} AS v FROM embeddings), sem AS (SELECT vec_id AS id FROM (SELECT vec_id, round(list_sum(v) / 8, 6) AS s FROM u) ORDER BY s DESC, vec_id LIMIT 30)
         SELECT id, 'lexical' AS via FROM lex UNION ALL SELECT id, 'semantic' FROM sem WHERE id NOT IN (SELECT id FROM lex)""",
     "alias_pairs": f"WITH {_NAMES} SELECT a, b FROM pairs",
-    "plausible_names": f"""WITH n AS (SELECT DISTINCT regexp_extract(text, '^([\\pL]+)', 1) AS name FROM documents), k AS (SELECT name, {_FOLD} AS f, regexp_replace({_FOLD}, '[^\\pL\\pN]', '', 'g') AS key FROM n WHERE name <> ''),
+    "plausible_names": f"""WITH {_NAMES}, n AS (SELECT DISTINCT unnest(string_split(name, ' ')) AS name FROM names), k AS (SELECT name, {_FOLD} AS f, regexp_replace({_FOLD}, '[^\\pL\\pN]', '', 'g') AS key FROM n WHERE name <> ''),
         p AS (SELECT x.name AS a, y.name AS b, CASE WHEN x.key = y.key THEN CASE WHEN length(x.key) >= 3 THEN 'separator_variant' END
             WHEN strlen(x.f) = length(x.f) AND strlen(y.f) = length(y.f) AND x.f[1] = y.f[1] AND levenshtein(x.f, y.f) <= CASE WHEN least(length(x.f), length(y.f)) >= 6 THEN 2 ELSE 1 END THEN 'phonetic_edit' END AS reason
             FROM k x JOIN k y ON x.name < y.name AND x.key <> '' AND y.key <> '') SELECT * FROM p WHERE reason IS NOT NULL""",

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | None = None, **conf: str) -> SparkSession:
@@ -21,3 +22,15 @@ def local_session(cores: int | None = None, **conf: str) -> SparkSession:
     spark = SparkSession.builder.master(f"local[{cores}]").appName("talkmill").config(map=settings).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows, cut from their lineage, in the checkpoint folder that driver and executors share; on one machine, in one of our own where none is set."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="talkmill-"))
+    return df.checkpoint()

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 Step = Callable[[dict, dict], tuple[dict, list[tuple]]]
@@ -35,14 +36,22 @@ class Operator:
         return state, pd.DataFrame(out, columns=self._names())
 
     def replay(self, rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-        """All rows of each key at once, ordered."""
-
-        def each(keys: tuple, part: pd.DataFrame) -> pd.DataFrame:
-            out = self._run(json.loads(json.dumps(self.initial)), part, order)[1]
-            out.insert(0, key, keys[0])
-            return out
-
-        return rows.groupBy(key).applyInPandas(each, f"{key} {dict(rows.dtypes)[key]}, {self.output}")
+        """The rows of each key, in order. They stream through one task in Arrow batches, and the state is all that is held of them; rows without a key take no part."""
+        step, first, names = self.step, json.dumps(self.initial), self._names()
+
+        def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            now, state = None, None
+            for b in batches:
+                out: list[tuple] = []
+                for row in b.to_dict("records"):
+                    if state is None or row[key] != now:
+                        now, state = row[key], json.loads(first)
+                    state, more = step(state, row)
+                    out += [(now, *m) for m in more]
+                yield pd.DataFrame(out, columns=[key, *names])
+
+        dealt = rows.where(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, *order)
+        return dealt.mapInPandas(each, f"{key} {dict(rows.dtypes)[key]}, {self.output}")
 
     def follow(self, stream: DataFrame, key: str, order: list[str]) -> DataFrame:
         """A stream's rows as they arrive; inside a batch they are ordered, across batches the state goes on."""

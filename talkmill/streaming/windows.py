@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 
 def tumbling(events: DataFrame, width: str = "1 hour", late: str = "600 seconds") -> DataFrame:
@@ -35,13 +36,26 @@ def attributed(lines: DataFrame, segments: DataFrame, late: str = "600 seconds")
     return a.join(b, held).select(a["session"], "line", "speaker", overlap.alias("overlap"))
 
 
-def to_memory_sink(stream: DataFrame, checkpoint: str, write: Callable[[DataFrame], None]):
-    """Starts a query that hands each batch to `write` once: batches seen before are skipped by their number."""
-    done: set[int] = set()
+def newest_percentiles(rows: DataFrame, key: str, order: str, value: str, newest: int = 64) -> DataFrame:
+    """rows with n, p50 and p95: nearest-rank percentiles of a key's newest values so far."""
+    ring = F.collect_list(value).over(Window.partitionBy(key).orderBy(order).rowsBetween(1 - newest, 0))
+    rank = lambda p: F.element_at("ring", F.greatest(F.lit(1), F.ceil(F.size("ring") * p / 100)).cast("int")).alias(f"p{p}")
+    return rows.withColumn("ring", F.sort_array(ring)).select(*rows.columns, F.size("ring").cast("long").alias("n"), rank(50), rank(95))
+
+
+def to_memory_sink(stream: DataFrame, checkpoint: str, seen: str, write: Callable[[DataFrame], None]) -> StreamingQuery:
+    """Starts a query that hands each batch to `write`; the numbers of written batches are kept as files in the folder `seen`.
+
+    A batch that is delivered again after a restart is skipped if its number is there. Only a batch whose writing was cut short comes twice.
+    """
+    spark = stream.sparkSession
 
     def each(batch: DataFrame, number: int) -> None:
-        if number not in done:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{seen}/{number}")
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not files.exists(path):
             write(batch)
-            done.add(number)
+            files.mkdirs(path.getParent())
+            files.createNewFile(path)
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
