@@ -1,19 +1,21 @@
 """Transcript cleaning over lines (doc_id, pos, line): each pass returns lines, positions kept in order.
 
-Passes that look at a line and its neighbours are windows; those whose state depends on all lines before are an ordered function of one
-transcript's lines.
+Passes that look at a line and its neighbours are windows; those that depend on the lines before follow a transcript line by line and hold
+a few lines back.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, deque
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkmill.functions import noise
+from talkmill.session import checkpointed
 
 LINES = "doc_id long, pos double, line string"
 
@@ -82,53 +84,170 @@ def collapse_noise(lines: DataFrame) -> DataFrame:
     return rows.where(~(dense & F.col("marker"))).select("doc_id", "pos", "line").unionByName(gone)
 
 
-def _likeness(a: str, b: str) -> float:
-    a, b = a.lower(), b.lower()
-    if not a or not b:
-        return 0.0
-    short, long = sorted((a.encode(), b.encode()), key=len)
-    if short in long:
-        return len(short) / len(long)
-    x, y = a.split(), b.split()
-    return sum(w in y for w in x) / max(len(x), len(y), 1)
+def likeness(first: str, other: str) -> float:
+    """1 for equal texts, the share of bytes if one holds the other, else that of common words in the longer; case aside, 0 for an empty one."""
+    one, two = first.lower(), other.lower()
+    if one == two or not one or not two:
+        return float(bool(one) and one == two)
+    if one in two or two in one:
+        n = [len(t.encode()) for t in (one, two)]
+        return min(n) / max(n)
+    left, right = one.split(), set(two.split())
+    longest = max(len(left), len(two.split()), 1)
+    return len([w for w in left if w in right]) / longest
 
 
-def _part(line: str) -> str:
-    return line.partition("] ")[2] if "] " in line else line
+Line = tuple[float, str]
 
 
-def _by_transcript(lines: DataFrame, change) -> DataFrame:
-    """Applies change(lines) -> [(index, line)] to the ordered lines of each transcript."""
+class Runs:
+    """Follows the lines of a transcript and lets through what is left when runs are collapsed.
 
-    def each(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("pos", kind="stable")
-        pos, out = part["pos"].to_numpy(), change(part["line"].tolist())
-        return pd.DataFrame({"doc_id": part["doc_id"].iloc[0], "pos": [pos[i] for i, _ in out], "line": [x for _, x in out]})
+    A run is a line and those after it that are alike to it. One of `least` lines or more is let through as its first line and
+    a note. Of a shorter one only the first line is decided; the next line may begin a run of its own. Two lines at most are held back.
+    """
 
-    return lines.groupBy("doc_id").applyInPandas(each, LINES)
+    def __init__(self, similarity: float, least: int = 3):
+        self.similarity, self.least, self.held, self.size = similarity, least, [], 0
+
+    def feed(self, line: Line) -> list[Line]:
+        if self.held and self._goes_on(line[1]):
+            self.size += 1
+            if len(self.held) < 2:
+                self.held.append(line)
+            return []
+        out = []
+        while self.held and not self._goes_on(line[1]):
+            out += self._first()
+        return out + self.feed(line) if self.held else out + self._begin(line)
+
+    def end(self) -> list[Line]:
+        out = []
+        while self.held:
+            out += self._first()
+        return out
 
+    def _begin(self, line: Line) -> list[Line]:
+        self.held, self.size = [line], 1
+        return []
 
-def collapse_runs(lines: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """Runs of three lines or more that are alike to their first keep it and a note; lines that are noise stay for other passes."""
-    always = set(noise.ALWAYS_NOISE)
-
-    def change(rows: list[str]) -> list[tuple[int, str]]:
-        out: list[tuple[int, str]] = []
-        texts, first = [_part(x) for x in rows], 0
-        while first < len(rows):
-            size = 1
-            if texts[first].strip().lower() not in always:
-                while first + size < len(rows) and _likeness(texts[first], texts[first + size]) >= similarity:
-                    size += 1
-            out.append((first, rows[first]))
-            if size >= 3 and len(rows) >= 3:
-                out.append((first + 1, f"[...] [repeated audio removed - {size - 1} identical segments collapsed]"))
-                first += size
-            else:
-                first += 1
+    def _goes_on(self, line: str) -> bool:
+        first = part_of(self.held[0][1])
+        return first.strip().lower() not in noise.ALWAYS_NOISE and likeness(first, part_of(line)) >= self.similarity
+
+    def _first(self) -> list[Line]:
+        """Decides the first line held, and with it a whole run if it is long enough."""
+        first, *rest = self.held
+        if self.size >= self.least:
+            note = f"[...] [repeated audio removed - {self.size - 1} identical segments collapsed]"
+            self.held, self.size = [], 0
+            return [first, (rest[0][0], note)]
+        self.held, self.size = rest, len(rest)
+        return [first]
+
+
+class Loops:
+    """Follows the lines of a transcript and lets through what is left when loops are removed.
+
+    A loop begins where a text, fillers aside, stands `hits` times in `window` lines, and goes on over fillers and over gaps of `gap` other
+    lines at most. Its first line is let through, notes stand for the rest. The last `window` lines at most are held back.
+    """
+
+    def __init__(self, window: int = 10, hits: int = 5, gap: int = 2):
+        self.window, self.hits, self.gap = window, hits, gap
+        self.ahead: deque[tuple[float, str, str]] = deque()
+        self.loop, self.gone, self.open = None, [], []
+
+    def feed(self, line: Line) -> list[Line]:
+        at = (*line, plain_text(part_of(line[1])))
+        return self._inside(at) if self.loop is not None else self._outside(at)
+
+    def end(self) -> list[Line]:
+        out = self._leave() if self.loop is not None else []
+        out += [(p, x) for p, x, _ in self.ahead]
+        self.ahead.clear()
         return out
 
-    return _by_transcript(lines, change)
+    def _outside(self, at: tuple[float, str, str]) -> list[Line]:
+        self.ahead.append(at)
+        if len(self.ahead) < self.window:
+            return []
+        counts = Counter(t for _, _, t in self.ahead if t and t not in noise.FILLERS)
+        often = max(counts.items(), key=lambda c: (c[1], c[0]), default=("", 0))
+        if often[1] < self.hits:
+            p, x, _ = self.ahead.popleft()
+            return [(p, x)]
+        held, self.loop = list(self.ahead), often[0]
+        self.ahead.clear()
+        first = next(i for i, (_, _, t) in enumerate(held) if t == self.loop)
+        self.gone = held[:first]
+        out = [*self._note(), held[first][:2]]
+        self.gone = held[first + 1 :]
+        return out
+
+    def _inside(self, at: tuple[float, str, str]) -> list[Line]:
+        self.open.append(at)
+        if at[2] == self.loop or (len(self.open) == 1 and at[2] in noise.FILLERS):
+            self.gone += self.open
+            self.open = []
+        elif len(self.open) > self.gap:
+            return self._leave()
+        return []
+
+    def _leave(self) -> list[Line]:
+        out, rest = self._note(), self.open
+        self.loop, self.open = None, []
+        for at in rest:
+            out += self._outside(at)
+        return out
+
+    def _note(self) -> list[Line]:
+        n = len(self.gone)
+        out = [(self.gone[0][0], f"[...] [hallucinated repetition removed - {n} lines collapsed]")] if n else []
+        self.gone = []
+        return out
+
+
+def part_of(line: str) -> str:
+    """What follows the first `] ` of a line; the line, if there is none."""
+    at = line.find("] ")
+    return line[at + 2 :] if at >= 0 else line
+
+
+def plain_text(text: str) -> str:
+    return " ".join("".join(c for c in text.lower() if c.isalnum() or c.isspace()).split())
+
+
+def followed(lines: DataFrame, *passes: Callable[[], Runs | Loops]) -> DataFrame:
+    """Each transcript's lines, in order, through the passes one after another.
+
+    One exchange; the lines stream through a task in Arrow batches, and only what the passes hold back is kept.
+    """
+
+    def through(passing: list, given: list[Line], last: bool) -> list[Line]:
+        for p in passing:
+            given = [x for line in given for x in p.feed(line)] + (p.end() if last else [])
+        return given
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, passing = None, []
+        for b in batches:
+            out: list[tuple[int, float, str]] = []
+            for doc, pos, line in zip(b["doc_id"].tolist(), b["pos"].tolist(), b["line"].tolist()):
+                if doc != now:
+                    out += [(now, *x) for x in through(passing, [], True)]
+                    now, passing = doc, [p() for p in passes]
+                out += [(doc, *x) for x in through(passing, [(pos, line)], False)]
+            yield pd.DataFrame(out, columns=["doc_id", "pos", "line"])
+        yield pd.DataFrame([(now, *x) for x in through(passing, [], True)], columns=["doc_id", "pos", "line"])
+
+    rows = lines.where("doc_id is not null and line is not null").repartition("doc_id").sortWithinPartitions("doc_id", "pos")
+    return rows.mapInPandas(each, LINES)
+
+
+def collapse_runs(lines: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """Runs of three lines or more that are alike to their first keep it and a note; lines that are noise stay for other passes."""
+    return followed(lines, lambda: Runs(similarity))
 
 
 def collapse_loops(lines: DataFrame, window: int = 10, hits: int = 5) -> DataFrame:
@@ -136,41 +255,7 @@ def collapse_loops(lines: DataFrame, window: int = 10, hits: int = 5) -> DataFra
 
     A loop goes on over fillers and over gaps of two other lines at most.
     """
-
-    def plain(text: str) -> str:
-        return " ".join("".join(c for c in text.lower() if c.isalnum() or c.isspace()).split())
-
-    def change(rows: list[str]) -> list[tuple[int, str]]:
-        texts = [plain(_part(x)) for x in rows]
-        gone: set[int] = set()
-        at = 0
-        while at + window <= len(rows):
-            counts = Counter(t for t in texts[at : at + window] if t and t not in noise.FILLERS)
-            loop = max(counts, key=lambda t: (counts[t], t), default="")
-            if counts[loop] < hits:
-                at += 1
-                continue
-            end = at + window
-            while end < len(rows):
-                ahead = next((g for g in range(3) if end + g < len(rows) and texts[end + g] == loop), None)
-                if texts[end] in noise.FILLERS and ahead != 0:
-                    end += 1
-                elif ahead is not None:
-                    end += ahead + 1
-                else:
-                    break
-            gone |= set(range(at, end)) - {texts.index(loop, at)}
-            at = end
-        out: list[tuple[int, str]] = []
-        for i, line in enumerate(rows):
-            if i not in gone:
-                out.append((i, line))
-            elif i - 1 not in gone:
-                size = next(n for n in range(1, len(rows) + 1) if i + n not in gone)
-                out.append((i, f"[...] [hallucinated repetition removed - {size} lines collapsed]"))
-        return out
-
-    return _by_transcript(lines, change)
+    return followed(lines, lambda: Loops(window, hits))
 
 
 #: The passes in their order, with the names of their counts.
@@ -187,12 +272,12 @@ def clean(lines: DataFrame) -> DataFrame:
 
 
 def clean_stats(lines: DataFrame) -> DataFrame:
-    """(step, place, lines): how many lines each pass leaves."""
-    out = lines.agg(F.lit("input").alias("step"), F.lit(0).alias("place"), F.count("*").alias("lines"))
+    """(step, place, lines): how many lines each pass leaves. Each pass runs once; its lines are written, counted and read by the next."""
+    counts = [("input", 0, (lines := checkpointed(lines)).count())]
     for i, (name, step) in enumerate(PASSES):
-        lines = step(lines)
-        out = out.unionByName(lines.agg(F.lit(name).alias("step"), F.lit(i + 1).alias("place"), F.count("*").alias("lines")))
-    return out
+        lines = checkpointed(step(lines))
+        counts.append((name, i + 1, lines.count()))
+    return lines.sparkSession.createDataFrame(counts, "step string, place int, lines long")
 
 
 def all_noise(lines: DataFrame) -> DataFrame:
@@ -212,15 +297,16 @@ def word_error_rate(pairs: DataFrame, said: str, heard: str) -> DataFrame:
     """pairs with `wer`: token edits over the words said; 0 or 1 without any."""
 
     def rate(a: str | None, b: str | None) -> float:
-        x, y = (a or "").split(), (b or "").split()
-        if not x:
-            return float(bool(y))
-        row = list(range(len(y) + 1))
-        for i, w in enumerate(x, 1):
-            last, row[0] = row[0], i
-            for j, v in enumerate(y, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (w != v))
-        return row[-1] / len(x)
+        said_, heard_ = (a or "").split(), (b or "").split()
+        if not said_:
+            return float(bool(heard_))
+        names = {w: i for i, w in enumerate(dict.fromkeys(said_ + heard_))}
+        y, step = np.array([names[w] for w in heard_], np.int64), np.arange(len(heard_) + 1)
+        row = step.copy()  # one row of the table of edits at a time
+        for w in said_:
+            change = np.minimum(row[1:] + 1, row[:-1] + (y != names[w]))
+            row = np.minimum.accumulate(np.concatenate(([row[0] + 1], change)) - step) + step
+        return int(row[-1]) / len(said_)
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

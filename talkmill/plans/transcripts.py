@@ -14,7 +14,7 @@ from talkmill.tables import load
 def _summaries(spark: SparkSession, sf: str) -> DataFrame:
     """A summary with sections for each conversation: its turns as items."""
     t = load(spark, sf, "conversations")
-    first = F.regexp_extract("text", r"^([^.\n]*)", 1)
+    first = F.translate("text", "\n", " ")
     item = F.when(F.col("turn") % 4 == 0, F.concat(F.lit("@"), "role", F.lit(": "), first, F.lit(" by friday 12)")))
     item = item.when(F.col("turn") % 4 == 1, F.concat(F.lit("We decided: "), first)).when(F.col("turn") % 4 == 2, F.concat(F.lit("Maybe "), first)).otherwise(F.concat(F.lit("@user: "), first, F.lit(" (due monday)")))
     name = F.when(F.col("turn") % 4 == 0, "Action Items").when(F.col("turn") % 4 == 1, "Decisions").when(F.col("turn") % 4 == 2, "Open Questions").otherwise("Commitments")
@@ -34,7 +34,7 @@ def summary_insights(spark: SparkSession, sf: str) -> DataFrame:
 
 def entity_links(spark: SparkSession, sf: str) -> DataFrame:
     """Entities by slug with a label and aliases."""
-    name = F.regexp_extract("text", r"^([\p{L}]+[ -][\p{L}]+)", 1)
+    name = F.regexp_extract("text", r"^([\p{L}]+(?:[ -][\p{L}]+)*)", 1)
     rows = load(spark, sf, "documents").select(F.when(F.col("doc_id") % 3 == 0, F.translate(name, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).otherwise(name).alias("name"))
     return extraction.entities(rows).select("slug", "label", F.array_join("aliases", " | ").alias("aliases"), "n")
 
@@ -49,7 +49,7 @@ def memo_tags(spark: SparkSession, sf: str) -> DataFrame:
 
 def speaker_names(spark: SparkSession, sf: str) -> DataFrame:
     """Transcripts with speaker labels replaced by confirmed names."""
-    t = load(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("pos"), F.col("role").alias("speaker"), F.regexp_extract("text", r"^(\S*)", 1).alias("text"))
+    t = load(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("pos"), F.col("role").alias("speaker"), "text")
     names = t.select("doc_id", F.col("speaker").alias("label")).distinct().select("doc_id", "label", F.concat(F.lit("Person "), F.col("doc_id") % 10).alias("name"), F.when(F.col("label") == "user", "high").otherwise("medium").alias("confidence"))
     return extraction.humanised(t, names)
 
@@ -65,7 +65,7 @@ def _transcript(spark: SparkSession, sf: str) -> DataFrame:
     """Lines of the documents, with noise mixed in by line number."""
     lines = cleaning.lines_of(load(spark, sf, "documents"), "doc_id", "text")
     n = (F.col("doc_id") + F.col("pos")).cast("long")
-    line = F.when(n % 11 == 0, "[0:01] Thank you for watching!").when(n % 7 == 0, "[0:02] [soft music]").when(n % 13 == 0, "[0:03] 東京は夜です").when(n % 17 == 0, "[1:00] (see attached)").otherwise(F.concat(F.lit("[0:09] "), F.substring("line", 1, 60)))
+    line = F.when(n % 11 == 0, "[0:01] Thank you for watching!").when(n % 7 == 0, "[0:02] [soft music]").when(n % 13 == 0, "[0:03] 東京は夜です").when(n % 17 == 0, "[1:00] (see attached)").otherwise(F.concat(F.lit("[0:09] "), "line"))
     return lines.withColumn("line", line)
 
 
@@ -95,16 +95,15 @@ def clean_transcripts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sentence_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """C20: sentences of each document's first lines."""
+    """C20: sentences of each document."""
     return load(spark, sf, "documents").select("doc_id", cleaning.sentence_ends(F.coalesce("text", F.lit(""))).cast("long").alias("sentences"))
 
 
 def recognition_errors(spark: SparkSession, sf: str) -> DataFrame:
     """Word error rate of a turn against the turn before."""
     t = load(spark, sf, "conversations")
-    short = F.regexp_extract("text", r"^((?:\S+\s+){0,19}\S*)", 1)
-    nxt = t.select("conv_id", (F.col("turn") + 1).alias("turn"), short.alias("said"))
-    rows = cleaning.word_error_rate(t.select("conv_id", "turn", short.alias("heard")).join(nxt, ["conv_id", "turn"]), "said", "heard")
+    nxt = t.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("said"))
+    rows = cleaning.word_error_rate(t.select("conv_id", "turn", F.col("text").alias("heard")).join(nxt, ["conv_id", "turn"]), "said", "heard")
     return rows.select("conv_id", "turn", F.round("wer", 6).alias("wer"))
 
 
@@ -122,14 +121,14 @@ QUERIES = {f.__name__: f for f in (
     recognition_errors, topic_keywords,
 )}
 
-_FIRST = "regexp_extract(text, '^([^.\\n]*)', 1)"
+_FIRST = "translate(text, chr(10), ' ')"
 _INTENTS = rf"""WITH t AS (SELECT conv_id AS doc_id, turn, turn % 4 AS k, role, {_FIRST} AS f FROM conversations),
     i AS (SELECT doc_id, turn, k, CASE k WHEN 0 THEN trim('@' || role || ': ' || f || ' by friday 12)') WHEN 1 THEN trim('We decided: ' || f) WHEN 2 THEN trim('Maybe ' || f) ELSE trim('@user: ' || f || ' (due monday)') END AS item, role, f FROM t),
     p AS (SELECT doc_id, k AS place, CASE k WHEN 0 THEN 'action-item' WHEN 1 THEN 'decision' WHEN 2 THEN 'open-question' ELSE 'commitment' END AS kind,
         CASE WHEN k IN (0, 3) THEN trim(regexp_replace(trim(regexp_extract(item, '^@[^:]*:(.*)$', 1)), '\)+$', '')) ELSE item END AS what,
         CASE k WHEN 0 THEN role WHEN 3 THEN 'user' END AS who, CASE k WHEN 1 THEN 'decided' ELSE 'open' END AS status,
         CASE WHEN k IN (0, 3) THEN coalesce(nullif(trim(regexp_extract(lower(item), ' by ([\pL\pN -]*)', 1)), ''), nullif(trim(regexp_extract(lower(item), 'due ([\pL\pN -]*)', 1)), '')) END AS by_date FROM i)"""
-_NAME = "CASE WHEN doc_id % 3 = 0 THEN translate(regexp_extract(text, '^([\\pL]+[ -][\\pL]+)', 1), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') ELSE regexp_extract(text, '^([\\pL]+[ -][\\pL]+)', 1) END"
+_NAME = "CASE WHEN doc_id % 3 = 0 THEN translate(regexp_extract(text, '^([\\pL]+(?:[ -][\\pL]+)*)', 1), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') ELSE regexp_extract(text, '^([\\pL]+(?:[ -][\\pL]+)*)', 1) END"
 _STOP = ", ".join(f"'{w}'" for w in T.KEYWORD_STOPWORDS)
 _CUES = " OR ".join(f"contains(lower(text), '{c.replace(chr(39), chr(39) * 2)}')" for c in T.DECISIVE_CUES)
 
@@ -140,7 +139,7 @@ ORACLE_SQL = {
     "memo_tags": """WITH t AS (SELECT conv_id, list_sort(list_distinct(list(role))) AS roles, count(*) AS n, max(turn) AS last FROM conversations GROUP BY 1)
         SELECT conv_id, array_to_string((['source-voice-memo'] || CASE WHEN n > 4 THEN ['has-actions'] ELSE [] END || list_transform(roles[1:3], lambda r: 'person-' || r) || ['topic-topic-' || (n % 5)] || ['project-project-' || last])[1:8], ',') AS tags,
             array_to_string(roles || CASE WHEN list_contains(roles, 'user') THEN [] ELSE ['User'] END || ['guest'] || CASE WHEN list_contains(roles, 'system') THEN [] ELSE ['SYSTEM'] END, ',') AS attendees FROM t""",
-    "speaker_names": "SELECT conv_id AS doc_id, turn AS pos, '[' || CASE WHEN role = 'user' THEN 'Person ' || (conv_id % 10) ELSE role END || '] ' || regexp_extract(text, '^(\\S*)', 1) AS line FROM conversations",
+    "speaker_names": "SELECT conv_id AS doc_id, turn AS pos, '[' || CASE WHEN role = 'user' THEN 'Person ' || (conv_id % 10) ELSE role END || '] ' || text AS line FROM conversations",
     "speaker_overlay": """WITH b AS (SELECT user_id, event_type, arg_min(event_type || '-' || event_id, event_id) AS value FROM events WHERE event_id % 5 > 0 GROUP BY 1, 2),
         c AS (SELECT user_id, event_type, arg_max(event_type || '-' || event_id, event_id) AS confirmed FROM events WHERE event_id % 50 = 0 GROUP BY 1, 2)
         SELECT user_id, event_type, coalesce(confirmed, value) AS value, confirmed IS NOT NULL AS overridden FROM b FULL JOIN c USING (user_id, event_type)""",
