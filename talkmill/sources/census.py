@@ -54,3 +54,8 @@ def census(found: DataFrame) -> DataFrame:
     pairs = F.array(*(F.struct(F.lit(m).alias("measure"), v.alias("value")) for m, v in (("format", ext), ("category", category(ext)), ("size", size_bucket(F.col("size"))), ("age", age_bucket(F.col("modified"))))))
     rows = found.select("size", F.explode(pairs).alias("m"))
     return rows.groupBy("m.measure", "m.value").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+
+
+def settled(before: DataFrame, now: DataFrame) -> DataFrame:
+    """(path, size): files that have the same size in two looks at a folder, so that nobody is still writing them. Both: (path, size)."""
+    return now.select("path", "size").join(before.select("path", "size").distinct(), ["path", "size"], "left_semi")

@@ -18,8 +18,11 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     """
     raw = spark.read.text(path).select("value", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"))
     rows = raw.withColumn("e", F.from_json("value", EVENT)).where("e.event_type is not null")
-    synthetic = rows.where("coalesce(e.seq, 0) = 0")
-    numbered = synthetic.withColumn("seq", F.row_number().over(Window.orderBy("file", "at")).cast("long"))  # only lines of logs from before seq
+    synthetic = rows.where("coalesce(e.seq, 0) = 0")  # only lines of logs from before seq
+    counts = synthetic.groupBy("file").agg(F.count("*").alias("n"))
+    before = counts.select("file", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row for each file
+    place = F.row_number().over(Window.partitionBy("file").orderBy("at"))
+    numbered = synthetic.join(before, "file").withColumn("seq", (F.col("before") + place).cast("long")).drop("before")
     own = rows.where("coalesce(e.seq, 0) <> 0").withColumn("seq", F.col("e.seq"))
     return own.unionByName(numbered).select("seq", F.col("e.timestamp").alias("ts"), "e.event_type", "value")
 
