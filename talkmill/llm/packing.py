@@ -7,7 +7,9 @@ sequence crosses documents and none needs padding: every length is a power of tw
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,26 +34,64 @@ class Encoder:
 
     All ids come from the tokenizer. It is asked once for each word, and a bounded table remembers the word's ids, as
     little-endian 32-bit numbers. New words are encoded together, as one text; the offsets of the tokens tell the words apart.
+    Words of ASCII are parted by the tokenizer's own pattern first, if its classes mean no more there than A-Z and 0-9: their
+    parts are fewer than the words, and the tokens that end a part tell them apart.
     """
 
     #: Separators that str.split() knows and the tokenizer does not.
     ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 
-    def __init__(self, path: str, end_id: int, limit: int = 250_000):
+    def __init__(self, path: str, end_id: int, limit: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a worker for each core; idle threads would spin
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-        self.end, self.known = np.array([end_id], "<u4").tobytes(), {}
+        self.end, self.known, self.parts = np.array([end_id], "<u4").tobytes(), {}, {}
         self.special = tuple(x.content for x in self.tokenizer.get_added_tokens_decoder().values())
         if self._whole("to be") != self._whole("to") + self._whole("be"):
             raise ValueError(f"{path}: this tokenizer's ids depend on the blanks around a word")
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.pattern = self._ascii_pattern()
+
+    def _ascii_pattern(self) -> re.Pattern | None:
+        """The tokenizer's pattern over lower-case ASCII; none if it has no such pattern, or if a probe of all pairs of characters tells otherwise."""
+        steps = (json.loads(self.tokenizer.to_str()).get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        source = (steps[0].get("pattern") or {}).get("Regex", "")
+        if not source or not self.ends.any():
+            return None
+        pattern = re.compile(source.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9"))
+        points = [chr(c) for c in range(33, 127)]
+        probe = [f"a{x}{y}{x}b'{y}s{x}9" for x in points for y in points]
+        for word in probe:
+            if pattern.findall(word.lower()) != [w for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(word))]:
+                return None
+        return pattern
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, words: list[str]) -> None:
         """Adds new words to the table."""
+        plain = [w for w in words if w.isascii()] if self.pattern else []
+        if plain:
+            cut = [self.pattern.findall(w.lower()) for w in plain]
+            if len(self.parts) > self.limit:
+                self.parts.clear()
+            if new := list({p for own in cut for p in own}.difference(self.parts)):
+                ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
+                stops = ((np.nonzero(self.ends[ids])[0] + 1) * 4).tolist()
+                if len(stops) == len(new):
+                    raw = ids.tobytes()
+                    self.parts.update(zip(new, map(raw.__getitem__, map(slice, [0, *stops], stops))))
+                else:
+                    self.parts.update((p, self._whole(p)) for p in new)
+            parts = self.parts
+            self.known.update((w, b"".join([parts[p] for p in own])) for w, own in zip(plain, cut))
+            words = [w for w in words if not w.isascii()]
+        if not words:
+            return
         found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
         start = np.cumsum([0, *map(len, words)]) + np.arange(len(words) + 1)
         first = np.fromiter((o[0] for o in found.offsets), np.int64, len(found.ids))

@@ -62,6 +62,17 @@ def test_random_unicode_texts():
             assert got == np.array([*want.ids, 2], "<u4").tobytes(), ascii(t)
 
 
+def test_random_ascii_words():
+    rng, encode, tokenizer = random.Random(6), Encoder(PATH, 2, limit=2_000), Tokenizer.from_file(PATH)
+    assert encode.pattern
+    usual = "aAbtTsSrRvVmMlLdDeE09.,-_ " + 5 * chr(39) + "".join(map(chr, range(1, 128)))
+    texts = ["".join(rng.choice(usual) for _ in range(rng.randrange(1, 20))) for _ in range(60_000)]
+    for at in range(0, len(texts), 100):
+        own = texts[at : at + 100]
+        for x, got, want in zip(own, encode(own), tokenizer.encode_batch_fast(own, add_special_tokens=False)):
+            assert got == np.array([*want.ids, 2], "<u4").tobytes(), ascii(x)
+
+
 def test_every_code_point():
     """Each code point alone, inside a word and beside a blank."""
     encode, tokenizer = Encoder(PATH, 2), Tokenizer.from_file(PATH)
