@@ -212,6 +212,12 @@ def dashboard(spark: SparkSession, sf: str) -> DataFrame:
     return reports.dashboard(M.meetings(spark, sf))
 
 
+def tag_frequency(spark: SparkSession, sf: str) -> DataFrame:
+    """Topics as tags, by how many meetings have them."""
+    rows = M.items(spark, sf).groupBy("topic").agg(F.count_distinct("meeting_id").alias("n"))
+    return rows.orderBy(F.desc("n"), "topic").limit(20)
+
+
 def authorised_release(spark: SparkSession, sf: str) -> DataFrame:
     """Items of authorised meetings, and how many are withheld."""
     items, ok = M.items(spark, sf), M.meetings(spark, sf).where(filters.unrestricted()).select("meeting_id")
@@ -265,7 +271,7 @@ def newest_per_person(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     list_meetings, list_since_instant, restricted_stubs, text_search, insights_strong, events_after, insight_dedup, retention_preview, owner_resolution, open_actions,
     intent_search, person_exact, search_filters, insights_of, last_events, owned_actions, exact_meeting, top_commitments, commitment_rows, meeting_people, decisions_by_role, graph_stats, decisions_by_topic, top_topics, relationship_map, stale_commitments, decision_conflicts, research_topic, person_profile, commitment_dedup,
-    commitment_status, co_attendance, dashboard, authorised_release, expansion_union, title_functions, duration_functions, corpus_revision, activity_summary, newest_per_person,
+    commitment_status, co_attendance, dashboard, tag_frequency, authorised_release, expansion_union, title_functions, duration_functions, corpus_revision, activity_summary, newest_per_person,
 )}
 
 _OPEN = "coalesce(sensitivity, 'normal') <> 'restricted'"
@@ -352,6 +358,7 @@ ORACLE_SQL = {
     "co_attendance": SQL + """, one AS (SELECT DISTINCT meeting_id, who FROM items WHERE who IS NOT NULL)
         SELECT x.who AS a, y.who AS b, count(*) AS n FROM one x JOIN one y ON x.meeting_id = y.meeting_id AND x.who < y.who GROUP BY 1, 2 HAVING count(*) >= 2""",
     "dashboard": SQL + "SELECT count(*) AS meetings, round(sum(duration_min) / 60, 2) AS hours, count(DISTINCT person_id) AS people, count(*) FILTER (duration_min = 0) AS duration_skipped, count(*) FILTER (sensitivity = 'restricted') AS restricted FROM meetings",
+    "tag_frequency": SQL + "SELECT topic, count(DISTINCT meeting_id) AS n FROM items GROUP BY 1 ORDER BY n DESC, topic LIMIT 20",
     "authorised_release": SQL + f"SELECT count(*) FILTER (ok) AS released, count(*) FILTER (NOT ok) AS withheld FROM (SELECT EXISTS (SELECT 1 FROM meetings m WHERE m.meeting_id = i.meeting_id AND {_OPEN}) AS ok FROM items i)",
     "expansion_union": SQL + "SELECT query, count(*) AS n, min(path) AS first_path FROM (SELECT path, CASE WHEN contains(lower(title), '0012') THEN '0012' WHEN contains(lower(title), 'priority 2') THEN 'priority 2' WHEN contains(lower(title), '0003') THEN '0003' END AS query FROM meetings) WHERE query IS NOT NULL GROUP BY 1",
     "title_functions": SQL + f"""SELECT DISTINCT title, regexp_replace(regexp_replace(lower(title), '[^\\pL\\pN]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, {_NORM_TOPIC.format('title')} AS topic, {_NORM_VALUE.format('title')} AS value,

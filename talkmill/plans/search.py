@@ -39,6 +39,12 @@ def concept_documents(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.in_document(retrieval.provisions(load(spark, sf, "documents")), ["contact", "secret"], concepts=own).withColumn("first_ordinal", F.col("first_ordinal").cast("long"))
 
 
+def concept_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """How many provisions hold each of the eleven concepts, and in how many documents."""
+    rows = retrieval.provisions(load(spark, sf, "documents").withColumn("text", F.regexp_replace("text", "(?i)licensed under", "governed by the laws, survival and assignment of")))
+    return rows.select("doc_id", F.explode(retrieval.concepts_of(F.concat_ws(" ", "heading", "text"))).alias("concept")).groupBy("concept").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("documents"))
+
+
 def boilerplate(spark: SparkSession, sf: str) -> DataFrame:
     """Edge lines that several documents of a source show."""
     return retrieval.running_boilerplate(load(spark, sf, "documents"), "source", "doc_id", "text")
@@ -160,7 +166,7 @@ def nearest_rank(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    full_text_match, bm25_rank, document_provisions, concept_provisions, concept_documents, boilerplate, semantic_top_k, voice_profiles, voice_match, blended_profiles, hybrid_search,
+    full_text_match, bm25_rank, document_provisions, concept_provisions, concept_documents, concept_counts, boilerplate, semantic_top_k, voice_profiles, voice_match, blended_profiles, hybrid_search,
     alias_pairs, plausible_names, alias_clusters, cluster_score, session_at, speaker_by_overlap, speaker_at_time, merged_turns, dominant_speakers, turn_windows, nearest_rank,
 )}
 
@@ -198,6 +204,8 @@ ORACLE_SQL = {
     "concept_documents": f"""WITH {_PROVISIONS}, low AS (SELECT *, lower(concat_ws(' ', heading, text)) AS low FROM provisions),
         c AS (SELECT doc_id, ordinal, 'c' AS concept FROM low WHERE contains(low, 'example.com') UNION ALL SELECT doc_id, ordinal, 's' FROM low WHERE contains(low, 'token = ') OR contains(low, '+1 ('))
         SELECT doc_id, min(ordinal) AS first_ordinal, count(*) AS n FROM c GROUP BY 1 HAVING count(DISTINCT concept) = 2""",
+    "concept_counts": "WITH " + _PROVISIONS.replace("FROM documents", "FROM (SELECT doc_id, regexp_replace(text, 'licensed under', 'governed by the laws, survival and assignment of', 'gi') AS text FROM documents)") + ", low AS (SELECT doc_id, lower(concat_ws(' ', heading, text)) AS low FROM provisions), c AS ("
+        + " UNION ALL ".join(f"SELECT doc_id, '{c}' AS concept FROM low WHERE " + " OR ".join(f"contains(low, '{a}')" for a in own) for c, own in retrieval.CONCEPTS.items()) + ") SELECT concept, count(*) AS n, count(DISTINCT doc_id) AS documents FROM c GROUP BY 1",
     "boilerplate": """WITH l AS (SELECT source, doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS lines FROM documents),
         s AS (SELECT DISTINCT source, doc_id, unnest(list_transform(lines[1:3] || list_reverse(lines)[1:3], lambda x: regexp_replace(lower(x), '[0-9]+', '#', 'g'))) AS shape FROM l)
         SELECT source, shape, count(DISTINCT doc_id) AS pages FROM s WHERE shape <> '' GROUP BY 1, 2 HAVING count(DISTINCT doc_id) > 1""",

@@ -132,7 +132,22 @@ _NAME = "CASE WHEN doc_id % 3 = 0 THEN translate(regexp_extract(text, '^([\\pL]+
 _STOP = ", ".join(f"'{w}'" for w in T.KEYWORD_STOPWORDS)
 _CUES = " OR ".join(f"contains(lower(text), '{c.replace(chr(39), chr(39) * 2)}')" for c in T.DECISIVE_CUES)
 
+_LIST = lambda words: ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+_LINES = rf"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS pos FROM documents),
+    m AS (SELECT doc_id, pos, CASE WHEN (doc_id + pos) % 11 = 0 THEN '[0:01] Thank you for watching!' WHEN (doc_id + pos) % 7 = 0 THEN '[0:02] [soft music]' WHEN (doc_id + pos) % 13 = 0 THEN '[0:03] 東京は夜です'
+        WHEN (doc_id + pos) % 17 = 0 THEN '[1:00] (see attached)' ELSE '[0:09] ' || raw END AS line FROM l), t AS (SELECT doc_id, pos, substring(line, instr(line, '] ') + 2) AS text FROM m),
+    a AS (SELECT *, trim(regexp_replace(trim(lower(text), ' '), '[.!?,;:]+$', ''), ' ') AS p, regexp_replace(trim(text, ' '), '\.$', '') AS s, length(regexp_replace(text, '[^\pL]', '', 'g')) AS letters,
+        length(regexp_replace(text, '[^A-Za-zÀ-ɏḀ-ỿ]|[^\pL]', '', 'g')) AS latin, length(regexp_replace(text, '[^一-鿿㐀-䶿぀-ヿ가-힯]|[^\pL]', '', 'g')) AS cjk FROM t),
+    b AS (SELECT *, substring(s, 2, greatest(length(s) - 2, 0)) AS inn FROM a), c AS (SELECT *, list_filter(regexp_split_to_array(inn, '\s+'), lambda w: w <> '') AS w FROM b),
+    flags AS (SELECT doc_id, pos, p <> '' AND (p IN ({_LIST(noise.PHRASES)}) OR {" OR ".join(f"starts_with(p, '{x}')" for x in noise.PHRASE_PREFIXES)} OR regexp_matches(p, '^(www\.|http://|https://)')) AS phrase,
+        regexp_matches(s, '(?s)^(\[.*\]|\(.*\))$') AND NOT starts_with(trim(text, ' '), '[...]') AND NOT regexp_full_match(inn, '[0-9:]*') AND len(w) BETWEEN 1 AND 4 AND strlen(inn) <= 40 AND coalesce(lower(w[-1]) IN ({_LIST(noise.NOISE_WORDS)}), false) AS marker,
+        CASE WHEN letters = 0 THEN NULL WHEN latin * 2 >= letters THEN 'latin' WHEN cjk * 2 >= letters THEN 'cjk' ELSE 'other' END AS script FROM c)"""
+
 ORACLE_SQL = {
+    "noise_flags": _LINES + " SELECT phrase, marker, script, count(*) AS n FROM flags GROUP BY 1, 2, 3",
+    "script_filter": _LINES + """, n AS (SELECT doc_id, count(script) AS n, count(*) FILTER (script = 'latin') AS a, count(*) FILTER (script = 'cjk') AS b, count(*) FILTER (script = 'other') AS c FROM flags GROUP BY 1),
+        d AS (SELECT doc_id, CASE WHEN n < 2 THEN NULL WHEN a >= 0.7 * n THEN 'latin' WHEN b >= 0.7 * n THEN 'cjk' WHEN c >= 0.7 * n THEN 'other' END AS main_script FROM n)
+        SELECT doc_id, count(*) AS n FROM flags JOIN d USING (doc_id) WHERE script IS NULL OR main_script IS NULL OR script = main_script GROUP BY 1""",
     "summary_intents": _INTENTS + " SELECT * FROM p",
     "entity_links": f"""WITH n AS (SELECT {_NAME} AS name FROM documents), s AS (SELECT name, regexp_replace(regexp_replace(lower(name), '[^\\pL\\pN]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM n WHERE name <> '')
         SELECT slug, min(name) AS label, string_agg(DISTINCT lower(name), ' | ' ORDER BY lower(name)) AS aliases, count(*) AS n FROM (SELECT * FROM s) GROUP BY slug""",
