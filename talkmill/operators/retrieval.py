@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from talkmill.functions.stems import stem, stems
 from talkmill.functions.text import footer_shape
 from talkmill.session import checkpointed
 
@@ -61,6 +62,23 @@ def matching(documents: DataFrame, query: str, key: str = "doc_id", column: str
     return documents.where(held)
 
 
+def matching_stems(documents: DataFrame, query: str, key: str = "doc_id", column: str = "text") -> DataFrame:
+    """(key): documents with a term of the stem of each whole term of the query, and one whose stem begins as the last one's.
+
+    Stems are taken of the distinct terms alone. The terms that count for some part of the query are then looked up in the documents.
+    """
+    whole, prefix = query_terms(query)
+    if prefix is None:
+        return documents.select(key).limit(0)
+    asked = sorted({stem(t) for t in whole})
+    terms = documents.select(key, F.explode(F.array_distinct(terms_of(F.col(column)))).alias("term"))
+    known = checkpointed(terms)
+    rows = known.select("term").distinct().withColumn("stem", stems(F.col("term")))
+    parts = F.array_compact(F.array(*(F.when(F.col("stem") == s, F.lit(s)) for s in asked), F.when(F.col("stem").startswith(stem(prefix)), F.lit(f"{stem(prefix)}*"))))
+    rows = rows.select("term", F.explode(parts).alias("part"))
+    return known.join(rows, "term").groupBy(key).agg(F.count_distinct("part").alias("n")).where(F.col("n") == len(asked) + 1).select(key)
+
+
 def bm25(documents: DataFrame, query: list[str], key: str = "doc_id", column: str = "text", k: int = 25) -> DataFrame:
     """(key, score, matched): the k best documents for the query's terms by Robertson's BM25 (k1 1.2, b 0.75), ties to the smaller key.
 

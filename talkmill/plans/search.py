@@ -15,6 +15,11 @@ def full_text_match(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.matching(load(spark, sf, "documents"), "the with erth").select("doc_id", "lang")
 
 
+def stemmed_match(spark: SparkSession, sf: str) -> DataFrame:
+    """R2: documents with the stems of a query's terms, the last as a prefix."""
+    return retrieval.matching_stems(load(spark, sf, "documents"), "the er")
+
+
 def bm25_rank(spark: SparkSession, sf: str) -> DataFrame:
     """BM25 over whole documents."""
     return retrieval.bm25(load(spark, sf, "documents"), ["apache", "license", "released", "thing"])
@@ -166,7 +171,7 @@ def nearest_rank(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    full_text_match, bm25_rank, document_provisions, concept_provisions, concept_documents, concept_counts, boilerplate, semantic_top_k, voice_profiles, voice_match, blended_profiles, hybrid_search,
+    full_text_match, stemmed_match, bm25_rank, document_provisions, concept_provisions, concept_documents, concept_counts, boilerplate, semantic_top_k, voice_profiles, voice_match, blended_profiles, hybrid_search,
     alias_pairs, plausible_names, alias_clusters, cluster_score, session_at, speaker_by_overlap, speaker_at_time, merged_turns, dominant_speakers, turn_windows, nearest_rank,
 )}
 

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from talkmill.functions.stems import stem
 from talkmill.operators import answers, cleaning, identity, names, retrieval, voices
 from talkmill.plans import answers as answer_plans
 from talkmill.plans import live
@@ -181,3 +182,17 @@ def test_streams_of_partials_and_sinks(spark, tmp_path):
     ring = spark.createDataFrame([(1, i, m) for i, m in enumerate([5, 1, 9, 2])], "k int, i int, ms int")
     assert [(r.n, r.p50, r.p95) for r in windows.newest_percentiles(ring, "k", "i", "ms", 3).orderBy("i").collect()][-1] == (3, 2, 9)
     assert operators.latency(3).output.startswith("n long")
+
+
+def test_stems(spark):
+    pairs = """caresses caress ponies poni ties ti cats cat feed feed agreed agre plastered plaster bled bled motoring motor sing sing conflated conflat troubled troubl sized size
+        hopping hop falling fall hissing hiss fizzed fizz failing fail filing file happy happi sky sky relational relat conditional condit rational ration valenci valenc digitizer digit
+        conformabli conform radicalli radic differentli differ vileli vile analogousli analog vietnamization vietnam predication predic operator oper feudalism feudal decisiveness decis
+        hopefulness hope callousness callous formaliti formal sensitiviti sensit sensibiliti sensibl triplicate triplic formative form formalize formal electriciti electr electrical electr
+        hopeful hope goodness good revival reviv allowance allow inference infer airliner airlin gyroscopic gyroscop adjustable adjust defensible defens irritant irrit replacement replac
+        adjustment adjust dependent depend adoption adopt homologou homolog communism commun activate activ angulariti angular homologous homolog effective effect bowdlerize bowdler
+        probate probat rate rate cease ceas controll control roll roll""".split()
+    assert [stem(w) for w in pairs[::2]] == pairs[1::2]
+    docs = spark.createDataFrame([(1, "Licensing attributes"), (2, "licensed; attribution"), (3, "licences attribution"), (4, "license"), (5, None)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in retrieval.matching_stems(docs, "licensed attribut").collect()) == [1, 2]
+    assert retrieval.matching_stems(docs, " ").count() == 0
