@@ -55,6 +55,14 @@ def latency_ring(spark: SparkSession, sf: str) -> DataFrame:
     return windows.newest_percentiles(rows, "user_id", "event_id", "ms").groupBy("user_id").agg(F.max("n").alias("n"), F.max("p50").alias("p50"), F.max("p95").alias("p95"))
 
 
+def newest_partials(spark: SparkSession, sf: str) -> DataFrame:
+    """T5: partial texts that no newer version of their utterance came before."""
+    e = load(spark, sf, "events")
+    rows = e.select("user_id", "event_id", (F.col("event_id") % 5).alias("sequence"), (F.col("event_id") * 7 % 11).alias("revision"), (F.col("event_id") % 97 == 0).alias("final"), F.col("event_type").alias("text"))
+    out = operators.newest_partials().replay(rows, "user_id", ["event_id"])
+    return out.groupBy("user_id", "sequence").agg(F.count("*").alias("n"), F.max("revision").alias("revision"), F.bool_or("final").alias("final"))
+
+
 def hourly_events(spark: SparkSession, sf: str) -> DataFrame:
     """Tumbling windows, as a batch."""
     rows = windows.tumbling(load(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")))
@@ -67,9 +75,12 @@ def user_sessions(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
 
-QUERIES = {f.__name__: f for f in (topic_shifts, nudge_policy, partial_gate, speech_smoothing, session_states, latency_ring, hourly_events, user_sessions)}
+QUERIES = {f.__name__: f for f in (topic_shifts, nudge_policy, partial_gate, speech_smoothing, session_states, latency_ring, newest_partials, hourly_events, user_sessions)}
 
 ORACLE_SQL = {
+    "newest_partials": """WITH e AS (SELECT user_id, event_id, event_id % 5 AS sequence, event_id * 7 % 11 AS revision, event_id % 97 = 0 AS final FROM events), v AS (SELECT *, final::INT * 1000 + revision AS v FROM e),
+        w AS (SELECT *, max(v) OVER (PARTITION BY user_id, sequence ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM v)
+        SELECT user_id, sequence, count(*) AS n, max(revision) AS revision, bool_or(final) AS final FROM w WHERE before IS NULL OR v > before GROUP BY 1, 2""",
     "hourly_events": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2",
     "user_sessions": """WITH f AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
         r AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS run FROM f) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM r GROUP BY user_id, run""",

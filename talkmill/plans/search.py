@@ -147,6 +147,13 @@ def speaker_at_time(spark: SparkSession, sf: str) -> DataFrame:
     return intervals.speaker_at(points, s.select("conv_id", "speaker", "start", "end"), "line", "at", ["conv_id"], reach=1.5)
 
 
+def near_speech(spark: SparkSession, sf: str) -> DataFrame:
+    """Moments with speech of somebody within a second."""
+    s = _segments(spark, sf)
+    points = s.select("conv_id", (F.col("conv_id") * 100 + F.col("turn")).alias("line"), (F.col("start") + (F.col("turn") * 7 + F.col("conv_id")) % 17 - 4).alias("l_start")).withColumn("l_end", F.col("l_start"))
+    return intervals.overlapping(points, s.where("turn % 2 = 0").select("conv_id", "start", "end"), ["conv_id"], 20.0, slack=1.0).select("line").distinct()
+
+
 def merged_turns(spark: SparkSession, sf: str) -> DataFrame:
     """Runs of segments with small gaps."""
     rows = intervals.merged(_segments(spark, sf), ["conv_id"], 0.75)
@@ -172,7 +179,7 @@ def nearest_rank(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     full_text_match, stemmed_match, bm25_rank, document_provisions, concept_provisions, concept_documents, concept_counts, boilerplate, semantic_top_k, voice_profiles, voice_match, blended_profiles, hybrid_search,
-    alias_pairs, plausible_names, alias_clusters, cluster_score, session_at, speaker_by_overlap, speaker_at_time, merged_turns, dominant_speakers, turn_windows, nearest_rank,
+    alias_pairs, plausible_names, alias_clusters, cluster_score, session_at, speaker_by_overlap, speaker_at_time, near_speech, merged_turns, dominant_speakers, turn_windows, nearest_rank,
 )}
 
 _TERMS = "list_filter(regexp_split_to_array(translate(lower({0}), 'áàâäãåéèêëíìîïóòôöõúùûüçñ', 'aaaaaaeeeeiiiiooooouuuucn'), '[^\\pL\\pN]+'), lambda t: length(t) >= 2)"
@@ -253,6 +260,8 @@ ORACLE_SQL = {
         g AS (SELECT line, speaker, CASE WHEN start <= at_ AND at_ < end_ THEN 0 WHEN start > at_ AND start - at_ <= 1.5 THEN 1 WHEN end_ <= at_ AND at_ - end_ <= 1.5 THEN 2 END AS c,
             CASE WHEN start <= at_ AND at_ < end_ THEN start WHEN start > at_ THEN start - at_ ELSE at_ - end_ END AS g FROM p JOIN segments USING (conv_id)),
         b AS (SELECT line, speaker FROM g WHERE c IS NOT NULL QUALIFY row_number() OVER (PARTITION BY line ORDER BY c, g, speaker) = 1) SELECT line, speaker FROM p LEFT JOIN b USING (line)""",
+    "near_speech": f"""WITH {_SEGMENTS}, p AS (SELECT conv_id, conv_id * 100 + turn AS line, start + (turn * 7 + conv_id) % 17 - 4 AS at_ FROM segments)
+        SELECT DISTINCT line FROM p JOIN segments s USING (conv_id) WHERE s.turn % 2 = 0 AND s.start < at_ + 1 AND s.end_ > at_ - 1""",
     "merged_turns": f"""WITH {_SEGMENTS}, f AS (SELECT *, max(end_) OVER (PARTITION BY conv_id ORDER BY start, end_ ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM segments),
         r AS (SELECT *, sum(CASE WHEN before IS NULL OR start > before + 0.75 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY start, end_ ROWS UNBOUNDED PRECEDING) AS run FROM f)
         SELECT conv_id, round(min(start), 4) AS start, round(max(end_), 4) AS end, count(*) AS n FROM r GROUP BY conv_id, run""",

@@ -54,6 +54,13 @@ def speaker_names(spark: SparkSession, sf: str) -> DataFrame:
     return extraction.humanised(t, names)
 
 
+def transcript_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Segments as transcript texts, with their numbers."""
+    t = load(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("double").alias("pos"), F.concat(F.lit("["), "role", F.lit("] "), "text").alias("line"))
+    stats = t.groupBy("doc_id").agg(F.count("*").alias("segments"), F.sum(F.size(T.words(F.col("line"))) - 1).alias("words"))
+    return cleaning.transcript_text(t).select("doc_id", F.md5("text").alias("md5")).join(stats, "doc_id")
+
+
 def speaker_overlay(spark: SparkSession, sf: str) -> DataFrame:
     """The latest confirmed value over the base value."""
     e = load(spark, sf, "events").select("user_id", "event_type", F.col("event_id").alias("at"), F.concat("event_type", F.lit("-"), "event_id").alias("value"))
@@ -117,7 +124,7 @@ def topic_keywords(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    summary_intents, summary_insights, entity_links, memo_tags, speaker_names, speaker_overlay, noise_flags, script_filter, noise_collapse, clean_transcripts, sentence_counts,
+    summary_intents, summary_insights, entity_links, memo_tags, speaker_names, transcript_texts, speaker_overlay, noise_flags, script_filter, noise_collapse, clean_transcripts, sentence_counts,
     recognition_errors, topic_keywords,
 )}
 
@@ -144,6 +151,7 @@ _LINES = rf"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''),
         CASE WHEN letters = 0 THEN NULL WHEN latin * 2 >= letters THEN 'latin' WHEN cjk * 2 >= letters THEN 'cjk' ELSE 'other' END AS script FROM c)"""
 
 ORACLE_SQL = {
+    "transcript_texts": """SELECT conv_id AS doc_id, md5(string_agg('[' || role || '] ' || text, chr(10) ORDER BY turn)) AS md5, count(*) AS segments, sum(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')))::BIGINT AS words FROM conversations GROUP BY 1""",
     "noise_flags": _LINES + " SELECT phrase, marker, script, count(*) AS n FROM flags GROUP BY 1, 2, 3",
     "script_filter": _LINES + """, n AS (SELECT doc_id, count(script) AS n, count(*) FILTER (script = 'latin') AS a, count(*) FILTER (script = 'cjk') AS b, count(*) FILTER (script = 'other') AS c FROM flags GROUP BY 1),
         d AS (SELECT doc_id, CASE WHEN n < 2 THEN NULL WHEN a >= 0.7 * n THEN 'latin' WHEN b >= 0.7 * n THEN 'cjk' WHEN c >= 0.7 * n THEN 'other' END AS main_script FROM n)

@@ -27,10 +27,11 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return own.unionByName(numbered).select("seq", F.col("e.timestamp").alias("ts"), "e.event_type", "value")
 
 
-def append_events(events: DataFrame, log: DataFrame, path: str) -> None:
+def append_events(events: DataFrame, log: DataFrame, path: str, rotate: int = 50_000) -> None:
     """Appends (ts, event_type, payload) with the next sequence numbers, in order of time.
 
-    Numbers are given by time ranges: the ranges are counted first, then each numbers its own rows.
+    Numbers are given by time ranges: the ranges are counted first, then each numbers its own rows. A file gets `rotate` events at most. One writer
+    at a time: the number is checked again before the rows are written, and a ValueError says that another one has been there.
     """
     high = log.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
     dealt = events.repartitionByRange("ts", "payload").sortWithinPartitions("ts", "payload").withColumn("part", F.spark_partition_id())
@@ -38,7 +39,9 @@ def append_events(events: DataFrame, log: DataFrame, path: str) -> None:
     before = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     rows = dealt.join(before, "part").withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy("ts", "payload")))
     out = rows.select(F.lit(1).alias("v"), (F.lit(high) + F.col("before") + F.col("place")).alias("seq"), F.col("ts").alias("timestamp"), "event_type", "payload")
-    out.write.mode("append").json(path)
+    if log.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0] != high:
+        raise ValueError("another writer has appended to the log")
+    out.write.mode("append").option("maxRecordsPerFile", rotate).json(path)
 
 
 def allowed_annotations(annotations: DataFrame, agents: DataFrame) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
 MEETING = (
     "title string, type string, date string, duration string, attendees array<string>, people array<string>, tags array<string>, "
     "decisions array<struct<text:string,topic:string,authority:string,supersedes:string>>, "
@@ -99,3 +101,19 @@ def parse(corpus: DataFrame) -> DataFrame:
 def resolve_slug(corpus: DataFrame, slug: str) -> DataFrame:
     """The first path whose file name begins with the slug."""
     return corpus.where(F.substring_index("path", "/", -1).startswith(slug)).orderBy("path").limit(1)
+
+
+def revision(corpus: DataFrame) -> tuple[int, int]:
+    """How many files a corpus (path, content) has, and a hash of their paths and contents that does not depend on their order."""
+    h = F.conv(F.substring(F.sha2(F.concat_ws("|", "path", F.sha2("content", 256)), 256), 1, 8), 16, 10).cast("long")
+    return tuple(corpus.agg(F.count("*"), F.coalesce(F.sum(h), F.lit(0))).first())
+
+
+def stable_read(spark: SparkSession, root: str, work: Callable[[DataFrame], T], attempts: int = 2) -> T:
+    """work(corpus), if the corpus is the same before and after it; a RuntimeError if it changes each time."""
+    for _ in range(attempts):
+        before = revision(read_corpus(spark, root))
+        found = work(read_corpus(spark, root))
+        if revision(read_corpus(spark, root)) == before:
+            return found
+    raise RuntimeError("the corpus changes while it is read")

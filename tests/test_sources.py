@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from talkmill.sources import census, logs, markdown
+from talkmill.sources import census, logs, markdown, vocabulary
 
 NOTE = """---
 title: Pricing
@@ -74,3 +74,30 @@ def test_census(spark, tmp_path):
         (tmp_path / name).write_bytes(b"x" * size)
     got = {(r.measure, r.value): r.files for r in census.census(census.files(spark, str(tmp_path))).collect()}
     assert got["format", "tar.gz"] == 1 and got["category", "plain_text"] == 1 and got["size", "under_100_kib"] == 3 and got["size", "100_kib_to_1_mib"] == 1 and got["category", "other"] == 1
+
+
+def test_vocabulary_and_conversion(spark, tmp_path):
+    (tmp_path / "v.toml").write_text('[[entries]]\ncanonical = "Big Query"\nkind = "product"\npriority = 3\naliases = ["BQ", "", "Big Query"]\n[[entries]]\naliases = ["x"]\n')
+    (tmp_path / "bad.toml").write_text("[[")
+    rows = vocabulary.read_vocabulary(spark, str(tmp_path)).orderBy("place").collect()
+    assert [(r.entry, r.canonical, r.kind, r.priority, r.place, r.form) for r in rows] == [(0, "Big Query", "product", 3, 0, "Big Query"), (0, "Big Query", "product", 3, 1, "BQ")]
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "a.html").write_text("<p>a &amp; b</p><script>x()</script>")
+    (tmp_path / "d" / "b.txt").write_text("plain é")
+    (tmp_path / "d" / "c.pdf").write_text("%PDF")
+    got = {r.format: r.text for r in vocabulary.converted(spark, str(tmp_path / "d")).collect()}
+    assert got == {"html": "a & b", "txt": "plain é", "pdf": None}
+
+
+def test_stable_read(spark, tmp_path):
+    (tmp_path / "one.md").write_text(NOTE)
+    assert markdown.stable_read(spark, str(tmp_path), lambda c: c.count()) == 1
+    tries = []
+
+    def work(corpus):
+        tries.append(corpus.count())
+        (tmp_path / f"new{len(tries)}.md").write_text(NOTE)
+
+    with pytest.raises(RuntimeError):
+        markdown.stable_read(spark, str(tmp_path), work)
+    assert tries == [1, 2]
