@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from talkmill.functions.stems import stem
-from talkmill.operators import answers, cleaning, identity, names, retrieval, voices
+from talkmill.operators import answers, cleaning, identity, names, records, retrieval, voices
 from talkmill.plans import answers as answer_plans
 from talkmill.plans import live
 from talkmill.streaming import operators, windows
@@ -196,3 +196,23 @@ def test_stems(spark):
     docs = spark.createDataFrame([(1, "Licensing attributes"), (2, "licensed; attribution"), (3, "licences attribution"), (4, "license"), (5, None)], "doc_id long, text string")
     assert sorted(r.doc_id for r in retrieval.matching_stems(docs, "licensed attribut").collect()) == [1, 2]
     assert retrieval.matching_stems(docs, " ").count() == 0
+
+
+def test_live_texts_and_chunks(spark):
+    rows = [(1, 0.0, "[0:01] hello there"), (1, 1.0, "[soft piano tune]"), (1, 2.0, "[0:02] 東京は夜です"), (1, 3.0, "how are you"), (1, 4.0, "[12:30]"), (1, 5.0, "fine (laughs)"), (2, 0.0, "[music]"), (3, 0.0, " ")]
+    got = {r.doc_id: r.text for r in records.live_texts(spark.createDataFrame(rows, cleaning.LINES)).collect()}
+    assert got == {1: "hello there how are you [12:30] fine (laughs)"}
+    rng = random.Random(6)
+    texts = ["\n".join("x" * rng.choice([0, 3, 30, 500]) for _ in range(rng.randrange(0, 30))) for _ in range(60)] + [None, ""]
+    parts = {}
+    for r in records.chunks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 50).collect():
+        parts.setdefault(r.doc_id, []).append(r)
+    for d, text in enumerate(texts):
+        own, text = sorted(parts.get(d, []), key=lambda r: r.chunk), (text or "") + "\n"
+        assert [r.start for r in own] == [sum(x.chars for x in own[:i]) for i in range(len(own))]
+        assert sum(r.chars for r in own) == (len(text) if len(text) > 1 else 0)
+        for r, after in zip(own, [*own[1:], None]):
+            piece = text[r.start : r.start + r.chars]
+            assert piece.endswith("\n") and (r.chars <= 201 or piece.count("\n") == 1)
+            if after:
+                assert r.chars + len(text[after.start :].split("\n")[0]) > 200, "a chunk takes all lines that fit"
