@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkmill.llm import chat, licenses, lines, packing, passages, pii, quality, simhash, tiling, topk
+from talkmill.llm import chat, licenses, lines, manifest, packing, passages, pii, quality, simhash, tiling, topk
 from talkmill.tables import load
 
 
@@ -77,6 +77,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and the root that its leaf, perhaps tampered with, gives with the proof."""
+    return manifest.verified(manifest.manifest(load(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_decontamination": op2_decontamination,
@@ -88,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_top_k": op8_top_k,
     "op9_chat": op9_chat,
     "op10_packing": op10_packing,
+    "op11_merkle": op11_merkle,
 }
 
 
@@ -116,6 +122,19 @@ _MOD97 = f"""list_reduce(list_prepend(0, list_transform(range(1, length({_CODE})
     ascii((substring({_CODE}, 5) || {_CODE}[1:4])[i])::INT)),
     lambda a, c: CASE WHEN c > 57 THEN (a * 100 + c - 55) % 97 ELSE (a * 10 + c - 48) % 97 END) = 1"""
 
+_CRC = """list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda r, c: CASE WHEN c >= 0 THEN xor(r, c) WHEN r % 2 = 1 THEN xor(r // 2, 3988292384) ELSE r // 2 END)"""
+_FIELD = lambda c: f"coalesce(octet_length(encode(({c})::VARCHAR)) || ':' || ({c})::VARCHAR, '-')"
+_LEAF = lambda n: f"sha256({' || '.join(map(_FIELD, ('doc_id', 'source', 'lang', n, 'text')))})"
+
+
+def _path_sql(nodes: str) -> str:
+    """One level up for rows (at, level, i, n, node, proof) of a path through a table of nodes."""
+    return f"""p.level + 1, p.i // 2, (p.n + 1) // 2,
+        sha256(CASE WHEN p.i % 2 = 1 THEN s.hash ELSE '' END || p.node || CASE WHEN p.i % 2 = 0 THEN coalesce(s.hash, '') ELSE '' END), p.proof || coalesce(s.hash, '')
+        FROM p LEFT JOIN {nodes} s ON s.tree = p.tree AND s.level = p.level AND s.i = xor(p.i, 1) WHERE p.n > 1"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op5_pii": f"""
         WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), found AS (
@@ -196,4 +215,33 @@ ORACLE_SQL: dict[str, str] = {
                coalesce(string_agg((r_end - length(text) - 8)::BIGINT || ':' || r_end::BIGINT, ',' ORDER BY turn, role, text) FILTER (NOT shared AND r AND role = 'assistant'), '') AS rejected_spans
         FROM placed GROUP BY conv_id, segment
     """,
+    "op11_merkle": f"""
+        WITH RECURSIVE own AS (
+            SELECT doc_id, coalesce('=' || lang, '') AS tree, {_LEAF("n_chars")} AS leaf,
+                   CASE WHEN (4294967295 - {_CRC}) % 7 = 0 THEN {_LEAF("n_chars + 1")} END AS tampered
+            FROM documents
+        ), leaves AS (
+            SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n FROM own
+        ), nodes AS (
+            SELECT tree, 0 AS level, i, n, leaf AS hash FROM leaves
+            UNION ALL
+            SELECT tree, level + 1, i // 2, (n + 1) // 2, sha256(string_agg(hash, '' ORDER BY i)) FROM nodes WHERE n > 1 GROUP BY tree, level, n, i // 2
+        ), subroots AS (
+            SELECT tree AS lang, '' AS tree, hash, row_number() OVER (ORDER BY tree) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE n = 1
+        ), tops AS (
+            SELECT tree, 0 AS level, i, n, hash FROM subroots
+            UNION ALL
+            SELECT tree, level + 1, i // 2, (n + 1) // 2, sha256(string_agg(hash, '' ORDER BY i)) FROM tops WHERE n > 1 GROUP BY tree, level, n, i // 2
+        ), lower_path AS (
+            SELECT tree, i AS at, 0 AS level, i, n, coalesce(tampered, leaf) AS node, '' AS proof FROM leaves
+            UNION ALL
+            SELECT p.tree, p.at, {_path_sql("nodes").replace("FROM p ", "FROM lower_path p ")}
+        ), upper_path AS (
+            SELECT s.tree, p.tree AS lang, p.at, s.hash AS subroot, 0 AS level, s.i, s.n, p.node, p.proof FROM lower_path p JOIN subroots s ON s.lang = p.tree WHERE p.n = 1
+            UNION ALL
+            SELECT p.tree, p.lang, p.at, p.subroot, {_path_sql("tops").replace("FROM p ", "FROM upper_path p ")}
+        )
+        SELECT l.doc_id, l.leaf, p.subroot, r.hash AS root, sha256(p.proof) AS proof_sha256, p.node AS folded_root, p.node = r.hash AS verified
+        FROM leaves l JOIN upper_path p ON p.n = 1 AND p.lang = l.tree AND p.at = l.i, (SELECT hash FROM tops WHERE n = 1) r
+    """,
 }
