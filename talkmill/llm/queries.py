@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkmill.llm import chat, licenses, lines, manifest, packing, passages, pii, quality, simhash, tiling, topk
+from talkmill.llm import chat, licenses, lines, manifest, packing, passages, pii, quality, simhash, spelling, tiling, topk
 from talkmill.tables import load
 
 
@@ -82,6 +82,11 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.verified(manifest.manifest(load(spark, sf_dir, "documents")))
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the documents with its near words, its form and the end of its path of forms."""
+    return spelling.variants(load(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_decontamination": op2_decontamination,
@@ -94,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat": op9_chat,
     "op10_packing": op10_packing,
     "op11_merkle": op11_merkle,
+    "op13_spelling": op13_spelling,
 }
 
 
@@ -122,8 +128,14 @@ _MOD97 = f"""list_reduce(list_prepend(0, list_transform(range(1, length({_CODE})
     ascii((substring({_CODE}, 5) || {_CODE}[1:4])[i])::INT)),
     lambda a, c: CASE WHEN c > 57 THEN (a * 100 + c - 55) % 97 ELSE (a * 10 + c - 48) % 97 END) = 1"""
 
-_CRC = """list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
-    lambda r, c: CASE WHEN c >= 0 THEN xor(r, c) WHEN r % 2 = 1 THEN xor(r // 2, 3988292384) ELSE r // 2 END)"""
+def _crc_sql(text: str) -> str:
+    """CRC-32 of the UTF-8 bytes of a text of code points below 256: a byte, then eight shifts."""
+    return f"""(4294967295 - list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split({text}, ''), lambda c:
+        (CASE WHEN unicode(c) < 128 THEN [] ELSE [195, -1, -1, -1, -1, -1, -1, -1, -1] END)
+        || [CASE WHEN unicode(c) < 128 THEN unicode(c) ELSE unicode(c) - 64 END::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda r, c: CASE WHEN c >= 0 THEN xor(r, c) WHEN r % 2 = 1 THEN xor(r // 2, 3988292384) ELSE r // 2 END))"""
+
+
 _FIELD = lambda c: f"coalesce(octet_length(encode(({c})::VARCHAR)) || ':' || ({c})::VARCHAR, '-')"
 _LEAF = lambda n: f"sha256({' || '.join(map(_FIELD, ('doc_id', 'source', 'lang', n, 'text')))})"
 
@@ -218,7 +230,7 @@ ORACLE_SQL: dict[str, str] = {
     "op11_merkle": f"""
         WITH RECURSIVE own AS (
             SELECT doc_id, coalesce('=' || lang, '') AS tree, {_LEAF("n_chars")} AS leaf,
-                   CASE WHEN (4294967295 - {_CRC}) % 7 = 0 THEN {_LEAF("n_chars + 1")} END AS tampered
+                   CASE WHEN {_crc_sql("doc_id::VARCHAR")} % 7 = 0 THEN {_LEAF("n_chars + 1")} END AS tampered
             FROM documents
         ), leaves AS (
             SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n FROM own
@@ -244,4 +256,31 @@ ORACLE_SQL: dict[str, str] = {
         SELECT l.doc_id, l.leaf, p.subroot, r.hash AS root, sha256(p.proof) AS proof_sha256, p.node AS folded_root, p.node = r.hash AS verified
         FROM leaves l JOIN upper_path p ON p.n = 1 AND p.lang = l.tree AND p.at = l.i, (SELECT hash FROM tops WHERE n = 1) r
     """,
+    "op13_spelling": f"""
+        WITH RECURSIVE runs AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS r FROM documents),
+        counted AS (
+            SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r, count(*) AS n
+            FROM runs WHERE length(r) >= 7 GROUP BY ALL
+        ), hashed AS (SELECT *, {_crc_sql("doc_id || ':' || r")} AS h FROM counted),
+        garbled AS (SELECT CASE WHEN h % 31 = 0 THEN substring(r, 1, h % length(r)) || substring(r, h % length(r) + 2) ELSE r END AS word, n AS k FROM hashed),
+        words AS (SELECT word, sum(k)::BIGINT AS n FROM garbled WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+        cut AS (
+            SELECT word, i, substring(word, 1, i) || substring(word, i + 2) AS rest FROM (SELECT word, unnest(range(length(word))) AS i FROM words)
+        ), near AS (
+            SELECT a.word, b.word AS near FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+            UNION SELECT c.word, w.word FROM cut c JOIN words w ON c.rest = w.word
+            UNION SELECT w.word, c.word FROM cut c JOIN words w ON c.rest = w.word
+        ), best AS (
+            SELECT a.word, count(*) OVER v AS n_near, b.word AS form, b.n AS form_n, row_number() OVER (v ORDER BY b.n DESC, b.word) AS r
+            FROM near JOIN words a ON near.word = a.word JOIN words b ON near.near = b.word WINDOW v AS (PARTITION BY a.word)
+        ), forms AS (
+            SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.form_n >= 10 * w.n THEN b.form END AS form, CASE WHEN b.form_n >= 10 * w.n THEN b.form_n END AS form_n
+            FROM words w LEFT JOIN best b ON w.word = b.word AND b.r = 1
+        ), paths AS (
+            SELECT word, word AS root FROM forms
+            UNION ALL SELECT p.word, f.form FROM paths p JOIN forms f ON p.root = f.word WHERE f.form IS NOT NULL
+        )
+        SELECT f.word, f.form, p.root, f.n, f.n_near, f.form_n
+        FROM forms f JOIN paths p ON p.word = f.word JOIN forms e ON e.word = p.root AND e.form IS NULL
+    """,
 }
