@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkmill.llm import chat, licenses, lines, manifest, packing, passages, pii, quality, simhash, spelling, tiling, topk
+from talkmill.llm import chat, licenses, lines, manifest, packing, passages, pii, quality, setjoin, simhash, spelling, tiling, topk
 from talkmill.tables import load
 
 
@@ -82,6 +82,11 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.verified(manifest.manifest(load(spark, sf_dir, "documents")))
 
 
+def op12_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document among those whose sets of three-word shingles are alike."""
+    return setjoin.similar_sets(load(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every word of the documents with its near words, its form and the end of its path of forms."""
     return spelling.variants(load(spark, sf_dir, "documents"))
@@ -99,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat": op9_chat,
     "op10_packing": op10_packing,
     "op11_merkle": op11_merkle,
+    "op12_set_join": op12_set_join,
     "op13_spelling": op13_spelling,
 }
 
@@ -256,6 +262,24 @@ ORACLE_SQL: dict[str, str] = {
         SELECT l.doc_id, l.leaf, p.subroot, r.hash AS root, sha256(p.proof) AS proof_sha256, p.node AS folded_root, p.node = r.hash AS verified
         FROM leaves l JOIN upper_path p ON p.n = 1 AND p.lang = l.tree AND p.at = l.i, (SELECT hash FROM tops WHERE n = 1) r
     """,
+    "op12_set_join": r"""
+        WITH RECURSIVE parted AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+            FROM documents
+        ), sets AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - 2, 1) + 1), lambda i: array_to_string(w[i:i + 2], ' '))) END AS own
+            FROM parted
+        ), members AS (SELECT doc_id, len(own) AS n, unnest(own) AS gram FROM sets),
+        links AS (
+            SELECT a.doc_id AS u, b.doc_id AS v FROM members a JOIN members b ON a.gram = b.gram AND a.doc_id < b.doc_id AND 100 * a.n >= 90 * b.n AND 100 * b.n >= 90 * a.n
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+        ), both_ways AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+        reached AS (
+            SELECT u, v FROM both_ways UNION SELECT r.u, b.v FROM reached r JOIN both_ways b ON r.v = b.u
+        )
+        SELECT s.doc_id, len(s.own) AS n_shingles, least(s.doc_id, coalesce(min(r.v), s.doc_id)) AS component_id
+        FROM sets s LEFT JOIN reached r ON r.u = s.doc_id GROUP BY s.doc_id, s.own
+    """,
     "op13_spelling": f"""
         WITH RECURSIVE runs AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS r FROM documents),
         counted AS (
