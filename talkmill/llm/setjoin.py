@@ -13,8 +13,8 @@ blocks of sizes or places that cannot link are skipped as a whole.
 
 **Answers from a similar set's answers.** The sets of a list are first compared with one leader. Of two sets with differences s and t to the leader, each
 other's difference is the symmetric difference of s and t: it is derived from the leader's answers, at the cost of what differs. Sets that link
-with the leader are joined already, and what is left open is compared block by block among sets that are still apart, where each
-block again has a leader. So a group of n near copies costs about n comparisons.
+with the leader are joined already, so a group of n near copies costs about n comparisons. What is left open: pairs of sets of short lists that
+are still apart are compared if they meet often enough in their prefixes; long lists are compared block by block, where each block again has a leader.
 
 Rounds of leaders are jobs over written tables; units of work have bounded numbers of members, however long a list is.
 """
@@ -34,8 +34,8 @@ LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 STRATA = 4
 #: Rounds of leaders before what is left is compared in blocks.
 ROUNDS = 3
-#: Members of the sets of a block, and how many sets meet one copy of their leader.
-BLOCK, SHARE = 1 << 21, 1024
+#: Entries of a list up to which its pairs may be named, members of the sets of a block of a longer one, and how many sets meet one copy of their leader.
+SMALL, BLOCK, SHARE = 128, 1 << 21, 1024
 
 
 def ngram_set(hashes: WordHashes, text: str | None, n: int) -> np.ndarray:
@@ -287,8 +287,72 @@ def incidence(sets: list[np.ndarray], columns: np.ndarray) -> np.ndarray:
     return out
 
 
+def meetings(entries: DataFrame) -> DataFrame:
+    """(u, v, a, b, i, j): pairs of sets of a list that are still apart, u < v, with their sizes and places; no list has over SMALL entries."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest, names = None, ["token", "node", "size", "place", "component"]
+        for last in (False, True):
+            for b in batches if not last else [None]:
+                held = [x for x in (rest, None if b is None else b[names].to_numpy()) if x is not None]
+                if not held:
+                    continue
+                rows = np.concatenate(held)
+                starts = np.nonzero(np.diff(rows[:, 0]))[0] + 1
+                cut = len(rows) if last else int(starts[-1]) if len(starts) else 0
+                rows, rest = rows[:cut], rows[cut:]
+                for s in range(1, min(SMALL, len(rows))):
+                    x, y = rows[:-s], rows[s:]
+                    same = x[:, 0] == y[:, 0]
+                    if not same.any():
+                        break
+                    keep = same & (x[:, 4] != y[:, 4])
+                    x, y = x[keep], y[keep]
+                    yield pd.DataFrame(np.concatenate([x[:, 1:4], y[:, 1:4]], axis=1), columns=["u", "a", "i", "v", "b", "j"])
+
+    rows = entries.repartition("token").sortWithinPartitions("token", "node")
+    pairs = rows.select("token", "node", "size", "place", "component").mapInPandas(each, "u long, a long, i long, v long, b long, j long")
+    return pairs.select("u", "v", "a", "b", "i", "j")
+
+
+def likely_pairs(entries: DataFrame, elsewhere: DataFrame | None, percent: int) -> DataFrame:
+    """(leader, node): the pairs of short lists that may link, by where and how often they meet.
+
+    Members that two sets share are among their meetings, or stand behind the last of them, or behind the end of one of the prefixes. elsewhere has
+    (node, more): in how many long lists, whose pairs are not named here, a set is. A pair that first meets in a long list is compared there.
+    """
+    pairs = meetings(entries)
+    pairs = pairs.where((F.col("a") * 100 >= F.col("b") * percent) & (F.col("b") * 100 >= F.col("a") * percent))
+    pairs = pairs.groupBy("u", "v", "a", "b").agg(F.count("*").alias("c"), *(f(x).alias(f"{n}_{x}") for x in "ij" for n, f in (("first", F.min), ("last", F.max))))
+    if elsewhere is None:
+        pairs = pairs.withColumn("more", F.lit(0))
+    else:
+        for x in "uv":
+            pairs = pairs.join(elsewhere.select(F.col("node").alias(x), F.col("more").alias(f"more_{x}")), x, "left")
+        pairs = pairs.withColumn("more", F.least(F.coalesce("more_u", F.lit(0)), F.coalesce("more_v", F.lit(0))))
+    behind = lambda x: F.ceil(F.col(x) * percent / 100) - 1  # of a set of that size, what its prefix leaves
+    met = F.col("c") + F.col("more")
+    most = F.least(
+        F.least(F.col("a") - F.col("first_i"), F.col("b") - F.col("first_j")),
+        met + F.least(F.col("a") - F.col("last_i"), F.col("b") - F.col("last_j")) - 1,
+        met + F.greatest(behind("a"), behind("b")),
+    )
+    return pairs.where(most * (100 + percent) >= (F.col("a") + F.col("b")) * percent).select(F.col("u").alias("leader"), F.col("v").alias("node"))
+
+
+def compared_at_last(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(u, v): links that join all sets of the lists that are still apart and link; entries has (token, node, size, place, component)."""
+    long = written(entries.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > SMALL).select("token"), "long-lists")
+    if long.isEmpty():
+        return compared(written(likely_pairs(entries, None, percent), "pairs"), sets, percent)
+    inside = written(entries.join(long, "token", "left_semi"), "in-long-lists")
+    more = inside.groupBy("node").agg(F.count("*").alias("more"))
+    pairs = written(likely_pairs(entries.join(long, "token", "left_anti"), more, percent), "pairs")
+    return compared(pairs, sets, percent).unionByName(compared_in_blocks(inside, sets, percent))
+
+
 def compared_in_blocks(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(u, v): links that join all sets of a list that are still apart and link; entries has (token, node, size, place, component).
+    """(u, v): links that join all sets of a list that are still apart and link, if the list is where they first meet.
 
     A list of over BLOCK members in all is cut by size, and by hash where many sets have one size, into blocks of about BLOCK; blocks
     that may link, by their sizes and places, are units of work, two by two.
@@ -366,7 +430,7 @@ def similar_sets(documents: DataFrame, n: int = 3, percent: int = 90) -> DataFra
     rounds = 0
     while not (left := written(open_lists(entries, components), "open-lists")).isEmpty():
         whole = rounds == ROUNDS
-        found = compared_in_blocks(left, sets, percent) if whole else compared(written(leader_pairs(left, rounds, percent), "pairs"), sets, percent)
+        found = compared_at_last(left, sets, percent) if whole else compared(written(leader_pairs(left, rounds, percent), "pairs"), sets, percent)
         found = written(found, "links")
         # Leaders that link with nobody will not do so in another round.
         some, rounds = not found.isEmpty(), rounds + 1
