@@ -32,8 +32,8 @@ from talkmill.llm.shared import WordHashes, connected_components, ngram_hashes,
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 STRATA = 4
-#: Rounds of leaders before what is left is compared in blocks.
-ROUNDS = 3
+#: Rounds of leaders before what is left is compared by pairs and in blocks.
+ROUNDS = 2
 #: Entries of a list up to which its pairs may be named, members of the sets of a block of a longer one, and how many sets meet one copy of their leader.
 SMALL, BLOCK, SHARE = 128, 1 << 21, 1024
 
@@ -411,6 +411,13 @@ def open_lists(entries: DataFrame, components: DataFrame | None) -> DataFrame:
     return rows.join(apart, "token", "left_semi")
 
 
+def joined_by_leaders(links: DataFrame) -> DataFrame:
+    """(node, component) of the sets that link with a leader: sets with one component are connected. Not all connected sets have one, but this is a job, not many."""
+    first = links.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("component"))
+    second = first.select(F.col("node").alias("component"), F.col("component").alias("further"))
+    return first.join(second, "component", "left").select("node", F.coalesce("further", "component").alias("component"))
+
+
 def similar_sets(documents: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of documents(doc_id, text).
 
@@ -427,19 +434,17 @@ def similar_sets(documents: DataFrame, n: int = 3, percent: int = 90) -> DataFra
     entries = written(index_lists(classes, percent), "lists")
     sets = written(sets_of(documents, classes.join(entries.select("node").distinct(), "node", "left_semi"), n), "sets")
     links = components = None
-    rounds = 0
-    while not (left := written(open_lists(entries, components), "open-lists")).isEmpty():
-        whole = rounds == ROUNDS
-        found = compared_at_last(left, sets, percent) if whole else compared(written(leader_pairs(left, rounds, percent), "pairs"), sets, percent)
-        found = written(found, "links")
-        # Leaders that link with nobody will not do so in another round.
-        some, rounds = not found.isEmpty(), rounds + 1
-        rounds = rounds if some else ROUNDS
-        if some:
-            links = found if links is None else links.unionByName(found)
+    for k in range(ROUNDS + 1):
+        if k == ROUNDS and links is not None:
             components = written(connected_components(links, "stars"), "components")
-        if whole:
+        left = written(open_lists(entries, components), "open-lists")
+        if left.isEmpty():
             break
+        found = compared_at_last(left, sets, percent) if k == ROUNDS else compared(written(leader_pairs(left, k, percent), "pairs"), sets, percent)
+        found = written(found, "links")
+        if not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            components = written(connected_components(links, "stars") if k == ROUNDS else joined_by_leaders(links), "components")
     roots = classes.select("node", "size", "high", "low", "rep")
     roots = roots.withColumn("component", F.col("node")) if components is None else roots.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     roots = written(roots, "roots")
