@@ -32,13 +32,39 @@ def deletions(key: Column, most: Column) -> Column:
     return F.array_distinct(F.concat(F.array(key), once, twice))
 
 
+#: Letters of a key up to which its deletions are blocks; longer keys meet by their thirds.
+SHORT = 20
+
+
+def thirds(key: Column) -> Column:
+    """The blocks of a long key: what stands where a key of its length, or of one or two letters less, has its thirds, moved by up to two letters.
+
+    Two edits leave one third of the shorter key as it is, two letters away from its place at most. There are 45 blocks, however long the key is.
+    """
+    out = []
+    for less in range(3):
+        third = F.floor((F.length(key) - less) / 3).cast("int")
+        for k in range(3):
+            size = third if k < 2 else F.length(key) - less - 2 * third
+            for move in range(-2, 3):
+                at = k * third + 1 + move
+                text = F.when((at >= 1) & (at + size - 1 <= F.length(key)), F.substring(key, at, size))
+                out.append(F.concat(F.lit(f"{k}/"), (F.length(key) - less).cast("string"), F.lit("/"), F.hex(F.xxhash64(text)), text.substr(1, 8)))
+    return F.array_compact(F.array(*out))
+
+
 def near_keys(rows: DataFrame, name: str, key: str) -> DataFrame:
     """(name, block): the blocks in which keys with one initial and one edit (two, if the shorter has six letters) meet.
 
-    Keys that are at most n edits apart have a form in common after at most n deletions on each side, so blocks stay small however many names there are.
+    Keys that are at most n edits apart have a form in common after at most n deletions on each side, so blocks stay small however many names there
+    are. The forms of a key grow with the square of its length, so keys of over SHORT letters meet by their thirds instead; of those with up to
+    two letters more both are blocks, as they may be near to keys of either kind.
     """
-    most = F.when(F.length(key) >= 6, 2).otherwise(1)
-    return rows.select(name, F.explode(deletions(F.col(key), most)).alias("block"))
+    k, none = F.col(key), F.array().cast("array<string>")
+    most = F.when(F.length(k) >= 6, 2).otherwise(1)
+    forms = F.when(F.length(k) <= SHORT + 2, deletions(k, most)).otherwise(none)
+    parts = F.when(F.length(k) > SHORT, thirds(k)).otherwise(none)
+    return rows.select(name, F.explode(F.array_distinct(F.concat(forms, parts))).alias("block"))
 
 
 def plausible_pairs(people: DataFrame) -> DataFrame:

@@ -117,7 +117,7 @@ def canonical_people(spark: SparkSession, sf: str) -> DataFrame:
 
 def name_corrections(spark: SparkSession, sf: str) -> DataFrame:
     """Words corrected to the one name they are near to."""
-    first = F.regexp_extract("text", r"^([\p{L}]+(?: [\p{L}]+)*)", 1)
+    first = F.regexp_extract("text", r"^(\p{L}++(?: \p{L}++)*+)", 1)
     rows = load(spark, sf, "documents").select("doc_id", F.explode(F.split(first, " ")).alias("w")).where("w <> ''")
     return records.name_corrections(rows.where("doc_id % 2 = 1").select(F.col("w").alias("token")), rows.where("doc_id % 2 = 0").select(F.col("w").alias("name")).distinct())
 
@@ -168,6 +168,8 @@ _STOP = ", ".join(f"'{w}'" for w in T.TITLE_STOPWORDS)
 _KEYS = "list_filter(regexp_split_to_array(lower({0}), '[^\\pL\\pN]+'), lambda w: strlen(w) > 3 AND w NOT IN (" + _STOP + "))"
 _COMMITS = ", ".join(f"'{c.replace(chr(39), chr(39) * 2)}'" for c in records.COMMITMENT_PHRASES)
 _FOLD = "regexp_replace(translate(lower({0}), 'áàâäãåéèêëíìîïóòôöõúùûüçñýÿ', 'aaaaaaeeeeiiiiooooouuuucnyy'), '[^\\pL\\pN]', '', 'g')"
+#: The distance in characters: the letters that are longer than a byte after folding get one-byte stand-ins, as DuckDB counts bytes.
+_APART = "levenshtein(translate(tk, 'ßœæøð', '01234'), translate(key, 'ßœæøð', '01234'))"
 
 ORACLE_SQL = {
     "boost_phrases": SQL + f""", m AS (SELECT * FROM meetings), p AS (SELECT person AS phrase, 0 AS tier, -count(*) AS a, max(date) AS b FROM m GROUP BY 1
@@ -216,7 +218,7 @@ ORACLE_SQL = {
         t AS (SELECT *, rank() OVER (PARTITION BY mention ORDER BY tier DESC, s DESC) AS r FROM f) SELECT mention, CASE WHEN min(person) FILTER (r = 1) = max(person) FILTER (r = 1) THEN min(person) FILTER (r = 1) END AS person FROM m LEFT JOIN t USING (mention) GROUP BY 1""",
     "name_corrections": f"""WITH d AS (SELECT doc_id, unnest(string_split(regexp_extract(text, '^([\\pL]+(?: [\\pL]+)*)', 1), ' ')) AS w FROM documents), n AS (SELECT DISTINCT w AS name, {_FOLD.format('w')} AS key FROM d WHERE doc_id % 2 = 0 AND w <> ''),
         t AS (SELECT DISTINCT w AS token, {_FOLD.format('w')} AS tk FROM d WHERE doc_id % 2 = 1 AND w <> '' AND w NOT IN (SELECT name FROM n)),
-        c AS (SELECT token, name, levenshtein(tk, key) AS tier FROM t JOIN n ON tk = key OR (tk[1] = key[1] AND length(tk) >= 4 AND levenshtein(tk, key) <= CASE WHEN least(length(tk), length(key)) >= 6 THEN 2 ELSE 1 END)),
+        c AS (SELECT token, name, {_APART} AS tier FROM t JOIN n ON tk = key OR (tk[1] = key[1] AND length(tk) >= 4 AND {_APART} <= CASE WHEN least(length(tk), length(key)) >= 6 THEN 2 ELSE 1 END)),
         b AS (SELECT *, rank() OVER (PARTITION BY token ORDER BY tier) AS r FROM c) SELECT token, min(name) AS name FROM b WHERE r = 1 GROUP BY 1 HAVING count(DISTINCT name) = 1""",
     "answer_scorecard": """WITH r AS (SELECT CASE WHEN o_orderkey % 7 > 0 THEN o_orderstatus END AS t, CASE WHEN o_orderkey % 5 > 0 THEN CASE WHEN o_custkey % 4 > 0 THEN o_orderstatus ELSE 'F' END END AS s FROM orders),
         c AS (SELECT count(*) FILTER (t = s) AS right_, count(*) FILTER (t <> s) AS wrong, count(*) FILTER (t IS NOT NULL AND s IS NULL) AS missed, count(*) FILTER (t IS NULL AND s IS NOT NULL) AS spurious FROM r)

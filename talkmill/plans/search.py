@@ -92,7 +92,7 @@ def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
 
 def _names(spark: SparkSession, sf: str) -> DataFrame:
     """Names made of the words that documents begin with, up to the first mark; of every third document one word."""
-    name = F.regexp_extract("text", r"^([\p{L}]+(?: [\p{L}]+)*)", 1)
+    name = F.regexp_extract("text", r"^(\p{L}++(?: \p{L}++)*+)", 1)
     rows = load(spark, sf, "documents").select("doc_id", name.alias("name")).where("name <> ''")
     return rows.select(F.when(F.col("doc_id") % 3 == 0, F.substring_index("name", " ", 1)).otherwise(F.col("name")).alias("name")).distinct()
 

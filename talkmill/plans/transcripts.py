@@ -34,7 +34,7 @@ def summary_insights(spark: SparkSession, sf: str) -> DataFrame:
 
 def entity_links(spark: SparkSession, sf: str) -> DataFrame:
     """Entities by slug with a label and aliases."""
-    name = F.regexp_extract("text", r"^([\p{L}]+(?:[ -][\p{L}]+)*)", 1)
+    name = F.regexp_extract("text", r"^(\p{L}++(?:[ -]\p{L}++)*+)", 1)
     rows = load(spark, sf, "documents").select(F.when(F.col("doc_id") % 3 == 0, F.translate(name, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).otherwise(name).alias("name"))
     return extraction.entities(rows).select("slug", "label", F.array_join("aliases", " | ").alias("aliases"), "n")
 
