@@ -117,7 +117,7 @@ def plausibly_same(a: Column, b: Column) -> Column:
     na, nb = F.trim(folded(a)), F.trim(folded(b))
     single = (F.size(words(na)) == 1) & (F.size(words(nb)) == 1) & (F.octet_length(na) == F.length(na)) & (F.octet_length(nb) == F.length(nb))
     budget = F.when(F.least(F.length(na), F.length(nb)) >= 6, 2).otherwise(1)
-    close = single & (F.substring(na, 1, 1) == F.substring(nb, 1, 1)) & (F.levenshtein(na, nb) <= budget)
+    close = single & (F.substring(na, 1, 1) == F.substring(nb, 1, 1)) & F.levenshtein(na, nb, 2).between(0, budget)
     return F.when((ka == "") | (kb == ""), None).when(ka == kb, F.when(F.length(ka) >= 3, "separator_variant")).when(close, "phonetic_edit")
 
 

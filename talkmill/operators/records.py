@@ -153,7 +153,7 @@ def name_corrections(tokens: DataFrame, names: DataFrame) -> DataFrame:
     pairs = met.join(asked, "token").join(own, "name")
     pairs = pairs.where(F.substring("t_key", 1, 1) == F.substring("key", 1, 1))
     budget = F.when(F.least(F.length("t_key"), F.length("key")) >= 6, 2).otherwise(1)
-    edits = pairs.where((F.col("t_key") != F.col("key")) & (F.length("t_key") >= 4) & (F.levenshtein("t_key", "key") <= budget)).select("token", "name", F.levenshtein("t_key", "key").alias("tier"))
+    edits = pairs.where((F.col("t_key") != F.col("key")) & (F.length("t_key") >= 4) & F.levenshtein("t_key", "key", 2).between(0, budget)).select("token", "name", F.levenshtein("t_key", "key", 2).alias("tier"))
     rows = same.unionByName(edits)
     best = rows.groupBy("token").agg(F.min("tier").alias("tier"))
     return rows.join(best, ["token", "tier"]).groupBy("token").agg(F.min("name").alias("name"), F.max("name").alias("other")).where("name = other").select("token", "name")
