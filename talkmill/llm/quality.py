@@ -95,18 +95,28 @@ def agreed(labels: DataFrame, remainder: int) -> DataFrame:
 
 
 def sampled(documents: DataFrame, labels: DataFrame, most: int, most_bytes: int) -> DataFrame:
-    """(doc_id, quality, text): of each class the documents whose hashed ids are least, at most `most`, and no more than have most_bytes of text (one at least)."""
+    """(doc_id, quality, text): of each class the documents whose hashed ids are least, at most `most`, as far as their texts fit in most_bytes.
+
+    A text that does not fit beside those taken before it is left out, and later ones that fit are taken. Where none fits, the shortest is taken."""
     order = F.xxhash64(F.lit(3), "doc_id")
     good, bad = (labels.where(F.col("quality") == q).orderBy(order, "doc_id").limit(most) for q in (1, 0))
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"))
     rows = texts.join(F.broadcast(good.unionByName(bad)), "doc_id")  # at most 2 * most rows of two numbers
     sizes = rows.groupBy("doc_id", "quality").agg(F.sum(F.octet_length(F.coalesce("text", F.lit("")))).alias("n"), F.first(order).alias("o")).toPandas()
-    sizes = sizes.sort_values(["quality", "o", "doc_id"])
-    before = sizes.groupby("quality")["n"].cumsum() - sizes["n"]
-    fit = sizes.loc[(before == 0) | (before + sizes["n"] <= most_bytes), "doc_id"]
+    fit = [d for _, own in sizes.sort_values(["o", "doc_id"]).groupby("quality") for d in fitting(own["doc_id"].tolist(), own["n"].tolist(), most_bytes)]
     return rows.join(F.broadcast(documents.sparkSession.createDataFrame([(int(d),) for d in fit], "doc_id long")), "doc_id")  # at most 2 * most ids
 
 
+def fitting(ids: list[int], sizes: list[int], most: int) -> list[int]:
+    """The ids, in order, whose sizes fit in `most` with those taken before; the one of least size if none does."""
+    out, total = [], 0
+    for d, n in zip(ids, sizes):
+        if total + n <= most:
+            out.append(d)
+            total += n
+    return out or [min(zip(sizes, ids))[1]]
+
+
 def _blocks(block: int):
     """mapInPandas: the texts in blocks of bytes."""
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
+from itertools import batched, islice
 
 import numpy as np
 import pandas as pd
@@ -19,8 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talkmill.llm.shared import WordHashes, ngram_hashes, scratch_dir, written
+from talkmill.llm.shared import WordHashes, ngram_hashes, scratch_dir
 
+#: Blocks of items that are broadcast and looked for in one pass over the documents.
+PASS = 4
 WORD = re.compile(r"\w+")
 RADIX = 0x9E3779B97F4A7C15
 INVERSE = pow(RADIX, -1, 1 << 64)
@@ -175,26 +178,28 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, least: int = 5, thr
 
     A pair is listed if tiles of at least `least` words (the whole item, if shorter) cover at least that share of
     the item's words. start and end (exclusive) are the words of the document from the first tile to the last. Items come in blocks of at
-    most max_words words, so what is broadcast has a bound; each block passes over all documents. Null and empty
+    most max_words words, of which PASS at most are broadcast at a time, so what is broadcast has a bound; each PASS blocks take one pass over all documents. Null and empty
     documents and items without words match nothing; null item ids take no part; different texts of one
     item id count each. Repeated rows are listed each; a null doc_id stays null. `row` is the hash of the text, which
     tells rows of one doc_id apart. No documents or no items give no rows; further columns are not read.
     """
     spark, path, found = documents.sparkSession, None, None
     rows = documents.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row"), F.col("text").cast("string"))
-    for block in blocks_of(benchmark, max_words):
-        if found is not None:  # several blocks follow one another; each leaves its rows in the shared folder
+    for blocks in batched(blocks_of(benchmark, max_words), PASS):
+        if found is not None:  # passes follow one another; each leaves its rows in the shared folder
             path = path or f"{scratch_dir(spark)}/contaminated-{uuid.uuid4().hex}"
             found.write.mode("append").parquet(path)
-        shared = spark.sparkContext.broadcast(Seeds(block, least))
+        shared = spark.sparkContext.broadcast([Seeds(block, least) for block in blocks])
 
         def each(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            seeds, hashes = shared.value, WordHashes()
+            hashes = WordHashes()
             for b in batches:
                 out = []
                 for doc, row, text in zip(b["doc_id"], b["row"], b["text"]):
-                    for i, n, covered, count, longest, start, end in compare(seeds, hashes(words_of(text)), threshold):
-                        out.append((None if pd.isna(doc) else int(doc), row, i, n, covered, covered / n, count, longest, start, end + 1))
+                    words = hashes(words_of(text))
+                    for seeds in shared.value:
+                        for i, n, covered, count, longest, start, end in compare(seeds, words, threshold):
+                            out.append((None if pd.isna(doc) else int(doc), row, i, n, covered, covered / n, count, longest, start, end + 1))
                 yield pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")]).astype({"doc_id": "Int64"})
 
         found = rows.mapInPandas(each, SCHEMA)
@@ -207,17 +212,26 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, least: int = 5, thr
 
 
 def decontaminated(documents: DataFrame, benchmark: DataFrame, least: int = 5, threshold: float = 0.5, max_words: int = 2_000_000) -> DataFrame:
-    """documents without the rows that `contaminated` would list, all columns as they are; one pass for each block of items."""
-    spark, column = documents.sparkSession, documents.columns.index("text")
-    for i, block in enumerate(blocks_of(benchmark, max_words)):
-        documents = written(documents, "decontaminated") if i else documents
-        shared = spark.sparkContext.broadcast(Seeds(block, least))
-
-        def each(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            seeds, hashes = shared.value, WordHashes()
-            for b in batches:
-                clean = [next(compare(seeds, hashes(words_of(t)), threshold), None) is None for t in b.column(column).to_pylist()]
-                yield b.filter(pa.array(clean, pa.bool_()))
+    """documents without the rows that `contaminated` would list, all columns as they are.
 
-        documents = documents.mapInArrow(each, documents.schema)
-    return documents
+    Items of up to PASS blocks, as benchmarks mostly have, are looked for while documents pass by once. More of them are looked for in
+    passes that read, and write what they find; the rows found then go in one join. documents are never written.
+    """
+    spark, column = documents.sparkSession, documents.columns.index("text")
+    blocks = list(islice(blocks_of(benchmark, max_words), PASS + 1))
+    if len(blocks) > PASS:
+        found = contaminated(documents, benchmark, least, threshold, max_words).select(F.col("doc_id").alias("_found_id"), F.col("row").alias("_found_row")).distinct()
+        same = documents["doc_id"].cast("long").eqNullSafe(found["_found_id"]) & (F.xxhash64(documents["text"]) == found["_found_row"])
+        return documents.join(found, same, "left_anti")
+    shared = spark.sparkContext.broadcast([Seeds(block, least) for block in blocks])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for b in batches:
+            clean = []
+            for text in b.column(column).to_pylist():
+                words = hashes(words_of(text))
+                clean.append(not any(next(compare(seeds, words, threshold), None) for seeds in shared.value))
+            yield b.filter(pa.array(clean, pa.bool_()))
+
+    return documents.mapInArrow(each, documents.schema) if blocks else documents

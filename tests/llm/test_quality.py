@@ -6,7 +6,7 @@ import numpy as np
 import zstandard
 from pyspark.sql import functions as F
 
-from talkmill.llm.quality import Calibration, good_only, sampled, scored, train
+from talkmill.llm.quality import Calibration, fitting, good_only, sampled, scored, train
 from talkmill.tables import load
 
 SF = "/root/testdata/sf0.1"
@@ -38,6 +38,17 @@ def test_edges(spark):
     assert len(got) == 4 and got[1].score == got[2].score == got[3].score and 0 <= got[0].score <= 1
 
 
+def test_an_over_long_text_leaves_the_sample_whole(spark):
+    """Wherever a text that does not fit stands in the order, all others are sampled."""
+    labels = spark.createDataFrame([(i, 1) for i in range(60)], "doc_id long, quality int")
+    order = [r["doc_id"] for r in labels.orderBy(F.xxhash64(F.lit(3), "doc_id")).collect()]
+    for long in (order[0], order[1], order[30], order[-1]):
+        docs = labels.select("doc_id", F.when(F.col("doc_id") == long, F.repeat(F.lit("x "), 1 << 19)).otherwise("a short text").alias("text"))
+        got = {r["doc_id"] for r in sampled(docs, labels, 100, 1 << 16).select("doc_id").collect()}
+        assert got == set(range(60)) - {long}
+    assert fitting([1, 2, 3], [9, 7, 8], 5) == [2] and fitting([1, 2, 3], [3, 9, 2], 5) == [1, 3]
+
+
 def test_calibration_is_logistic():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(20_000, 2))

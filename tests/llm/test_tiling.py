@@ -81,5 +81,9 @@ def test_edges(spark):
     assert len(contaminated(docs, bench, max_words=1).collect()) == len(got)
     assert sorted(r.doc_id for r in decontaminated(docs, bench).collect()) == [2, 3, 4, 7]
     assert decontaminated(docs, bench).columns == docs.columns
+    # Blocks of one item each, more than a pass takes: the same rows, by one join, and the documents are not written.
+    many = decontaminated(docs, bench, max_words=1)
+    assert sorted(r.doc_id for r in many.collect()) == [2, 3, 4, 7] and many.columns == docs.columns
+    assert sum("contaminated" in f for f in many.inputFiles()) > 0 and "LeftAnti" in many._jdf.queryExecution().optimizedPlan().toString()
     assert contaminated(docs.limit(0), bench).count() == 0 and contaminated(docs, bench.limit(0)).count() == 0
     assert WordHashes()([]).size == 0
