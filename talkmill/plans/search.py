@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkmill.operators import identity, intervals, retrieval
 from talkmill.plans import mapping as M
+from talkmill.session import shared_folder
+from talkmill.sources.index import TermIndex
 from talkmill.tables import load
 
 
@@ -25,6 +29,29 @@ def bm25_rank(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.bm25(load(spark, sf, "documents"), ["apache", "license", "released", "thing"])
 
 
+def _index(spark: SparkSession, sf: str) -> tuple[TermIndex, DataFrame]:
+    """An index of earlier documents, of which every seventh had other text and some are gone by now, brought up to date; and what that did."""
+    index, now = TermIndex(spark, f"{shared_folder(spark)}/terms-{uuid.uuid4().hex}"), load(spark, sf, "documents").select("doc_id", "text")
+    before = now.where("doc_id % 11 > 0").withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("license thing "), "text")).otherwise(F.col("text")))
+    index.sync(before.unionByName(now.where("doc_id % 13 = 0").withColumn("doc_id", -F.col("doc_id") - 1)))
+    return index, index.sync(now)
+
+
+def indexed_match(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with all terms of a query, the last as a prefix, from an index that was kept in step."""
+    return _index(spark, sf)[0].matching("the with erth").withColumnRenamed("key", "doc_id")
+
+
+def indexed_bm25(spark: SparkSession, sf: str) -> DataFrame:
+    """BM25 from an index that was kept in step."""
+    return _index(spark, sf)[0].ranked(["apache", "license", "released", "thing"]).withColumnRenamed("key", "doc_id")
+
+
+def index_refresh(spark: SparkSession, sf: str) -> DataFrame:
+    """What a sync of the index did."""
+    return _index(spark, sf)[1]
+
+
 def document_provisions(spark: SparkSession, sf: str) -> DataFrame:
     """Provisions counted by document."""
     rows = retrieval.provisions(load(spark, sf, "documents"))
@@ -179,7 +206,7 @@ def nearest_rank(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     full_text_match, stemmed_match, bm25_rank, document_provisions, concept_provisions, concept_documents, concept_counts, boilerplate, semantic_top_k, voice_profiles, voice_match, blended_profiles, hybrid_search,
-    alias_pairs, plausible_names, alias_clusters, cluster_score, session_at, speaker_by_overlap, speaker_at_time, near_speech, merged_turns, dominant_speakers, turn_windows, nearest_rank,
+    indexed_match, indexed_bm25, index_refresh, alias_pairs, plausible_names, alias_clusters, cluster_score, session_at, speaker_by_overlap, speaker_at_time, near_speech, merged_turns, dominant_speakers, turn_windows, nearest_rank,
 )}
 
 _TERMS = "list_filter(regexp_split_to_array(translate(lower({0}), 'áàâäãåéèêëíìîïóòôöõúùûüçñ', 'aaaaaaeeeeiiiiooooouuuucn'), '[^\\pL\\pN]+'), lambda t: length(t) >= 2)"
@@ -211,6 +238,9 @@ _BM25 = """, q AS (SELECT doc_id, len(terms) AS size, unnest(list_filter(terms,
 ORACLE_SQL = {
     "full_text_match": f"WITH t AS (SELECT doc_id, lang, {_TERMS.format('text')} AS terms FROM documents) SELECT doc_id, lang FROM t WHERE list_contains(terms, 'the') AND list_contains(terms, 'with') AND len(list_filter(terms, lambda t: starts_with(t, 'erth'))) > 0",
     "bm25_rank": f"WITH t AS (SELECT doc_id, {_TERMS.format('text')} AS terms FROM documents)" + _BM25.format("'apache', 'license', 'released', 'thing'") + " SELECT * FROM ranked ORDER BY score DESC, doc_id LIMIT 25",
+    "indexed_match": f"WITH t AS (SELECT doc_id, {_TERMS.format('text')} AS terms FROM documents) SELECT doc_id FROM t WHERE list_contains(terms, 'the') AND list_contains(terms, 'with') AND len(list_filter(terms, lambda t: starts_with(t, 'erth'))) > 0",
+    "indexed_bm25": f"WITH t AS (SELECT doc_id, {_TERMS.format('text')} AS terms FROM documents)" + _BM25.format("'apache', 'license', 'released', 'thing'") + " SELECT * FROM ranked ORDER BY score DESC, doc_id LIMIT 25",
+    "index_refresh": "SELECT count(*) FILTER (doc_id % 11 = 0) AS indexed, count(*) FILTER (doc_id % 11 > 0 AND doc_id % 7 = 0 AND text IS NOT NULL) AS updated, count(*) FILTER (doc_id % 13 = 0) AS removed, count(*) FILTER (doc_id % 11 > 0 AND (doc_id % 7 > 0 OR text IS NULL)) AS unchanged FROM documents",
     "document_provisions": f"WITH {_PROVISIONS} SELECT doc_id, count(*) AS n, count(heading) AS headed, sum(length(text))::BIGINT AS chars FROM provisions GROUP BY 1",
     "concept_provisions": f"WITH {_PROVISIONS} SELECT doc_id, count(*) AS n, min(ordinal) AS first_ordinal FROM (SELECT *, lower(concat_ws(' ', heading, text)) AS low FROM provisions) WHERE (contains(low, 'licensed under') OR contains(low, 'released under')) AND NOT contains(low, 'apache') GROUP BY 1",
     "concept_documents": f"""WITH {_PROVISIONS}, low AS (SELECT *, lower(concat_ws(' ', heading, text)) AS low FROM provisions),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,18 +10,14 @@ from pyspark.sql import functions as F
 from talkmill.operators import records
 from talkmill.plans import mapping as M
 from talkmill.plans.mapping import SQL
+from talkmill.session import shared_folder
 from talkmill.sources import census, logs, markdown
 from talkmill.tables import load
 
 
 def _folder(spark: SparkSession, name: str) -> str:
     """A new folder in the shared checkpoint folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        shared = tempfile.mkdtemp(prefix="talkmill-")
-    return f"{shared}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def _log(spark: SparkSession, sf: str) -> str:

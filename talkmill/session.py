@@ -24,13 +24,21 @@ def local_session(cores: int | None = None, **conf: str) -> SparkSession:
     return spark
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows, cut from their lineage, in the checkpoint folder that driver and executors share; on one machine, in one of our own where none is set."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: `spark.checkpoint.dir`; on one machine, one of our own where none is set."""
     context = spark.sparkContext
-    if not context.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="talkmill-"))
+        folder = tempfile.mkdtemp(prefix="talkmill-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows, cut from their lineage, in the folder that driver and executors share."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

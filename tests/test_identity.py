@@ -55,7 +55,7 @@ def test_long_texts_without_marks(spark, tmp_path):
     for query in (search.alias_pairs, search.alias_clusters, transcripts.entity_links):
         query(spark, str(tmp_path)).collect()
     found = {(r["a"], r["b"]) for r in search.plausible_names(spark, str(tmp_path)).collect()}
-    assert ("b" * 100_000, "b" * 29_999 + "c") in found
+    assert ("b" * 30_000, "b" * 29_999 + "c") in found
 
 
 @pytest.mark.parametrize("size", [8, 21, 30])
