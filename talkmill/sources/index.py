@@ -53,9 +53,9 @@ class TermIndex:
         """Brings the index in step with documents(key, text) and returns one row: indexed, updated, removed, unchanged.
 
         Only texts that are new or changed are split into terms and written. Null keys are left out; of several rows of a key the one of the greatest
-        revision counts; a null text has no terms.
+        revision counts; a null text has no terms and no size.
         """
-        own = documents.select(F.col(key).cast("long").alias("key"), F.xxhash64(column).alias("revision"), terms_of(F.coalesce(F.col(column), F.lit(""))).alias("terms"))
+        own = documents.select(F.col(key).cast("long").alias("key"), F.xxhash64(column).alias("revision"), terms_of(F.col(column)).alias("terms"))
         own = own.where("key is not null")
         latest = own.select("key", "revision").groupBy("key").agg(F.max("revision").alias("revision"))
         old, segment = self.documents(), uuid.uuid4().hex
