@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkmill.functions.text import commitment_status, days_since, name_rank, normalize_decision, normalize_topic, slugify
+from talkmill.operators.filters import owner_matches
 
 
 def top(rows: DataFrame, keys: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:
@@ -133,10 +134,11 @@ def graph_stats(meetings: DataFrame, people: DataFrame, items: DataFrame) -> Dat
     return a.join(b).join(c)  # three rows of one
 
 
-def research(meetings: DataFrame, items: DataFrame, query: str, decisions: int = 10, intents: int = 10, topics: int = 5) -> DataFrame:
-    """(section, rank, path, text, n): matched decisions, open intents and topics of a query, newest first.
+def research(meetings: DataFrame, items: DataFrame, query: str, decisions: int = 10, intents: int = 10, topics: int = 5, recent: int = 10) -> DataFrame:
+    """(section, rank, path, text, n): matched decisions, open intents, meetings and topics of a query, newest first.
 
     A decision matches in topic and text, another item in text, owner, status and due date. Topics count matches of every status.
+    A meeting matches by its title or by an item of any status; n is then how many of its items match.
     """
     rows = items.join(meetings.select("meeting_id", "path", "date"), "meeting_id")
     is_decision = F.col("kind") == "decision"
@@ -150,7 +152,55 @@ def research(meetings: DataFrame, items: DataFrame, query: str, decisions: int =
 
     counted = rows.groupBy("topic").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "topic").limit(topics)
     counted = counted.select(F.lit("topic").alias("section"), F.row_number().over(Window.orderBy(F.desc("n"), "topic")).cast("long").alias("rank"), F.lit(None).cast("string").alias("path"), F.col("topic").alias("text"), "n")
-    return section("decision", rows.where(is_decision), decisions).unionByName(section("intent", rows.where(~is_decision & (F.col("status") == "open")), intents)).unionByName(counted)
+    titled = meetings.where(F.lower("title").contains(query.lower())).select("path", "date", "title", F.lit(0).alias("hit"))
+    named = rows.join(meetings.select("meeting_id", "title"), "meeting_id").select("path", "date", "title", F.lit(1).alias("hit"))
+    met = titled.unionByName(named).groupBy("path", "date", "title").agg(F.sum("hit").alias("n")).orderBy(F.desc("date"), "path").limit(recent)
+    met = met.select(F.lit("meeting").alias("section"), F.row_number().over(Window.orderBy(F.desc("date"), "path")).cast("long").alias("rank"), "path", F.col("title").alias("text"), "n")
+    found = section("decision", rows.where(is_decision), decisions).unionByName(section("intent", rows.where(~is_decision & (F.col("status") == "open")), intents))
+    return found.unionByName(met).unionByName(counted)
+
+
+def people_listing(people: DataFrame, meetings: DataFrame) -> DataFrame:
+    """(slug, person, aliases, meeting_count, first_seen, last_seen): everybody of the meetings, other spellings as aliases. people: of `attendance`."""
+    seen = people.join(meetings.select("meeting_id", "date"), "meeting_id").groupBy("slug").agg(
+        F.min(name_rank(F.col("slug"), F.col("person")))["name"].alias("person"), F.count("*").alias("meeting_count"), F.min("date").alias("first_seen"), F.max("date").alias("last_seen")
+    )
+    spelt = people.select("slug", F.explode("aliases").alias("alias")).distinct().groupBy("slug").agg(F.array_sort(F.collect_set("alias")).alias("spelt"))
+    rows = seen.join(spelt, "slug")
+    return rows.select("slug", "person", F.array_except("spelt", F.array("person")).alias("aliases"), "meeting_count", "first_seen", "last_seen")
+
+
+def profile_sections(meetings: DataFrame, people: DataFrame, items: DataFrame, selector: str, as_of: str, recent: int = 5, intents: int = 10, decisions: int = 5, topics: int = 5) -> DataFrame:
+    """(section, rank, path, text, status, n): a person's newest meetings, live commitments, decisions and topics.
+
+    people: of `attendance`, with all spellings. The selector names a person by slug, or by the slug of an alias; if it fits several
+    people the query fails, because a profile must not mix them. Meetings, decisions and topics count where the person spoke or attended,
+    topics once a meeting; commitments are the person's own, deduplicated, stale ones marked.
+    """
+    key = slugify(F.lit(selector))
+    mine = people.where((F.col("slug") == key) | F.exists("aliases", lambda a: slugify(a) == key))
+    several = F.concat(F.lit(f"{selector!r} fits several people: "), F.array_join(F.array_sort(F.collect_set("slug").over(Window.partitionBy())), ", "))
+    # collect_set over the selector's own rows: slugs of one name, a handful
+    one = mine.select("slug").distinct().withColumn("n", F.count("*").over(Window.partitionBy()))
+    one = one.select(F.when(F.col("n") > 1, F.raise_error(several)).otherwise(F.col("slug")).cast("string").alias("slug"))
+    met = people.join(F.broadcast(one), "slug").where(F.col("role").isin("attendee", "speaker")).select("meeting_id").distinct()
+    own = meetings.join(met, "meeting_id").select("meeting_id", "path", "date", "title")
+    theirs = items.withColumn("slug", slugify(F.col("who"))).join(F.broadcast(one), "slug").drop("slug")
+    live = dedup_commitments(theirs, as_of).join(meetings.select("meeting_id", "path", "date"), "meeting_id")
+    inside = items.join(own.select("meeting_id", "path", "date"), "meeting_id")
+
+    def section(name: str, rows: DataFrame, text: str, status: Column, k: int) -> DataFrame:
+        order = [F.desc("date"), F.col(text), F.col("path")] if name != "meeting" else [F.desc("date"), F.col("path")]
+        first = rows.orderBy(*order).limit(k)
+        place = F.row_number().over(Window.orderBy(*order)).cast("long")  # over k rows
+        return first.select(F.lit(name).alias("section"), place.alias("rank"), "path", F.col(text).alias("text"), status.alias("status"), F.lit(1).cast("long").alias("n"))
+
+    none = F.lit(None).cast("string")
+    order = [F.desc("n"), F.col("topic")]
+    counted = inside.select("meeting_id", "topic").distinct().groupBy("topic").agg(F.count("*").alias("n")).orderBy(*order).limit(topics)
+    counted = counted.select(F.lit("topic").alias("section"), F.row_number().over(Window.orderBy(*order)).cast("long").alias("rank"), none.alias("path"), F.col("topic").alias("text"), none.alias("status"), "n")
+    parts = section("meeting", own, "title", none, recent).unionByName(section("intent", live, "what", F.col("status"), intents))
+    return parts.unionByName(section("decision", inside.where("kind = 'decision'").select("path", "date", "what").distinct(), "what", none, decisions)).unionByName(counted)
 
 
 def person_profile(meetings: DataFrame, items: DataFrame, name: str, exact: bool = False) -> DataFrame:
@@ -167,11 +217,20 @@ def person_profile(meetings: DataFrame, items: DataFrame, name: str, exact: bool
     return seen.join(counts).join(best)  # three rows of one
 
 
-def dedup_commitments(items: DataFrame) -> DataFrame:
-    """One row for each (meeting, text, owner, due), case and blanks aside; any stale or open duplicate decides the status."""
-    fold = lambda c: F.lower(F.trim(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"\s+", " ")))
-    key = [F.col("meeting_id"), fold("what").alias("k_what"), fold("who").alias("k_who"), fold("due").alias("k_due")]
-    return items.groupBy(*key).agg(F.min("what").alias("what"), F.bool_or(F.col("status") == "open").alias("open"), F.count("*").alias("n"))
+def dedup_commitments(items: DataFrame, as_of: str, owner: str | None = None) -> DataFrame:
+    """(meeting_id, what, who, due, status, n): live commitments and action items, one row for each (meeting, text, owner, due), case and blanks aside.
+
+    Only open and stale ones live; an open one past its due date is stale, and one stale duplicate makes the row stale. `owner` keeps
+    those of one owner, by normalised equality or slug. Of the spellings of a text the first in the order of characters stays.
+    """
+    rows = items.where(F.col("kind").isin("commitment", "action-item")).withColumn("state", commitment_status(F.col("status"), F.col("due"), F.lit(as_of).cast("timestamp_ntz"))).where("state is not null")
+    if owner is not None:
+        rows = rows.where(owner_matches(F.col("who"), owner))
+    fold = lambda c: F.lower(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")))
+    groups = rows.groupBy("meeting_id", *(fold(F.col(c)).alias(f"k_{c}") for c in ("what", "who", "due")))
+    stale = F.bool_or(F.col("state") == "stale")
+    out = groups.agg(F.min("what").alias("what"), F.min("who").alias("who"), F.min("due").alias("due"), F.when(stale, "stale").otherwise("open").alias("status"), F.count("*").alias("n"))
+    return out.drop("k_what", "k_who", "k_due")
 
 
 def commitments_by_status(meetings: DataFrame, items: DataFrame, as_of: str) -> DataFrame:

@@ -107,22 +107,22 @@ def decision_topics(spark: SparkSession, sf: str) -> DataFrame:
 
 def sdk_profile(spark: SparkSession, sf: str) -> DataFrame:
     """Meetings whose people or text name somebody, newest first; open actions of that name."""
-    meetings, people = M.meetings(spark, sf), M.attendees(spark, sf)
+    meetings, people = M.meetings(spark, sf), M.all_attendees(spark, sf)
     named = people.where(F.lower("person").contains("supplier 7")).select("meeting_id").distinct().withColumn("hit", F.lit(True))
     rows = meetings.join(named, "meeting_id", "left").where(F.col("hit") | F.lower("title").contains("supplier 7"))
-    actions = M.items(spark, sf).where("kind = 'action-item' and status = 'open'").where(F.lower("who").contains("supplier 7")).join(rows.select("meeting_id", "path", "date"), "meeting_id")
+    actions = M.all_items(spark, sf).where("kind = 'action-item' and status = 'open'").where(F.lower("who").contains("supplier 7")).join(rows.select("meeting_id", "path", "date"), "meeting_id")
     first = filters.newest(rows, 20).select(F.lit("meeting").alias("section"), "path", F.col("title").alias("text"))
     return first.unionByName(actions.orderBy(F.desc("date"), "path", "what", "due", "l_quantity").limit(20).select(F.lit("action").alias("section"), "path", F.col("what").alias("text")))
 
 
 def dictation_history(spark: SparkSession, sf: str) -> DataFrame:
     """The newest dictations."""
-    return filters.newest(M.released(spark, sf).where("type = 'dictation'"), 40).select("path", "date_text")
+    return filters.newest(M.meetings(spark, sf).where("type = 'dictation'"), 40).select("path", "date_text")
 
 
 def topic_projection(spark: SparkSession, sf: str) -> DataFrame:
     """Topics of matching meetings in the order in which they are first seen, newest meeting first."""
-    rows = M.items(spark, sf).join(M.released(spark, sf).where(F.lower("title").contains("0012")).select("meeting_id", "date", "path"), "meeting_id")
+    rows = M.all_items(spark, sf).join(M.meetings(spark, sf).where(F.lower("title").contains("0012")).select("meeting_id", "date", "path"), "meeting_id")
     seen = rows.groupBy("topic").agg(F.min(F.struct((-F.unix_timestamp(F.col("date").cast("timestamp"))).alias("age"), "path", "topic")).alias("o"), F.count("*").alias("n")).orderBy("o").limit(15)
     return seen.select("topic", "n", F.col("o.path").alias("path"))
 
@@ -204,8 +204,8 @@ ORACLE_SQL = {
     "sdk_profile": SQL + """, r AS (SELECT * FROM meetings m WHERE contains(lower(title), 'supplier 7') OR EXISTS (SELECT 1 FROM attendees a WHERE a.meeting_id = m.meeting_id AND contains(lower(person), 'supplier 7'))),
         a AS (SELECT 'meeting' AS section, path, title AS text FROM r ORDER BY date DESC, path LIMIT 20), b AS (SELECT 'action' AS section, path, what AS text FROM items JOIN r USING (meeting_id) WHERE kind = 'action-item' AND status = 'open' AND contains(lower(who), 'supplier 7') ORDER BY date DESC, path, what, due, l_quantity LIMIT 20)
         SELECT * FROM a UNION ALL SELECT * FROM b""",
-    "dictation_history": SQL + "SELECT path, date_text FROM released WHERE type = 'dictation' ORDER BY date DESC, path LIMIT 40",
-    "topic_projection": SQL + """, t AS (SELECT topic, min(struct_pack(age := -epoch(date)::BIGINT, path)) AS o, count(*) AS n FROM items JOIN released USING (meeting_id) WHERE contains(lower(title), '0012') GROUP BY 1) SELECT topic, n, o.path AS path FROM t ORDER BY o, topic LIMIT 15""",
+    "dictation_history": SQL + "SELECT path, date_text FROM meetings WHERE type = 'dictation' ORDER BY date DESC, path LIMIT 40",
+    "topic_projection": SQL + """, t AS (SELECT topic, min(struct_pack(age := -epoch(date)::BIGINT, path)) AS o, count(*) AS n FROM items JOIN meetings USING (meeting_id) WHERE contains(lower(title), '0012') GROUP BY 1) SELECT topic, n, o.path AS path FROM t ORDER BY o, topic LIMIT 15""",
     "attributed_lines": f"""WITH {_SEGMENTS}, p AS (SELECT conv_id, conv_id * 100 + turn AS line, start + (turn * 7 + conv_id) % 13 - 2 AS at_ FROM segments),
         g AS (SELECT line, speaker, CASE WHEN start <= at_ AND at_ < end_ THEN 0 WHEN start > at_ AND start - at_ <= 0.5 THEN 1 WHEN end_ <= at_ AND at_ - end_ <= 0.5 THEN 2 END AS c,
             CASE WHEN start <= at_ AND at_ < end_ THEN start WHEN start > at_ THEN start - at_ ELSE at_ - end_ END AS g FROM p JOIN segments USING (conv_id)),

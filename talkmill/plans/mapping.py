@@ -1,7 +1,9 @@
 """The supplied tables as a corpus: what the queries read, as DataFrames and as SQL with the same names.
 
 A meeting is an order, its person the customer; commitments and decisions are its line items, topics the
-types of their parts; a transcript is a conversation.
+types of their parts; a transcript is a conversation. `meetings`, `attendees` and `items` hold nothing of
+restricted meetings. A query that shows or counts these asks for the `all_` twins, and so does one that joins
+the twin of a table with `meetings`, which is the same gate.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from talkmill.tables import load
 AS_OF = "2001-12-01 12:30:00"
 
 
-def meetings(spark: SparkSession, sf: str) -> DataFrame:
+def all_meetings(spark: SparkSession, sf: str) -> DataFrame:
     """(meeting_id, path, date, date_text, type, title, person_id, person, sensitivity, recorded_by, duration_min)."""
     orders = load(spark, sf, "orders")
     people = load(spark, sf, "customer").select(F.col("c_custkey").alias("person_id"), F.col("c_name").alias("person"))
@@ -29,20 +31,36 @@ def meetings(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def released(spark: SparkSession, sf: str) -> DataFrame:
-    """The meetings that are not restricted; reports read these alone."""
-    return meetings(spark, sf).where(unrestricted())
+def meetings(spark: SparkSession, sf: str) -> DataFrame:
+    """The meetings that are not restricted."""
+    return all_meetings(spark, sf).where(unrestricted())
+
+
+def _released(spark: SparkSession, sf: str, rows: DataFrame) -> DataFrame:
+    """The rows of meetings that are not restricted; of these it reads the numbers alone, with the filter at the scan."""
+    ids = load(spark, sf, "orders").where(F.coalesce("o_orderpriority", F.lit("")) != "1-URGENT").select(F.col("o_orderkey").alias("meeting_id"))
+    return rows.join(ids, "meeting_id", "left_semi")
 
 
 def attendees(spark: SparkSession, sf: str) -> DataFrame:
+    """`all_attendees` of the meetings that are not restricted."""
+    return _released(spark, sf, all_attendees(spark, sf))
+
+
+def items(spark: SparkSession, sf: str) -> DataFrame:
+    """`all_items` of the meetings that are not restricted."""
+    return _released(spark, sf, all_items(spark, sf))
+
+
+def all_attendees(spark: SparkSession, sf: str) -> DataFrame:
     """(meeting_id, person, role): the customer as attendee, each supplier of a line item as speaker or as mentioned."""
     lines = load(spark, sf, "lineitem")
     role = F.when(F.col("l_linestatus") == "O", "speaker").otherwise("mentioned")
     rows = lines.select(F.col("l_orderkey").alias("meeting_id"), F.concat(F.lit("Supplier "), "l_suppkey").alias("person"), role.alias("role"))
-    return rows.unionByName(meetings(spark, sf).select("meeting_id", "person", F.lit("attendee").alias("role")))
+    return rows.unionByName(all_meetings(spark, sf).select("meeting_id", "person", F.lit("attendee").alias("role")))
 
 
-def items(spark: SparkSession, sf: str) -> DataFrame:
+def all_items(spark: SparkSession, sf: str) -> DataFrame:
     """(meeting_id, kind, what, topic, who, due, status, returned, quantity): line items as intents."""
     lines = load(spark, sf, "lineitem")
     parts = load(spark, sf, "part").select("p_partkey", "p_name", "p_type", "p_brand")
@@ -72,14 +90,14 @@ def insights(spark: SparkSession, sf: str) -> DataFrame:
 
 
 SQL = """
-    WITH meetings AS (
+    WITH all_meetings AS (
         SELECT o_orderkey AS meeting_id, 'order-' || o_orderkey AS path, o_orderdate AS date, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS date_text,
                CASE o_orderstatus WHEN 'F' THEN 'meeting' WHEN 'O' THEN 'memo' ELSE 'dictation' END AS type,
                'Review of ' || c_name || ' priority ' || lower(o_orderpriority) AS title, c_custkey AS person_id, c_name AS person,
                CASE WHEN o_orderpriority = '1-URGENT' THEN 'restricted' END AS sensitivity, o_orderpriority AS recorded_by,
                floor(o_totalprice / 5000)::BIGINT AS duration_min
         FROM orders JOIN customer ON o_custkey = c_custkey
-    ), items AS (
+    ), all_items AS (
         SELECT l_orderkey AS meeting_id, CASE l_returnflag WHEN 'R' THEN 'decision' WHEN 'A' THEN 'action-item' ELSE 'commitment' END AS kind,
                p_name || ' from ' || p_brand AS what, lower(p_type) AS topic, CASE WHEN l_suppkey % 7 > 0 THEN 'Supplier ' || l_suppkey END AS who,
                strftime(l_shipdate, '%Y-%m-%d') AS due, CASE l_linestatus WHEN 'O' THEN 'open' ELSE 'done' END AS status,
@@ -90,9 +108,9 @@ SQL = """
                CASE WHEN value < 10 THEN 'tentative' WHEN value < 40 THEN 'inferred' WHEN value < 120 THEN 'strong' ELSE 'explicit' END AS confidence,
                event_type || ' ' || (props::JSON ->> '$.k') AS content
         FROM events
-    ), released AS (SELECT * FROM meetings WHERE coalesce(sensitivity, 'normal') <> 'restricted'),
+    ), meetings AS (SELECT * FROM all_meetings WHERE coalesce(sensitivity, 'normal') <> 'restricted'), items AS (SELECT * FROM all_items SEMI JOIN meetings USING (meeting_id)),
     attendees AS (
         SELECT l_orderkey AS meeting_id, 'Supplier ' || l_suppkey AS person, CASE l_linestatus WHEN 'O' THEN 'speaker' ELSE 'mentioned' END AS role FROM lineitem
-        UNION ALL SELECT meeting_id, person, 'attendee' FROM meetings
+        WHERE l_orderkey IN (SELECT meeting_id FROM meetings) UNION ALL SELECT meeting_id, person, 'attendee' FROM meetings
     )
 """

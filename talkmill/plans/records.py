@@ -151,7 +151,7 @@ def regenerated_items(spark: SparkSession, sf: str) -> DataFrame:
 
 def battle_card(spark: SparkSession, sf: str) -> DataFrame:
     """People, commitments and earlier research before a meeting."""
-    meetings, items = M.released(spark, sf), M.items(spark, sf)
+    meetings, items = M.meetings(spark, sf), M.all_items(spark, sf)
     people = reports.relationship_map(meetings, items, AS_OF, 8).select(F.lit("person").alias("section"), F.col("person").alias("text"))
     due = reports.top_commitments(meetings, items, 10).select(F.lit("commitment").alias("section"), F.col("what").alias("text"))
     past = reports.research(meetings, items, "blue").where("section = 'decision'").select(F.lit("research").alias("section"), "text")
@@ -196,11 +196,11 @@ ORACLE_SQL = {
         m AS (SELECT doc_id, pos, CASE WHEN (doc_id + 3 * pos) % 5 = 0 THEN '[music]' WHEN (doc_id + 3 * pos) % 7 = 0 THEN '[0:07] 東京は夜です' WHEN (doc_id + 3 * pos) % 11 = 0 THEN '[0:08] I''ll send it, ' || line ELSE '[0:09] ' || line END AS line FROM l),
         p AS (SELECT doc_id, trim(list_last(string_split(line, ']'))) AS text, list_filter([{_COMMITS}], lambda c: contains(lower(line), c))[1] AS phrase FROM m)
         SELECT doc_id, phrase, count(*) AS n, min(text) AS first_text FROM p WHERE phrase IS NOT NULL AND strlen(text) > 10 GROUP BY 1, 2""",
-    "battle_card": SQL + f""", people AS (SELECT person_id, person, count(*) AS n, max(date) AS last_seen FROM released GROUP BY 1, 2), breadth AS (SELECT person_id, count(DISTINCT topic) AS t FROM released JOIN items USING (meeting_id) GROUP BY 1),
+    "battle_card": SQL + f""", people AS (SELECT person_id, person, count(*) AS n, max(date) AS last_seen FROM meetings GROUP BY 1, 2), breadth AS (SELECT person_id, count(DISTINCT topic) AS t FROM meetings JOIN items USING (meeting_id) GROUP BY 1),
         scored AS (SELECT person, n, round(n / (1 + round(greatest(floor(date_diff('second', last_seen, TIMESTAMP '{AS_OF}') / 3600) / 24.0, 0.0), 6) / 30) * least(coalesce(t, 0) / 3, 1.0), 6) AS score FROM people LEFT JOIN breadth USING (person_id)),
         p AS (SELECT 'person' AS section, person AS text FROM scored ORDER BY score DESC, n DESC, person LIMIT 8),
-        c AS (SELECT 'commitment' AS section, what AS text FROM items JOIN released USING (meeting_id) WHERE status = 'open' AND kind IN ('commitment', 'action-item') ORDER BY date DESC, what, person, kind, path LIMIT 10),
-        d AS (SELECT 'research' AS section, what AS text FROM items JOIN released USING (meeting_id) WHERE kind = 'decision' AND contains(lower(concat_ws(' ', topic, what)), 'blue') ORDER BY date DESC, path, what, due, l_quantity LIMIT 10)
+        c AS (SELECT 'commitment' AS section, what AS text FROM items JOIN meetings USING (meeting_id) WHERE status = 'open' AND kind IN ('commitment', 'action-item') ORDER BY date DESC, what, person, kind, path LIMIT 10),
+        d AS (SELECT 'research' AS section, what AS text FROM items JOIN meetings USING (meeting_id) WHERE kind = 'decision' AND contains(lower(concat_ws(' ', topic, what)), 'blue') ORDER BY date DESC, path, what, due, l_quantity LIMIT 10)
         SELECT * FROM p UNION ALL SELECT * FROM c UNION ALL SELECT * FROM d""",
     "regenerated_items": SQL + """, a AS (SELECT meeting_id, what, status, l_quantity % 2 = 0 AS edited, l_quantity AS q FROM items WHERE kind = 'action-item'), f AS (SELECT *, count(*) OVER (PARTITION BY meeting_id, what) AS c FROM a WHERE q > 10),
         b AS (SELECT *, count(*) OVER (PARTITION BY meeting_id, what) AS c FROM a WHERE q < 30), u AS (SELECT f.meeting_id, f.what, b.edited FROM f JOIN b ON f.meeting_id = b.meeting_id AND f.what = b.what AND f.c = 1 AND b.c = 1),
