@@ -75,7 +75,46 @@ def user_sessions(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
 
-QUERIES = {f.__name__: f for f in (topic_shifts, nudge_policy, partial_gate, speech_smoothing, session_states, latency_ring, newest_partials, hourly_events, user_sessions)}
+def _moments(spark: SparkSession, sf: str) -> DataFrame:
+    """(user_id, event_id, ms, event_type, value): events by milliseconds."""
+    return load(spark, sf, "events").select("user_id", "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), "event_type", "value")
+
+
+def nudge_ends(spark: SparkSession, sf: str) -> DataFrame:
+    """Nudges shown and expired, with the timer of their life."""
+    kind = F.when(F.col("event_type") == "error", "dismissed").otherwise("draft")
+    rows = _moments(spark, sf).select(
+        "user_id", "ms", kind.alias("kind"), F.concat("event_type", F.lit(" "), "event_id").alias("text"), F.lit("events").alias("source"), F.col("event_type").alias("opportunity"),
+        F.lit(100).alias("confidence"), F.concat(F.lit("nudge-"), F.col("event_id") % 5 + 1).alias("nudge"),
+    )
+    return operators.expiring_nudges(("purchase", "click"), interval_ms=3_600_000, ttl_ms=43_200_000).replay(rows, "user_id", ["text"])
+
+
+def coalesced_partials(spark: SparkSession, sf: str) -> DataFrame:
+    """The newest partial of each wait of an hour, with a timer."""
+    rows = _moments(spark, sf).select("user_id", "ms", F.lit(0).alias("epoch"), F.col("event_id").alias("sequence"), (F.col("event_id") * 7 % 11).alias("revision"), F.col("event_type").alias("text"))
+    return operators.coalesced_partials(3_600_000).replay(rows, "user_id", ["sequence"])
+
+
+def settled_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    """Files (users) whose size (of events) has stayed alike for two hours, with a timer."""
+    rows = _moments(spark, sf).select("user_id", "ms", "event_id", F.floor("value").cast("long").alias("size"))
+    return operators.settling(7_200_000).replay(rows, "user_id", ["event_id"])
+
+
+def reattributed_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Speakers of lines as segments arrive, in a scattered order; the last word on each line and how often it changed."""
+    t = load(spark, sf, "conversations")
+    start = (F.col("turn") * 10_000 + F.col("conv_id") % 5 * 1_000).cast("long")
+    base = t.select("conv_id", "turn", start.alias("at"), (start + 3_000 + F.length("text") % 90 * 100).alias("stop"))
+    none = F.lit(None).cast("long")
+    lines = base.select("conv_id", (F.col("turn") * 13 % 7).alias("ms"), (F.col("conv_id") * 100 + F.col("turn")).alias("line"), none.alias("speaker"), (F.col("at") - 2_000).alias("start"), (F.col("at") + 6_000).alias("end"))
+    segments = base.select("conv_id", (F.col("turn") * 5 % 11).alias("ms"), none.alias("line"), (F.col("turn") % 3).cast("long").alias("speaker"), F.col("at").alias("start"), F.col("stop").alias("end"))
+    told = operators.reattribution().replay(lines.unionByName(segments), "conv_id", ["start", "line"])
+    return told.groupBy("line").agg(F.max_by("speaker", "revision").alias("speaker"))
+
+
+QUERIES = {f.__name__: f for f in (topic_shifts, nudge_policy, partial_gate, speech_smoothing, session_states, latency_ring, newest_partials, hourly_events, user_sessions, nudge_ends, coalesced_partials, settled_sizes, reattributed_lines)}
 
 ORACLE_SQL = {
     "newest_partials": """WITH e AS (SELECT user_id, event_id, event_id % 5 AS sequence, event_id * 7 % 11 AS revision, event_id % 97 = 0 AS final FROM events), v AS (SELECT *, final::INT * 1000 + revision AS v FROM e),
@@ -87,4 +126,17 @@ ORACLE_SQL = {
     "latency_ring": """WITH e AS (SELECT user_id, event_id, floor(value * 10)::BIGINT AS ms, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events),
         x AS (SELECT a.user_id, a.r, list_sort(list(b.ms)) AS l FROM e a JOIN e b ON a.user_id = b.user_id AND b.r BETWEEN a.r - 63 AND a.r GROUP BY 1, 2)
         SELECT user_id, max(len(l)) AS n, max(l[greatest(1, ceil(50 * len(l) / 100))::INT]) AS p50, max(l[greatest(1, ceil(95 * len(l) / 100))::INT]) AS p95 FROM x GROUP BY 1""",
+    "coalesced_partials": """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS ms, event_type, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS r FROM events),
+        o AS (SELECT *, max(event_id) OVER (PARTITION BY user_id ORDER BY r) AS top FROM e),
+        w AS (SELECT user_id, min(r) AS r FROM o GROUP BY 1 UNION ALL
+            SELECT w.user_id, (SELECT min(n.r) FROM o n WHERE n.user_id = w.user_id AND n.ms >= o.ms + 3600000 AND n.event_id > (SELECT max(x.event_id) FROM o x WHERE x.user_id = w.user_id AND x.ms < o.ms + 3600000)) FROM w JOIN o ON o.user_id = w.user_id AND o.r = w.r WHERE w.r IS NOT NULL)
+        SELECT f.user_id, f.ms + 3600000 AS ms, 0::BIGINT AS epoch, m.event_id AS sequence, m.event_id * 7 % 11 AS revision, m.event_type AS text,
+            (SELECT count(*) FROM o x WHERE x.user_id = f.user_id AND x.r >= f.r AND x.ms < f.ms + 3600000 AND x.event_id > coalesce((SELECT max(y.event_id) FROM o y WHERE y.user_id = f.user_id AND y.r < f.r), -1)) AS n
+        FROM w JOIN o f ON f.user_id = w.user_id AND f.r = w.r JOIN o m ON m.user_id = f.user_id AND m.event_id = (SELECT max(x.event_id) FROM o x WHERE x.user_id = f.user_id AND x.ms < f.ms + 3600000)""",
+    "settled_sizes": """WITH e AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS ms, floor(value)::BIGINT AS size FROM events), c AS (SELECT *, lag(size) OVER (PARTITION BY user_id ORDER BY ms, event_id) AS before FROM e),
+        g AS (SELECT *, lead(ms) OVER (PARTITION BY user_id ORDER BY ms, event_id) AS after FROM c WHERE before IS NULL OR size <> before)
+        SELECT user_id, ms + 7200000 AS ms, size FROM g WHERE size > 0 AND (after IS NULL OR after >= ms + 7200000)""",
+    "reattributed_lines": """WITH s AS (SELECT conv_id, conv_id * 100 + turn AS line, turn % 3 AS speaker, turn * 10000 + conv_id % 5 * 1000 AS at_, turn * 10000 + conv_id % 5 * 1000 + 3000 + length(text) % 90 * 100 AS stop FROM conversations),
+        o AS (SELECT l.line, s.speaker, sum(least(l.at_ + 6000, s.stop) - greatest(l.at_ - 2000, s.at_)) AS o FROM s l JOIN s USING (conv_id) WHERE s.at_ < l.at_ + 6000 AND s.stop > l.at_ - 2000 GROUP BY 1, 2)
+        SELECT line, speaker FROM o QUALIFY row_number() OVER (PARTITION BY line ORDER BY o DESC, speaker) = 1""",
 }

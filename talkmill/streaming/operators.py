@@ -6,7 +6,12 @@ import math
 import re
 
 from talkmill.functions.text import KEYWORD_STOPWORDS, TRANSITION_CUES
-from talkmill.streaming.stateful import Operator
+from talkmill.streaming.stateful import Operator, TimedOperator
+
+
+def _missing(row: dict, *columns: str) -> bool:
+    """Whether one of the columns is null (NaN, in pandas' columns of numbers)."""
+    return any(row[c] is None or row[c] != row[c] for c in columns)
 
 
 def _keywords(text: str) -> set[str]:
@@ -166,3 +171,119 @@ def latency(newest: int = 64) -> Operator:
         return s, [(len(ordered), rank(50), rank(95))]
 
     return Operator(step, {"ring": []}, "n long, p50 long, p95 long")
+
+
+def expiring_nudges(modes: tuple[str, ...], confidence: int = 60, interval_ms: int = 10_000, ttl_ms: int = 30_000) -> TimedOperator:
+    """`nudges` with their ends: (event, nudge, text, ms, supersedes), event `shown`, or `expired` at the end of a nudge's life.
+
+    A nudge that was dismissed or superseded does not expire.
+    """
+    plain = nudges(modes, confidence, interval_ms, ttl_ms)
+
+    def step(s: dict, row: dict) -> tuple[dict, list[tuple]]:
+        s, shown = plain.step(s, row)
+        return s, [("shown", *m) for m in shown]
+
+    def ring(s: dict, at: int) -> tuple[dict, list[tuple]]:
+        name, s["active"] = s["active"], None
+        return s, [("expired", name, None, at, None)]
+
+    alarm = lambda s: None if s["active"] is None else s["last"] + ttl_ms
+    return TimedOperator(step, plain.initial, "event string, " + plain.output, alarm, ring)
+
+
+def coalesced_partials(wait_ms: int = 250) -> TimedOperator:
+    """rows (ms, epoch, sequence, revision, text) -> (ms, epoch, sequence, revision, text, n): the newest of the partials that come within a wait.
+
+    The first partial starts the wait, later ones do not prolong it; when it is over, the newest by (epoch, sequence, revision) goes out,
+    n says of how many. Rows with a null or a blank text take no part. What is older than the last that went out is dropped.
+    """
+
+    def step(s: dict, row: dict) -> tuple[dict, list[tuple]]:
+        if _missing(row, "epoch", "sequence", "revision", "text") or not row["text"].strip():
+            return s, []
+        version = [int(row[c]) for c in ("epoch", "sequence", "revision")]
+        if s["sent"] is not None and version <= s["sent"]:
+            return s, []
+        if s["until"] is None:
+            s.update(until=int(row["ms"]) + wait_ms, n=0, best=None)
+        s["n"] += 1
+        if s["best"] is None or version >= s["best"][:3]:
+            s["best"] = [*version, row["text"]]
+        return s, []
+
+    def ring(s: dict, at: int) -> tuple[dict, list[tuple]]:
+        out = (at, *s["best"], s["n"])
+        s.update(until=None, sent=s["best"][:3])
+        return s, [out]
+
+    first = {"until": None, "best": None, "n": 0, "sent": None}
+    return TimedOperator(step, first, "ms long, epoch long, sequence long, revision long, text string, n long", lambda s: s["until"], ring)
+
+
+def settling(quiet_ms: int = 2_000) -> TimedOperator:
+    """rows (ms, size) of a file -> (ms, size): a file whose size has not changed for that long; every look at it tells its size.
+
+    Empty files, and files without a size, do not settle. A file that changes after it has settled settles again.
+    """
+
+    def step(s: dict, row: dict) -> tuple[dict, list[tuple]]:
+        size = 0 if _missing(row, "size") else int(row["size"])
+        if size != s["size"]:
+            s.update(size=size, until=int(row["ms"]) + quiet_ms if size > 0 else None)
+        return s, []
+
+    def ring(s: dict, at: int) -> tuple[dict, list[tuple]]:
+        s["until"] = None
+        return s, [(at, s["size"])]
+
+    return TimedOperator(step, {"size": None, "until": None}, "ms long, size long", lambda s: s["until"], ring)
+
+
+def reattribution(horizon_ms: int = 600_000) -> TimedOperator:
+    """rows (ms, line, speaker, start, end) of a session -> (line, speaker, overlap, revision): who speaks a line, told anew when it changes.
+
+    A row with a line is an utterance, one with a speaker alone a segment, [start, end) in ms of the session's clock; both come in any order. A line's
+    speaker is the one of the greatest total overlap, of equals the least; without overlap nothing is told. Repeated utterances count once, rows without
+    a start, an end or both ids not at all.
+    Rows are held until the session has been quiet for `horizon_ms`; a session is a meeting, so its rows are bounded by its length.
+    """
+
+    def tell(s: dict, line: str) -> list[tuple]:
+        own = s["lines"][line]
+        if not own["by"]:
+            return []
+        speaker, overlap = min(own["by"].items(), key=lambda x: (-x[1], int(x[0])))
+        if speaker == own["told"]:
+            return []
+        own.update(told=speaker, revision=own["revision"] + 1)
+        return [(int(line), int(speaker), overlap, own["revision"])]
+
+    def meet(own: dict, speaker: str, start: int, end: int) -> bool:
+        overlap = min(own["end"], end) - max(own["start"], start)
+        if overlap > 0:
+            own["by"][speaker] = own["by"].get(speaker, 0) + overlap
+        return overlap > 0
+
+    def step(s: dict, row: dict) -> tuple[dict, list[tuple]]:
+        s["until"] = int(row["ms"]) + horizon_ms
+        if _missing(row, "start", "end") or (_missing(row, "line") and _missing(row, "speaker")):
+            return s, []
+        start, end = int(row["start"]), int(row["end"])
+        if not _missing(row, "line"):
+            line = str(int(row["line"]))
+            if line in s["lines"]:
+                return s, []
+            s["lines"][line] = {"start": start, "end": end, "by": {}, "told": None, "revision": 0}
+            for segment in s["segments"]:
+                meet(s["lines"][line], *segment)
+            return s, tell(s, line)
+        segment = [str(int(row["speaker"])), start, end]
+        s["segments"].append(segment)
+        return s, [m for line, own in s["lines"].items() if meet(own, *segment) for m in tell(s, line)]
+
+    def ring(s: dict, at: int) -> tuple[dict, list[tuple]]:
+        return {"lines": {}, "segments": [], "until": None}, []
+
+    first = {"lines": {}, "segments": [], "until": None}
+    return TimedOperator(step, first, "line long, speaker long, overlap long, revision long", lambda s: s["until"], ring)

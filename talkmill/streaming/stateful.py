@@ -1,6 +1,9 @@
 """Stateful operators: a step function over the rows of a key, in order; the same step replays a table or follows a stream.
 
 A step takes (state, row) and returns the new state and a list of output tuples. The state is a dictionary that JSON can hold.
+
+A timed operator also has an alarm: the moment, by the state alone, at which something happens though no row comes. A stream
+rings it when the watermark passes that moment, a replay before the first row at or after it.
 """
 
 from __future__ import annotations
@@ -65,3 +68,75 @@ class Operator:
 
         schema = f"{key} {dict(stream.dtypes)[key]}, {self.output}"
         return stream.groupBy(key).applyInPandasWithState(each, schema, "state string", "append", GroupStateTimeout.NoTimeout)
+
+
+@dataclass(frozen=True)
+class TimedOperator(Operator):
+    """An operator with alarms. Rows have a column `ms`, the milliseconds of the epoch.
+
+    `alarm` gives the next moment in ms, or None; `ring` takes the state and that moment and returns as a step does, with a later
+    alarm or none. Rows without `ms` take no part. A row at the alarm's very moment comes after it.
+    """
+
+    alarm: Callable[[dict], int | None]
+    ring: Step
+
+    def rung(self, state: dict, until: float) -> tuple[dict, list[tuple]]:
+        """The state and output after all alarms up to a moment."""
+        out: list[tuple] = []
+        while (at := self.alarm(state)) is not None and at <= until:
+            state, more = self.ring(state, at)
+            out += more
+        return state, out
+
+    def _timed(self, state: dict, row: dict) -> tuple[dict, list[tuple]]:
+        state, out = self.rung(state, row["ms"])
+        state, more = self.step(state, row)
+        return state, out + more
+
+    def replay(self, rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+        """As of `Operator`; after a key's last row all its alarms ring, as on a stream whose watermark has passed them."""
+        first, names, timed, rung = json.dumps(self.initial), self._names(), self._timed, self.rung
+
+        def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            now, state = None, None
+            for b in batches:
+                out: list[tuple] = []
+                for row in b.to_dict("records"):
+                    if state is None or row[key] != now:
+                        if state is not None:
+                            out += [(now, *m) for m in rung(state, float("inf"))[1]]
+                        now, state = row[key], json.loads(first)
+                    state, more = timed(state, row)
+                    out += [(now, *m) for m in more]
+                yield pd.DataFrame(out, columns=[key, *names])
+            if state is not None:
+                yield pd.DataFrame([(now, *m) for m in rung(state, float("inf"))[1]], columns=[key, *names])
+
+        dealt = rows.where(F.col(key).isNotNull() & F.col("ms").isNotNull()).repartition(key).sortWithinPartitions(key, "ms", *order)
+        return dealt.mapInPandas(each, f"{key} {dict(rows.dtypes)[key]}, {self.output}")
+
+    def follow(self, stream: DataFrame, key: str, order: list[str], late: str = "10 seconds") -> DataFrame:
+        """A stream's rows as they arrive; alarms ring when the watermark, `late` behind the newest `ms` of the stream, has passed them.
+
+        Rows at or before the watermark are too late and take no part.
+        """
+
+        def each(keys: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+            state = json.loads(held.get[0]) if held.exists else json.loads(json.dumps(self.initial))
+            if held.hasTimedOut:
+                state, out = self.rung(state, held.getCurrentWatermarkMs())
+            else:
+                out = []
+                for row in pd.concat(list(parts)).sort_values(["ms", *order], kind="stable").to_dict("records"):
+                    state, more = self._timed(state, row)
+                    out += more
+            held.update((json.dumps(state),))
+            at = self.alarm(state)
+            if at is not None:
+                held.setTimeoutTimestamp(max(int(at), held.getCurrentWatermarkMs() + 1))
+            yield pd.DataFrame([(keys[0], *m) for m in out], columns=[key, *self._names()])
+
+        rows = stream.where(F.col(key).isNotNull() & F.col("ms").isNotNull()).withColumn("_at", F.timestamp_millis("ms")).withWatermark("_at", late)
+        schema = f"{key} {dict(stream.dtypes)[key]}, {self.output}"
+        return rows.groupBy(key).applyInPandasWithState(each, schema, "state string", "append", GroupStateTimeout.EventTimeTimeout)
