@@ -11,7 +11,7 @@ from talkmill.operators import records
 from talkmill.plans import mapping as M
 from talkmill.plans.mapping import SQL
 from talkmill.session import shared_folder
-from talkmill.sources import census, logs, markdown
+from talkmill.sources import census, events, logs, markdown
 from talkmill.tables import load
 
 
@@ -76,6 +76,44 @@ def live_tail(spark: SparkSession, sf: str) -> DataFrame:
     return last
 
 
+def typed_events(spark: SparkSession, sf: str) -> DataFrame:
+    """A log of nine kinds of events read through typed views; unknown kinds and events that lack a field are kept apart."""
+    n, text = F.col("event_id"), F.col("event_type")
+    stamp, name = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX").alias("timestamp"), F.concat(F.lit("m-"), n)
+    line = lambda kind, *own: F.to_json(F.struct(n.alias("seq"), stamp, F.lit(kind).alias("event_type"), *own))
+    path, title, count = name.alias("path"), text.alias("title"), (n % 1_000).alias("word_count")
+    kinds = (
+        line("RecordingCompleted", path, title, count, F.lit("meeting").alias("content_type"), F.lit("1h").alias("duration")),
+        line("NoteAdded", name.alias("meeting_path"), text.alias("text")),
+        line("meeting.insight.detected", F.struct(text.alias("kind"), F.floor("value").cast("long").alias("score")).alias("insight"), text.alias("meeting_title")),
+        line("KnowledgeUpdated", name.alias("meeting_path"), (n % 7).alias("facts_written"), (n % 3).alias("facts_skipped"), F.array(text, F.lit("Ann")).alias("people_updated")),
+        line("live.utterance.final", F.lit("mic").alias("source"), name.alias("transcript_path"), n.alias("line"), text.alias("text"), (n * 10).alias("offset_ms"), (n % 50).alias("duration_ms")),
+        line("agent.annotation", F.struct(text.alias("id")).alias("agent"), F.lit("note").alias("subkind"), F.struct(path).alias("target"), text.alias("body"), F.lit("high").alias("confidence")),
+        line("WatchProcessed", path, title, count),  # lacks its source_path
+        line("something.new", text.alias("text")),
+        F.lit('{"event_type": "NoteAdded", '),
+    )
+    folder = _folder(spark, "typed")
+    load(spark, sf, "events").select(F.element_at(F.array(*kinds), (n % len(kinds) + 1).cast("int")).alias("value")).repartition(4, "value").write.text(folder)
+    rows = events.envelopes(spark.read.text(folder))
+
+    def view(kind: str, number, text) -> DataFrame:
+        return events.of_kind(rows, kind).agg(F.lit(kind).alias("kind"), F.count("*").alias("n"), F.sum(number).cast("long").alias("total"), F.max(text).alias("last"))
+
+    parts = [
+        view("recording.completed", F.col("word_count"), F.col("title")), view("NoteAdded", F.col("seq"), F.col("text")),
+        view("meeting.insight.detected", events.field(F.col("insight"), "$.score", "long"), events.field(F.col("insight"), "$.kind", "string")),
+        view("KnowledgeUpdated", F.col("facts_written") + F.col("facts_skipped"), F.array_join("people_updated", "+")),
+        view("live.utterance.final", F.col("offset_ms") + F.col("duration_ms"), F.coalesce("speaker", F.lit("nobody"))),
+        view("agent.annotation", F.col("seq") + F.size("citations"), events.field(F.col("agent"), "$.id", "string")),
+        rows.where("not known").groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("n"), F.sum("seq").alias("total"), F.max(events.field(F.col("body"), "$.text", "string")).alias("last")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def revision_states(spark: SparkSession, sf: str) -> DataFrame:
     """Indexed revisions that are current, changed or gone."""
     d = load(spark, sf, "documents").select("doc_id", F.md5("text").alias("sha256"))
@@ -113,7 +151,7 @@ def frontmatter_fields(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("path", "title", "date", "people", F.translate("body", "\n", "|").alias("body"))
 
 
-QUERIES = {f.__name__: f for f in (event_log, appended_events, annotations, upserted, removed_documents, live_tail, revision_states, settled_files, speaker_mapping, folder_census, frontmatter_fields)}
+QUERIES = {f.__name__: f for f in (event_log, appended_events, annotations, upserted, removed_documents, live_tail, typed_events, revision_states, settled_files, speaker_mapping, folder_census, frontmatter_fields)}
 
 ORACLE_SQL = {
     "event_log": "SELECT event_type, count(*) AS n, min(event_id) + 1 AS first, max(event_id) + 1 AS last, sum(event_id + 1)::BIGINT AS total FROM events GROUP BY 1",
@@ -122,6 +160,10 @@ ORACLE_SQL = {
     "upserted": "SELECT c_custkey AS id, coalesce(n, c_name) AS name, coalesce(s, c_mktsegment) AS segment FROM customer LEFT JOIN (SELECT o_custkey, 'order ' || max(o_orderkey) AS n, arg_max(o_orderpriority, o_orderkey) AS s FROM orders GROUP BY 1) ON c_custkey = o_custkey",
     "removed_documents": "SELECT label, count(*) AS n FROM embeddings WHERE label % 3 > 0 GROUP BY 1",
     "live_tail": "SELECT event_id + 1 AS line, event_type AS text, 'S' || (user_id % 3) AS speaker FROM events WHERE event_id + 1 > 100 AND ts <= TIMESTAMP '2024-01-04' AND ts >= TIMESTAMP '2024-01-03 23:00:00'",
+    "typed_events": """SELECT CASE event_id % 9 WHEN 0 THEN 'recording.completed' WHEN 1 THEN 'NoteAdded' WHEN 2 THEN 'meeting.insight.detected' WHEN 3 THEN 'KnowledgeUpdated' WHEN 4 THEN 'live.utterance.final'
+            WHEN 5 THEN 'agent.annotation' WHEN 6 THEN 'WatchProcessed' ELSE 'something.new' END AS kind, count(*) AS n,
+        sum(CASE event_id % 9 WHEN 0 THEN event_id % 1000 WHEN 2 THEN floor(value)::BIGINT WHEN 3 THEN event_id % 7 + event_id % 3 WHEN 4 THEN event_id * 10 + event_id % 50 ELSE event_id END)::BIGINT AS total,
+        max(CASE event_id % 9 WHEN 3 THEN event_type || '+Ann' WHEN 4 THEN 'nobody' WHEN 6 THEN NULL ELSE event_type END) AS last FROM events WHERE event_id % 9 < 8 GROUP BY 1""",
     "revision_states": "SELECT CASE WHEN doc_id % 11 = 0 THEN 'gone' WHEN doc_id % 7 = 0 THEN 'changed' ELSE 'current' END AS state, count(*) AS n FROM documents GROUP BY 1",
     "settled_files": "SELECT url AS path, max(length(html)) AS size FROM pages GROUP BY 1 HAVING max(length(html)) % 5 > 0",
     "speaker_mapping": "SELECT c_custkey, 'SPEAKER_0' AS label, c_name AS name FROM customer UNION ALL SELECT c_custkey, 'SPEAKER_2', 'Person ' || c_nationkey FROM customer",
