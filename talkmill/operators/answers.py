@@ -127,6 +127,50 @@ def token_snippet(text: Column, terms: tuple[str, ...], size: int = 24) -> Colum
     return F.when(at > 0, both).otherwise("")
 
 
+def best_snippet(text: Column, terms: tuple[str, ...], size: int = 24) -> Column:
+    """The `size` words of a text that say most of the terms, with … where the text goes on; empty without a hit, null for a null text.
+
+    A window begins at a hit, or at the last beginning of a sentence (the first word, or one after a full stop or colon) before it, if the hit is still inside.
+    Each term in it counts 1,000, each repetition 1; a beginning of a sentence 100, that of the text 120. The best window wins, of equals the first.
+    One that began at a hit is then moved so that its hits stand in the middle. A hit looks at the words and hits within `size` of it, so the
+    work grows with the text's length alone.
+    """
+    w = F.filter(F.split(text, r"\s+"), lambda x: x != "")
+
+    def snippet(w: Column) -> Column:
+        held = lambda x: F.filter(F.array(*(F.when(F.lower(x).contains(t.lower()), F.lit(k)) for k, t in enumerate(terms))), lambda k: k.isNotNull())
+        hits = F.filter(F.transform(w, lambda x, i: F.struct(i.alias("i"), held(x).alias("terms"))), lambda h: F.size(h["terms"]) > 0)
+        return F.transform(F.array(hits), lambda h: cut(w, h))[0]  # the array of hits is made once
+
+    def scored(hits: Column, j: Column, start: Column, bonus: Column, hit: Column) -> Column:
+        near = F.slice(hits, F.greatest(F.lit(1), j + 1 - size), F.lit(2 * size))
+        inside = F.filter(near, lambda g: (g["i"] >= start) & (g["i"] < start + size))
+        said = F.flatten(F.transform(inside, lambda g: g["terms"]))
+        distinct = F.size(F.array_distinct(said))
+        score = 1_000 * distinct + F.size(said) - distinct + bonus
+        first, last = F.element_at(inside, 1)["i"], F.element_at(inside, -1)["i"]
+        return F.struct(score.alias("score"), (-hit).alias("hit"), (-bonus).alias("bonus"), start.alias("start"), first.alias("first"), last.alias("last"))
+
+    def candidates(w: Column, hits: Column, h: Column, j: Column) -> Column:
+        before = F.sequence(F.greatest(F.lit(0), h["i"] - size + 1), h["i"])
+        begins = F.array_max(F.filter(before, lambda p: (p == 0) | F.get(w, p - 1).rlike("[.:]$")))
+        sentence = F.when(begins < h["i"], scored(hits, j, begins, F.when(begins == 0, 120).otherwise(100), h["i"]))
+        return F.array_compact(F.array(scored(hits, j, h["i"], F.lit(0), h["i"]), sentence))
+
+    def cut(w: Column, hits: Column) -> Column:
+        best = F.array_max(F.transform(hits, lambda h, j: F.array_max(candidates(w, hits, h, j))))
+        return F.transform(F.array(best), lambda b: words(w, b))[0]
+
+    def words(w: Column, b: Column) -> Column:
+        middle = b["first"] - F.floor((size - (b["last"] - b["first"])) / 2).cast("int")
+        start = F.when(b["bonus"] < 0, b["start"]).otherwise(F.greatest(F.lit(0), F.least(middle, F.size(w) - size)))
+        part = F.array_join(F.slice(w, start + 1, F.lit(size)), " ")
+        both = F.concat(F.when(start > 0, F.lit("…")).otherwise(""), part, F.when(start + size < F.size(w), F.lit("…")).otherwise(""))
+        return F.when(b.isNull(), "").otherwise(both)
+
+    return F.when(text.isNotNull(), F.transform(F.array(w), snippet)[0])
+
+
 def guarded(rows: DataFrame, most: int = 25_000) -> DataFrame:
     """rows, or a ValueError if there are more than `most`; at most one more is counted."""
     if rows.limit(most + 1).count() > most:

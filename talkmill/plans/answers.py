@@ -21,6 +21,13 @@ def search_snippets(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", answers.line_snippet(F.col("text"), "license").alias("line"), answers.token_snippet(F.col("text"), ("license",)).alias("words"))
 
 
+def best_snippets(spark: SparkSession, sf: str) -> DataFrame:
+    """Of documents that hold one of three terms, the 24 words that say most of them."""
+    terms = ("license", "software", "you")
+    rows = load(spark, sf, "documents").where(F.lower("text").contains("license"))
+    return rows.select("doc_id", answers.best_snippet(F.col("text"), terms).alias("words"))
+
+
 def exact_recheck(spark: SparkSession, sf: str) -> DataFrame:
     """The predicate of a full-text search, on one document, with a snippet."""
     rows = retrieval.matching(load(spark, sf, "documents").where("doc_id = 2"), "the")
@@ -167,7 +174,7 @@ def speaker_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    search_snippets, exact_recheck, query_expansions, decode_phrases, provision_evidence, withdrawn_documents, document_evidence, capped_people, clean_names, user_folded, own_name,
+    search_snippets, best_snippets, exact_recheck, query_expansions, decode_phrases, provision_evidence, withdrawn_documents, document_evidence, capped_people, clean_names, user_folded, own_name,
     decision_topics, sdk_profile, dictation_history, topic_projection, attributed_lines, solo_voices, energy_segments, nudge_scores, speaker_labels,
 )}
 
@@ -179,6 +186,15 @@ ORACLE_SQL = {
     "search_snippets": r"""WITH d AS (SELECT doc_id, text, trim(list_filter(string_split(text, chr(10)), lambda x: contains(lower(x), 'license'))[1], ' ') AS l, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents WHERE contains(lower(text), 'license')),
         a AS (SELECT *, list_position(list_transform(w, lambda x: contains(lower(x), 'license')), true) AS at_ FROM d), b AS (SELECT *, greatest(1, least(at_ - 8, len(w) - 23)) AS f FROM a)
         SELECT doc_id, CASE WHEN length(l) > 200 THEN l[1:200] || '...' ELSE l END AS line, CASE WHEN f > 1 THEN '…' ELSE '' END || array_to_string(w[f:f + 23], ' ') || CASE WHEN f + 23 < len(w) THEN '…' ELSE '' END AS words FROM b""",
+    "best_snippets": r"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents WHERE contains(lower(text), 'license')),
+        t AS (SELECT doc_id, unnest(range(len(w))) AS i, unnest(w) AS x, unnest(list_prepend('.', w[:len(w) - 1])) AS before FROM d),
+        f AS (SELECT doc_id, i, contains(lower(x), 'license')::INT AS a, contains(lower(x), 'software')::INT AS b, contains(lower(x), 'you')::INT AS c, right(before, 1) IN ('.', ':') AS begins FROM t),
+        h AS (SELECT * FROM f WHERE a + b + c > 0), s AS (SELECT h.doc_id, h.i AS hit, max(f.i) AS p FROM h JOIN f ON f.doc_id = h.doc_id AND f.begins AND f.i BETWEEN h.i - 23 AND h.i GROUP BY 1, 2 HAVING max(f.i) < h.i),
+        k AS (SELECT doc_id, i AS hit, i AS p, 0 AS bonus FROM h UNION ALL SELECT doc_id, hit, p, CASE p WHEN 0 THEN 120 ELSE 100 END FROM s),
+        g AS (SELECT k.doc_id, hit, p, bonus, 999 * (max(a) + max(b) + max(c)) + sum(a + b + c) + bonus AS score, min(i) AS first, max(i) AS last FROM k JOIN h ON h.doc_id = k.doc_id AND h.i BETWEEN p AND p + 23 GROUP BY k.doc_id, hit, p, bonus),
+        o AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, hit, bonus) = 1),
+        r AS (SELECT doc_id, w, CASE WHEN bonus > 0 THEN p ELSE greatest(0, least(first - (24 - (last - first)) // 2, len(w) - 24)) END AS at_ FROM o JOIN d USING (doc_id))
+        SELECT doc_id, CASE WHEN at_ > 0 THEN '…' ELSE '' END || array_to_string(w[at_ + 1:at_ + 24], ' ') || CASE WHEN at_ + 24 < len(w) THEN '…' ELSE '' END AS words FROM r""",
     "query_expansions": f"""WITH {_FORMS}, k AS (SELECT *, lower(form) AS k FROM f), h AS (SELECT DISTINCT entry FROM k WHERE k = 'blue bolt'), g AS (SELECT k, min(struct_pack(entry, place, form)) AS o FROM k WHERE entry IN (SELECT entry FROM h) AND k <> 'blue bolt' GROUP BY 1),
         r AS (SELECT -1 AS e, 0 AS p, 'Blue  bolt' AS form UNION ALL SELECT o.entry, o.place, o.form FROM g) SELECT row_number() OVER (ORDER BY e, p, form) AS place, form AS phrase FROM r QUALIFY place <= 8""",
     "decode_phrases": f"""WITH {_FORMS}, g AS (SELECT lower(form) AS k, min(struct_pack(p := -priority, kind, c := lower(canonical), place, form)) AS o FROM f GROUP BY 1)
