@@ -212,12 +212,16 @@ def best_profile(vectors: DataFrame, people: DataFrame, who: str, least: float,
         def each(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             ids, rows = shared.value
             dims = np.array([len(r) for r in rows])
+            stacked = {d: (at := np.nonzero(dims == d)[0], np.array([rows[k] for k in at])) for d in set(dims.tolist())}
             for b in batches:
                 out = []
                 for vec, v in zip(b["vec_id"], b["v"]):
-                    at = np.nonzero(dims == len(v))[0]
-                    near = np.round(np.array([rows[k] for k in at]) @ v, 6) if len(at) else np.empty(0)
-                    out += [(vec, ids[at[k]], near[k]) for k in np.lexsort((at, -near))[:2]]
+                    if len(v) not in stacked:
+                        continue
+                    at, matrix = stacked[len(v)]
+                    near = np.round(matrix @ v, 6)
+                    first = np.nonzero(near >= np.partition(near, -2)[-2])[0] if len(near) > 2 else np.arange(len(near))  # the best two and their ties
+                    out += [(vec, ids[at[k]], near[k]) for k in first[np.lexsort((first, -near[first]))][:2]]
                 yield pd.DataFrame(out, columns=["vec_id", "who", "similarity"])
 
         found = asked.mapInPandas(each, schema)
