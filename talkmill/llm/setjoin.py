@@ -435,8 +435,6 @@ def similar_sets(documents: DataFrame, n: int = 3, percent: int = 90) -> DataFra
     sets = written(sets_of(documents, classes.join(entries.select("node").distinct(), "node", "left_semi"), n), "sets")
     links = components = None
     for k in range(ROUNDS + 1):
-        if k == ROUNDS and links is not None:
-            components = written(connected_components(links, "stars"), "components")
         left = written(open_lists(entries, components), "open-lists")
         if left.isEmpty():
             break

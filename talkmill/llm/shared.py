@@ -59,9 +59,15 @@ def connected_components(edges: DataFrame, name: str, max_rounds: int = 60) -> D
     """
     pair = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"))
     pair = pair.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    stars, before = written(pair.distinct(), name), None
-    total = stars.count()
-    for _ in range(max_rounds):
+    stars = written(pair.distinct(), name)
+    for k in range(max_rounds + 1):
+        ends = stars.select(F.explode(F.array(*(F.struct(F.col(c).alias("node"), F.lit(c == "u").cast("int").alias("up")) for c in "uv"))).alias("e"))
+        ends = ends.groupBy("e.node").agg(F.sum("e.up").alias("up"), F.count("*").alias("n"))
+        total, most = ends.agg(F.sum("up"), F.max(F.when(F.col("up") > 0, F.col("n")))).first()
+        if (most or 0) <= 1:
+            break  # each upper node has one edge, to a node without a lower one: what is left are the components' stars
+        if k == max_rounds:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
         # Large star: each upper neighbour w of a node u moves to the least node around u.
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
@@ -74,13 +80,7 @@ def connected_components(edges: DataFrame, name: str, max_rounds: int = 60) -> D
         after = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), name)
         discard(stars)
         discard(large)
-        state = after.agg(F.count("*"), F.sum(F.col("v").cast("decimal(38,0)")), F.expr("bit_xor(xxhash64(u, v))")).first()
-        stars, total = after, state[0]
-        if state == before:
-            break
-        before = state
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        stars = after
     roots = stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
