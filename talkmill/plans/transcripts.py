@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from talkmill.functions import noise
 from talkmill.functions import text as T
 from talkmill.operators import cleaning, extraction
+from talkmill.operators import titles as named
 from talkmill.tables import load
 
 
@@ -123,8 +124,18 @@ def topic_keywords(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("conv_id", "turn", F.size("k").cast("long").alias("n"), F.when(union > 0, F.round(F.size(F.array_intersect("k", "before")) / union, 6)).otherwise(0.0).alias("overlap"), "decisive")
 
 
+def recording_titles(spark: SparkSession, sf: str) -> DataFrame:
+    """A title for each conversation, from a context or its first line, with the rule that gave or refused it."""
+    t, kind = load(spark, sf, "conversations"), F.col("conv_id") % 8
+    begin = F.when(kind == 0, "Okay, so. Let's talk about ").when(kind == 1, "[0:00] well, ").when(kind == 2, "I want to discuss the API and ").when(kind == 3, "This is just a test: ")
+    first = begin.when(kind == 4, "Hello there\n").when(kind == 5, "東京は夜です\n").when(kind == 6, "[music] \n").otherwise("")
+    lines = t.select("conv_id", F.col("turn").alias("pos"), F.concat(F.lit("["), "role", F.lit("] "), F.when(F.col("turn") == 0, first).otherwise(""), F.coalesce("text", F.lit(""))).alias("text"))
+    about = F.when(F.col("conv_id") % 5 == 0, F.concat(F.lit(" pricing  review of the Q"), F.col("conv_id"), F.lit(" deal. Second part"))).when(F.col("conv_id") % 5 == 1, "Voice  Memo")
+    return named.titles(lines, t.select("conv_id", about.alias("context")).distinct(), "conv_id")
+
+
 QUERIES = {f.__name__: f for f in (
-    summary_intents, summary_insights, entity_links, memo_tags, speaker_names, transcript_texts, speaker_overlay, noise_flags, script_filter, noise_collapse, clean_transcripts, sentence_counts,
+    recording_titles, summary_intents, summary_insights, entity_links, memo_tags, speaker_names, transcript_texts, speaker_overlay, noise_flags, script_filter, noise_collapse, clean_transcripts, sentence_counts,
     recognition_errors, topic_keywords,
 )}
 
@@ -150,7 +161,24 @@ _LINES = rf"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''),
         regexp_matches(s, '(?s)^(\[.*\]|\(.*\))$') AND NOT starts_with(trim(text, ' '), '[...]') AND NOT regexp_full_match(inn, '[0-9:]*') AND len(w) BETWEEN 1 AND 4 AND strlen(inn) <= 40 AND coalesce(lower(w[-1]) IN ({_LIST(noise.NOISE_WORDS)}), false) AS marker,
         CASE WHEN letters = 0 THEN NULL WHEN latin * 2 >= letters THEN 'latin' WHEN cjk * 2 >= letters THEN 'cjk' ELSE 'other' END AS script FROM c)"""
 
+#: A title as it is shown, of an expression.
+_SHOWN = lambda text: rf"""array_to_string(list_transform(list_filter(string_split(regexp_extract(trim({text}, '{named.PUNCTUATION.replace("'", "''")}'), '^[^.!?]*'), ' '), lambda w: w <> ''), lambda w, k:
+    CASE WHEN regexp_matches(w, '[0-9]') OR length(regexp_replace(w, '[^A-Z]', '', 'g')) > 1 THEN w WHEN k > 1 AND lower(w) IN ({_LIST(named.SMALL_WORDS)}) THEN lower(w) ELSE upper(lower(w)[1]) || lower(w)[2:] END), ' ')"""
+_TITLES = rf"""WITH t AS (SELECT conv_id, turn, '[' || role || '] ' || CASE WHEN turn > 0 THEN '' WHEN conv_id % 8 = 0 THEN 'Okay, so. Let''s talk about ' WHEN conv_id % 8 = 1 THEN '[0:00] well, ' WHEN conv_id % 8 = 2 THEN 'I want to discuss the API and '
+        WHEN conv_id % 8 = 3 THEN 'This is just a test: ' WHEN conv_id % 8 = 4 THEN 'Hello there' || chr(10) WHEN conv_id % 8 = 5 THEN '東京は夜です' || chr(10) WHEN conv_id % 8 = 6 THEN '[music] ' || chr(10) ELSE '' END || coalesce(text, '') AS text FROM conversations),
+    l AS (SELECT conv_id, turn, generate_subscripts(string_split(text, chr(10)), 1) AS k, unnest(string_split(text, chr(10))) AS raw FROM t),
+    c AS (SELECT conv_id, turn, k, trim(regexp_replace(regexp_replace(raw, '^(?:{named.SPACE}*\[[^\]]*\])+', ''), '{named.SPACE}+', ' ', 'g'), ' ') AS line FROM l),
+    f AS (SELECT conv_id, arg_min(line, [turn, k]) FILTER (line <> '' AND NOT starts_with(line, '[')) AS line, CASE WHEN conv_id % 5 = 0 THEN 'pricing review of the Q' || conv_id || ' deal. Second part' END AS context FROM c GROUP BY conv_id),
+    b AS (SELECT *, trim(regexp_replace(regexp_replace(line, '(?i)^(?:(?:{"|".join(named.FILLERS)})(?:[,.!? ]+|$))+', ''), '(?i)^(?:{"|".join(named.LEAD_INS).replace("'", "''")})', ''), ' ') AS cand FROM f),
+    w AS (SELECT *, list_filter(list_transform(string_split(lower(cand), ' '), lambda x: regexp_extract(x, '{named.KEPT.replace("'", "''")}(?:.*{named.KEPT.replace("'", "''")})?')), lambda x: x <> '') AS w FROM b),
+    r AS (SELECT *, CASE WHEN context IS NOT NULL THEN 'context' WHEN line IS NULL THEN 'silent' WHEN len(w) <= 4 AND w[1] IN ({_LIST(named.GREETINGS)}) THEN 'greeting'
+        WHEN {" OR ".join(f"starts_with(array_to_string(w, ' '), '{x}')" for x in named.PLAIN_BEGINNINGS)} OR len(list_filter(w, lambda x: x NOT IN ({_LIST(named.PLAIN_WORDS)}))) = 0 THEN 'plain'
+        WHEN length(regexp_replace(cand, '{named.NOT_LATIN}', '', 'g')) * 2 < length(regexp_replace(cand, '[^\pL]', '', 'g')) THEN 'script' ELSE 'transcript' END AS rule FROM w),
+    s AS (SELECT conv_id, rule, CASE rule WHEN 'context' THEN {_SHOWN("context")} WHEN 'transcript' THEN {_SHOWN("cand")} ELSE '{named.UNTITLED}' END AS title FROM r)
+    SELECT conv_id, CASE WHEN length(title) > 60 THEN title[1:57] || '...' ELSE title END AS title, rule FROM s"""
+
 ORACLE_SQL = {
+    "recording_titles": _TITLES,
     "transcript_texts": """SELECT conv_id AS doc_id, md5(string_agg('[' || role || '] ' || text, chr(10) ORDER BY turn)) AS md5, count(*) AS segments, sum(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')))::BIGINT AS words FROM conversations GROUP BY 1""",
     "noise_flags": _LINES + " SELECT phrase, marker, script, count(*) AS n FROM flags GROUP BY 1, 2, 3",
     "script_filter": _LINES + """, n AS (SELECT doc_id, count(script) AS n, count(*) FILTER (script = 'latin') AS a, count(*) FILTER (script = 'cjk') AS b, count(*) FILTER (script = 'other') AS c FROM flags GROUP BY 1),
