@@ -43,11 +43,22 @@ def next_job(jobs: DataFrame) -> DataFrame:
 def calendar_match(meetings: DataFrame, entries: DataFrame, day: str = "day") -> DataFrame:
     """(meeting_id, entry): of a day's calendar entries that share a title word, the nearest in time, ties to the least entry.
 
-    Both: (day, title, at in seconds); entries: (entry).
+    Both: (day, title, at in seconds); entries: (entry). Meetings never meet a day's entries: for each word of a day only the least entry of each moment is kept,
+    and a moment at which a meeting begins takes the last moment of an entry before it and the first after it. A missing moment is the farthest.
     """
     words = lambda df, key: df.select(day, key, "at", F.explode(F.array_distinct(T.title_keywords(F.col("title")))).alias("w"))
-    pairs = words(meetings, "meeting_id").withColumnRenamed("at", "m_at").join(words(entries, "entry"), [day, "w"])
-    return pairs.groupBy("meeting_id").agg(F.min(F.struct(F.abs(F.col("at") - F.col("m_at")).alias("gap"), "entry"))["entry"].alias("entry"))
+    asked = words(meetings, "meeting_id").where(F.col(day).isNotNull())
+    given = words(entries, "entry").where(F.col(day).isNotNull()).groupBy(day, "w", "at").agg(F.min("entry").alias("entry"))
+    moments = asked.select(day, "w", "at").distinct().withColumn("entry", F.lit(None).cast(given.schema["entry"].dataType))
+    own = Window.partitionBy(day, "w")
+    met = F.when(F.col("entry").isNotNull() & F.col("at").isNotNull(), F.struct("at", "entry"))
+    rows = given.unionByName(moments).withColumns({"before": F.max(met).over(own.orderBy("at")), "after": F.min(met).over(own.orderBy(F.desc("at"))), "least": F.min("entry").over(own)})
+    rated = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.lit(False).alias("far"), F.abs(F.col(f"{c}.at") - F.col("at")).alias("gap"), F.col(f"{c}.entry").alias("entry")))
+    away = F.col("at").isNull() | (F.col("before").isNull() & F.col("after").isNull())
+    farthest = F.struct(F.lit(True).alias("far"), F.lit(0).cast(rows.schema["at"].dataType).alias("gap"), F.col("least").alias("entry"))
+    near = rows.where("entry is null and least is not null").select(day, "w", F.col("at").alias("m_at"), F.when(away, farthest).otherwise(F.least(rated("before"), rated("after"))).alias("near"))
+    same = F.col("m.at").eqNullSafe(F.col("n.m_at")) & (F.col(f"m.{day}") == F.col(f"n.{day}")) & (F.col("m.w") == F.col("n.w"))
+    return asked.alias("m").join(near.alias("n"), same).groupBy("m.meeting_id").agg(F.min("n.near")["entry"].alias("entry"))
 
 
 def withheld_owners(items: DataFrame, labels: DataFrame) -> DataFrame:
