@@ -62,9 +62,11 @@ def trim_end(lines: DataFrame) -> DataFrame:
     rows = lines.withColumn("noise", noise.always_noise(text)).withColumn("in_noise", F.bool_and("noise").over(back))
     rows = rows.withColumn("ok", F.col("in_noise") | F.lower(F.trim(text)).isin(*noise.CLOSING_FILLERS)).withColumn("in_filler", F.bool_and("ok").over(back) & ~F.col("in_noise"))
     many = F.count_if("in_filler").over(Window.partitionBy("doc_id")) >= 5
-    rows = rows.withColumn("gone", F.col("in_noise") | (F.col("in_filler") & many))
-    notes = rows.where("gone").groupBy("doc_id").agg(F.min("pos").alias("pos"), F.concat(F.lit("[Recording ended - "), F.count("*"), F.lit(" lines of trailing noise removed]")).alias("line"))
-    return rows.where("not gone").select(lines.columns).unionByName(notes)
+    rows = rows.withColumn("gone", F.col("in_noise") | (F.col("in_filler") & many)).withColumn("n_gone", F.count_if("gone").over(Window.partitionBy("doc_id")))
+    first = F.col("gone") & ~F.coalesce(F.lead("gone").over(Window.partitionBy("doc_id").orderBy(F.desc("pos"))), F.lit(False))
+    note = F.concat(F.lit("[Recording ended - "), "n_gone", F.lit(" lines of trailing noise removed]"))
+    rows = rows.withColumn("first", first).where("first or not gone")  # the first line that goes becomes the note, so that lines are read once
+    return rows.withColumn("line", F.when(F.col("first"), note).otherwise(F.col("line"))).select(lines.columns)
 
 
 def collapse_noise(lines: DataFrame) -> DataFrame:
@@ -74,14 +76,15 @@ def collapse_noise(lines: DataFrame) -> DataFrame:
     run = Window.partitionBy("doc_id", "run", "marker")
     rows = rows.withColumns({"n": F.count("*").over(run), "at": F.row_number().over(run.orderBy("pos"))})
     long = F.col("marker") & (F.col("n") >= 3)
-    kept = rows.where(~long | (F.col("at") == 1)).select("doc_id", "pos", "line", "marker")
-    notes = rows.where(long & (F.col("at") == 2)).select("doc_id", "pos", F.concat(F.lit("[...] [non-speech audio removed - "), F.col("n") - 1, F.lit(" markers collapsed]")).alias("line"), F.lit(False).alias("marker"))
-    rows = kept.unionByName(notes)
+    note = F.concat(F.lit("[...] [non-speech audio removed - "), F.col("n") - 1, F.lit(" markers collapsed]"))
+    rows = rows.where(~long | (F.col("at") <= 2)).withColumn("noted", long & (F.col("at") == 2))
+    rows = rows.select("doc_id", "pos", F.when(F.col("noted"), note).otherwise(F.col("line")).alias("line"), (F.col("marker") & ~F.col("noted")).alias("marker"))
     all_ = Window.partitionBy("doc_id")
-    rows = rows.withColumns({"markers": F.count_if("marker").over(all_), "size": F.count("*").over(all_)})
+    rows = rows.withColumns({"markers": F.count_if("marker").over(all_), "size": F.count("*").over(all_), "last": F.max(F.when(F.col("marker"), F.col("pos"))).over(all_)})
     dense = (F.col("markers") >= 8) & (F.col("markers") < F.col("size")) & (F.col("markers") / F.col("size") >= 0.66)
-    gone = rows.where(dense & F.col("marker")).groupBy("doc_id").agg((F.max("pos") + 1e9).alias("pos"), F.concat(F.lit("["), F.count("*"), F.lit(" scattered non-speech markers removed]")).alias("line"))
-    return rows.where(~(dense & F.col("marker"))).select("doc_id", "pos", "line").unionByName(gone)
+    rows = rows.withColumn("gone", dense & F.col("marker")).where("not gone or pos = last")
+    summary = F.concat(F.lit("["), "markers", F.lit(" scattered non-speech markers removed]"))
+    return rows.select("doc_id", F.when(F.col("gone"), F.col("pos") + 1e9).otherwise(F.col("pos")).alias("pos"), F.when(F.col("gone"), summary).otherwise(F.col("line")).alias("line"))
 
 
 def likeness(first: str, other: str) -> float:

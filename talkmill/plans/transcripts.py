@@ -9,7 +9,10 @@ from talkmill.functions import noise
 from talkmill.functions import text as T
 from talkmill.operators import cleaning, extraction
 from talkmill.operators import titles as named
-from talkmill.tables import load
+from talkmill.tables import dealt, load, tasks
+
+#: Documents a task, where lines of a document must meet.
+EACH = 5_000
 
 
 def _summaries(spark: SparkSession, sf: str) -> DataFrame:
@@ -94,6 +97,7 @@ def noise_collapse(spark: SparkSession, sf: str) -> DataFrame:
     lines = cleaning.lines_of(load(spark, sf, "documents"), "doc_id", "text")
     n = (F.col("doc_id") + F.col("pos")).cast("long")
     lines = lines.withColumn("line", F.when(n % 10 < 6, "[0:01] (applause)").when(n % 3 == 0, "[Music]").otherwise("[0:02] words"))
+    lines = dealt(lines, tasks(spark, sf, "documents", EACH), "doc_id")
     return cleaning.collapse_noise(cleaning.trim_end(cleaning.drop_commands(lines))).groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("line").contains("collapsed")).alias("notes"))
 
 
