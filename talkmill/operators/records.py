@@ -93,24 +93,25 @@ def facts(meetings: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def chunks(documents: DataFrame, tokens: int, key: str = "doc_id", column: str = "text") -> DataFrame:
-    """(key, chunk, start, chars): parts of whole lines that hold at most 4 * tokens characters, longer lines by themselves."""
+    """(key, chunk, start, chars): parts of whole lines that hold at most 4 * tokens characters, longer lines by themselves. Python sees the lengths of lines alone."""
     most = 4 * tokens
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for k, text in zip(b[key], b[column]):
+            for k, sizes in zip(b[key], b["sizes"]):
                 at, size, n = 0, 0, 0
-                for line in (text or "").split("\n"):
-                    if size and size + len(line) > most:
+                for length in sizes.tolist():
+                    if size and size + length > most:
                         out.append((k, n, at, size))
                         at, size, n = at + size, 0, n + 1
-                    size += len(line) + 1
+                    size += length + 1
                 if size > 1 or n:
                     out.append((k, n, at, size))
             yield pd.DataFrame(out, columns=[key, "chunk", "start", "chars"])
 
-    return documents.where(F.col(key).isNotNull()).select(F.col(key).cast("long"), F.col(column).cast("string")).mapInPandas(each, f"{key} long, chunk int, start long, chars long")
+    sizes = F.transform(F.split(F.coalesce(F.col(column).cast("string"), F.lit("")), "\n"), F.length).alias("sizes")
+    return documents.where(F.col(key).isNotNull()).select(F.col(key).cast("long"), sizes).mapInPandas(each, f"{key} long, chunk int, start long, chars long")
 
 
 def live_texts(lines: DataFrame) -> DataFrame:
