@@ -14,6 +14,17 @@ from talkmill.llm.shared import written
 from talkmill.tables import load
 
 
+#: Rows of documents that Python gets at once, and words that a task of the last stage remembers. A worker lives through all stages, so what one leaves in it the others lack.
+ROWS, WORDS = 1_000, 100_000
+
+
+def lean(spark: SparkSession) -> None:
+    """Arrow batches of at most ROWS rows from here on: whole texts, and what is made of them, are held a batch at a time in the JVM and in Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ROWS:
+        spark.conf.set(key, str(ROWS))
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is 0.5 or more.
 
@@ -21,6 +32,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     stay. Null and empty texts are scored like texts without any difference. Whole texts are scored, very long ones too. Each
     repeated row is judged by itself, so equal rows stay or go together; a null doc_id is no obstacle.
     """
+    lean(spark)
     return quality.good_only(docs, quality.train(docs, load(spark, sf_dir, "labels")))
 
 
@@ -40,6 +52,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts have no shingles and are one group. Texts of fewer than five words are one shingle. Each row is
     judged by its own text; equal rows of the doc_id that stays all stay. Rows without doc_id stay.
     """
+    lean(spark)
     return simhash.keep_one(docs, similarity=0.8, shingle=5)
 
 
@@ -48,6 +61,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts hold nothing and stay; so do all if the benchmark is empty. Repeated rows go or stay together; a null doc_id is no obstacle.
     """
+    lean(spark)
     return tiling.decontaminated(docs, load(spark, sf_dir, "benchmark"))
 
 
@@ -56,7 +70,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null or empty text is its end id alone. Very long texts are cut into sequences of 4,096 first. Repeated rows and ids, and null ones, are packed row by row.
     """
-    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
+    lean(spark)
+    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), words=WORDS)
 
 
 STAGES = [

@@ -121,15 +121,22 @@ def encoder(path: str, end_id: int) -> Encoder:
     return Encoder(path, end_id)
 
 
-def pieces(documents: DataFrame, tokenizer_path: str, end_id: int = 2, longest: int = 4096) -> DataFrame:
+def passing_encoder(path: str, end_id: int, words: int) -> Encoder:
+    """An encoder that goes with its task and remembers about so many words."""
+    return Encoder(path, end_id, words)
+
+
+def pieces(documents: DataFrame, tokenizer_path: str, end_id: int = 2, longest: int = 4096, words: int | None = None) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens) for each piece of documents(doc_id, text).
 
     A null or empty text is its end id alone. Rows stay apart, repeated ids too; a null doc_id stays
     null. No rows give no rows; further columns are not read. `tokenizer_path` must exist on the executors.
+    A worker keeps its encoder for later tasks, unless `words` says how many words a task's own encoder may remember: then
+    nothing of it is left in the worker for the stages of a longer job.
     """
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(tokenizer_path, end_id)
+        encode = encoder(tokenizer_path, end_id) if words is None else passing_encoder(tokenizer_path, end_id, words)
         for b in batches:
             out: list[tuple[int | None, int, int, int, int]] = []
             texts = b["text"].tolist()
@@ -145,13 +152,13 @@ def pieces(documents: DataFrame, tokenizer_path: str, end_id: int = 2, longest:
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(each, SCHEMA)
 
 
-def packed(documents: DataFrame, tokenizer_path: str, end_id: int = 2, longest: int = 4096) -> DataFrame:
+def packed(documents: DataFrame, tokenizer_path: str, end_id: int = 2, longest: int = 4096, words: int | None = None) -> DataFrame:
     """`pieces` with sequence_id, offset and bucket (the length's binary logarithm).
 
     Sequence ids order by bucket: four bits of bucket, then the partition and the row within it, so
     no shuffle or count is needed to make them unique.
     """
-    cut = pieces(documents, tokenizer_path, end_id, longest)
+    cut = pieces(documents, tokenizer_path, end_id, longest, words)
     bucket = F.floor(F.log2(F.col("length") + F.lit(0.5))).cast("long")
     return cut.withColumn("bucket", bucket).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens",

@@ -30,6 +30,8 @@ from talkmill.llm.shared import WordHashes, connected_components, ngram_hashes,
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 CHUNK = 1 << 16
+#: Words that a task remembers while it makes sets of shingles.
+WORDS = 50_000
 #: Rows of a unit up to which all of its pairs may be emitted.
 SMALL = 32
 #: Words of the wide fingerprints, and the bits and the number of their cells. Texts of Jaccard similarity 0.8 differ in about 29
@@ -106,7 +108,7 @@ def set_fingerprints(documents: DataFrame, shingle: int) -> DataFrame:
     names = [f"fp{i}" for i in range(WIDE)]
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
+        hashes = WordHashes(WORDS)
         for b in batches:
             sets = [shingle_set(hashes, t, shingle) for t in b["text"]]
             wide = np.array([wide_fingerprint(s) for s in sets], np.int64).reshape(len(b), WIDE)
@@ -303,7 +305,7 @@ def _alike(similarity: float, shingle: int):
     """mapInPandas over (u, v, tu, tv): the pairs whose word shingles have that Jaccard similarity."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
+        hashes = WordHashes(WORDS)
         for b in batches:
             last, sets, keep = None, None, []
             for u, tu, tv in zip(b["u"], b["tu"], b["tv"]):
@@ -321,7 +323,7 @@ def _texts(shingle: int, sets: bool):
     """mapInPandas over (text) or (node, text): (node, text), or (node, shingles, n)."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
+        hashes = WordHashes(WORDS)
         for b in batches:
             own = [shingle_set(hashes, t, shingle) for t in b["text"]]
             node = np.array([set_hash(s) for s in own], np.int64)

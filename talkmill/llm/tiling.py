@@ -226,7 +226,7 @@ def decontaminated(documents: DataFrame, benchmark: DataFrame, least: int = 5, t
     shared = spark.sparkContext.broadcast([Seeds(block, least) for block in blocks])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = WordHashes(50_000)
         for b in batches:
             clean = []
             for text in b.column(column).to_pylist():

@@ -1,7 +1,9 @@
 """Each stage of the pipeline against a plain version, on what its predecessor kept."""
 
 import corpus_pipeline
+import public_tokenizers
 
+from talkmill.llm import packing
 from talkmill.llm.quality import scored, train
 from talkmill.llm.shared import written
 from talkmill.tables import load
@@ -65,6 +67,29 @@ def test_run_is_the_stages(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
 
 
+def test_stages_leave_little_in_a_worker(spark):
+    """Stages give Python batches of few rows, and the last one's encoder is not kept: a worker lives through all stages."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    docs = load(spark, SF, "documents")
+    plain = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json")).drop("sequence_id")
+    try:
+        spark.conf.set(key, "10000")
+        out = dict(corpus_pipeline.STAGES)["packing"](spark, docs, SF)
+        assert spark.conf.get(key) == "1000"
+        assert sorted(out.select(plain.columns).collect()) == sorted(plain.collect())
+        path, kept = public_tokenizers.path("word_bpe_49k.json"), packing.encoder.cache_info().currsize
+        encode = packing.passing_encoder(path, 2, 50)
+        for text in (" ".join(f"w{i}" for i in range(k, k + 40)) for k in range(0, 400, 40)):
+            assert encode([text]) == [packing.Encoder(path, 2)._whole(text) + encode.end] and len(encode.known) <= 100
+        assert packing.encoder.cache_info().currsize == kept
+        spark.conf.set(key, "200")
+        corpus_pipeline.lean(spark)
+        assert spark.conf.get(key) == "200"
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_stages_on_edges(spark, tmp_path):
     """Nulls in every column, empty and very long texts, repeated rows, empty tables, and extra columns with the names that stages use."""
     for name in ("labels", "benchmark"):
