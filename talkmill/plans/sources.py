@@ -94,24 +94,19 @@ def typed_events(spark: SparkSession, sf: str) -> DataFrame:
         F.lit('{"event_type": "NoteAdded", '),
     )
     folder = _folder(spark, "typed")
-    load(spark, sf, "events").select(F.element_at(F.array(*kinds), (n % len(kinds) + 1).cast("int")).alias("value")).repartition(4, "value").write.text(folder)
-    rows = events.envelopes(spark.read.text(folder))
-
-    def view(kind: str, number, text) -> DataFrame:
-        return events.of_kind(rows, kind).agg(F.lit(kind).alias("kind"), F.count("*").alias("n"), F.sum(number).cast("long").alias("total"), F.max(text).alias("last"))
-
-    parts = [
-        view("recording.completed", F.col("word_count"), F.col("title")), view("NoteAdded", F.col("seq"), F.col("text")),
-        view("meeting.insight.detected", events.field(F.col("insight"), "$.score", "long"), events.field(F.col("insight"), "$.kind", "string")),
-        view("KnowledgeUpdated", F.col("facts_written") + F.col("facts_skipped"), F.array_join("people_updated", "+")),
-        view("live.utterance.final", F.col("offset_ms") + F.col("duration_ms"), F.coalesce("speaker", F.lit("nobody"))),
-        view("agent.annotation", F.col("seq") + F.size("citations"), events.field(F.col("agent"), "$.id", "string")),
-        rows.where("not known").groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("n"), F.sum("seq").alias("total"), F.max(events.field(F.col("body"), "$.text", "string")).alias("last")),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    which, value = n % len(kinds), F.lit(None).cast("string")
+    for k, kind in enumerate(kinds):
+        value = F.when(which == k, kind).otherwise(value)
+    load(spark, sf, "events").select(value.alias("value")).write.text(folder)
+    at, name = lambda c: lambda own: own[c], lambda c, path: lambda own: events.field(own[c], path, "string")
+    views = {
+        "recording.completed": (at("word_count"), at("title")), "NoteAdded": (at("seq"), at("text")),
+        "meeting.insight.detected": (lambda own: events.field(own["insight"], "$.score", "long"), name("insight", "$.kind")),
+        "KnowledgeUpdated": (lambda own: own["facts_written"] + own["facts_skipped"], lambda own: F.array_join(own["people_updated"], "+")),
+        "live.utterance.final": (lambda own: own["offset_ms"] + own["duration_ms"], lambda own: F.coalesce(own["speaker"], F.lit("nobody"))),
+        "agent.annotation": (lambda own: own["seq"] + F.size(own["citations"]), name("agent", "$.id")),
+    }
+    return events.totals(events.envelopes(spark.read.text(folder)), views, (F.col("seq"), events.field(F.col("body"), "$.text", "string")))
 
 
 def revision_states(spark: SparkSession, sf: str) -> DataFrame:

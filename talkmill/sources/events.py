@@ -6,6 +6,8 @@ are not known here pass through unread, and a view reads only the fields it name
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,7 +55,8 @@ def envelopes(lines: DataFrame) -> DataFrame:
     Lines that are no JSON, or without a time or a kind, are skipped. `v` is 1 and `seq` 0 where they are missing. Kinds that `KINDS` does not have,
     and events without a field that their kind requires, are not `known`, but are kept with all they have.
     """
-    rows = lines.select(F.try_parse_json("value").alias("body"))
+    # A generator of one row: filters stay above it, so that a line is parsed once and not again for each condition.
+    rows = lines.select(F.explode(F.array(F.try_parse_json("value"))).alias("body"))
     body = F.col("body")
     kind = field(body, "$.event_type", "string")
     earlier = F.create_map(*(F.lit(x) for pair in EARLIER.items() for x in pair))
@@ -69,14 +72,39 @@ def envelopes(lines: DataFrame) -> DataFrame:
     return rows.select(v.alias("v"), seq.cast("long").alias("seq"), "ts", "event_type", known.alias("known"), "body")
 
 
-def of_kind(events: DataFrame, kind: str) -> DataFrame:
-    """(seq, ts, the kind's fields): the typed view of one kind of `envelopes`; arrays that are missing are empty."""
-    rows = events.where((F.col("event_type") == kind) & F.col("known"))
-    out = []
+def typed(kind: str) -> dict[str, Column]:
+    """The kind's fields as columns over `body`; arrays that are missing are empty."""
+    out = {}
     for name, type_, _ in fields(kind):
         value = field(F.col("body"), f"$.{name}", type_)
-        out.append((F.coalesce(value, F.array().cast(type_)) if type_.startswith("array") else value).alias(name))
-    return rows.select("seq", "ts", *out)
+        out[name] = F.coalesce(value, F.array().cast(type_)) if type_.startswith("array") else value
+    return out
+
+
+def of_kind(events: DataFrame, kind: str) -> DataFrame:
+    """(seq, ts, the kind's fields): the typed view of one kind of `envelopes`."""
+    rows = events.where((F.col("event_type") == kind) & F.col("known"))
+    return rows.select("seq", "ts", *(value.alias(name) for name, value in typed(kind).items()))
+
+
+def totals(events: DataFrame, views: dict[str, tuple[Callable[[dict[str, Column]], Column], Callable[[dict[str, Column]], Column]]], unknown: tuple[Column, Column]) -> DataFrame:
+    """(kind, n, total, last): of each kind of the views, and of each unknown kind, the count, the sum of a number and the greatest text.
+
+    A view gives (number, text) from its kind's typed fields, `seq` among them; `unknown` are those of events that are not known. All of it
+    is one pass over the log; a view's kind without an event has the count 0.
+    """
+    number = text = None
+    of = lambda kind: (F.col("event_type") == kind) & F.col("known")
+    for kind, (n, t) in views.items():
+        own = typed(kind) | {"seq": F.col("seq")}
+        number = (F.when if number is None else number.when)(of(kind), n(own).cast("long"))
+        text = (F.when if text is None else text.when)(of(kind), t(own))
+    rows = events.where(F.col("event_type").isin(*views) | ~F.col("known")).groupBy("known", F.col("event_type").alias("kind")).agg(
+        F.count("*").alias("n"), F.sum(number.otherwise(unknown[0])).alias("total"), F.max(text.otherwise(unknown[1])).alias("last")
+    )
+    none = events.sparkSession.createDataFrame([(True, kind) for kind in views], "known boolean, kind string").withColumns({"n": F.lit(0).cast("long"), "total": F.lit(None).cast("long"), "last": F.lit(None).cast("string")})
+    both = rows.unionByName(none).groupBy("known", "kind").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("last").alias("last"))
+    return both.drop("known")
 
 
 def stream_events(spark: SparkSession, path: str, after: int = 0) -> DataFrame:

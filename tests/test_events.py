@@ -67,3 +67,15 @@ def test_a_stream_of_events(spark, tmp_path):
     q = events.stream_events(spark, source, after=1).select("seq", "event_type", "known").writeStream.format("memory").queryName("muted").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     assert q.awaitTermination(120)
     assert sorted(map(tuple, spark.table("muted").collect())) == [(n, "MicMuted", True) for n in (2, 3, 4)]
+
+
+def test_totals_are_one_pass(spark, tmp_path):
+    """All views read the log once and parse a line once; a kind without events has the count 0, other known kinds are left out."""
+    full = [{"seq": n, "timestamp": AT, "event_type": "NoteAdded", "meeting_path": "p", "text": f"t{n}"} for n in (1, 2)]
+    rest = [{"seq": 5, "timestamp": AT, "event_type": "NoteAdded", "text": "x"}, {"seq": 7, "timestamp": AT, "event_type": "new"}, {"seq": 9, "timestamp": AT, "event_type": "MicMuted", "source": "s"}]
+    lines(spark, *full, *rest, "{").write.text(str(tmp_path / "log"))
+    views = {"NoteAdded": (lambda own: own["seq"], lambda own: own["text"]), "DeviceChanged": (lambda own: own["seq"], lambda own: own["new_device"])}
+    out = events.totals(events.envelopes(spark.read.text(str(tmp_path / "log"))), views, (F.col("seq"), F.lit(None).cast("string")))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1 and plan.lower().count("parsejson(") == 1
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([("NoteAdded", 2, 3, "t2"), ("DeviceChanged", 0, None, None), ("NoteAdded", 1, 5, None), ("new", 1, 7, None)], key=str)
