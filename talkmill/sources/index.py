@@ -11,12 +11,20 @@ from __future__ import annotations
 import math
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkmill.operators.retrieval import K1, B, query_terms, terms_of
 
 
+def term_counts(terms: Column) -> Column:
+    """array of (term, tf) of sorted terms: runs of equal ones; null for null."""
+    starts = F.filter(F.sequence(F.lit(0), F.size(terms) - 1), lambda i: (i == 0) | (F.get(terms, i) != F.get(terms, i - 1)))
+    ends = lambda s, k: F.coalesce(F.get(s, k + 1), F.size(terms))
+    counted = F.transform(F.array(starts), lambda s: F.transform(s, lambda at, k: F.struct(F.get(terms, at).alias("term"), (ends(s, k) - at).cast("long").alias("tf"))))
+    return F.when(F.size(terms) > 0, F.get(counted, F.lit(0)))
+
+
 class TermIndex:
     """An index under a folder that driver and executors share. One writer at a time; readers see the last version that was published."""
 
@@ -45,28 +53,44 @@ class TermIndex:
         return self.spark.read.schema(schema).parquet(*(f"{self.folder}/postings/{s}" for s in segments)) if segments else self.spark.createDataFrame([], schema)
 
     def _write(self, texts: DataFrame, segment: str) -> None:
-        rows = texts.select("key", "revision", F.explode("terms").alias("term")).groupBy("term", "key", "revision").agg(F.count("*").alias("tf"))
+        """Postings of rows (key, revision, counts): counts are a text's own, so the only exchange is the one that sorts them."""
+        rows = texts.select("key", "revision", F.explode("counts").alias("c")).select("c.term", "key", "revision", "c.tf")
         rows = rows.repartitionByRange("term", "key").sortWithinPartitions("term", "key")
-        rows.select("term", "key", "revision", "tf").write.option("parquet.block.size", str(8 << 20)).parquet(f"{self.folder}/postings/{segment}")
+        rows.write.option("parquet.block.size", str(8 << 20)).parquet(f"{self.folder}/postings/{segment}")
+
+    def _kept(self, rows: DataFrame, name: str) -> DataFrame:
+        """Rows that a sync reads more than once."""
+        rows.write.parquet(f"{self.folder}/{name}")
+        return self.spark.read.schema(rows.schema).parquet(f"{self.folder}/{name}")
+
+    def _discard(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def sync(self, documents: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
         """Brings the index in step with documents(key, text) and returns one row: indexed, updated, removed, unchanged.
 
-        Only texts that are new or changed are split into terms and written. Null keys are left out; of several rows of a key the one of the greatest
+        Only texts that are new or changed are split into terms, once, and written. Null keys are left out; of several rows of a key the one of the greatest
         revision counts; a null text has no terms and no size.
         """
-        own = documents.select(F.col(key).cast("long").alias("key"), F.xxhash64(column).alias("revision"), terms_of(F.col(column)).alias("terms"))
+        own = documents.select(F.col(key).cast("long").alias("key"), F.xxhash64(column).alias("revision"), F.col(column).alias("text"))
         own = own.where("key is not null")
-        latest = own.select("key", "revision").groupBy("key").agg(F.max("revision").alias("revision"))
         old, segment = self.documents(), uuid.uuid4().hex
+        latest = self._kept(own.groupBy("key").agg(F.max("revision").alias("revision")), f"latest/{segment}")
         fresh = latest.join(old.select("key", "revision"), ["key", "revision"], "left_anti")
-        texts = own.join(fresh, ["key", "revision"], "left_semi").dropDuplicates(["key", "revision"])
+        # Texts are exchanged as they are, and split where they arrive; the terms of a text are counted in its own row.
+        texts = own.join(fresh, ["key", "revision"], "left_semi").groupBy("key", "revision").agg(F.first("text").alias("text"))
+        texts = texts.select("key", "revision", F.explode(F.array(F.sort_array(terms_of(F.col("text"))))).alias("terms"))
+        texts = texts.select("key", "revision", F.size("terms").cast("long").alias("size"), term_counts(F.col("terms")).alias("counts"))
+        texts = self._kept(texts, f"texts/{segment}")
         self._write(texts, segment)
         kept = old.join(latest, ["key", "revision"], "left_semi")
-        added = texts.select("key", "revision", F.size("terms").cast("long").alias("size"), F.lit(segment).alias("segment"))
+        added = texts.select("key", "revision", "size", F.lit(segment).alias("segment"))
         versions = self._versions()
         name = f"{versions[-1][0] + 1 if versions else 0}-{segment}"
         kept.unionByName(added).write.parquet(f"{self.folder}/documents/{name}")
+        for part in (f"latest/{segment}", f"texts/{segment}"):
+            self._discard(part)
         now = self.spark.read.schema(old.schema).parquet(f"{self.folder}/documents/{name}")
         both = now.select("key", F.col("segment").alias("new")).join(old.select("key", F.col("segment").alias("was")), "key", "full")
         count = lambda x: F.count_if(x)
