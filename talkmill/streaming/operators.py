@@ -88,7 +88,8 @@ def stable_partials(cadence_ms: int = 120) -> Operator:
     """
 
     def common(a: list[str], b: list[str]) -> int:
-        return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        n = min(len(a), len(b))
+        return n if a[:n] == b[:n] else next(i for i, (x, y) in enumerate(zip(a, b)) if x != y)
 
     def step(s: dict, row: dict) -> tuple[dict, list[tuple]]:
         words = (row["text"] or "").split()

@@ -38,8 +38,11 @@ class Operator:
             out += more
         return state, pd.DataFrame(out, columns=self._names())
 
-    def replay(self, rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-        """The rows of each key, in order. They stream through one task in Arrow batches, and the state is all that is held of them; rows without a key take no part."""
+    def replay(self, rows: DataFrame, key: str, order: list[str], together: bool = False) -> DataFrame:
+        """The rows of each key, in order. They stream through one task in Arrow batches, and the state is all that is held of them; rows without a key take no part.
+
+        Together: the rows of a key already follow each other in a partition, in order, and are not exchanged.
+        """
         step, first, names = self.step, json.dumps(self.initial), self._names()
 
         def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -53,7 +56,8 @@ class Operator:
                     out += [(now, *m) for m in more]
                 yield pd.DataFrame(out, columns=[key, *names])
 
-        dealt = rows.where(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, *order)
+        dealt = rows.where(F.col(key).isNotNull())
+        dealt = dealt if together else dealt.repartition(key).sortWithinPartitions(key, *order)
         return dealt.mapInPandas(each, f"{key} {dict(rows.dtypes)[key]}, {self.output}")
 
     def follow(self, stream: DataFrame, key: str, order: list[str]) -> DataFrame:

@@ -27,3 +27,14 @@ def test_a_task_for_each_so_many_rows(spark, tmp_path):
     assert tables.tasks(spark, str(tmp_path), "t", 10) == 100 and tables.tasks(spark, str(tmp_path), "t", 1000) is None
     rows = tables.dealt(tables.load(spark, str(tmp_path), "t"), 100, "id")
     assert rows.rdd.getNumPartitions() == 100 and rows.agg(F.sum("id")).first()[0] == 499_500
+
+
+def test_hypotheses_are_not_exchanged(spark, tmp_path):
+    """Turns are exchanged, the hypotheses made of them are not; two turns of one number are replayed together, in order."""
+    rows = [(1, 0, "a b c d e f"), (1, 1, ""), (1, 2, None), (None, 1, "a b"), (2, 5, "a b c d"), (2, 5, "a b c d x y z")]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    out = queries()["partial_gate"](spark, str(tmp_path))
+    assert sorted(map(tuple, out.where("utterance = 1000").collect())) == [(1000, 90, 1, 1, 1), (1000, 270, 2, 5, 1), (1000, 450, 3, 9, 1)]
+    assert {r.utterance for r in out.collect()} == {1000, 2005}
+    single = out._jdf.queryExecution().executedPlan().toString().split("MapInPandas")[1]
+    assert single.index("posexplode") < single.index("Exchange")  # from the top: below the replay hypotheses come first, then the exchange
