@@ -6,6 +6,7 @@ a few lines back.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter, deque
 from collections.abc import Callable, Iterator
 
@@ -15,7 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkmill.functions import noise
-from talkmill.session import checkpointed
+from talkmill.session import shared_folder
+from talkmill.tables import dealt
 
 LINES = "doc_id long, pos double, line string"
 
@@ -221,7 +223,7 @@ def plain_text(text: str) -> str:
     return " ".join("".join(c for c in text.lower() if c.isalnum() or c.isspace()).split())
 
 
-def followed(lines: DataFrame, *passes: Callable[[], Runs | Loops]) -> DataFrame:
+def followed(lines: DataFrame, *passes: Callable[[], Runs | Loops], parts: int | None = None) -> DataFrame:
     """Each transcript's lines, in order, through the passes one after another.
 
     One exchange; the lines stream through a task in Arrow batches, and only what the passes hold back is kept.
@@ -244,21 +246,22 @@ def followed(lines: DataFrame, *passes: Callable[[], Runs | Loops]) -> DataFrame
             yield pd.DataFrame(out, columns=["doc_id", "pos", "line"])
         yield pd.DataFrame([(now, *x) for x in through(passing, [], True)], columns=["doc_id", "pos", "line"])
 
-    rows = lines.where("doc_id is not null and line is not null").repartition("doc_id").sortWithinPartitions("doc_id", "pos")
+    rows = lines.where("doc_id is not null and line is not null")
+    rows = (rows.repartition("doc_id") if parts is None else dealt(rows, parts, "doc_id")).sortWithinPartitions("doc_id", "pos")
     return rows.mapInPandas(each, LINES)
 
 
-def collapse_runs(lines: DataFrame, similarity: float = 0.8) -> DataFrame:
+def collapse_runs(lines: DataFrame, similarity: float = 0.8, parts: int | None = None) -> DataFrame:
     """Runs of three lines or more that are alike to their first keep it and a note; lines that are noise stay for other passes."""
-    return followed(lines, lambda: Runs(similarity))
+    return followed(lines, lambda: Runs(similarity), parts=parts)
 
 
-def collapse_loops(lines: DataFrame, window: int = 10, hits: int = 5) -> DataFrame:
+def collapse_loops(lines: DataFrame, window: int = 10, hits: int = 5, parts: int | None = None) -> DataFrame:
     """A text that stands `hits` times in ten lines or more is a loop; the loop keeps its first occurrence, notes stand for the rest.
 
     A loop goes on over fillers and over gaps of two other lines at most.
     """
-    return followed(lines, lambda: Loops(window, hits))
+    return followed(lines, lambda: Loops(window, hits), parts=parts)
 
 
 #: The passes in their order, with the names of their counts.
@@ -274,13 +277,28 @@ def clean(lines: DataFrame) -> DataFrame:
     return lines
 
 
-def clean_stats(lines: DataFrame) -> DataFrame:
-    """(step, place, lines): how many lines each pass leaves. Each pass runs once; its lines are written, counted and read by the next."""
-    counts = [("input", 0, (lines := checkpointed(lines)).count())]
+def clean_stats(lines: DataFrame, parts: int | None = None) -> DataFrame:
+    """(step, place, lines): how many lines each pass leaves. Each pass runs once; its lines are written as Parquet, whose footers have the count, and read by the next.
+
+    parts: in how many parts the lines of documents are dealt for a pass, where the session's shuffle partitions are too few.
+    """
+    spark = lines.sparkSession
+    folder = f"{shared_folder(spark)}/cleaning-{uuid.uuid4().hex}"
+
+    def kept(rows: DataFrame, name: str) -> DataFrame:
+        rows.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(rows.schema).parquet(f"{folder}/{name}")
+
+    counts = [("input", 0, (lines := kept(lines, "input")).count())]
     for i, (name, step) in enumerate(PASSES):
-        lines = checkpointed(step(lines))
+        if step in (collapse_runs, collapse_loops):
+            lines = kept(step(lines, parts=parts), name)
+        else:
+            lines = kept(step(lines if step is drop_phrases else dealt(lines, parts, "doc_id")), name)
         counts.append((name, i + 1, lines.count()))
-    return lines.sparkSession.createDataFrame(counts, "step string, place int, lines long")
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return spark.createDataFrame(counts, "step string, place int, lines long")
 
 
 def all_noise(lines: DataFrame) -> DataFrame:

@@ -103,7 +103,7 @@ def noise_collapse(spark: SparkSession, sf: str) -> DataFrame:
 
 def clean_transcripts(spark: SparkSession, sf: str) -> DataFrame:
     """The whole cleaning, in its order."""
-    return cleaning.clean_stats(_transcript(spark, sf))
+    return cleaning.clean_stats(_transcript(spark, sf), tasks(spark, sf, "documents", EACH))
 
 
 def sentence_counts(spark: SparkSession, sf: str) -> DataFrame:

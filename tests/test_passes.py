@@ -1,5 +1,6 @@
 """Passes over lines read them once; chunks give Python the lengths of lines alone."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from talkmill.operators import cleaning, records
@@ -44,3 +45,15 @@ def test_chunks_of_lengths(spark):
     assert "MapInPandas" in plan and "transform(split(" in plan.replace(" ", "").lower().replace("coalesce(", "")
     got = out.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("chars").alias("chars")).collect()
     assert {r.doc_id: (r.n, r.chars) for r in got} == {1: (5, 91), 2: (2, 103), 5: (3, 61)}
+
+
+def test_cleaning_is_dealt_and_written(spark, monkeypatch):
+    """The counts are the same however many tasks hold the documents; no RDD checkpoint is made of the lines."""
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(type(spark.range(0)), "checkpoint", lambda *a, **b: pytest.fail("lines are checkpointed as serialised rows"))
+    want = sorted(map(tuple, transcripts.clean_transcripts(spark, sf).collect()))
+    monkeypatch.setattr(transcripts, "EACH", 20)
+    asked, deal = [], cleaning.dealt
+    monkeypatch.setattr(cleaning, "dealt", lambda rows, n, *keys: (asked.append(n), deal(rows, n, *keys))[1])
+    assert sorted(map(tuple, transcripts.clean_transcripts(spark, sf).collect())) == want and len(want) == 8
+    assert asked == [10] * 6, "all passes but the one that looks at a line alone"
