@@ -5,22 +5,47 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talkmill.functions.text import compact_key, folded, names_likely_same, plausibly_same, words
+from talkmill.functions.text import compact_key, folded, plausibly_same, words
 from talkmill.session import checkpointed
+from talkmill.tables import dealt
 
 
-def likely_pairs(people: DataFrame) -> DataFrame:
-    """(a, b): names of which one shortens the other.
+#: Names that a unit of work pairs with the others of their block; larger blocks are dealt into more units.
+UNIT = 250
 
-    Names of two words or more meet those with the same first two words, and names of one word those with that first word.
-    """
+
+def blocked(people: DataFrame) -> DataFrame:
+    """(name, first, second): each name once, with its first two words in lower case; the second of a name of one word is empty."""
     w = words(F.lower(F.col("name")))
-    rows = people.select("name", F.get(w, F.lit(0)).alias("first"), F.get(w, F.lit(1)).alias("second")).where("first is not null").distinct()
-    long, short = rows.where("second is not null"), rows.where("second is null").select(F.col("name").alias("other"), "first")
-    pairs = long.join(long.select(F.col("name").alias("other"), "first", "second"), ["first", "second"]).select("name", "other")
-    pairs = pairs.unionByName(long.join(short, "first").select("name", "other"))
-    pairs = pairs.select(F.least("name", "other").alias("a"), F.greatest("name", "other").alias("b")).where("a < b").distinct()
-    return pairs.where(names_likely_same(F.col("a"), F.col("b")))
+    rows = people.select("name", F.get(w, F.lit(0)).alias("first"), F.coalesce(F.get(w, F.lit(1)), F.lit("")).alias("second"))
+    return rows.where("first is not null").distinct()
+
+
+def _pairs(rows: DataFrame, n: int | None) -> DataFrame:
+    """(a, b): the likely pairs of rows of `blocked`, each made once, in n tasks.
+
+    Names of two words or more meet those with the same first two words and, in the block of an empty second word, the names that are just that first word.
+    """
+    keys = ["first", "second"]
+    left = rows.where("second <> ''").select("name", "first", F.explode(F.array("second", F.lit(""))).alias("second"))
+    units = F.ceil(F.col("size") / UNIT).cast("int")
+    # Each longer name is in two blocks, so that at most two blocks in UNIT names have more than one unit.
+    large = F.broadcast(left.groupBy(keys).agg(F.count("*").alias("size")).where(F.col("size") > UNIT).select(*keys, units.alias("units")))
+    low = F.xxhash64(F.lower("name"))
+    left = left.join(large, keys, "left").select(*keys, F.coalesce(F.pmod(F.xxhash64("name"), "units").cast("int"), F.lit(0)).alias("unit"), F.col("name").alias("x"), low.alias("low_x"))
+    right = rows.join(large, keys, "left").select(*keys, F.explode(F.sequence(F.lit(0), F.coalesce("units", F.lit(1)) - 1)).alias("unit"), F.col("name").alias("y"), low.alias("low_y"))
+    pairs = dealt(left, n, *keys, "unit").join(dealt(right, n, *keys, "unit"), [*keys, "unit"])
+    pairs = pairs.where("(second = '' or x < y) and (low_x <> low_y or lower(x) <> lower(y))")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def likely_pairs(people: DataFrame, n: int | None = None) -> DataFrame:
+    """(a, b): names of which one shortens the other (`names_likely_same`), in n tasks.
+
+    Names of two words or more meet those with the same first two words, and names of one word those with that first word. Names that meet are alike, if
+    not only case tells them apart.
+    """
+    return _pairs(checkpointed(blocked(people)), n)
 
 
 def deletions(key: Column, most: Column) -> Column:
@@ -93,7 +118,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 
 
 def clusters(pairs: DataFrame) -> DataFrame:
-    """(members): components that are cliques; of others, each direct pair is a cluster."""
+    """(members): components that are cliques; of others, each direct pair is a cluster. For pairs of any kind; `likely_clusters` knows those of its own."""
     edges = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
     of = components(edges)
     sizes = of.groupBy("component").agg(F.count("*").alias("nodes"), F.array_sort(F.collect_list("node")).alias("members"))
@@ -104,6 +129,26 @@ def clusters(pairs: DataFrame) -> DataFrame:
     return rated.where("clique").select("members").unionByName(pairs_left)
 
 
+def likely_clusters(people: DataFrame, n: int | None = None) -> DataFrame:
+    """(members): the `clusters` of `likely_pairs`, in n tasks; blocks are counted, so that only the pairs of components that are no cliques are made.
+
+    Of a block, all names are linked but those that only case tells apart. A name of one word is linked with all longer names of that first word, which are
+    one component then; without such a name each block is one.
+    """
+    names, keys = checkpointed(blocked(people)), ["first", "second"]
+    spelt = names.groupBy(*keys, F.lower("name")).agg(F.count("*").alias("n"))
+    ends = F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))  # two for each link
+    blocks = spelt.groupBy(keys).agg(F.sum("n").alias("n"), ends.alias("ends"))
+    short = blocks.where("second = ''").select("first", F.col("n").alias("short"))
+    blocks = blocks.join(short, "first", "left").withColumn("component", F.when(F.col("short").isNull(), F.col("second")).otherwise(F.lit("")))
+    rated = blocks.groupBy("first", "component").agg(F.sum("n").alias("nodes"), F.sum("ends").alias("ends"), F.coalesce(F.max("short"), F.lit(0)).alias("short"))
+    ends = F.col("ends") + 2 * F.col("short") * (F.col("nodes") - F.col("short"))
+    rated = rated.where(ends > 0).select("first", "component", (ends == F.col("nodes") * (F.col("nodes") - 1)).alias("clique"))
+    rows = checkpointed(names.join(blocks.join(rated, ["first", "component"]).select(*keys, "component", "clique"), keys))
+    cliques = rows.where("clique").groupBy("first", "component").agg(F.array_sort(F.collect_list("name")).alias("members"))
+    return cliques.select("members").unionByName(_pairs(rows.where("not clique").select("name", *keys), n).select(F.array("a", "b").alias("members")))
+
+
 def b_cubed(rows: DataFrame) -> DataFrame:
     """One row with precision, recall and wrong merges of rows (item, cluster, truth), without pairing items.
 

@@ -11,7 +11,10 @@ from talkmill.operators import identity, intervals, retrieval
 from talkmill.plans import mapping as M
 from talkmill.session import shared_folder
 from talkmill.sources.index import TermIndex
-from talkmill.tables import load
+from talkmill.tables import load, tasks
+
+#: Documents whose names a task pairs.
+EACH = 5_000
 
 
 def full_text_match(spark: SparkSession, sf: str) -> DataFrame:
@@ -126,7 +129,7 @@ def _names(spark: SparkSession, sf: str) -> DataFrame:
 
 def alias_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of names of which one shortens the other."""
-    return identity.likely_pairs(_names(spark, sf))
+    return identity.likely_pairs(_names(spark, sf), tasks(spark, sf, "documents", EACH))
 
 
 def plausible_names(spark: SparkSession, sf: str) -> DataFrame:
@@ -136,7 +139,7 @@ def plausible_names(spark: SparkSession, sf: str) -> DataFrame:
 
 def alias_clusters(spark: SparkSession, sf: str) -> DataFrame:
     """Cliques of alike names, other components as pairs."""
-    return identity.clusters(alias_pairs(spark, sf)).select(F.array_join("members", " | ").alias("members"))
+    return identity.likely_clusters(_names(spark, sf), tasks(spark, sf, "documents", EACH)).select(F.array_join("members", " | ").alias("members"))
 
 
 def cluster_score(spark: SparkSession, sf: str) -> DataFrame:

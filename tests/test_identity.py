@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from talkmill.functions.text import names_likely_same
 from talkmill.operators import identity, records
 from talkmill.plans import search, transcripts
 
@@ -64,3 +65,40 @@ def test_corrections(spark, size):
     tokens = spark.createDataFrame([(name[:5] + "x" + name[5:],), (name,), ("zzzz" * size,)], "token string")
     rows = records.name_corrections(tokens, spark.createDataFrame([(name,), ("other" * size,)], "name string")).collect()
     assert [tuple(r) for r in rows] == [(name[:5] + "x" + name[5:], name)]
+
+
+def some_names(rng):
+    """Names in whose blocks case alone tells some apart, first words with and without names of one word, cliques of both kinds, and no names."""
+    spelt = lambda w: rng.choice([w, w.title(), w.upper()])
+    names = [" ".join(spelt(rng.choice("abcdefgh") + "nn") if k == 0 else spelt(rng.choice(["bell", "ray"]) if k == 1 else rng.choice("xyzw")) for k in range(rng.choice([1, 2, 3, 3, 3, 4]))) for _ in range(150)]
+    names += [f"solo bell {w}" for w in "abcdefg"] + ["lone", *(f"lone ray {w}" for w in "abcdefgh")] + ["case only x", "Case only x", "single", "one of", "two", "Two", "two of"]
+    return [*names, *names[:20], "", " ", None]
+
+
+@pytest.mark.parametrize("n", [None, 7])
+def test_likely_pairs_and_clusters(spark, monkeypatch, n):
+    """Blocks dealt into units give the pairs of brute force, once each, and counted blocks the clusters of these pairs."""
+    monkeypatch.setattr(identity, "UNIT", 3)
+    people = spark.createDataFrame([(x,) for x in some_names(random.Random(3))], "name string")
+    once = people.where("trim(name) <> ''").distinct()
+    every = once.withColumnRenamed("name", "a").join(once.withColumnRenamed("name", "b"), F.expr("a < b")).where(names_likely_same(F.col("a"), F.col("b")))
+    pairs = identity.likely_pairs(people, n)
+    assert sorted(map(tuple, pairs.collect())) == sorted(map(tuple, every.collect()))
+    shown = lambda df: sorted(r.members for r in df.collect())
+    out = shown(identity.likely_clusters(people, n))
+    assert out == shown(identity.clusters(pairs))
+    assert [f"solo bell {w}" for w in "abcdefg"] in out and ["lone", *(f"lone ray {w}" for w in "abcdefgh")] in out and not any("case only x" in x for x in out)
+
+
+@pytest.mark.parametrize("query", [search.alias_pairs, search.alias_clusters])
+def test_pairs_of_names_are_not_exchanged(spark, tmp_path, monkeypatch, query):
+    """A pair is made once, where its block is, and goes nowhere else; the tasks that make pairs follow from the table."""
+    names = ["carl ray a", "carl ray b", "carl", "Carl", *(f"anna bell x{'ab'[k % 2] * k}" for k in range(20))]
+    spark.createDataFrame([(3 * k + 1, f"{x}.") for k, x in enumerate(names)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(search, "EACH", 2)
+    out = query(spark, str(tmp_path))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(a#" not in plan and ", 12)" in plan
+    rows = [" | ".join(r) for r in out.collect()]
+    carls = ["Carl | carl ray a", "Carl | carl ray b", "carl ray a | carl ray b", "carl | carl ray a", "carl | carl ray b"]
+    assert sorted(r for r in rows if "anna" not in r) == carls and len(rows) == len(carls) + (190 if query is search.alias_pairs else 1)
