@@ -138,8 +138,8 @@ def folder_census(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def frontmatter_fields(spark: SparkSession, sf: str) -> DataFrame:
-    """Meetings as Markdown text with frontmatter; fields without a YAML parser."""
-    m = M.meetings(spark, sf)
+    """Meetings as Markdown text with frontmatter; fields without a YAML parser. Restricted ones are read too: the reference parses before any gate."""
+    m = M.all_meetings(spark, sf)
     content = F.concat(F.lit("---\ntitle: \""), "title", F.lit("\"\ntype: "), "type", F.lit("\ndate: "), "date_text", F.lit("\npeople: [[a-"), "person_id", F.lit("]]\n---\n## Notes\nbody "), "path", F.lit("\n"))
     front = markdown.repaired(markdown.frontmatter(content))
     rows = m.select("path", markdown.scalar(front, "title").alias("title"), markdown.scalar(front, "date").alias("date"), markdown.scalar(front, "people").alias("people"), F.trim(markdown.body(content)).alias("body"))
@@ -165,5 +165,5 @@ ORACLE_SQL = {
     "folder_census": """WITH p AS (SELECT page_id % 5 AS k, length(html) AS s FROM pages) SELECT CASE k WHEN 0 THEN 'pdf' WHEN 1 THEN 'tar.gz' WHEN 2 THEN 'html' WHEN 3 THEN 'docx' ELSE '' END AS ext,
         CASE k WHEN 0 THEN 'pdf' WHEN 1 THEN 'archive' WHEN 2 THEN 'markup' WHEN 3 THEN 'word_processing' ELSE 'other' END AS category,
         CASE WHEN s = 0 THEN 'zero' WHEN s < 102400 THEN 'under_100_kib' WHEN s < 1048576 THEN '100_kib_to_1_mib' ELSE '1_mib_to_10_mib' END AS bucket, count(*) AS n FROM p GROUP BY 1, 2, 3""",
-    "frontmatter_fields": SQL + "SELECT path, title, date_text || '+00:00' AS date, '[a-' || person_id || ']' AS people, '## Notes|body ' || path || '|' AS body FROM meetings",
+    "frontmatter_fields": SQL + "SELECT path, title, date_text || '+00:00' AS date, '[a-' || person_id || ']' AS people, '## Notes|body ' || path || '|' AS body FROM all_meetings",
 }

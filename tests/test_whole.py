@@ -8,7 +8,7 @@ from talkmill.queries import QUERIES
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["duration_functions"])
+@pytest.mark.parametrize("name", ["duration_functions", "frontmatter_fields"])
 def test_every_meeting_is_parsed(spark, name):
     meetings = M.all_meetings(spark, SF).select("path", "sensitivity").collect()
     assert any(r.sensitivity == "restricted" for r in meetings)
