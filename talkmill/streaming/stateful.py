@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -22,11 +22,15 @@ Step = Callable[[dict, dict], tuple[dict, list[tuple]]]
 
 @dataclass(frozen=True)
 class Operator:
-    """A step, its first state and the columns of its output (after the key)."""
+    """A step, its first state and the columns of its output (after the key).
+
+    Together: for a replay, the rows of a key already follow each other in a partition, in order, and are not exchanged.
+    """
 
     step: Step
     initial: dict
     output: str
+    together: bool = field(default=False, kw_only=True)
 
     def _names(self) -> list[str]:
         return [c.split()[0] for c in self.output.split(", ")]
@@ -38,11 +42,11 @@ class Operator:
             out += more
         return state, pd.DataFrame(out, columns=self._names())
 
-    def replay(self, rows: DataFrame, key: str, order: list[str], together: bool = False) -> DataFrame:
-        """The rows of each key, in order. They stream through one task in Arrow batches, and the state is all that is held of them; rows without a key take no part.
+    def _dealt(self, rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+        return rows if self.together else rows.repartition(key).sortWithinPartitions(key, *order)
 
-        Together: the rows of a key already follow each other in a partition, in order, and are not exchanged.
-        """
+    def replay(self, rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+        """The rows of each key, in order. They stream through one task in Arrow batches, and the state is all that is held of them; rows without a key take no part."""
         step, first, names = self.step, json.dumps(self.initial), self._names()
 
         def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -56,8 +60,7 @@ class Operator:
                     out += [(now, *m) for m in more]
                 yield pd.DataFrame(out, columns=[key, *names])
 
-        dealt = rows.where(F.col(key).isNotNull())
-        dealt = dealt if together else dealt.repartition(key).sortWithinPartitions(key, *order)
+        dealt = self._dealt(rows.where(F.col(key).isNotNull()), key, order)
         return dealt.mapInPandas(each, f"{key} {dict(rows.dtypes)[key]}, {self.output}")
 
     def follow(self, stream: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -117,7 +120,7 @@ class TimedOperator(Operator):
             if state is not None:
                 yield pd.DataFrame([(now, *m) for m in rung(state, float("inf"))[1]], columns=[key, *names])
 
-        dealt = rows.where(F.col(key).isNotNull() & F.col("ms").isNotNull()).repartition(key).sortWithinPartitions(key, "ms", *order)
+        dealt = self._dealt(rows.where(F.col(key).isNotNull() & F.col("ms").isNotNull()), key, ["ms", *order])
         return dealt.mapInPandas(each, f"{key} {dict(rows.dtypes)[key]}, {self.output}")
 
     def follow(self, stream: DataFrame, key: str, order: list[str], late: str = "10 seconds") -> DataFrame:
